@@ -19,10 +19,10 @@ from driftfield.model import AXES, Box
 from driftfield.operators.cells import knn
 from driftfield.operators.ranks import first_rows, prefix_sum
 
-ID = F.col("id")
 
 
-def _in_box(df: DataFrame, box: Box, seed, key: Column = ID) -> DataFrame:
+def _in_box(df: DataFrame, box: Box, seed, key: Column | None = None) -> DataFrame:
+    key = F.col("id") if key is None else key
     return df.withColumns({a: keyed_range(seed, key, a, lo, hi) for a, lo, hi in box.axes()})
 
 
@@ -35,7 +35,7 @@ def grid_points(spark: SparkSession, shape, box: Box, boundary: bool = True) ->
     """Regular grid, x slowest. Without boundary the outermost layer of n + 2 is left out; a single z layer sits at the low end."""
     nx, ny, nz = (int(v) for v in shape)
     df = spark.range(nx * ny * nz).withColumns(
-        {"i": F.floor(ID / (ny * nz)), "j": F.floor(ID / nz) % ny, "k": ID % nz}
+        {"i": F.floor(F.col("id") / (ny * nz)), "j": F.floor(F.col("id") / nz) % ny, "k": F.col("id") % nz}
     )
 
     def along(a: str, index: Column, n: int, lo: float, hi: float) -> Column:
@@ -51,13 +51,13 @@ def line_points(spark: SparkSession, n: int, start, end) -> DataFrame:
     """n evenly spaced points from start to end; one point is the start."""
     step = 1.0 / (n - 1) if n > 1 else 0.0
     return spark.range(n).withColumns(
-        {a: F.lit(float(s)) + ID * F.lit(step) * F.lit(float(e) - float(s)) for a, s, e in zip(AXES, start, end)}
+        {a: F.lit(float(s)) + F.col("id") * F.lit(step) * F.lit(float(e) - float(s)) for a, s, e in zip(AXES, start, end)}
     )
 
 
 def circle_points(spark: SparkSession, n: int, center, radius: float, plane: str = "xy", start: float = 0.0) -> DataFrame:
     """n points on a circle, the end open."""
-    angle = F.lit(float(start)) + ID * F.lit(2.0 * math.pi / max(n, 1))
+    angle = F.lit(float(start)) + F.col("id") * F.lit(2.0 * math.pi / max(n, 1))
     first, second = plane
     off = {first: F.lit(float(radius)) * F.cos(angle), second: F.lit(float(radius)) * F.sin(angle)}
     return spark.range(n).withColumns({a: F.lit(float(c)) + off.get(a, F.lit(0.0)) for a, c in zip(AXES, center)})
@@ -65,9 +65,9 @@ def circle_points(spark: SparkSession, n: int, center, radius: float, plane: str
 
 def sphere_points(spark: SparkSession, n: int, center, radius: float, seed=0, surface: bool = False) -> DataFrame:
     """Uniform points in a ball (or on its surface): a normalised normal vector, stretched by the cube root of a uniform."""
-    df = spark.range(n).withColumns({f"_n{a}": keyed_normal(seed, ID, a) for a in AXES})
+    df = spark.range(n).withColumns({f"_n{a}": keyed_normal(seed, F.col("id"), a) for a in AXES})
     length = F.greatest(magnitude(*[F.col(f"_n{a}") for a in AXES]), F.lit(1e-12))
-    stretch = F.lit(float(radius)) if surface else F.lit(float(radius)) * F.cbrt(keyed_uniform(seed, ID, "r"))
+    stretch = F.lit(float(radius)) if surface else F.lit(float(radius)) * F.cbrt(keyed_uniform(seed, F.col("id"), "r"))
     out = df.withColumn("_f", stretch / length)
     return out.select("id", *[(F.lit(float(c)) + F.col(f"_n{a}") * F.col("_f")).alias(a) for a, c in zip(AXES, center)])
 
@@ -80,7 +80,7 @@ def box_points(spark: SparkSession, n: int, box: Box, where: str = "uniform", se
         base, extra = divmod(n, 6)
         # ids run face by face: the first `extra` faces hold one point more
         wide = extra * (base + 1)
-        face = F.when(ID < wide, F.floor(ID / (base + 1))).otherwise(F.lit(extra) + F.floor((ID - wide) / max(base, 1)))
+        face = F.when(F.col("id") < wide, F.floor(F.col("id") / (base + 1))).otherwise(F.lit(extra) + F.floor((F.col("id") - wide) / max(base, 1)))
         df = _in_box(spark.range(n).withColumn("face", face), box, seed)
         for axis, (a, lo, hi) in enumerate(box.axes()):
             fixed = F.when(F.col("face") == 2 * axis, F.lit(lo)).when(F.col("face") == 2 * axis + 1, F.lit(hi))
@@ -89,8 +89,8 @@ def box_points(spark: SparkSession, n: int, box: Box, where: str = "uniform", se
     if where == "corners":
         df = _in_box(spark.range(n), box, seed)
         for axis, (a, lo, hi) in enumerate(box.axes()):
-            bit = F.floor(ID / 2**axis) % 2
-            df = df.withColumn(a, F.when(ID < 8, F.when(bit == 1, F.lit(hi)).otherwise(F.lit(lo))).otherwise(F.col(a)))
+            bit = F.floor(F.col("id") / 2**axis) % 2
+            df = df.withColumn(a, F.when(F.col("id") < 8, F.when(bit == 1, F.lit(hi)).otherwise(F.lit(lo))).otherwise(F.col(a)))
         return df
     raise ValueError("where must be uniform, boundary or corners")
 
@@ -101,7 +101,7 @@ def gaussian_clusters(centers: DataFrame, std: float, per_cluster: int, seed=0)
     df = df.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(per_cluster - 1)))) if per_cluster > 0 else df.limit(0).withColumn("_m", F.lit(0))
     df = df.withColumn("id", F.col("cluster").cast("bigint") * per_cluster + F.col("_m"))
     return df.select(
-        "id", "cluster", *[(F.col(f"_c{a}") + F.lit(float(std)) * keyed_normal(seed, ID, a)).alias(a) for a in AXES]
+        "id", "cluster", *[(F.col(f"_c{a}") + F.lit(float(std)) * keyed_normal(seed, F.col("id"), a)).alias(a) for a in AXES]
     )
 
 
@@ -110,11 +110,11 @@ def stratified_points(spark: SparkSession, n: int, box: Box, strata=(4, 4, 4), s
     sx, sy, sz = (int(v) for v in strata)
     base, extra = divmod(n, sx * sy * sz)
     wide = extra * (base + 1)
-    stratum = F.when(ID < wide, F.floor(ID / (base + 1))).otherwise(F.lit(extra) + F.floor((ID - wide) / max(base, 1)))
+    stratum = F.when(F.col("id") < wide, F.floor(F.col("id") / (base + 1))).otherwise(F.lit(extra) + F.floor((F.col("id") - wide) / max(base, 1)))
     df = spark.range(n).withColumn("stratum", stratum)
     at = {"x": F.floor(F.col("stratum") / (sy * sz)), "y": F.floor(F.col("stratum") / sz) % sy, "z": F.col("stratum") % sz}
     cols = {
-        a: F.lit(lo) + (at[a] + keyed_uniform(seed, ID, a)) * F.lit((hi - lo) / s)
+        a: F.lit(lo) + (at[a] + keyed_uniform(seed, F.col("id"), a)) * F.lit((hi - lo) / s)
         for (a, lo, hi), s in zip(box.axes(), (sx, sy, sz))
     }
     return df.withColumns(cols)
@@ -134,7 +134,7 @@ def density_sampled_points(
     top = with_pdf(random_points(spark, probes, box, seed)).agg(F.max("pdf")).first()[0] or 0.0
     bound = 1.1 * top
     candidates = _in_box(spark.range(2 * n * rounds), box, f"{seed}c")
-    accepted = with_pdf(candidates).filter(keyed_uniform(f"{seed}c", ID, "accept") * F.lit(bound) <= F.col("pdf"))
+    accepted = with_pdf(candidates).filter(keyed_uniform(f"{seed}c", F.col("id"), "accept") * F.lit(bound) <= F.col("pdf"))
     chosen = first_rows(accepted.select("id", *AXES), "id", n)
     # fill rows have ids beyond all candidates, so one more top-n over the union keeps n rows in all
     fill = _in_box(spark.range(2 * n * rounds, 2 * n * rounds + n), box, f"{seed}f")
@@ -198,7 +198,7 @@ def clipped_gaussian_points(spark: SparkSession, counts, box: Box, std=(0.2, 0.2
     n = math.prod(max(1, int(c)) for c in counts)
     cols = {}
     for (a, lo, hi), s in zip(box.axes(), std):
-        c = F.lit((lo + hi) / 2.0) + keyed_normal(seed, ID, a) * F.lit(s * (hi - lo))
+        c = F.lit((lo + hi) / 2.0) + keyed_normal(seed, F.col("id"), a) * F.lit(s * (hi - lo))
         cols[a] = F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     return spark.range(n).withColumns(cols)
 
@@ -212,7 +212,7 @@ def inlet_face_points(spark: SparkSession, n: int, box: Box, axis: str, position
     """n points spread over the grid of a face: entry i takes grid node floor(i * total / n)."""
     (a, alo, ahi), (b, blo, bhi) = [(x, lo, hi) for x, lo, hi in box.axes() if x != axis]
     ra, rb = max(1, int(counts.get(a, 1))), max(1, int(counts.get(b, 1)))
-    node = F.floor(ID * F.lit(ra * rb) / F.lit(max(n, 1)))
+    node = F.floor(F.col("id") * F.lit(ra * rb) / F.lit(max(n, 1)))
     step = lambda lo, hi, r: (hi - lo) / (r - 1) if r > 1 else 0.0
     df = spark.range(n).withColumn("node", node)
     at = {
@@ -304,4 +304,4 @@ def choose_with(df: DataFrame, id_col: str, weight: Column, k: int, seed=0, cell
 
 
 def random_integers(spark: SparkSession, n: int, lo: int, hi: int, seed=0) -> DataFrame:
-    return spark.range(n).withColumn("value", keyed_integer(seed, ID, "int", lo, hi))
+    return spark.range(n).withColumn("value", keyed_integer(seed, F.col("id"), "int", lo, hi))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_sample",)
+MODULES = ("q_points",)
 
 
 def load() -> None:

@@ -86,6 +86,13 @@ class Tables:
             (key % 77 / 77.0 * 8).alias("z"), F.lit(1.0).alias("mass"),
         )
 
+    def n_points(self) -> int:
+        return self.raw("part").count()
+
+    def box(self) -> Box:
+        """Bounds of the F3 points: the generators below fill the data's own box with as many points as there are rows."""
+        return Box.around(self.points())
+
     def item_points(self) -> DataFrame:
         """One point per line item (many copies of a position, so joins meet real duplicates)."""
         return self.raw("lineitem").select(
@@ -183,6 +190,8 @@ SELECT user_id particle_id, event_id, ts, (epoch_us(ts)-1704067200000000)/864000
     "event_points": (("event_rows",), "SELECT event_id id, x, y, z FROM event_rows"),
     "traj": (("event_rows",), """
 SELECT particle_id, row_number() OVER (PARTITION BY particle_id ORDER BY ts, event_id)-1 t_idx, t, x, y, z FROM event_rows"""),
+    "ids": ((), "SELECT unnest(range((SELECT count(*) FROM part))) id"),
+    "box": (("points",), "SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM points"),
     "file_names": ((), """
 SELECT '002_case_'||o_orderkey||'.pvtu' AS name FROM orders UNION ALL SELECT '002_case_'||o_orderkey||'.vtu' FROM orders WHERE o_orderkey%2=0"""),
 }

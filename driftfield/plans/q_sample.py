@@ -17,12 +17,12 @@ from driftfield.plans.registry import query
 # time
 
 
-def _event_times(t, scale: float = 0.25, shift: float = -0.5):
-    """Query times from every event: scaled days, so some fall before, between, on and after the snapshots."""
-    return t.event_rows().select(F.col("event_id").alias("id"), (F.floor(F.col("t") * 8) / 7 * scale + shift).alias("t"))
+def _event_times(t):
+    """Query times from every event: some fall before, between, on and after the snapshots."""
+    return t.event_rows().select(F.col("event_id").alias("id"), (F.floor(F.col("t") * 2) / 7 - 1.0).alias("t"))
 
 
-TIMES_SQL = "SELECT event_id id, floor(t*8)/7*0.25::DOUBLE-0.5::DOUBLE t FROM event_rows"
+TIMES_SQL = "SELECT event_id id, floor(t*2)/7-1 t FROM event_rows"
 
 BRACKET_SQL = f"""
 SELECT q.id, q.t, l.t_idx AS "left", l.r AS "right",
