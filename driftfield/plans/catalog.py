@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_points",)
+MODULES = ("q_points", "q_rules", "q_sample", "q_paths")
 
 
 def load() -> None:
