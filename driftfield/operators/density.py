@@ -14,21 +14,21 @@ from driftfield.operators.cells import HOT_ROWS, Frame, ball_pairs, knn, sites
 GRID_NODES_LIMIT = 1_000_000
 
 
-def _std_mean(points: DataFrame, axes) -> tuple[int, float]:
-    row = points.agg(F.count(F.lit(1)), *[F.stddev_samp(a) for a in axes]).first()
-    return row[0], sum((v or 0.0) for v in row[1:]) / len(axes)
+def bandwidths(points: DataFrame, axes=AXES) -> DataFrame:
+    """One row (n, scott, silverman): mean sample std over the axes times n^(-1/(d+4)); Silverman adds (4/(d+2))^(1/(d+4))."""
+    d = len(axes)
+    spread = sum((F.coalesce(F.stddev_samp(a), F.lit(0.0)) for a in axes), F.lit(0.0)) / d
+    row = points.agg(F.count(F.lit(1)).alias("n"), spread.alias("_s"))
+    scott = F.when(F.col("n") > 1, F.col("_s") * F.pow(F.col("n").cast("double"), F.lit(-1.0 / (d + 4)))).otherwise(F.lit(1.0))
+    return row.select("n", scott.alias("scott"), (scott * F.lit((4.0 / (d + 2)) ** (1.0 / (d + 4)))).alias("silverman"))
 
 
 def scott_bandwidth(points: DataFrame, axes=AXES) -> float:
-    """Mean sample std over the axes times n^(-1/(d+4))."""
-    n, s = _std_mean(points, axes)
-    return s * n ** (-1.0 / (len(axes) + 4)) if n > 1 else 1.0
+    return bandwidths(points, axes).first()["scott"]
 
 
 def silverman_bandwidth(points: DataFrame, axes=AXES) -> float:
-    """Scott's rule times (4 / (d + 2))^(1/(d+4))."""
-    d = len(axes)
-    return scott_bandwidth(points, axes) * (4.0 / (d + 2)) ** (1.0 / (d + 4))
+    return bandwidths(points, axes).first()["silverman"]
 
 
 def as_plane(df: DataFrame, plane: str = "xy") -> DataFrame:
@@ -144,13 +144,16 @@ def _as_multiple(rho: DataFrame, box: Box, shape, dim: int) -> DataFrame:
     ).drop("_s")
 
 
+def fixed_smoothing(points: DataFrame, dim: int = 3) -> DataFrame:
+    """One row (h): clip(2 * mean extent / n^(1/d), 0.01, 0.1 * mean extent)."""
+    extent = sum(((F.max(a) - F.min(a)) for a in AXES[:dim]), F.lit(0.0)) / dim
+    row = points.agg(extent.alias("_e"), F.count(F.lit(1)).cast("double").alias("_n"))
+    h = F.least(F.greatest(F.lit(2.0) * F.col("_e") / F.pow("_n", F.lit(1.0 / dim)), F.lit(0.01)), F.lit(0.1) * F.col("_e"))
+    return row.select(h.alias("h"))
+
+
 def fixed_h(points: DataFrame, dim: int = 3) -> float:
-    """clip(2 * mean extent / n^(1/d), 0.01, 0.1 * mean extent)."""
-    box, n = Box.around(points), points.count()
-    if box is None:
-        return 0.01
-    extent = sum(box.width[:dim]) / dim
-    return min(max(2.0 * extent / n ** (1.0 / dim), 0.01), 0.1 * extent)
+    return fixed_smoothing(points, dim).first()["h"] or 0.01
 
 
 def adaptive_h(points: DataFrame, neighbours: int = 32, hot: int | None = HOT_ROWS) -> DataFrame:

@@ -14,6 +14,7 @@ from driftfield.functions.vector import distance, flatten_axis, is_finite, magni
 from driftfield.model import AXES, check
 from driftfield.operators.cells import radius_join
 from driftfield.operators.ranks import first_rows, with_previous
+from driftfield.session import cut_lineage
 
 PID = "particle_id"
 SPAN_ROWS = 65_536
@@ -274,7 +275,8 @@ def clusters(traj: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(AXES), outputCol="features")
     labelled, first_centers = {}, None
     for step, cond in picks.items():
-        pts = assembler.transform(tagged.filter(cond).select(PID, *AXES))
+        # every round of the fit reads the points again: they are written once
+        pts = assembler.transform(cut_lineage(tagged.filter(cond).select(PID, *AXES)))
         model = KMeans(k=k, seed=seed, maxIter=50).fit(pts)
         centers = [[float(v) for v in c] for c in model.clusterCenters()]
         if first_centers is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftfield.operators import paths, ranks, summary
+from driftfield.operators import cells, paths, ranks, summary
 from driftfield.plans.registry import query
 
 
@@ -120,7 +120,7 @@ q("segment_sum_dense", "SELECT s segment, coalesce(total,0) total, coalesce(n,0)
 q("dense_ids", "SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey)-1 dense_id FROM (SELECT DISTINCT o_custkey FROM orders)",
   lambda t: summary.dense_ids(t.raw("orders"), "o_custkey", rows_per_range=200), "", "", "o_custkey dense_id")
 q("cell_counts", "SELECT CAST(floor(x/20) AS BIGINT) cx, CAST(floor(y/20) AS BIGINT) cy, CAST(floor(z/2) AS BIGINT) cz, count(*) n FROM event_points GROUP BY 1,2,3",
-  lambda t: __import__("driftfield.operators.cells", fromlist=["cell_counts"]).cell_counts(t.event_points().withColumn("z", F.col("z") * 10), (0.0, 0.0, 0.0), 20.0), "event_points", "", "cx cy cz n")
+  lambda t: cells.cell_counts(t.event_points().withColumn("z", F.col("z") * 10), (0.0, 0.0, 0.0), 20.0), "event_points", "", "cx cy cz n")
 q("bounds", "SELECT " + ", ".join(f"min({a}) {a}_min, max({a}) {a}_max" for a in "xyz") + " FROM traj", lambda t: summary.bounds(t.traj()), dbl=" ".join(f"{a}_{m}" for a in "xyz" for m in ("min", "max")))
 SNAP = "SELECT t_idx, count(*) n, avg(s) speed_mean, max(s) speed_max, min(s) speed_min, " + ", ".join(_four(c, c) for c in "uvw") + " FROM (SELECT *, sqrt(u*u+v*v+w*w) s FROM series) GROUP BY 1"
 q("snapshot_stats", SNAP, lambda t: summary.snapshot_stats(t.samples()), "series", "speed_mean speed_max speed_min " + " ".join(f"{c}_{m}" for c in "uvw" for m in ("mean", "std", "min", "max")), "t_idx n")
@@ -128,7 +128,7 @@ q("series_check", "SELECT count(*) n_steps, min(n) n_min, max(n) n_max, min(n)=m
 DT = "SELECT t-lag(t) OVER (ORDER BY t_idx) dt FROM times"
 q("step_interval_stats", f"SELECT avg(dt) dt_mean, stddev_pop(dt) dt_std, min(dt) dt_min, max(dt) dt_max, stddev_pop(dt) <= 1e-6 uniform FROM ({DT}) WHERE dt IS NOT NULL", lambda t: summary.step_interval_stats(t.times()), "times", "dt_mean dt_std dt_min dt_max")
 q("time_bounds", "SELECT min(t) t_min, max(t) t_max, count(*) n_steps FROM times", lambda t: summary.time_bounds(t.times()), "times", "t_min t_max", "n_steps")
-q("valid_times", "SELECT event_id, t BETWEEN (SELECT min(t) FROM times) AND (SELECT max(t) FROM times) valid FROM event_rows", lambda t: summary.valid_times(t.event_rows().select("event_id", "t"), t.times()), "event_rows times", "", "event_id")
+q("valid_times", "SELECT event_id, t BETWEEN (SELECT min(t) FROM times) AND (SELECT max(t) FROM times) valid FROM event_rows", lambda t: summary.valid_times(t.event_rows().select("event_id", "t"), t.times()).drop("t"), "event_rows times", "", "event_id")
 q("grid_info", "SELECT max(i)-min(i)+1 n_i, max(j)-min(j)+1 n_j, max(k)-min(k)+1 n_k, count(*) n_nodes FROM grid", lambda t: summary.grid_info(t.grid()), "grid", "", "n_i n_j n_k n_nodes")
 q("field_check", "SELECT 0 bad_values, 0 bad_times, 0 bad_positions, 0 backward_times FROM (SELECT count(*) FROM series)", lambda t: summary.field_check(t.samples(), t.times(), t.nodes()), "series", "", "bad_values bad_times bad_positions backward_times")
 q("size_estimate", "SELECT count(*) n_steps, max(n) rows_per_step, sum(n)*24 total_bytes, max(n)*24 step_bytes, greatest(floor(524288000/(max(n)*24)),1) steps_per_chunk FROM (SELECT t_idx, count(*) n FROM traj GROUP BY 1)",
