@@ -48,43 +48,37 @@ def bary_tetra(p, a, b, c, d) -> list[Column]:
     return [F.when(ok, v).otherwise(zero) for v in (F.lit(1.0) - l1 - l2 - l3, l1, l2, l3)]
 
 
-def _cross(a, b):
-    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-
-
 def affine_rows(df: DataFrame, corners: str, n: int) -> DataFrame:
     """Add ``rows``: the barycentric weights 1..n-1 of an element as affine functions of the point.
 
     Row r holds (c0, cx, cy, cz) with weight r = c0 + cx x + cy y + cz z; a triangle gets a last row that is
     the signed distance from its plane. Elements are prepared once, so testing a point is a few products.
     """
-    at = lambda i: [F.col(corners)[i][a] for a in ("x", "y", "z")]
-    names = {}
-    for e in range(1, n):
-        names |= {f"_e{e}{a}": v for a, v in zip("xyz", _sub(at(e), at(0)))}
-    out = df.withColumns({**names, **{f"_o{a}": v for a, v in zip("xyz", at(0))}})
-    col = lambda p: [F.col(f"{p}{a}") for a in "xyz"]
-    e1, e2 = col("_e1"), col("_e2")
+    flat = _FLAT_TETRA if n == 4 else _FLAT_TRIANGLE
+    cross = lambda p, q: {
+        "x": f"{p}y * {q}z - {p}z * {q}y", "y": f"{p}z * {q}x - {p}x * {q}z", "z": f"{p}x * {q}y - {p}y * {q}x",
+    }
+    dot = lambda p, q: " + ".join(f"{p}{a} * {q}{a}" for a in "xyz")
+    out = df.selectExpr(
+        "*", *[f"{corners}[0].{a} AS o_{a}" for a in "xyz"],
+        *[f"{corners}[{e}].{a} - {corners}[0].{a} AS e{e}_{a}" for e in range(1, n) for a in "xyz"],
+    )
     if n == 4:
-        e3 = col("_e3")
-        out = out.withColumns({f"_n{r}{a}": v for r, pair in ((1, (e2, e3)), (2, (e3, e1)), (3, (e1, e2))) for a, v in zip("xyz", _cross(*pair))})
-        out = out.withColumn("_den", _dot(e1, col("_n1")))
-        flat = _FLAT_TETRA
+        normals = {1: ("e2_", "e3_"), 2: ("e3_", "e1_"), 3: ("e1_", "e2_")}
+        out = out.selectExpr("*", *[f"{v} AS n{r}_{a}" for r, pq in normals.items() for a, v in cross(*pq).items()])
+        out = out.selectExpr("*", f"{dot('e1_', 'n1_')} AS den")
+        scale = {1: "den", 2: "den", 3: "den"}
     else:
-        # weight r is linear along the in-plane normal of the opposite edge
-        out = out.withColumns({f"_n3{a}": v for a, v in zip("xyz", _cross(e1, e2))})
-        out = out.withColumns({f"_n{r}{a}": v for r, pair in ((1, (e2, col("_n3"))), (2, (col("_n3"), e1))) for a, v in zip("xyz", _cross(*pair))})
-        out = out.withColumn("_den", _dot(col("_n3"), col("_n3")))
-        flat = _FLAT_TRIANGLE
-    rows = []
-    for r in (1, 2, 3):
-        den = F.col("_den") if n == 4 or r < 3 else F.sqrt("_den")
-        lin = [F.when(F.abs(F.col("_den")) > F.lit(flat), v / den).otherwise(F.lit(0.0)) for v in col(f"_n{r}")]
-        out = out.withColumns({f"_r{r}{a}": v for a, v in zip("xyz", lin)})
-        base = F.lit(0.0) - _dot(col(f"_r{r}"), col("_o"))
-        rows.append(F.array(base, *col(f"_r{r}")))
-    out = out.withColumn("rows", F.array(*rows)).withColumn("flat", F.abs(F.col("_den")) <= F.lit(flat))
-    return out.select(*df.columns, "rows", "flat")
+        # weight r is linear along the in-plane normal of the opposite edge; row 3 is the distance from the plane
+        out = out.selectExpr("*", *[f"{v} AS n3_{a}" for a, v in cross("e1_", "e2_").items()])
+        normals = {1: ("e2_", "n3_"), 2: ("n3_", "e1_")}
+        out = out.selectExpr("*", *[f"{v} AS n{r}_{a}" for r, pq in normals.items() for a, v in cross(*pq).items()])
+        out = out.selectExpr("*", f"{dot('n3_', 'n3_')} AS den")
+        scale = {1: "den", 2: "den", 3: "sqrt(den)"}
+    out = out.selectExpr("*", f"abs(den) <= {flat!r}D AS flat")
+    out = out.selectExpr("*", *[f"CASE WHEN flat THEN 0D ELSE n{r}_{a} / {d} END AS r{r}_{a}" for r, d in scale.items() for a in "xyz"])
+    rows = ", ".join(f"array(-({dot(f'r{r}_', 'o_')}), r{r}_x, r{r}_y, r{r}_z)" for r in scale)
+    return out.selectExpr(*df.columns, f"array({rows}) AS rows", "flat")
 
 
 def affine_value(rows: Column, r: int, p) -> Column:

@@ -18,7 +18,7 @@ from driftfield.functions.vector import distance
 from driftfield.model import AXES, GridMeta
 from driftfield.operators import sample as smp
 from driftfield.operators.rules import PerAxis, _fold
-from driftfield.session import scratch_path
+from driftfield.session import cut_lineage, scratch_path
 
 UVW = smp.UVW
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -66,9 +66,10 @@ class GridSeriesField:
     meta: GridMeta
     outside: str = "clamp"
     outside_time: str = "constant"
+    corners: DataFrame | None = None
 
     def sample(self, df: DataFrame) -> DataFrame:
-        return smp.sample_grid_series(df, self.series, self.times, self.meta, self.outside, self.outside_time)
+        return smp.sample_grid_series(df, self.series, self.times, self.meta, self.outside, self.outside_time, self.corners)
 
 
 @dataclass(frozen=True)
@@ -121,6 +122,8 @@ def displace(points: DataFrame, field, dt: float | str, method: str = "rk4", t:
     mean step, because all points of a stage share one field time.
     """
     offsets, weights = _stages(method)
+    if len(offsets) > 1:
+        field = _prepared(field)
     own = F.col(dt) if isinstance(dt, str) else F.lit(float(dt))
     keep = [c for c in points.columns if c not in (*AXES, "t")]
     df = points.withColumns({f"_{a}0": F.col(a) for a in AXES})
@@ -140,6 +143,16 @@ def displace(points: DataFrame, field, dt: float | str, method: str = "rk4", t:
     return df.select(*keep, *[v.alias(a) for a, v in new.items()])
 
 
+def _prepared(field):
+    """A grid field with its corner table written once, so the stages of a step do not each derive it again."""
+    if isinstance(field, GridField) and field.corners is None:
+        return replace(field, corners=cut_lineage(smp.cell_corners(field.grid, field.meta, field.outside == "periodic")))
+    if isinstance(field, GridSeriesField) and field.corners is None:
+        corners = smp.cell_corners(field.series, field.meta, field.outside == "periodic", ("t_idx",))
+        return replace(field, corners=cut_lineage(corners), times=cut_lineage(field.times))
+    return field
+
+
 def _stages(method: str):
     if method not in STAGES:
         raise ValueError(f"method must be one of {METHODS}")
@@ -379,10 +392,7 @@ def _advect_joins(start, field, dt, n_steps, method, rule, t0, record_every) ->
     """Every step is written before the next one reads it: a lost executor costs one step, and plans stay short."""
     spark = start.sparkSession
     folder = scratch_path(spark, "advect")
-    if isinstance(field, GridField):
-        path = f"{folder}/corners"
-        smp.cell_corners(field.grid, field.meta, field.outside == "periodic").write.parquet(path)
-        field = replace(field, corners=spark.read.parquet(path))
+    field = _prepared(field)
 
     def stored(df: DataFrame, n: int) -> DataFrame:
         path = f"{folder}/steps/t_idx={n}"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftfield.functions.vector import distance, flatten_axis, is_finite, magnitude, plane_project
 from driftfield.model import AXES, check
-from driftfield.operators.cells import radius_join
+from driftfield.operators.cells import Frame, ball_pairs
 from driftfield.operators.ranks import first_rows, with_previous
 from driftfield.session import cut_lineage
 
@@ -249,10 +249,19 @@ def mixing(traj: DataFrame, close: float = 0.1, return_share: float = 0.1) -> Da
     )
     near = F.lit(return_share) * F.col("_s0")
     returned = e.withColumn("_s0", stats.select("s0").scalar()).agg(F.count_if(F.col("moved") < near))
-    start = e.select(F.col(PID).alias("id"), *[F.col(f"a{a}").alias(a) for a in AXES])
-    pairs = radius_join(start, start, close).filter((F.col("q_id") < F.col("p_id")) & (F.col("d") > 0) & (F.col("d") < close))
-    last = [e.select(F.col(PID).alias(k), *[F.col(f"b{a}").alias(f"{c}{a}") for a in AXES]) for k, c in (("q_id", "q"), ("p_id", "p"))]
-    apart = pairs.join(last[0], "q_id").join(last[1], "p_id").withColumn("d1", _shift("p", "q"))
+    # places, not particles, are paired: particles released at one point (d0 = 0) never meet each other
+    places = e.select(*[F.col(f"a{a}").alias(a) for a in AXES]).distinct()
+    balls = places.withColumnsRenamed({a: f"b{a}" for a in AXES})
+    frame = Frame((0.0, 0.0, 0.0), close * (1.0 + 2e-9) + 2e-12)
+    near_places = ball_pairs(balls, places, F.lit(float(close)), frame).filter((F.col("d") > 0) & (F.col("d") < close))
+    member = lambda k, c, p: e.select(
+        F.col(PID).alias(k), *[F.col(f"a{a}").alias(f"{p}{a}") for a in AXES], *[F.col(f"b{a}").alias(f"{c}{a}") for a in AXES]
+    )
+    one, two = member("q_id", "q", "b"), member("p_id", "p", "")
+    apart = (
+        near_places.join(one, [f"b{a}" for a in AXES]).join(two, list(AXES))
+        .filter(F.col("q_id") < F.col("p_id")).withColumn("d1", _shift("p", "q"))
+    )
     rate = apart.filter(F.col("d1") > 0).agg(F.avg(F.ln(F.col("d1") / F.col("d"))))
     growth = F.when(F.col("d") > 0, (F.col("v1") - F.col("v0")) / F.col("d")).otherwise(F.lit(0.0))
     both = stats.withColumns({"_r": returned.scalar(), "_l": rate.scalar()})

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from driftfield.session import cut_lineage
+
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 10_000
 TOP_K_LIMIT = 10_000  # a heap of this many rows per task and on the driver is harmless
@@ -56,6 +58,24 @@ def number_rows(df: DataFrame, col: str, name: str = "rank", rows_per_range: int
     return ranged.withColumn(name, (base + pos).cast("bigint")).drop("_range")
 
 
+def number_sorted(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """0-based position of each row in any unique sort order.
+
+    Rows are range-partitioned by the order and written with their partition number, so the ranges stay what
+    they are however often they are read; each range is then numbered on its own and shifted by the sizes before.
+    """
+    keyed = df.withColumn("_key", F.struct(*order))
+    ranged = cut_lineage(keyed.repartitionByRange("_key").withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    starts, run = [], 0
+    for i in range(max(sizes, default=0) + 1):
+        starts.append(run)
+        run += sizes.get(i, 0)
+    base = F.element_at(F.lit(starts), F.col("_range") + 1)
+    pos = F.row_number().over(W.partitionBy("_range").orderBy("_key")) - 1
+    return ranged.withColumn(name, (base + pos).cast("bigint")).drop("_range", "_key")
+
+
 def prefix_sum(
     df: DataFrame, order: str, amount: str, name: str = "running", rows_per_range: int = ROWS_PER_RANGE
 ) -> tuple[DataFrame, float]:

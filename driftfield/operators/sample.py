@@ -13,12 +13,19 @@ from driftfield.operators.cells import CELL, HOT_ROWS, Frame, cover, knn, locate
 from driftfield.session import cut_lineage
 
 UVW = ("u", "v", "w")
+BROADCAST_BYTES = 64 * 1024 * 1024
+CORNER_ROW_BYTES = 8 * (24 + 4)  # 24 values, the cell triple and a step number
 EXTRAPOLATE = ("constant", "linear", "zero", "nan")
 
 # ---------------------------------------------------------------------------------------------------
 # time
 
 
+def _small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast a table whose row count is bounded by ``rows``; beyond the limit leave it to a shuffle join."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def time_intervals(times: DataFrame) -> DataFrame:
     """(left, right, t0, t1) per gap between snapshots. Two snapshots at one time: the later one starts the next gap.
 
@@ -63,7 +70,7 @@ def time_bracket(at: DataFrame, times: DataFrame, outside: str = "constant") ->
     joined = (
         at.withColumn("_t", inner)
         .withColumn("_slot", slot(F.col("_t")))
-        .join(slots.withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"}), "_slot", "left")
+        .join(_small(slots, 2 * n, 48).withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"}), "_slot", "left")
         .filter(F.col("_t").isNull() | ((F.col("_t") >= F.col("_t0")) & (F.col("_t") < F.col("_t1"))))
     )
     alpha = (t - F.col("_t0")) / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1e-12))
@@ -189,50 +196,33 @@ def cell_corners(grid: DataFrame, meta: GridMeta, periodic: bool = False, key: t
     expression: points are neither multiplied by 8 nor grouped again.
     """
     check(grid, "grid")
-    shape = dict(zip("ijk", meta.shape))
     spread = grid.select(*key, *"ijk", *UVW)
-    for n, c in enumerate("ijk"):
-        step = [0] if shape[c] == 1 else [0, 1]
-        spread = spread.withColumn(f"d{c}", F.explode(F.lit(step)))
-        base = F.col(c) - F.col(f"d{c}")
-        spread = spread.withColumn(f"c{c}", (F.pmod(base, F.lit(shape[c])) if periodic else base).cast("bigint"))
-    if not periodic:
-        for c in "ijk":
-            top = max(shape[c] - 2, 0)
-            spread = spread.filter(F.col(f"c{c}").between(0, top))
-    corner = 4 * F.col("di") + 2 * F.col("dj") + F.col("dk")
-    spread = spread.withColumn("_c", corner)
+    steps, cells, held = [], [], []
+    for c, n in zip("ijk", meta.shape):
+        steps.append(f"explode(array({0 if n == 1 else '0, 1'})) AS d{c}")
+        cells.append(f"CAST({f'pmod({c} - d{c}, {n})' if periodic else f'{c} - d{c}'} AS bigint) AS c{c}")
+        held.append(f"c{c} BETWEEN 0 AND {n - 1 if periodic else max(n - 2, 0)}")
+    for step in steps:
+        spread = spread.selectExpr("*", step)
+    spread = spread.selectExpr(*key, *UVW, *cells, "4 * di + 2 * dj + dk AS corner").filter(" AND ".join(held))
     return spread.groupBy(*key, "ci", "cj", "ck").agg(
-        *[F.coalesce(F.max(F.when(F.col("_c") == n, F.col(c))), F.lit(0.0)).alias(f"{c}{n}") for c in UVW for n in range(8)]
+        *[F.expr(f"coalesce(max(CASE WHEN corner = {n} THEN {c} END), 0D)").alias(f"{c}{n}") for c in UVW for n in range(8)]
     )
 
 
-def _grid_position(meta: GridMeta, periodic: bool) -> dict[str, Column]:
-    """Cell index c? and fraction f? per axis."""
-    out = {}
+def _grid_position(meta: GridMeta, periodic: bool) -> tuple[list[str], list[str], list[str]]:
+    """SQL of the grid coordinate g?, then of the cell index c?, then of the fraction f? per axis."""
+    at, cell, part = [], [], []
     for a, c, o, s, n in zip(AXES, "ijk", meta.origin, meta.spacing, meta.shape):
-        g = (F.col(a) - F.lit(float(o))) / F.lit(float(s))
-        if periodic:
-            g = F.pmod(g, F.lit(float(n)))
-            base = F.least(F.floor(g), F.lit(n - 1))
-        else:
-            g = F.least(F.greatest(g, F.lit(0.0)), F.lit(float(n - 1)))
-            base = F.least(F.floor(g), F.lit(max(n - 2, 0)))
-        out[f"c{c}"] = base.cast("bigint")
-        out[f"f{c}"] = g - base
-    return out
-
-
-def _blend(c: str) -> Column:
-    total = None
-    for n in range(8):
-        w = None
-        for axis, bit in zip("ijk", (n >> 2 & 1, n >> 1 & 1, n & 1)):
-            part = F.col(f"f{axis}") if bit else F.lit(1.0) - F.col(f"f{axis}")
-            w = part if w is None else w * part
-        term = w * F.coalesce(F.col(f"{c}{n}"), F.lit(0.0))
-        total = term if total is None else total + term
-    return total
+        g = f"({a} - {float(o)!r}D) / {float(s)!r}D"
+        at.append(f"pmod({g}, {float(n)!r}D) AS g{c}" if periodic else f"least(greatest({g}, 0D), {float(n - 1)!r}D) AS g{c}")
+        cell.append(f"CAST(least(floor(g{c}), {n - 1 if periodic else max(n - 2, 0)}) AS bigint) AS c{c}")
+        part.append(f"g{c} - c{c} AS f{c}")
+    return at, cell, part
+
+
+def _corner_weight(n: int) -> str:
+    return " * ".join(f"f{c}" if bit else f"(1D - f{c})" for c, bit in zip("ijk", (n >> 2 & 1, n >> 1 & 1, n & 1)))
 
 
 def trilinear_sample(points: DataFrame, grid: DataFrame, meta: GridMeta, outside: str = "clamp", key: tuple[str, ...] = ()) -> DataFrame:
@@ -241,37 +231,43 @@ def trilinear_sample(points: DataFrame, grid: DataFrame, meta: GridMeta, outside
     ``key`` names further equal columns, e.g. a t_idx that both sides have.
     """
     corners = cell_corners(grid, meta, outside == "periodic", key)
-    return sample_corners(points, corners, meta, outside, key)
+    return sample_corners(points, corners, meta, outside, key, None if key else 1)
+
 
+def sample_corners(
+    points: DataFrame, corners: DataFrame, meta: GridMeta, outside: str = "clamp", key: tuple[str, ...] = (), snapshots: int | None = 1
+) -> DataFrame:
+    """``trilinear_sample`` with the corner table already at hand.
 
-def sample_corners(points: DataFrame, corners: DataFrame, meta: GridMeta, outside: str = "clamp", key: tuple[str, ...] = ()) -> DataFrame:
-    """``trilinear_sample`` with the corner table already at hand."""
+    The grid's shape bounds the corner table: shape x ``snapshots`` rows. If that is small it is broadcast and
+    the points are not shuffled at all; otherwise (or with snapshots unknown, None) both sides meet by cell.
+    """
     if outside not in ("clamp", "zero", "nan", "periodic"):
         raise ValueError("outside must be clamp, zero, nan or periodic")
-    placed = points.withColumns(_grid_position(meta, outside == "periodic"))
-    joined = placed.join(corners, [*key, "ci", "cj", "ck"], "left")
-    within, missing = F.lit(True), F.lit(False)
-    for a, lo, hi in meta.box.axes():
-        within = within & F.col(a).between(lo, hi)
-        missing = missing | F.col(a).isNull()
-    values = {}
-    for c in UVW:
-        v = _blend(c)
-        if outside == "zero":
-            v = F.when(within, v).otherwise(F.lit(0.0))
-        elif outside == "nan":
-            v = F.when(within, v)
-        values[c] = F.when(~missing, v)
-    return joined.select(*[points[c] for c in points.columns], *[v.alias(c) for c, v in values.items()])
-
-
-def sample_grid_series(points: DataFrame, series: DataFrame, times: DataFrame, meta: GridMeta, outside: str = "clamp", outside_time: str = "constant") -> DataFrame:
+    at, cell, part = _grid_position(meta, outside == "periodic")
+    own = [f"`{c}`" for c in points.columns]
+    placed = points.selectExpr(*own, *at).selectExpr("*", *cell)
+    if snapshots is not None:
+        nx, ny, nz = meta.shape
+        corners = _small(corners, nx * ny * nz * max(snapshots, 1), CORNER_ROW_BYTES)
+    joined = placed.join(corners, [*key, "ci", "cj", "ck"], "left").selectExpr("*", *part)
+    weighted = joined.selectExpr("*", *[f"{_corner_weight(n)} AS w_{n}" for n in range(8)])
+    lost = "x IS NULL OR y IS NULL OR z IS NULL"
+    within = " AND ".join(f"{a} BETWEEN {lo!r}D AND {hi!r}D" for a, lo, hi in meta.box.axes())
+    out = {"zero": f"WHEN NOT ({within}) THEN 0D", "nan": f"WHEN NOT ({within}) THEN NULL"}.get(outside, "")
+    blend = lambda c: " + ".join(f"w_{n} * coalesce({c}{n}, 0D)" for n in range(8))
+    return weighted.selectExpr(*own, *[f"CASE WHEN {lost} THEN NULL {out} ELSE {blend(c)} END AS {c}" for c in UVW])
+
+
+def sample_grid_series(points: DataFrame, series: DataFrame, times: DataFrame, meta: GridMeta, outside: str = "clamp", outside_time: str = "constant", corners: DataFrame | None = None) -> DataFrame:
     """Points with their own time t in a grid series (t_idx, i, j, k, u, v, w): trilinear in space, linear in time."""
-    corners = cell_corners(series, meta, outside == "periodic", ("t_idx",))
+    if corners is None:
+        corners = cell_corners(series, meta, outside == "periodic", ("t_idx",))
     b = time_bracket(points, times, outside_time)
-    left = sample_corners(b.withColumn("t_idx", F.col("left")), corners, meta, outside, ("t_idx",))
+    n = times.count()
+    left = sample_corners(b.withColumn("t_idx", F.col("left")), corners, meta, outside, ("t_idx",), n)
     left = left.withColumnsRenamed({c: f"{c}_l" for c in UVW})
-    both = sample_corners(left.withColumn("t_idx", F.col("right")), corners, meta, outside, ("t_idx",))
+    both = sample_corners(left.withColumn("t_idx", F.col("right")), corners, meta, outside, ("t_idx",), n)
     mix = {c: F.col("w_left") * F.col(f"{c}_l") + F.col("w_right") * F.col(c) for c in UVW}
     return both.select(*[F.col(c) for c in points.columns], *[v.alias(c) for c, v in mix.items()])
 

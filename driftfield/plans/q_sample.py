@@ -493,11 +493,11 @@ for _plan in ("broadcast", "joins"):
     )
 
 EULER_ROTATION = """WITH RECURSIVE w(particle_id, t_idx, x, y, z) AS (
- SELECT id, 0, x, y, z FROM points UNION ALL SELECT particle_id, t_idx+1, x-0.05::DOUBLE*y, y+0.05::DOUBLE*x, z FROM w WHERE t_idx < 30)
-SELECT particle_id, t_idx, t_idx*0.05::DOUBLE t, x, y, z FROM w"""
+ SELECT id, 0, x, y, z FROM points UNION ALL SELECT particle_id, t_idx+1, x-(1/23.0::DOUBLE)*y, y+(1/23.0::DOUBLE)*x, z FROM w WHERE t_idx < 30)
+SELECT particle_id, t_idx, t_idx*(1/23.0::DOUBLE) t, x, y, z FROM w"""
 
 query("advect_analytic", EULER_ROTATION, "points", "t x y z", "particle_id t_idx")(
-    lambda t: move.advect(t.points(), move.AnalyticField(analytic.rotation()), 0.05, 30, "euler")
+    lambda t: move.advect(t.points(), move.AnalyticField(analytic.rotation()), 1 / 23.0, 30, "euler")
 )
 query("advect_rk4_steps")(lambda t: move.advect(t.points(), _field(t), 0.5, 20, "rk4", rules.reflect(BOX), record_every=5))
 query("advect_series")(

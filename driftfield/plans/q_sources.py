@@ -30,7 +30,7 @@ q("scan_snapshot", SAMPLES + " WHERE t_idx = 3", lambda t: scan.scan_snapshot(_s
 q("scan_grid_series", "SELECT t_idx, i, j, k, u, v, w FROM series WHERE t_idx >= 5", lambda t: scan.scan_grid_series(t.series(), 5).select("t_idx", "i", "j", "k", "u", "v", "w"), "series", "u v w", "t_idx i j k")
 q("file_manifest", "SELECT 'lineitem.parquet' AS name, 'parquet' ext UNION ALL SELECT 'events.parquet', 'parquet' UNION ALL SELECT 'part.parquet', 'parquet'",
   lambda t: scan.file_manifest(t.spark, t.dir, "*.parquet").filter(F.col("name").isin("lineitem.parquet", "events.parquet", "part.parquet")).select("name", "ext"))
-NAT = "SELECT name, row_number() OVER (ORDER BY list_transform(regexp_extract_all(name,'\\d+'), x -> x::BIGINT), name)-1 t_idx FROM file_names"
+NAT = "SELECT name, row_number() OVER (ORDER BY list_transform(regexp_extract_all(name,'\\d+'), lambda x: x::BIGINT), name)-1 t_idx FROM file_names"
 q("natural_order", NAT, lambda t: scan.natural_order(t.file_names()), "file_names", "", "t_idx")
 q("prefer_parallel", "SELECT name FROM file_names WHERE name LIKE '%.pvtu'", lambda t: scan.prefer_parallel(t.file_names()), "file_names")
 q("last_steps", "SELECT t_idx, t FROM times ORDER BY t_idx DESC LIMIT 3", lambda t: scan.last_steps(t.times(), 3), "times", "t", "t_idx")
@@ -141,7 +141,7 @@ q("append_trajectory_stream", "SELECT * FROM traj", _append_stream, "traj", "t x
 def _running(t):
     state, ckpt = scratch_path(t.spark, "state"), scratch_path(t.spark, "ckpt")
     stream.running_path_length(stream.read_rows(t.spark, _arrivals(t)), state, ckpt).awaitTermination()
-    return t.spark.read.parquet(f"{state}/batch=9").select("particle_id", "path_length", "n_late")
+    return stream.read_running(t.spark, state).select("particle_id", "path_length", "n_late")
 
 
 q("running_path_length", f"SELECT particle_id, coalesce(path_length,0) path_length, 0 n_late FROM ({LINE})", _running, "traj", "path_length", "particle_id n_late")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from driftfield.model import check
+from driftfield.operators.ranks import number_sorted
 
 # Column names of a velocity vector, in order of preference.
 VECTOR_NAMES = (
@@ -64,8 +65,8 @@ def natural_key(name: Column) -> Column:
 
 
 def natural_order(manifest: DataFrame) -> DataFrame:
-    """Add t_idx: position by the integers in the name, then by name. A manifest is a list of files, not a fact table."""
-    return manifest.withColumn("t_idx", (F.row_number().over(W.orderBy(natural_key(F.col("name")), "name")) - 1).cast("bigint"))
+    """Add t_idx: position by the integers in the name, then by name."""
+    return number_sorted(manifest, [natural_key(F.col("name")).alias("k"), F.col("name")], "t_idx")
 
 
 def prefer_parallel(manifest: DataFrame) -> DataFrame:

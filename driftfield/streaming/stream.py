@@ -25,51 +25,68 @@ def append_trajectory_stream(rows: DataFrame, out: str, checkpoint: str):
     )
 
 
+STATE_SCHEMA = "particle_id bigint, t_idx bigint, x double, y double, z double, path_length double, n_late bigint, batch_no bigint"
+
+
+FULL_EVERY = 50  # micro-batches between complete state tables
+
+
+def _state_before(spark: SparkSession, state_path: str, n: int) -> DataFrame:
+    """Latest state row per particle after batches 0 .. n-1: the last complete table and the changes since."""
+    if n <= 0:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    first = (n - 1) // FULL_EVERY * FULL_EVERY
+    rows = spark.read.schema(STATE_SCHEMA).parquet(*[f"{state_path}/batch={b}" for b in range(first, n)])
+    latest = F.max_by(F.struct(*rows.columns), "batch_no").alias("s")
+    return rows.groupBy(PID).agg(latest).select("s.*")
+
+
+def read_running(spark: SparkSession, state_path: str) -> DataFrame:
+    """(particle_id, t_idx, x, y, z, path_length, n_late) after the last batch."""
+    done = [int(r["b"]) for r in _batches(spark, state_path)]
+    return _state_before(spark, state_path, max(done) + 1 if done else 0).drop("batch_no")
+
+
+def _batches(spark: SparkSession, state_path: str):
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(state_path)
+    return files.select(F.regexp_extract("path", r"batch=(\d+)/", 1).alias("b")).distinct().collect()
+
+
 def running_path_length(rows: DataFrame, state_path: str, checkpoint: str):
-    """Per particle the last row and the running path length, as one Parquet table per micro-batch.
+    """Per particle the last row and the running path length: each micro-batch writes the particles it changed.
 
-    Each batch reads the table its predecessor wrote and writes the next one, named by batch id: a batch
-    that is run again after a failure overwrites its own table, so steps are never counted twice. Rows
-    must come in step order per particle; rows not later than the stored step are counted as late and dropped.
+    Every FULL_EVERY batches the whole state is written, so a reader needs that table and the few since.
+    A batch that is run again after a failure overwrites its own table and reads only earlier ones, so
+    steps are never counted twice. Rows must come in step order per particle; rows not later than the
+    stored step are counted as late and dropped.
     """
     spark = rows.sparkSession
 
-    def table(n: int) -> str:
-        return f"{state_path}/batch={n}"
-
     def merge(batch: DataFrame, n: int) -> None:
         new = batch.select(PID, "t_idx", *AXES)
-        if n > 0:
-            old = spark.read.schema(STATE_SCHEMA).parquet(table(n - 1))
-        else:
-            old = spark.createDataFrame([], STATE_SCHEMA)
-        state = old.withColumnsRenamed({"t_idx": "_last", **{a: f"_{a}" for a in AXES}})
-        tagged = new.join(state.select(PID, "_last"), PID, "left").withColumn("_late", F.col("_last").isNotNull() & (F.col("t_idx") <= F.col("_last")))
+        every = _state_before(spark, state_path, n)
+        full = n % FULL_EVERY == 0
+        old = every if full else every.join(new.select(PID).distinct(), PID, "left_semi")
+        tagged = new.join(old.select(PID, F.col("t_idx").alias("_last")), PID, "left").withColumn(
+            "_late", F.col("_last").isNotNull() & (F.col("t_idx") <= F.col("_last"))
+        )
         late = tagged.filter("_late").groupBy(PID).agg(F.count(F.lit(1)).alias("_more_late"))
         fresh = tagged.filter(~F.col("_late")).select(PID, "t_idx", *AXES)
         # the stored last row is the first "previous" row of the batch
-        seed = old.select(PID, "t_idx", *AXES)
-        run = with_previous(fresh.unionByName(seed), PID, "t_idx", list(AXES))
+        run = with_previous(fresh.unionByName(old.select(PID, "t_idx", *AXES)), PID, "t_idx", list(AXES))
         d = distance(*[F.col(a) for a in AXES], *[F.col(f"prev.{a}") for a in AXES])
         grown = run.groupBy(PID).agg(
             F.max("t_idx").alias("t_idx"), *[F.max_by(a, "t_idx").alias(a) for a in AXES], F.coalesce(F.sum(d), F.lit(0.0)).alias("_more")
         )
-        merged = (
-            grown.join(old.select(PID, "path_length", "n_late"), PID, "left").join(late, PID, "left")
-            .select(
-                PID, "t_idx", *AXES,
-                (F.coalesce("path_length", F.lit(0.0)) + F.col("_more")).alias("path_length"),
-                (F.coalesce("n_late", F.lit(0)) + F.coalesce("_more_late", F.lit(0))).cast("bigint").alias("n_late"),
-            )
+        merged = grown.join(old.select(PID, "path_length", "n_late"), PID, "left").join(late, PID, "left").select(
+            PID, "t_idx", *AXES,
+            (F.coalesce("path_length", F.lit(0.0)) + F.col("_more")).alias("path_length"),
+            (F.coalesce("n_late", F.lit(0)) + F.coalesce("_more_late", F.lit(0))).cast("bigint").alias("n_late"),
+            F.lit(n).cast("bigint").alias("batch_no"),
         )
-        merged.write.mode("overwrite").parquet(table(n))
-
-    return (
-        rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
+        merged.write.mode("overwrite").parquet(f"{state_path}/batch={n}")
 
-STATE_SCHEMA = "particle_id bigint, t_idx bigint, x double, y double, z double, path_length double, n_late bigint"
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_cell_counts(rows: DataFrame, ts: str, size: float, window: str = "1 day", lateness: str = "2 days") -> DataFrame:
