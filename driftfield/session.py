@@ -26,6 +26,9 @@ def build_session(app: str = "driftfield", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # application id -> folder, local mode without a named one
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: what the cluster names, or a local one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,9 +36,10 @@ def _shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-driftfield-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-driftfield-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

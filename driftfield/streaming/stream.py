@@ -43,13 +43,8 @@ def _state_before(spark: SparkSession, state_path: str, n: int) -> DataFrame:
 
 def read_running(spark: SparkSession, state_path: str) -> DataFrame:
     """(particle_id, t_idx, x, y, z, path_length, n_late) after the last batch."""
-    done = [int(r["b"]) for r in _batches(spark, state_path)]
-    return _state_before(spark, state_path, max(done) + 1 if done else 0).drop("batch_no")
-
-
-def _batches(spark: SparkSession, state_path: str):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(state_path)
-    return files.select(F.regexp_extract("path", r"batch=(\d+)/", 1).alias("b")).distinct().collect()
+    last = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch=*").agg(F.max("batch_no")).first()[0]
+    return _state_before(spark, state_path, -1 if last is None else last + 1).drop("batch_no")
 
 
 def running_path_length(rows: DataFrame, state_path: str, checkpoint: str):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftfield.operators import cells, paths, sample
-from driftfield.session import cut_lineage
+from driftfield.session import cut_lineage, scratch_path
 from driftfield.sources import scan, sinks
 from driftfield.streaming import stream
 
@@ -99,14 +99,20 @@ def test_late_rows_are_counted_and_a_rerun_changes_nothing(spark, tmp_path):
     assert got == {1: (5.0 + 2.0 + 3.0, 1), 2: (0.0, 0)}
 
 
-def test_scratch_goes_to_the_named_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert cut_lineage(spark.range(5)).count() == 5
-        assert any(tmp_path.iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+class _Session:
+    """Just enough of a session to ask where scratch data goes."""
+
+    def __init__(self, named, master):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = type("C", (), {"master": master, "applicationId": "app-test"})()
+
+
+def test_scratch_goes_to_the_folder_the_cluster_names(spark):
+    assert scratch_path(_Session("hdfs://x/ckpt", "yarn"), "a").startswith("hdfs://x/ckpt/a-")
+    with pytest.raises(RuntimeError):
+        scratch_path(_Session(None, "yarn"), "a")
+    assert "driftfield" in scratch_path(_Session(None, "local[2]"), "a")
+    assert cut_lineage(spark.range(5)).count() == 5
 
 
 def test_plans_have_no_cross_joins_and_no_python(spark, cloud):
