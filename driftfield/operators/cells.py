@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from driftfield.functions.vector import distance
 from driftfield.model import AXES, Box
 from driftfield.session import cut_lineage
 
@@ -44,8 +43,9 @@ class Frame:
 
 def locate(df: DataFrame, frame: Frame, levels: list[int]) -> DataFrame:
     """Each point once per level, with its cell."""
-    tagged = df.withColumn("level", F.explode(F.lit([int(v) for v in levels])))
-    return tagged.withColumns({f"c{a}": frame.index(F.col(a), n, F.col("level")) for n, a in enumerate(AXES)})
+    tagged = df.selectExpr("*", f"explode(array({', '.join(str(int(v)) for v in levels)})) AS level")
+    cell = "CAST(floor(({a} - {o!r}D) * pow(2D, level) / {side!r}D) AS bigint) AS c{a}"
+    return tagged.selectExpr("*", *[cell.format(a=a, o=float(o), side=float(frame.side)) for a, o in zip(AXES, frame.origin)])
 
 
 def cover(df: DataFrame, frame: Frame, lo: list[Column], hi: list[Column], level: Column) -> DataFrame:
@@ -99,6 +99,20 @@ def _padded(radius: Column) -> Column:
     return radius * F.lit(1.0 + 1e-9) + F.lit(1e-12)
 
 
+_GAP = "sqrt((bx - x) * (bx - x) + (by - y) * (by - y) + (bz - z) * (bz - z))"
+
+
+def _touched(frame: Frame) -> str:
+    """Drop cells of a ball's bounding box that the ball itself does not reach (with room for rounding)."""
+    side = f"({float(frame.side)!r}D / pow(2D, level))"
+    parts = []
+    for a, o in zip(AXES, frame.origin):
+        low = f"({float(o)!r}D + c{a} * {side})"
+        gap = f"greatest({low} - b{a}, b{a} - {low} - {side}, 0D)"
+        parts.append(f"pow({gap}, 2)")
+    return f"{' + '.join(parts)} <= pow(_radius * 1.000001D + 1e-9D * {side} + 1e-12D, 2)"
+
+
 def ball_pairs(
     balls: DataFrame,
     points: DataFrame,
@@ -121,11 +135,11 @@ def ball_pairs(
         [F.col(f"b{a}") + r for a in AXES],
         F.least(frame.level_with_side(r), F.lit(max_level)),
     )
+    covered = covered.filter(_touched(frame))
     levels = used_levels(covered)
     located = locate(points, frame, levels or [0])
-    d = distance(F.col("bx"), F.col("by"), F.col("bz"), F.col("x"), F.col("y"), F.col("z"))
     joined = spread_join(covered, located, CELL, hot)
-    return joined.withColumn("d", d).filter(F.col("d") <= F.col("_radius")).drop("_radius", *CELL)
+    return joined.withColumn("d", F.expr(_GAP)).filter(F.col("d") <= F.col("_radius")).drop("_radius", *CELL)
 
 
 def _finite(df: DataFrame) -> DataFrame:
@@ -236,10 +250,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, hot: int | None = HOT_ROW
         .agg(F.max("level").alias("level"))
         .withColumns({f"c{a}": frame.index(F.col(f"b{a}"), i, F.col("level")) for i, a in enumerate(AXES)})
     )
-    d = distance(F.col("bx"), F.col("by"), F.col("bz"), F.col("x"), F.col("y"), F.col("z"))
     inside = (
         own.join(locate(where.select(*AXES), frame, levels), CELL)
-        .select("bx", "by", "bz", d.alias("d"))
+        .select("bx", "by", "bz", F.expr(_GAP).alias("d"))
         .withColumn("_n", F.row_number().over(W.partitionBy("bx", "by", "bz").orderBy("d")))
         .filter(F.col("_n") == need)
         .select("bx", "by", "bz", F.col("d").alias("bound"))

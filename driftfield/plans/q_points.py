@@ -128,7 +128,13 @@ def _gauss_pdf(df):
 
 
 q("density_sampled_points", _DENS, lambda t: gen.density_sampled_points(t.spark, t.n_points(), t.box(), _gauss_pdf, 8), "box")
-query("field_weighted_points")(
+_NEAR = "JOIN (SELECT c.id cid, arg_min(sqrt(n.u*n.u+n.v*n.v+n.w*n.w)+1e-10, (sqrt((c.x-n.x)*(c.x-n.x)+(c.y-n.y)*(c.y-n.y)+(c.z-n.z)*(c.z-n.z)), n.node_id)) pdf FROM {c} c, node_values n GROUP BY 1) ON cid=id"
+_SPAN = lambda seed: ", ".join(f"{U(seed, a)}*{hi} {a}" for a, _, hi in BOX.axes())
+_FIELD = f"""WITH probe AS (SELECT id, {_SPAN(3)} FROM range(1000) r(id)), bound AS (SELECT 1.1::DOUBLE*max(pdf) b FROM probe {_NEAR.format(c='probe')}),
+ cand AS (SELECT id, {_SPAN('3c')}, {U('3c', 'accept')} a FROM (SELECT unnest(range(8*(SELECT count(*) FROM part))) id)),
+ fill AS (SELECT id, {_SPAN('3f')} FROM (SELECT unnest(range(8*(SELECT count(*) FROM part), 9*(SELECT count(*) FROM part))) id))
+SELECT id, x, y, z FROM (SELECT * FROM (SELECT id, x, y, z FROM cand {_NEAR.format(c='cand')}, bound WHERE a*b <= pdf UNION ALL SELECT id, x, y, z FROM fill) ORDER BY id LIMIT (SELECT count(*) FROM part))"""
+query("field_weighted_points", _FIELD, "node_values", "x y z", "id")(
     lambda t: gen.field_weighted_points(t.spark, t.n_points(), BOX, gen.grid_metric(t.node_values(), META.spacing, "magnitude"), 3)
 )
 

@@ -96,6 +96,22 @@ query(
 
 query("interp_time_cubic")(lambda t: smp.interp_time_cubic(t.samples(), t.times(), [0.0, 0.5, 2.25, 6.0, 7.5]))
 
+
+
+def _cubic_in_time(t):
+    """Nodal values that are cubic polynomials of time: a cubic spline has to reproduce them between the snapshots."""
+    nodes = t.node_values().select("node_id", *"uvw")
+    tt = F.col("t")
+    rows = t.samples().select("t_idx", "t", "node_id").join(nodes, "node_id")
+    return rows.select("t_idx", "t", "node_id", (F.col("u") * tt * tt * tt - F.col("v") * tt).alias("u"), (F.col("v") * tt * tt + 1.0).alias("v"), (F.col("w") * (3.0 - tt)).alias("w"))
+
+
+query(
+    "interp_time_cubic_exact",
+    "SELECT q.t, node_id, u*q.t*q.t*q.t-v*q.t u, v*q.t*q.t+1 v, w*(3-q.t) w FROM node_values, (VALUES (0.1::DOUBLE),(2.3::DOUBLE),(5.7::DOUBLE)) q(t)",
+    "node_values", "t u v w", "node_id",
+)(lambda t: smp.interp_time_cubic(_cubic_in_time(t), t.times(), [0.1, 2.3, 5.7]))
+
 query(
     "nearest_time_step",
     f"""SELECT t, t_idx FROM (SELECT q.t, x.t_idx, row_number() OVER (PARTITION BY q.t ORDER BY abs(x.t-q.t), x.t_idx) n
@@ -483,6 +499,26 @@ query("displace_per_point_dt", displace_sql("rk2", "(1+s.id%5)").replace("points
     lambda t: move.displace(t.points().drop("mass").withColumn("dt", (F.col("id") % 5 + 1).cast("double")), _field(t), "dt", "rk2").drop("dt")
 )
 
+STEP_FROM_SERIES = f"""
+WITH a AS ({tri("points", "(SELECT * FROM series WHERE t_idx=1)").replace("SELECT t_idx, i", "SELECT i")}), b AS ({tri("points", "(SELECT * FROM series WHERE t_idx=2)").replace("SELECT t_idx, i", "SELECT i")})
+SELECT p.id, p.x+2*(a.u+0.3::DOUBLE*(b.u-a.u)) x, p.y+2*(a.v+0.3::DOUBLE*(b.v-a.v)) y, p.z+2*(a.w+0.3::DOUBLE*(b.w-a.w)) z FROM points p JOIN a USING (id) JOIN b USING (id)"""
+query("displace_series_euler", STEP_FROM_SERIES, "points series", "x y z", "id")(
+    lambda t: move.displace(t.points().drop("mass"), move.GridSeriesField(t.series().drop("t", "node_id"), t.times(), META), 2.0, "euler", 1.3)
+)
+
+
+def _mirrored(sql: str) -> str:
+    """Reflection into the box as a triangle wave."""
+    cols = ", ".join(f"abs({a}-{2 * hi}*floor({a}/{2 * hi}+0.5::DOUBLE)) {a}" for a, _, hi in BOX.axes())
+    return f"SELECT id, {cols} FROM ({sql})"
+
+
+RK4_TWICE = f"""WITH s1 AS ({_mirrored(displace_sql('rk4'))}), s2 AS ({_mirrored(displace_sql('rk4').replace('points', 's1'))})
+SELECT id particle_id, 0 t_idx, 0.0::DOUBLE t, x, y, z FROM points UNION ALL SELECT id, 1, 2.0, x, y, z FROM s1 UNION ALL SELECT id, 2, 4.0, x, y, z FROM s2"""
+query("advect_rk4_reflect", RK4_TWICE, "points node_values", "t x y z", "particle_id t_idx")(
+    lambda t: move.advect(t.points(), _field(t), 2.0, 2, "rk4", rules.reflect(BOX))
+)
+
 TWO_STEPS = f"""WITH RECURSIVE s1 AS ({displace_sql('euler')}),
  s2 AS ({displace_sql('euler').replace('points', 's1')})
 SELECT id particle_id, 0 t_idx, 0.0::DOUBLE t, x, y, z FROM points UNION ALL SELECT id, 1, 2.0, x, y, z FROM s1 UNION ALL SELECT id, 2, 4.0, x, y, z FROM s2"""
