@@ -15,9 +15,10 @@ from driftfield.functions.rand import (
     keyed_uniform,
 )
 from driftfield.functions.vector import is_finite, magnitude
-from driftfield.model import AXES, Box
+from driftfield.model import AXES, Box, GridMeta
 from driftfield.operators.cells import knn
 from driftfield.operators.ranks import first_rows, prefix_sum
+from driftfield.operators.sample import small_table
 
 
 
@@ -141,16 +142,34 @@ def density_sampled_points(
     return first_rows(chosen.unionByName(fill), "id", n)
 
 
-def field_weighted_points(spark: SparkSession, n: int, box: Box, weights: DataFrame, seed=0) -> DataFrame:
-    """n points whose density follows ``weight + 1e-10`` at the nearest node of ``weights(node_id, x, y, z, weight)``."""
+def field_weighted_points(
+    spark: SparkSession, n: int, box: Box, weights: DataFrame, seed=0, meta: GridMeta | None = None
+) -> DataFrame:
+    """n points whose density follows ``weight + 1e-10`` at the nearest node of ``weights(node_id, x, y, z, weight)``.
+
+    If the nodes form a regular grid, pass its ``meta`` and weights(i, j, k, weight): the nearest node is then
+    found by rounding (lower index on ties) and the lookup is one equi-join.
+    """
+    if meta is not None:
+        index = {
+            c: F.greatest(F.least(F.ceil((F.col(a) - F.lit(float(o))) / F.lit(float(s)) - 0.5), F.lit(m - 1)), F.lit(0))
+            for c, a, o, s, m in zip("ijk", AXES, meta.origin, meta.spacing, meta.shape)
+        }
+        table = weights.select(*[F.col(c).cast("bigint").alias(c) for c in "ijk"], (F.col("weight") + F.lit(1e-10)).alias("pdf"))
+
+        def with_pdf(df: DataFrame) -> DataFrame:
+            return df.withColumns(index).join(small_table(table, math.prod(meta.shape), 40), ["i", "j", "k"]).drop("i", "j", "k")
+
+        return density_sampled_points(spark, n, box, with_pdf, seed)
+
     nodes = weights.select(F.col("node_id").alias("id"), *AXES)
     value = weights.select(F.col("node_id").alias("p_id"), (F.col("weight") + F.lit(1e-10)).alias("pdf"))
 
-    def with_pdf(df: DataFrame) -> DataFrame:
+    def with_near_pdf(df: DataFrame) -> DataFrame:
         near = knn(df.select("id", *AXES), nodes, 1).select(F.col("q_id").alias("id"), "p_id")
         return df.join(near, "id").join(value, "p_id").drop("p_id")
 
-    return density_sampled_points(spark, n, box, with_pdf, seed)
+    return density_sampled_points(spark, n, box, with_near_pdf, seed)
 
 
 def grid_metric(grid: DataFrame, spacing, metric: str = "magnitude") -> DataFrame:

@@ -21,7 +21,7 @@ EXTRAPOLATE = ("constant", "linear", "zero", "nan")
 # time
 
 
-def _small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+def small_table(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast a table whose row count is bounded by ``rows``; beyond the limit leave it to a shuffle join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
@@ -70,7 +70,7 @@ def time_bracket(at: DataFrame, times: DataFrame, outside: str = "constant") ->
     joined = (
         at.withColumn("_t", inner)
         .withColumn("_slot", slot(F.col("_t")))
-        .join(_small(slots, 2 * n, 48).withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"}), "_slot", "left")
+        .join(small_table(slots, 2 * n, 48).withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"}), "_slot", "left")
         .filter(F.col("_t").isNull() | ((F.col("_t") >= F.col("_t0")) & (F.col("_t") < F.col("_t1"))))
     )
     alpha = (t - F.col("_t0")) / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1e-12))
@@ -249,7 +249,7 @@ def sample_corners(
     placed = points.selectExpr(*own, *at).selectExpr("*", *cell)
     if snapshots is not None:
         nx, ny, nz = meta.shape
-        corners = _small(corners, nx * ny * nz * max(snapshots, 1), CORNER_ROW_BYTES)
+        corners = small_table(corners, nx * ny * nz * max(snapshots, 1), CORNER_ROW_BYTES)
     joined = placed.join(corners, [*key, "ci", "cj", "ck"], "left").selectExpr("*", *part)
     weighted = joined.selectExpr("*", *[f"{_corner_weight(n)} AS w_{n}" for n in range(8)])
     lost = "x IS NULL OR y IS NULL OR z IS NULL"

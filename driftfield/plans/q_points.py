@@ -135,7 +135,7 @@ _FIELD = f"""WITH probe AS (SELECT id, {_SPAN(3)} FROM range(1000) r(id)), bound
  fill AS (SELECT id, {_SPAN('3f')} FROM (SELECT unnest(range(8*(SELECT count(*) FROM part), 9*(SELECT count(*) FROM part))) id))
 SELECT id, x, y, z FROM (SELECT * FROM (SELECT id, x, y, z FROM cand {_NEAR.format(c='cand')}, bound WHERE a*b <= pdf UNION ALL SELECT id, x, y, z FROM fill) ORDER BY id LIMIT (SELECT count(*) FROM part))"""
 query("field_weighted_points", _FIELD, "node_values", "x y z", "id")(
-    lambda t: gen.field_weighted_points(t.spark, t.n_points(), BOX, gen.grid_metric(t.node_values(), META.spacing, "magnitude"), 3)
+    lambda t: gen.field_weighted_points(t.spark, t.n_points(), BOX, gen.grid_metric(t.node_values(), META.spacing, "magnitude"), 3, META)
 )
 
 _NB = "LEFT JOIN node_values {n} ON " + "{n}.i=g.i+{a} AND {n}.j=g.j+{b} AND {n}.k=g.k+{c}"
