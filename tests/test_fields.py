@@ -119,11 +119,13 @@ def test_kernels_integrate_to_one(spark, dim):
     assert list(got) == pytest.approx([1.0] * 4, abs=1e-4)
 
 
-def test_kde_grid_equals_kde_at_and_counts_copies(cloud):
+@pytest.mark.parametrize("block", [7, 2048])
+def test_kde_grid_equals_kde_at_and_counts_copies(cloud, block, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", block)
     rows, df = cloud
     box = Box((-2.0, -2.0, -2.0), (3.0, 3.0, 3.0))
     grid = density.kde_grid(df, 0.4, (4, 5, 3), 3, box, normalize=False)
-    at = density.kde_at(df, density.grid_nodes(df, box, (4, 5, 3)), 0.4, hot=15)
+    at = density.kde_at(df, density.grid_nodes(df, box, (4, 5, 3)), 0.4)
     nodes = density.grid_nodes(df, box, (4, 5, 3)).join(at, "id")
     a = {(r["gx"], r["gy"], r["gz"]): r["rho"] for r in grid.collect()}
     b = {(r["gx"], r["gy"], r["gz"]): r["rho"] for r in nodes.collect()}
