@@ -220,9 +220,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, hot: int | None = HOT_ROW
     asked = where.select(*AXES) if same else cut_lineage(queries.select(*AXES).distinct())
     n = where.count()
     if n == 0:
-        schema = "p_id bigint, d double, rank int"
-        none = queries.sparkSession.createDataFrame([], schema)
-        return queries.select(F.col("id").alias("q_id")).limit(0).join(none, F.lit(True))
+        none = queries.select(F.col("id").alias("q_id"), F.lit(0).cast("bigint").alias("p_id"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
+        return none.limit(0)
     need = min(k, n)
     frame = Frame.of(Box.around(where.select(*AXES) if same else where.select(*AXES).unionByName(asked)))
     depth = _levels_needed(where, frame, n, need)
