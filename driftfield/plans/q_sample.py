@@ -599,3 +599,10 @@ query(
         analytic.uniform((0.1, 0.0, 0.0))(F.col("x"), F.col("y"), F.col("z"), F.lit(0.0))[0].alias("uu"),
     )
 )
+
+query("fem_sample_tet4_element_node")(
+    lambda t: smp.fem_sample(t.wide_points(), t.tets(), t.nodes(), t.node_values(), "tet4", "nearest_element_node")
+)
+query("centroid_sample_strict")(
+    lambda t: smp.centroid_sample(t.wide_points(), t.tets(), t.nodes(), t.node_values(), "tet4", strict_inside=True)
+)
