@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import mixing, quality, urls
+from driftfield.llm import mixing, neardup, pieces, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,24 @@ def op2_quality_ledger(spark, sf_dir):
     return quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents"))).drop("policy")
 
 
+def piece_model() -> bytes:
+    """The public 32,000-piece model; its path is the parameter of ``pieces.tokenize``."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+@_register("op6_sentencepiece")
+def op6_sentencepiece(spark, sf_dir):
+    return pieces.token_digests(pieces.tokenize(_table(spark, sf_dir, "documents"), piece_model()))
+
+
+@_register("op8_near_duplicates")
+def op8_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+
+
 @_register("op9_url_filter", urls.SQL)
 def op9_url_filter(spark, sf_dir):
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
