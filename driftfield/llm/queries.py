@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import mixing, neardup, pieces, quality, urls
+from driftfield.llm import language, mixing, neardup, pieces, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op2_quality_ledger(spark, sf_dir):
     return quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents"))).drop("policy")
 
 
+@_register("op5_language")
+def op5_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def piece_model() -> bytes:
     """The public 32,000-piece model; its path is the parameter of ``pieces.tokenize``."""
     import public_tokenizers
