@@ -22,10 +22,10 @@ from driftfield.llm import blocks as B
 DIMS = 1 << 13
 CENTROIDS = 4
 PER_LANGUAGE = 600
-#: A centroid rejects what is farther away than this many times the distance of its language's farthest training document.
-REACH = 1.5
+#: A centroid rejects what is farther away than this many times the distance that 99 % of its language's training documents keep within.
+REACH, WITHIN = 1.5, 0.99
 #: Texts with fewer n-grams are too short to set that distance, and are not rejected for theirs.
-LEAST_GRAMS = 60
+LEAST_GRAMS = 150
 _ROUNDS = 12
 
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, per_language: int = PER_LAN
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
         centres = _cluster(x, centroids)
         apart = 1 - (x @ centres.T).max(1)[table.column("long").to_numpy()]
-        far = [float(apart.max()) if len(apart) else 1.0] * len(centres)
+        far = [float(np.quantile(apart, WITHIN)) if len(apart) else 1.0] * len(centres)
         lang = table.column("lang")[0].as_py()
         return pa.table({"lang": pa.array([lang] * len(centres)), "no": pa.array(range(len(centres)), pa.int32()), "far": pa.array(far), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
 
