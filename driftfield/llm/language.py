@@ -24,6 +24,8 @@ CENTROIDS = 4
 PER_LANGUAGE = 600
 #: A centroid rejects what is farther away than this many times the distance that 99 % of its language's training documents keep within.
 REACH, WITHIN = 1.5, 0.99
+#: The least distance that rejects, whatever the training documents: clean texts of few words lie this far out.
+LEAST_REACH = 0.8
 #: Texts with fewer n-grams are too short to set that distance, and are not rejected for theirs.
 LEAST_GRAMS = 150
 _ROUNDS = 12
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, per_language: int = PER_LAN
     fitted = sample.mapInArrow(vectors, f"lang string, doc_id {kind}, long boolean, x binary").groupBy("lang").applyInArrow(train, "lang string, no int, far double, centre binary")
     rows = sorted(fitted.collect(), key=lambda r: (r["lang"], r["no"]))  # ``centroids`` rows per language
     centres = np.stack([np.frombuffer(r["centre"], np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
-    return Model([r["lang"] for r in rows], centres, np.array([REACH * r["far"] for r in rows]), idf)
+    return Model([r["lang"] for r in rows], centres, np.array([max(LEAST_REACH, REACH * r["far"]) for r in rows]), idf)
 
 
 def _score(model: Model, block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
