@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftfield.llm import language, mixing, neardup, pieces, quality, urls
+from driftfield.llm import language, licences, mixing, neardup, pieces, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,13 @@ def op2_quality_ledger(spark, sf_dir):
     return quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents"))).drop("policy")
 
 
+@_register("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
+
+
 @_register("op5_language")
 def op5_language(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -55,6 +62,11 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.token_digests(pieces.tokenize(_table(spark, sf_dir, "documents"), piece_model()))
 
 
+@_register("op7_licence_scan", licences.SQL)
+def op7_licence_scan(spark, sf_dir):
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 @_register("op8_near_duplicates")
 def op8_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
