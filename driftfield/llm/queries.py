@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftfield.llm import language, licences, mixing, neardup, pieces, quality, secrets, urls
+from driftfield.llm import forest, language, licences, mixing, neardup, pieces, quality, secrets, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op3_secret_scan(spark, sf_dir):
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
+@_register("op4_warc", warc.SQL)
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_register("op5_language")
 def op5_language(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -75,3 +80,9 @@ def op8_near_duplicates(spark, sf_dir):
 @_register("op9_url_filter", urls.SQL)
 def op9_url_filter(spark, sf_dir):
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+@_register("op10_nearest_vectors")
+def op10_nearest_vectors(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
