@@ -2,8 +2,9 @@
 
 Trees are fitted on a bounded sample (``SAMPLE`` distinct vectors by a hash of the id): every inner node is a hyperplane between two
 random points, cut at the sample's median, so trees are complete. Every vector is then routed to one leaf per tree. A query goes down all
-trees through one queue ordered by the margin to the nearest hyperplane crossed, and takes leaves until they hold ``search_k`` vectors;
-candidates of a leaf are ranked by exact cosine.
+trees through one queue ordered by the margin to the nearest hyperplane crossed, and takes leaves until they hold a share of all vectors;
+candidates of a leaf are ranked by exact cosine. The share is calibrated on the sample: the least that finds ``recall`` of the true
+neighbours there. On vectors without any structure it comes near one half, on clustered ones it is small.
 
 Equal vectors are indexed once, with their lowest ids. Leaves and the queries that visit them meet in blocks of bounded size.
 """
@@ -23,8 +24,13 @@ from driftfield.session import cut_lineage
 SAMPLE = 16_384
 TREES = 12
 LEAF = 32
-SEARCH_K = 3_000
+RECALL = 0.97
+LEAST_SEARCH = 1_000
+#: Queries for calibration, taken from the sample.
+PROBES = 48
 BLOCK = 4_096
+#: Neighbouring leaves of a tree that are ranked together.
+TOGETHER = 8
 _NEAR = 1e-9
 
 
@@ -103,6 +109,28 @@ def visits(forest: Forest, sizes: np.ndarray, x: np.ndarray, search_k: int) -> I
         yield found
 
 
+def calibrate(forest: Forest, sample: np.ndarray, k: int, recall: float) -> float:
+    """Share of the vectors that leaves must hold, counting every tree's, to find ``recall`` of the k nearest in the sample."""
+    x = _unit(sample.astype(np.float64))
+    if len(x) < 2:
+        return 1.0
+    leaves = route(forest, x)
+    trees = np.arange(leaves.shape[1])
+    sizes = np.zeros((len(trees), 1 << forest.depth), np.int64)
+    np.add.at(sizes, (np.broadcast_to(trees, leaves.shape), leaves), 1)
+    probes = np.unique(np.linspace(0, len(x) - 1, PROBES).astype(int))
+    near = x[probes] @ x.T
+    near[np.arange(len(probes)), probes] = -2
+    needed = []
+    for row, found in zip(near, visits(forest, sizes, x[probes], len(trees) * len(x))):
+        at = np.zeros(sizes.shape, np.int64)
+        where = tuple(np.array(found).T)
+        at[where] = np.cumsum(sizes[where])
+        for v in np.argsort(-row)[: min(k, len(x) - 1)]:
+            needed.append(at[trees, leaves[v]].min())
+    return float(np.quantile(needed, recall) / len(x))
+
+
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosine of each row of ``q`` with the same row of ``v`` in double precision; equal rows give equal results."""
     q, v = q.astype(np.float64), v.astype(np.float64)
@@ -114,23 +142,27 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k nearest rows, ties to the smaller id."""
+def _best(a: pa.Table, b: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k nearest rows in the leaves that it visits, ties to the smaller id."""
+    q_ids, q, mask = a.column("q").to_numpy(), _matrix(a.column("qv")), a.column("leaves").to_numpy()
+    ids, v, leaf = b.column("id").to_numpy(), _matrix(b.column("v")), b.column("leaf").to_numpy() % TOGETHER
+    unit = _unit(v.astype(np.float64))
     out = []
     for lo in range(0, len(q), 256):
-        rough = _unit(q[lo : lo + 256].astype(np.float64)) @ _unit(v.astype(np.float64)).T
+        rough = _unit(q[lo : lo + 256].astype(np.float64)) @ unit.T
+        rough[(mask[lo : lo + 256, None] >> leaf & 1) == 0] = -2
         kth = np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
         for i, row in enumerate(rough):
-            at = np.flatnonzero(row >= kth[i] - _NEAR)  # all that can be among the k when computed exactly
+            at = np.flatnonzero(row >= max(kth[i] - _NEAR, -1.5))  # all that can be among the k when computed exactly
             score = cosines(np.broadcast_to(q[lo + i], (len(at), q.shape[1])), v[at])
             order = np.lexsort((ids[at], -score))[:k]
             out.append((np.full(len(order), q_ids[lo + i]), ids[at[order]], score[order]))
-    a, b, c = zip(*out) if out else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(c)
+    x, y, z = zip(*out)
+    return np.concatenate(x), np.concatenate(y), np.concatenate(z)
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, search_k: int = SEARCH_K
+    vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, recall: float = RECALL
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, itself left out; nearest first, ties to smaller ids.
 
@@ -142,8 +174,9 @@ def nearest(
     e = F.col("embedding")
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     fine = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, number) & F.exists(e, lambda x: x != 0)
-    double = F.transform(e, lambda x: x.cast("double"))
-    pick = lambda df: df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(double).alias("h1"), F.xxhash64(F.lit(7), double).alias("h2"), double.alias("v"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    typed = F.transform(e, lambda x: x.cast(kind if kind in ("float", "double") else "double"))
+    pick = lambda df: df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(typed).alias("h1"), F.xxhash64(F.lit(7), typed).alias("h2"), typed.alias("v"))
     # one row per distinct vector with its k + 1 lowest ids; the rank's limit is applied before the shuffle too
     order = F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
     lowest = pick(vectors).groupBy("h1", "h2", "vec_id").agg(F.first("v").alias("v")).withColumn("_n", order).where(F.col("_n") <= k + 1)
@@ -155,20 +188,25 @@ def nearest(
     share = F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 30)) / float(1 << 30)
     taken = classes.where(share < sample / n).select("id", "v").orderBy("id").collect()  # about ``sample`` rows at most
     taken = taken or classes.select("id", "v").orderBy("id").limit(1).collect()
-    forest = grow(np.array([r["v"] for r in taken]), trees, leaf)
+    points = np.array([r["v"] for r in taken])
+    forest = grow(points, trees, leaf)
+    search_k = max(LEAST_SEARCH, int(np.ceil(calibrate(forest, points, k, recall) * n)))
     held = spark.sparkContext.broadcast(forest)
+    value = dict(classes.dtypes)["v"]
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = route(held.value, _matrix(batch.column("v")))
-            rows = pa.array(np.repeat(np.arange(len(leaves)), trees))
-            columns = [pa.array(np.tile(np.arange(trees, dtype=np.int32), len(leaves))), pa.array(leaves.ravel().astype(np.int32)), batch.column("id").take(rows)]
-            yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "id"])
-
-    routed = cut_lineage(classes.select("id", "v").mapInArrow(to_leaves, "tree int, leaf int, id long"))
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                leaves = route(held.value, _matrix(part.column("v")))
+                rows = pa.array(np.repeat(np.arange(len(leaves)), trees))
+                flat = leaves.ravel().astype(np.int32)
+                columns = [pa.array(np.tile(np.arange(trees, dtype=np.int32), len(leaves))), pa.array(flat // TOGETHER), pa.array(flat), part.column("id").take(rows), part.column("v").take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "cell", "leaf", "id", "v"])
+
+    routed = classes.select("id", "v").mapInArrow(to_leaves, f"tree int, cell int, leaf int, id long, v {value}")
     sizes = np.zeros((trees, 1 << forest.depth), np.int64)
-    counts = routed.groupBy("tree", "leaf").count()
-    for r in counts.collect():  # trees * leaves rows, a number that the sample bounds
+    for r in routed.groupBy("tree", "leaf").count().collect():  # trees * leaves rows, a number that the sample bounds
         sizes[r["tree"], r["leaf"]] = r["count"]
     held_sizes = spark.sparkContext.broadcast(sizes)
 
@@ -179,33 +217,39 @@ def nearest(
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                found = list(visits(held.value, held_sizes.value, _matrix(part.column("v")), search_k))
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                pairs = np.array([p for f in found for p in f], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), part.column("id").take(rows)], ["tree", "leaf", "q"])
-
-    visited = cut_lineage(asked_classes.mapInArrow(to_visits, "tree int, leaf int, q long"))
-    # a leaf's vectors and its queries are dealt to blocks; every block of the one meets every block of the other
-    parts = counts.select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("nv")).join(
-        visited.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq")), ["tree", "leaf"]
-    )
+                rows, cells = [], []
+                for i, found in enumerate(visits(held.value, held_sizes.value, _matrix(part.column("v")), search_k)):
+                    masks: dict[tuple[int, int], int] = {}
+                    for t, f in found:
+                        masks[t, f // TOGETHER] = masks.get((t, f // TOGETHER), 0) | 1 << f % TOGETHER
+                    rows += [i] * len(masks)
+                    cells += [(t, c, m) for (t, c), m in masks.items()]
+                columns = np.array(cells, np.int32).reshape(-1, 3)
+                take = pa.array(rows, pa.int64())
+                arrays = [*[pa.array(columns[:, i].copy()) for i in range(3)], part.column("id").take(take), part.column("v").take(take)]
+                yield pa.RecordBatch.from_arrays(arrays, ["tree", "cell", "leaves", "q", "qv"])
+
+    # the queue costs more than reading queries does: spread them over all cores
+    spread = asked_classes.repartition(spark.sparkContext.defaultParallelism, "id")
+    visited = cut_lineage(spread.mapInArrow(to_visits, f"tree int, cell int, leaves int, q long, qv {value}"))
+    # a cell's vectors and its queries are dealt to blocks; every block of the one meets every block of the other
+    cells = np.add.reduceat(sizes, np.arange(0, sizes.shape[1], TOGETHER), axis=1)
+    listed = spark.createDataFrame([(t, c, -(-int(m) // BLOCK)) for t, row in enumerate(cells) for c, m in enumerate(row) if m], "tree int, cell int, nv int")
+    asks = visited.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq"))
+    parts = F.broadcast(listed.join(asks, ["tree", "cell"]))  # at most trees * leaves rows
     deal = lambda df, id_, own, other: (
-        df.join(parts, ["tree", "leaf"])
+        df.join(parts, ["tree", "cell"])
         .withColumn(f"b{own}", F.pmod(F.xxhash64(id_), F.col(f"n{own}")).cast("int"))
         .withColumn(f"b{other}", F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
-        .select("tree", "leaf", "bv", "bq", id_)
+        .drop("nv", "nq")
     )
-    by = ["tree", "leaf", "bv", "bq"]
-    left = deal(visited, "q", "q", "v").join(asked_classes.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
-    right = deal(routed, "id", "v", "q").join(classes.select("id", "v"), "id")
+    by = ["tree", "cell", "bv", "bq"]
 
     def rank(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not (a.num_rows and b.num_rows):
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        else:
-            found = _best(a.column("q").to_numpy(), _matrix(a.column("qv")), b.column("id").to_numpy(), _matrix(b.column("v")), k + 1)
+        found = _best(a, b, k + 1) if a.num_rows and b.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table(dict(zip(("q", "id", "score"), found)))
 
+    left, right = deal(visited, "q", "q", "v"), deal(routed, "id", "v", "q")
     ranked = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, "q long, id long, score double")
     top = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
     best = ranked.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("_n", top).where(F.col("_n") <= k + 1).drop("_n")
