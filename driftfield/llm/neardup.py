@@ -1,12 +1,13 @@
 """Near-duplicate groups by MinHash bands and odd sketches, every link confirmed on full shingle sets.
 
 1. One pass over the texts: size and 128-bit digest of each shingle set, MinHash band keys, an odd sketch. Equal sets become one class.
-2. Classes that share a band key are candidates. A key's members are first compared with its smallest member only, so a group of n gives
-   n - 1 pairs. The odd sketches (parities of MinHash samples; the population count of their XOR estimates the similarity) drop pairs
-   that are far from the threshold; the rest is confirmed on the full sets.
-3. Confirmed links give components. Where members of one key are still in different components, all pairs across components are
-   compared by sketch in blocks of at most ``BLOCK`` x ``BLOCK``: first the best partner of each member, then, with the components that
-   gives, every pair that is left. So no link between texts that share a key is lost.
+2. Classes that share a band key are candidates. A key's members are compared with its smallest member, so a group of n gives n - 1 pairs;
+   odd sketches (parities of MinHash samples; the population count of their XOR estimates the similarity) drop pairs far from the
+   threshold. What is left joins classes into families. Then members of one key in different families are compared by sketch in blocks,
+   each naming its best partner, until no two families have a near pair: every pair that may be a link now lies in one family.
+3. The pairs found are confirmed on the full sets. Where a family still falls apart, members outside its largest part are compared with
+   all its members in blocks that hold the texts, and only links between parts leave a block. So no link is lost, and the rows written
+   follow the number of documents, not of pairs.
 
 Fifty bands of six rows miss a pair of similarity 0.8 with probability below 3e-7; the sketch margin is over five standard errors.
 """
@@ -26,6 +27,9 @@ BANDS, ROWS = 50, 6
 SAMPLES, BITS = 1024, 2048
 MARGIN = 0.08
 BLOCK = 1024
+TEXT_BLOCK = 256
+#: Up to so many ids are broadcast to pick texts by; beyond, texts and ids are shuffled.
+IDS_BROADCAST = 1_000_000
 _SKETCH = BITS // 8 + SAMPLES // 8
 
 _XOR = B.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32)
@@ -156,52 +160,150 @@ def components(links: DataFrame) -> DataFrame:
     Every round gives each node's larger neighbours its smallest neighbour (large star), then does so for the smaller ones (small star);
     it ends when all links are a node and its component. Rounds grow with the logarithm of the longest chain.
     """
+    check = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
+    state = check(edges)
+    while state[0]:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        new = cut_lineage(small)
-        check = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = check(new) == check(edges)
-        edges = new
-        if same:
+        edges = cut_lineage(small)
+        before, state = state, check(edges)
+        if before == state:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def _across(members: DataFrame, sketches: DataFrame, tested: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """Pairs (a > b) in one key but in different components whose sketches come near the threshold, without those tested before.
+def _nearest_elsewhere(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): for ``members(key, doc_id, component)`` the best partner in the same key and another component, if near enough.
 
-    A key's members are dealt to blocks by hash; a task compares two blocks. With ``best_only`` each member keeps its best partner there.
+    A key's members are dealt to blocks by hash; a task compares two blocks, and both sides name their best partner.
     """
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = members.join(counts, "key").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    # a block meets itself and every later one
+    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    dealt = members.join(counts.where("x < y").drop("x", "y"), "key").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    # a block meets itself and every other one
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
-    placed = dealt.join(sketches.select("doc_id", "sketch"), "doc_id").withColumn("cell", F.explode(meets))
+    placed = dealt.join(sketches, "doc_id").withColumn("cell", F.explode(meets))
     placed = placed.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "at", "doc_id", "component", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, at = (table.column(c).to_numpy() for c in ("doc_id", "component", "at"))
         words = _words_of(table.column("sketch").combine_chunks())
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        left, right = (np.flatnonzero(at == table.column(c)[0].as_py()) for c in ("i", "j"))
         found = []
+        best, partner = np.full(len(right), -1.0), np.zeros(len(right), np.int64)
         for x in left:
             s = similarity(words[x], words[right])
-            s[(comp[right] == comp[x]) | ((ids[right] >= ids[x]) if i == j else False)] = -1
-            near = np.flatnonzero(s >= least)
-            if best_only and len(near):
-                near = near[[int(np.argmax(s[near]))]]
-            found.append(np.stack([np.full(len(near), ids[x]), ids[right[near]]]))
-        a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            s[comp[right] == comp[x]] = -1
+            y = int(np.argmax(s))
+            if s[y] >= least:
+                found.append((ids[x], ids[right[y]]))
+            better = s > best
+            best[better], partner[better] = s[better], ids[x]
+        found += [(ids[right[y]], partner[y]) for y in np.flatnonzero(best >= least)]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
+
+    return placed.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _families(likely: DataFrame, members: DataFrame, sketches: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, families): components of near pairs such that no near pair with a common key lies across two of them.
+
+    Only members that named a partner can do so again, as families only grow.
+    """
+    pairs = likely
+    families = components(pairs)
+    while True:
+        held = members.join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        more = cut_lineage(_nearest_elsewhere(held, sketches, least))
+        if more.isEmpty():
+            return pairs, families
+        members = cut_lineage(members.join(more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct(), "doc_id", "left_semi"))
+        pairs = cut_lineage(pairs.union(more).distinct())
+        families = components(families.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    pairs = placed.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+def _sets_and_sketches(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles as (row, hash), and sketches."""
+    rows, hashes, sketches = [], [], []
+    for block in B.blocks(texts):
+        r, h = B.shingles(block, k)
+        rows.append(r + block.first)
+        hashes.append(h)
+        sketches.append(_odd_sketches(r, h, len(block)))
+    return np.concatenate(rows), np.concatenate(hashes), np.ascontiguousarray(np.concatenate(sketches)).view(np.uint64)
+
+
+def _links_between(table: pa.Table, k: int, threshold: tuple[int, int], least: float) -> list[tuple[int, int]]:
+    """Links of stragglers with members of other parts; one for each two parts that they join here."""
+    times, of = threshold
+    ids, parts = (table.column(c).to_numpy() for c in ("doc_id", "part"))
+    role = table.column("straggler").to_numpy(zero_copy_only=False)
+    left, right = np.flatnonzero(role), np.flatnonzero(~role)
+    rows, hashes, sketches = _sets_and_sketches(table.column("text").combine_chunks(), k)
+    sizes = np.bincount(rows, minlength=len(ids))
+    kinds, code = np.unique(hashes, return_inverse=True)
+    bounds = np.searchsorted(rows, np.arange(len(ids) + 1))
+    on_right = np.zeros(len(ids), bool)
+    on_right[right] = True
+    right_rows, right_code = rows[on_right[rows]], code[on_right[rows]]
+    root = {int(p): int(p) for p in parts}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    links = []
+    present = np.zeros(len(kinds), bool)
+    for x in left:
+        near = right[(similarity(sketches[x], sketches[right]) >= least) & (parts[right] != parts[x])]
+        if not len(near):
+            continue
+        own = code[bounds[x] : bounds[x + 1]]
+        present[own] = True
+        both = np.bincount(right_rows, weights=present[right_code], minlength=len(ids))[near].astype(np.int64)
+        present[own] = False
+        for y in near[times * both >= of * (sizes[x] + sizes[near] - both)]:
+            p, q = find(int(parts[x])), find(int(parts[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(ids[x]), int(ids[y])))
+    return links
+
+
+def _rest_of_families(families: DataFrame, found: DataFrame, tested: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int], least: float) -> DataFrame:
+    """Links (a, b) between parts of one family, beyond the pairs tested."""
+    held = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    held = cut_lineage(held.select("family", "doc_id", F.coalesce("component", "doc_id").alias("part")))
+    done = tested.join(families.select(F.col("node").alias("a"), F.col("component").alias("family")), "a").groupBy("family").agg(F.count(F.lit(1)).alias("pairs"))
+    sizes = held.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "part"))["part"].alias("main"), F.max("n").alias("most"))
+    split = whole.join(done, "family").where("parts > 1 and pairs < members * (members - 1) / 2")
+    blocks = split.select("family", "main", F.ceil((F.col("members") - F.col("most")) / TEXT_BLOCK).cast("int").alias("ns"), F.ceil(F.col("members") / TEXT_BLOCK).cast("int").alias("na"))
+    each = held.join(blocks, "family").join(texts, "doc_id")
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stragglers = each.where("part <> main").withColumns({"i": place("ns"), "straggler": F.lit(True)}).withColumn("j", spread("na"))
+    others = each.withColumns({"j": place("na"), "straggler": F.lit(False)}).withColumn("i", spread("ns"))
+    columns = ["family", "i", "j", "straggler", "doc_id", "part", "text"]
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = np.array(_links_between(table, k, threshold, least), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
+
+    return stragglers.select(*columns).union(others.select(*columns)).groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents named, written once."""
+    ids = cut_lineage(ids.distinct())
+    picked = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
+    return cut_lineage(docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (100, 80)) -> DataFrame:
@@ -215,28 +317,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (1
     least = threshold[1] / threshold[0] - MARGIN
     signed = cut_lineage(signatures(docs, k))
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut_lineage(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
-    firsts = classes.select(F.col("first").alias("doc_id")).distinct()
-    keys = linkable.select("doc_id", F.explode("bands").alias("key")).join(firsts, "doc_id", "left_semi")
+    smallest = linkable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
+    classes = cut_lineage(smallest.select("d1", "d2", F.col("m.doc_id").alias("first"), "m.bands", "m.sketch"))
+    keys = classes.select(F.col("first").alias("doc_id"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
     members = cut_lineage(keys.join(shared, "key"))
-    pairs = cut_lineage(members.where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sketches = cut_lineage(linkable.select("doc_id", "sketch").join(nodes, "doc_id", "left_semi"))
+    sketches = classes.select(F.col("first").alias("doc_id"), "sketch")
+    pairs = members.where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     likely = cut_lineage(_likely(pairs, sketches, least))
-    # a link at least as near as the threshold has its members in nodes, so later rounds need no other texts
-    texts = cut_lineage(docs.select("doc_id", "text").where("text is not null").join(nodes, "doc_id", "left_semi"))
-    tested = cut_lineage(_confirmed(likely, texts, k, threshold))
+    near, families = _families(likely, members.select("key", "doc_id"), sketches, least)
+    texts = _texts_of(docs, families.select(F.col("node").alias("doc_id")))
+    tested = cut_lineage(_confirmed(near, texts, k, threshold))
     found = components(tested.where("linked"))
-    for best_only in (True, False):
-        held = members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        held = cut_lineage(held.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-        mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        more = cut_lineage(_across(held.join(mixed, "key", "left_semi"), sketches, tested, least, best_only))
-        if more.isEmpty():
-            break
-        tested = cut_lineage(tested.union(_confirmed(more, texts, k, threshold)))
-        found = components(tested.where("linked"))
+    rest = cut_lineage(_rest_of_families(families, found, tested, texts, k, threshold, least))
+    if not rest.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     of_class = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "first").alias("_component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2")
     joined = rows.join(of_class, (rows["d1"] == of_class["_d1"]) & (rows["d2"] == of_class["_d2"]), "left")
@@ -248,4 +343,4 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, i
     """The rows of ``docs`` that stay, one document of each group, columns unchanged; rows that repeat id and text go."""
     kept = near_duplicates(docs, k, threshold).where("kept").select("doc_id").distinct()
     unnamed = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).union(unnamed)
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*[f"`{c}`" for c in docs.columns]).union(unnamed)
