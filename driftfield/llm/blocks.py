@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: The words of a text as a regular expression, for Spark, DuckDB and Python alike.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,6 +25,25 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
+def unused_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def map_whole_rows(df: DataFrame, run) -> DataFrame:
+    """``df`` with batches changed by ``run(batches)``; columns keep their names, whatever these are."""
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def named(batches):
+        for batch in run((b.rename_columns(names) for b in batches)):
+            yield batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+
+    return plain.mapInArrow(named, plain.schema).toDF(*names)
+
+
 @dataclass
 class Block:
     """Some whole texts one after another: row number of the first, bytes, and n + 1 offsets."""

@@ -133,7 +133,7 @@ def calibrate(forest: Forest, sample: np.ndarray, k: int, recall: float) -> floa
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosine of each row of ``q`` with the same row of ``v`` in double precision; equal rows give equal results."""
-    q, v = q.astype(np.float64), v.astype(np.float64)
+    q, v = (np.ascontiguousarray(x, np.float64) for x in (q, v))  # rows laid out alike are summed alike
     return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 

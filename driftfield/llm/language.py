@@ -192,9 +192,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not rejected, columns unchanged."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    letter = "_has_letter"
-    while letter in docs.columns:
-        letter += "_"
+    letter = B.unused_name("has_letter", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -203,6 +201,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             if m.languages:
                 far = [_score(m, b)[2] for b in B.blocks(batch.column("text"))]
                 keep &= ~np.concatenate([np.zeros(0, bool), *far])
-            yield batch.drop_columns([letter]).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
-    return docs.withColumn(letter, _has_letter()).mapInArrow(run, docs.schema)
+    return B.map_whole_rows(docs.withColumn(letter, _has_letter()), run).drop(letter)

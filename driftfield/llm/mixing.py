@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from driftfield.llm.blocks import WORD_PATTERN
+from driftfield.llm.blocks import WORD_PATTERN, unused_name
 from driftfield.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -102,12 +102,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix has it; columns unchanged.
 
-    Rows equal in id, source and size are taken equally often, as the most taken of them.
+    Rows equal in id and source are taken equally often, as the most taken of them.
     """
-    chosen = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
+    chosen = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
     joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & docs["source"].eqNullSafe(chosen["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    turn = unused_name("turn", docs.columns)
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), chosen["copies"])).alias(turn)).drop(turn)
 
 
 #: For op1: targets as the level that any number of capped sources leaves; finish times with whole-table windows.

@@ -318,13 +318,15 @@ def _list_array(kind: pa.DataType, offsets: np.ndarray, values: np.ndarray) -> p
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, ids, decoded): ``ids`` the token ids as 32-bit little-endian integers with begin and end ids, ``decoded`` their text.
+def tokenize(docs: DataFrame, model: bytes, packed: bool = False) -> DataFrame:
+    """(doc_id, ids, decoded): ``ids`` the token ids with begin and end ids, ``decoded`` their text.
 
-    Null text counts as empty: begin and end ids alone, decoded to an empty text. Texts are encoded whole; repeated rows give repeated rows.
-    ``unpack_ids`` turns ``ids`` into an array. ``model`` is the content of the model file, so executors need no copy of it.
+    ``ids`` is an array, or with ``packed`` 32-bit little-endian integers in a binary. Null text counts as empty: begin and end ids alone,
+    decoded to an empty text. Texts are encoded whole; repeated rows give repeated rows. ``model`` is the content of the model file, so
+    executors need no copy of it.
     """
     held = docs.sparkSession.sparkContext.broadcast(load_model(model))
+    kind, width = (pa.binary(), 4) if packed else (pa.list_(pa.int32()), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -333,28 +335,14 @@ def tokenize(docs: DataFrame, model: bytes) -> DataFrame:
             for b in B.blocks(texts, max_rows=4096):
                 ids, at = encode_block(m, ["" if t is None else t for t in texts.slice(b.first, len(b)).to_pylist()])
                 text, text_at = decode_block(m, ids, at)
-                columns = [keys.slice(b.first, len(b)), _list_array(pa.binary(), at * 4, ids.view(np.uint8)), _list_array(pa.binary(), text_at, text).cast(pa.string())]
+                columns = [keys.slice(b.first, len(b)), _list_array(kind, at * width, ids.view(np.uint8) if packed else ids), _list_array(pa.binary(), text_at, text).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, decoded string")
-
-
-def unpack_ids(tokens: DataFrame) -> DataFrame:
-    """``ids`` as array<int>."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x, np.uint32) for x in batch.column("ids").to_pylist()]
-            at = np.cumsum([0, *map(len, lists)])
-            flat = np.concatenate([np.zeros(0, np.uint32), *lists])
-            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", _list_array(pa.list_(pa.int32()), at, flat))
-
-    kinds = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in tokens.schema.fields)
-    return tokens.mapInArrow(run, kinds)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, ids {'binary' if packed else 'array<int>'}, decoded string")
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of packed tokens."""
     return tokens.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

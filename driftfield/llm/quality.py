@@ -65,6 +65,8 @@ def _repeated(block: B.Block, rows: np.ndarray, hashes: np.ndarray) -> np.ndarra
 
 def _lines(block: B.Block, word_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per text, lines with a word, and those among them that equal an earlier line."""
+    if not len(word_starts):
+        return np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
     breaks = np.flatnonzero(block.data == 0x0A)
     starts = np.unique(np.concatenate([block.offsets[:-1], breaks + 1]))
     starts = starts[starts < len(block.data)]

@@ -64,7 +64,7 @@ def piece_model() -> bytes:
 
 @_register("op6_sentencepiece")
 def op6_sentencepiece(spark, sf_dir):
-    return pieces.token_digests(pieces.tokenize(_table(spark, sf_dir, "documents"), piece_model()))
+    return pieces.token_digests(pieces.tokenize(_table(spark, sf_dir, "documents"), piece_model(), packed=True))
 
 
 @_register("op7_licence_scan", licences.SQL)

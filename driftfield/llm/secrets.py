@@ -340,14 +340,17 @@ def _value_start(text: str, start: int, kind: int) -> int:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field from at most about ``sample`` documents with base matches and as many without, picked by a hash of the id; None without matches."""
+    """A field from at most about ``sample`` documents with base matches and at most as many without, picked by a hash of the id.
+
+    Where matches are few, the others are four times as many. None without matches.
+    """
     text = F.col("text")
     marked = docs.where(text.isNotNull()).select("doc_id", "text", text.rlike(_HINT).alias("hit"))
     counts = {r["hit"]: r["n"] for r in marked.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(True):
         return None
     share = F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.when(F.col("hit"), sample / counts[True]).otherwise(sample / max(counts.get(False, 1), 1))
+    wanted = F.when(F.col("hit"), sample / counts[True]).otherwise(min(sample, 4 * counts[True]) / max(counts.get(False, 1), 1))
     # a window around the matches is enough to learn from; other texts give one window each
     rows = marked.where(share < wanted).select("doc_id", "text")
 
@@ -458,4 +461,4 @@ def redact(docs: DataFrame, field: Field | None, mark: str = "[SECRET]") -> Data
             yield batch
 
     assert isinstance(docs.schema["text"].dataType, StringType)
-    return docs.mapInArrow(run, docs.schema)
+    return B.map_whole_rows(docs, run)
