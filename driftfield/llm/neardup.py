@@ -193,6 +193,7 @@ def _nearest_elsewhere(members: DataFrame, sketches: DataFrame, least: float) ->
         words = _words_of(table.column("sketch").combine_chunks())
         left, right = (np.flatnonzero(at == table.column(c)[0].as_py()) for c in ("i", "j"))
         found = []
+        left = left if len(right) else right  # a block may have no members
         best, partner = np.full(len(right), -1.0), np.zeros(len(right), np.int64)
         for x in left:
             s = similarity(words[x], words[right])

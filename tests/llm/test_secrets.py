@@ -73,8 +73,10 @@ def test_lines_left_out_are_outside_throughout(small_docs):
     rng = np.random.default_rng(2)
     for _ in range(4):
         w = rng.normal(0, 0.7, (len(S.NAMES), 3))
-        w[0] = (3, -2, 2)
-        f = S.Field(w, *S._forbid(rng.normal(size=(3, 3)), rng.normal(size=3)))
+        w[0] = (2, -1, 0)
+        step = rng.normal(size=(3, 3))
+        step[[S.BEGIN, S.INSIDE], S.INSIDE] += 3
+        f = S.Field(w, *S._forbid(step, rng.normal(size=3)))
         for block in B.blocks(pa.array(texts)):
             starts, ends, rows, shape, keyword, doc = S._words(block)
             same = S._lines(block, starts, rows)
