@@ -10,22 +10,22 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-_TWO32 = 4294967296.0
+_TWO52 = 4503599627370496.0  # 13 hexadecimal digits of the hash: as many values as a double tells apart in [0, 1)
 
 
 def _bits(seed, row_id: Column, tag: str) -> Column:
     key = F.concat_ws(":", F.lit(str(seed)), row_id.cast("string"), F.lit(tag))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double")
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
 
 
 def keyed_uniform(seed, row_id: Column, tag: str) -> Column:
     """Uniform on [0, 1)."""
-    return _bits(seed, row_id, tag) / F.lit(_TWO32)
+    return _bits(seed, row_id, tag) / F.lit(_TWO52)
 
 
 def keyed_open_uniform(seed, row_id: Column, tag: str) -> Column:
     """Uniform on (0, 1): safe under a logarithm."""
-    return (_bits(seed, row_id, tag) + F.lit(0.5)) / F.lit(_TWO32)
+    return (_bits(seed, row_id, tag) + F.lit(0.5)) / F.lit(_TWO52)
 
 
 def keyed_range(seed, row_id: Column, tag: str, lo, hi) -> Column:

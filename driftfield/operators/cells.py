@@ -17,6 +17,7 @@ from driftfield.model import AXES, Box
 from driftfield.session import cut_lineage
 
 HOT_ROWS = 250_000
+BLOCKS_BROADCAST = 200_000  # crowded keys up to this number are broadcast to tag rows, so that a hot key's rows are not gathered first
 MAX_LEVEL = 48
 CELL = ["level", "cx", "cy", "cz"]
 
@@ -73,11 +74,16 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: int | Non
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")).join(
         right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")), on
     )
-    blocks = counts.filter((F.col("_l") > hot) | (F.col("_r") > hot)).select(
-        *on, F.ceil(F.col("_l") / hot).alias("_lb"), F.ceil(F.col("_r") / hot).alias("_rb")
+    blocks = cut_lineage(
+        counts.filter((F.col("_l") > hot) | (F.col("_r") > hot)).select(
+            *on, F.ceil(F.col("_l") / hot).alias("_lb"), F.ceil(F.col("_r") / hot).alias("_rb")
+        )
     )
-    if blocks.isEmpty():
+    crowded = blocks.count()
+    if crowded == 0:
         return left.join(right, on)
+    if crowded <= BLOCKS_BROADCAST:
+        blocks = F.broadcast(blocks)
 
     def dealt(df: DataFrame, own: str, other: str, own_slot: str, other_slot: str) -> DataFrame:
         simple = [c for c, t in df.dtypes if not t.startswith("map")]
@@ -287,7 +293,8 @@ def cell_counts(points: DataFrame, origin, size: float) -> DataFrame:
 def box_intersections(a: DataFrame, b: DataFrame, frame: Frame, hot: int | None = HOT_ROWS) -> DataFrame:
     """(a_id, b_id) of all overlapping boxes (touching counts). Both sides have id, lo_x .. hi_z.
 
-    A pair meets at the coarser of its two levels, in the one cell that holds the low corner of the overlap.
+    A pair meets at the coarser of its two levels, in the one cell that holds the low corner of the overlap. A box is at home at its own
+    level and a visitor at the coarser levels that the other side has boxes of. Homes meet homes and visitors; two visitors never meet.
     """
 
     def written(df: DataFrame, p: str) -> DataFrame:
@@ -295,17 +302,23 @@ def box_intersections(a: DataFrame, b: DataFrame, frame: Frame, hot: int | None
         size = F.greatest(*[F.col(f"{p}_hi_{x}") - F.col(f"{p}_lo_{x}") for x in AXES])
         return named.withColumn(f"{p}_level", frame.level_with_side(size))
 
-    left, right = written(a, "a"), written(b, "b")
-    levels = sorted({r[0] for df, c in ((left, "a_level"), (right, "b_level")) for r in df.select(c).distinct().collect()})
+    def levels(df: DataFrame, p: str) -> list[int]:
+        return sorted(r[0] for r in df.select(f"{p}_level").distinct().collect() if r[0] is not None) or [0]
 
-    def at_levels(df: DataFrame, p: str) -> DataFrame:
-        upto = df.withColumn("_lv", F.explode(F.lit(levels or [0]))).filter(F.col("_lv") <= F.col(f"{p}_level"))
+    def home(df: DataFrame, p: str) -> DataFrame:
         lo, hi = ([F.col(f"{p}_{e}_{x}") for x in AXES] for e in ("lo", "hi"))
-        return cover(upto, frame, lo, hi, F.col("_lv")).drop("_lv")
+        return cover(df, frame, lo, hi, F.col(f"{p}_level"))
 
-    joined = spread_join(at_levels(left, "a"), at_levels(right, "b"), CELL, hot)
-    keep = F.col("level") == F.least("a_level", "b_level")
+    def visiting(df: DataFrame, p: str, at: list[int]) -> DataFrame:
+        away = df.withColumn("_lv", F.explode(F.lit(at))).filter(F.col("_lv") < F.col(f"{p}_level"))
+        lo, hi = ([F.col(f"{p}_{e}_{x}") for x in AXES] for e in ("lo", "hi"))
+        return cover(away, frame, lo, hi, F.col("_lv")).drop("_lv")
+
+    left, right = written(a, "a"), written(b, "b")
+    met = spread_join(home(left, "a"), home(right, "b").unionByName(visiting(right, "b", levels(left, "a"))), CELL, hot)
+    met = met.unionByName(spread_join(visiting(left, "a", levels(right, "b")), home(right, "b"), CELL, hot))
+    keep = F.lit(True)
     for n, x in enumerate(AXES):
         low = F.greatest(f"a_lo_{x}", f"b_lo_{x}")
         keep = keep & (low <= F.least(f"a_hi_{x}", f"b_hi_{x}")) & (frame.index(low, n, F.col("level")) == F.col(f"c{x}"))
-    return joined.filter(keep).select("a_id", "b_id")
+    return met.filter(keep).select("a_id", "b_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,7 @@ from driftfield.session import cut_lineage, scratch_path
 UVW = smp.UVW
 BROADCAST_BYTES = 64 * 1024 * 1024
 CHUNK = 24  # steps kept in one array before the next array starts
+STAGE = 960  # steps of a closed-form field between two written tables: no row holds more states
 METHODS = ("euler", "rk2", "rk4")
 
 
@@ -83,6 +85,64 @@ class NodeField:
         return smp.nearest_node_sample(df, self.nodes, self.values).drop("node_id")
 
 
+@dataclass(frozen=True)
+class NodeSeriesField:
+    """Time-dependent field on scattered nodes: series(t_idx, node_id, u, v, w) and times(t_idx, t).
+
+    The nearest node (lowest id on ties) in space, linear in time. A value that is missing at a snapshot counts as 0.
+    """
+
+    nodes: DataFrame
+    series: DataFrame
+    times: DataFrame
+    outside_time: str = "constant"
+
+    def sample(self, df: DataFrame) -> DataFrame:
+        near = smp.knn(df.select("id", *AXES), self.nodes.select(F.col("node_id").alias("id"), *AXES), 1)
+        weights = near.select(F.col("q_id").alias("id"), F.col("p_id").alias("node_id"), F.lit(1.0).alias("weight"))
+        return _sampled_in_time(df, weights, self.series, self.times, self.outside_time)
+
+
+@dataclass(frozen=True)
+class MeshSeriesField:
+    """Time-dependent field on a finite-element mesh: shape functions of the containing element, linear in time.
+
+    ``fallback`` outside the mesh as in ``fem_sample``: nearest_node, nearest_element_node or zero.
+    """
+
+    elements: DataFrame
+    nodes: DataFrame
+    series: DataFrame
+    times: DataFrame
+    kind: str = "tet4"
+    fallback: str = "nearest_node"
+    outside_time: str = "constant"
+    index: smp.MeshIndex | None = None
+
+    def sample(self, df: DataFrame) -> DataFrame:
+        index = self.index or smp.mesh_index(self.elements, self.nodes, self.kind)
+        weights = smp.mesh_weights(df.select("id", *AXES), index, self.fallback)
+        return _sampled_in_time(df, weights, self.series, self.times, self.outside_time)
+
+
+def _sampled_in_time(df: DataFrame, weights: DataFrame, series: DataFrame, times: DataFrame, outside_time: str) -> DataFrame:
+    """``df(id, x, y, z, t, ...)`` with u, v, w: for every weights(id, node_id, weight) row two snapshots of the node, summed per point.
+
+    Points without coordinates have no value. A point without weights has velocity 0.
+    """
+    bracket = smp.time_bracket(df.select("id", "t"), times, outside_time)
+    pairs = smp._weight_rows(bracket).withColumnRenamed("weight", "_share")
+    rows = weights.join(pairs, "id").join(series.select("t_idx", "node_id", *UVW), ["t_idx", "node_id"], "left")
+    # a snapshot with share 0 takes no part, whatever it holds
+    part = lambda c: F.when(F.col("_share") == 0, 0.0).otherwise(F.col("weight") * F.col("_share") * F.coalesce(c, F.lit(0.0)))
+    blank = F.max(F.col("_share").isNull())  # outside_time = nan
+    sums = rows.groupBy("id").agg(*[F.when(~blank, F.sum(part(c))).alias(c) for c in UVW], F.lit(True).alias("_found"))
+    there = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    value = lambda c: F.when(there, F.when(F.col("_found"), F.col(c)).otherwise(0.0))
+    own = [c for c in df.columns if c not in UVW]
+    return df.select(*own).join(sums, "id", "left").select(*own, *[value(c).alias(c) for c in UVW])
+
+
 @dataclass(frozen=True)
 class MeshField:
     """Steady field on a finite-element mesh."""
@@ -92,10 +152,15 @@ class MeshField:
     values: DataFrame
     kind: str = "tet4"
     fallback: str = "nearest_node"
+    index: smp.MeshIndex | None = None
 
     def sample(self, df: DataFrame) -> DataFrame:
-        got = smp.fem_sample(df.select("id", *AXES), self.elements, self.nodes, self.values, self.kind, self.fallback)
-        return df.join(got.drop("elem_id"), "id", "left")
+        index = self.index or smp.mesh_index(self.elements, self.nodes, self.kind)
+        weights = smp.mesh_weights(df.select("id", *AXES), index, self.fallback)
+        got = smp.weighted_values(weights, self.values)
+        there = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+        own = [c for c in df.columns if c not in UVW]
+        return df.select(*own).join(got, "id", "left").select(*own, *[F.when(there, F.coalesce(c, F.lit(0.0))).alias(c) for c in UVW])
 
 
 def with_velocity(points: DataFrame, field, t: Column | float | None = None) -> DataFrame:
@@ -143,13 +208,30 @@ def displace(points: DataFrame, field, dt: float | str, method: str = "rk4", t:
     return df.select(*keep, *[v.alias(a) for a, v in new.items()])
 
 
+def _checked(field):
+    """A grid field without rows outside its shape or NULL values. Raises ValueError if a node occurs twice."""
+    if not isinstance(field, (GridField, GridSeriesField)) or field.corners is not None:
+        return field
+    series = isinstance(field, GridSeriesField)
+    rows, keys = (field.series, ["t_idx", *"ijk"]) if series else (field.grid, [*"ijk"])
+    inside = reduce(lambda a, b: a & b, [F.col(c).between(0, n - 1) for c, n in zip("ijk", field.meta.shape)])
+    rows = rows.filter(inside).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in UVW})
+    if series:
+        rows = rows.join(field.times.select("t_idx"), "t_idx", "left_semi")
+    if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError("a node occurs twice in the field")
+    return replace(field, series=rows) if series else replace(field, grid=rows)
+
+
 def _prepared(field):
-    """A grid field with its corner table written once, so the stages of a step do not each derive it again."""
+    """A field with what it looks up written once, so the stages of a step do not each derive it again: corner tables, element cells."""
     if isinstance(field, GridField) and field.corners is None:
         return replace(field, corners=cut_lineage(smp.cell_corners(field.grid, field.meta, field.outside == "periodic")))
     if isinstance(field, GridSeriesField) and field.corners is None:
         corners = smp.cell_corners(field.series, field.meta, field.outside == "periodic", ("t_idx",))
         return replace(field, corners=cut_lineage(corners), times=cut_lineage(field.times))
+    if isinstance(field, (MeshField, MeshSeriesField)) and field.index is None:
+        return replace(field, index=smp.mesh_index(field.elements, field.nodes, field.kind))
     return field
 
 
@@ -170,9 +252,12 @@ def advect(
     """Trajectory rows (particle_id, t_idx, t, x, y, z) of ``n_steps`` steps; the start is step 0.
 
     The rule acts after every step. Steps that are not recorded have no rows. Without ``plan`` the
-    field decides: closed form, small enough to broadcast (size is checked by a count), or joins.
+    field decides: closed form, small enough to broadcast (its shape bounds it), or joins.
+
+    On grids every plan counts a missing node or NULL value as 0, ignores rows outside the shape and refuses a node that occurs twice.
     """
     _stages(method)
+    field = _checked(field)
     simple_rule = rule is None or isinstance(rule, PerAxis)
     if plan is None:
         if isinstance(field, AnalyticField) and simple_rule:
@@ -235,27 +320,34 @@ def _analytic_step(p: Column, t: Column, fn: Field, dt: float, method: str, rule
 
 
 def _advect_analytic(start, field, dt, n_steps, method, rule, t0, record_every) -> DataFrame:
-    """Arrays of CHUNK states each: an array grows by copying, so one array for all steps would be quadratic."""
+    """Arrays of CHUNK states each: an array grows by copying, so one array for all steps would be quadratic.
+
+    Of each array only the recorded steps stay, and every STAGE steps the table is written.
+    """
     df = start.select("particle_id", _point(*[F.col(a) for a in AXES]).alias("_last"))
-    parts = [F.array(F.col("_last"))]
-    df = df.withColumn("_first", F.col("_last"))
-    arrays = ["_s0"]
-    df = df.withColumn("_s0", F.array("_last"))
-    for first in range(0, n_steps, CHUNK):
-        count = min(CHUNK, n_steps - first)
-        name = f"_s{len(arrays)}"
-
-        def grow(acc: Column, n: Column) -> Column:
-            t = F.lit(float(t0)) + n.cast("double") * F.lit(float(dt))
-            return F.concat(acc, F.array(_let(F.element_at(acc, -1), lambda p: _analytic_step(p, t, field.fn, dt, method, rule))))
-
-        steps = F.sequence(F.lit(first), F.lit(first + count - 1))
-        seed = F.array(F.element_at(F.col(arrays[-1]), -1))
-        df = df.withColumn(name, F.slice(F.aggregate(steps, seed, grow), 2, count))
-        arrays.append(name)
-    states = F.concat(*arrays) if len(arrays) > 1 else F.col(arrays[0])
-    out = df.select("particle_id", F.posexplode(states).alias("t_idx", "p"))
-    return _finish(out.select("particle_id", "t_idx", *[F.col(f"p.{a}").alias(a) for a in AXES]), dt, t0, record_every, n_steps)
+    rows = [df.select("particle_id", F.lit(0).cast("bigint").alias("t_idx"), *[F.col(f"_last.{a}").alias(a) for a in AXES])]
+
+    def grow(acc: Column, n: Column) -> Column:
+        t = F.lit(float(t0)) + n.cast("double") * F.lit(float(dt))
+        return F.concat(acc, F.array(_let(F.element_at(acc, -1), lambda p: _analytic_step(p, t, field.fn, dt, method, rule))))
+
+    for begin in range(0, n_steps, STAGE):
+        kept = []
+        end = min(begin + STAGE, n_steps)
+        for first in range(begin, end, CHUNK):
+            count = min(CHUNK, end - first)
+            name = f"_s{len(kept)}"
+            df = df.withColumn(name, F.slice(F.aggregate(F.sequence(F.lit(first), F.lit(first + count - 1)), F.array("_last"), grow), 2, count))
+            df = df.withColumn("_last", F.element_at(name, -1))
+            stepped = F.transform(F.col(name), lambda p, i: F.struct((i + (first + 1)).cast("bigint").alias("t_idx"), p.alias("p")))
+            kept.append(F.filter(stepped, lambda s: (s["t_idx"] % record_every == 0) | (s["t_idx"] == n_steps)))
+        df = df.select("particle_id", F.concat(*kept).alias("_states"), "_last")
+        if n_steps > STAGE:
+            df = cut_lineage(df)
+        states = df.select("particle_id", F.explode("_states").alias("s"))
+        rows.append(states.select("particle_id", "s.t_idx", *[F.col(f"s.p.{a}").alias(a) for a in AXES]))
+        df = df.select("particle_id", "_last")
+    return _finish(reduce(DataFrame.union, rows), dt, t0, record_every, n_steps)
 
 
 def _finish(df: DataFrame, dt: float, t0: float, record_every: int, n_steps: int) -> DataFrame:
@@ -273,18 +365,18 @@ def _field_bytes(field) -> int:
 
 
 def _field_arrays(field):
-    """(times, values[T, nx, ny, nz, 3]); only called for fields below the broadcast bound."""
+    """(times, values[T, nx, ny, nz, 3]); only for checked fields below the broadcast bound: a row per node of the shape at most."""
     import numpy as np
 
     if isinstance(field, GridField):
-        rows, stamps = field.grid.select(F.lit(0).alias("t_idx"), *"ijk", *UVW).toPandas(), np.array([0.0])
+        rows, stamps = field.grid.select(F.lit(0).alias("t_idx"), *"ijk", *UVW).toPandas(), None
         index = {0: 0}
     else:
         times = field.times.orderBy("t", "t_idx").toPandas()
         stamps = times["t"].to_numpy(dtype=float)
         index = {v: n for n, v in enumerate(times["t_idx"])}
         rows = field.series.select("t_idx", *"ijk", *UVW).toPandas()
-    values = np.zeros((len(stamps), *field.meta.shape, 3))
+    values = np.zeros((len(index), *field.meta.shape, 3))
     at = tuple([rows["t_idx"].map(index).to_numpy()] + [rows[c].to_numpy() for c in "ijk"])
     values[at] = rows[list(UVW)].to_numpy(dtype=float)
     return stamps, values
@@ -294,13 +386,15 @@ def _grid_velocity(p, t, stamps, values, meta: GridMeta, outside: str, outside_t
     """Field at points p[n, 3] and time t: weights of two snapshots and eight corners."""
     import numpy as np
 
+    if stamps is None:  # a steady field
+        stamps = np.array([t])
     last = len(stamps) - 1
     left = int(np.clip(np.searchsorted(stamps, t, side="right") - 1, 0, max(last - 1, 0)))
     gap = stamps[left + 1] - stamps[left] if last else 1.0
     alpha = (t - stamps[left]) / max(gap, 1e-12) if last else 0.0
     if outside_time != "linear":
         alpha = min(max(alpha, 0.0), 1.0)
-    beyond = last > 0 and (t < stamps[0] or t > stamps[-1])
+    beyond = t < stamps[0] or t > stamps[-1]
     if beyond and outside_time in ("zero", "nan"):
         return np.full(p.shape, 0.0 if outside_time == "zero" else np.nan)
     shape = np.array(meta.shape)
@@ -467,20 +561,26 @@ def repeat_period(samples: DataFrame, times: DataFrame, n_periods: int = 5, time
 def smooth_joints(samples: DataFrame, per_period: int, n_periods: int, share: float) -> DataFrame:
     """Blend the first K snapshots of every later period with their mirror images before the joint.
 
-    Weight (i + 1) / K on the own value, K = share of the period. K may be at most half a period: then
-    no mirror image is itself blended, and one self-join gives the same as blending joint by joint.
+    Weight (i + 1) / K on the own value, K = share of the period. Joints are blended in the order of time: where K exceeds half a period,
+    a mirror image can itself have been blended at the joint before. Written out, a snapshot is then a weighted sum of itself and of its
+    mirror image, whose own weights are known, so each snapshot's weights come from a short list and one join applies them all.
     """
     k = max(1, round(share * per_period))
     if share <= 0 or n_periods < 2 or per_period < 2:
         return samples
-    if 2 * k > per_period:
-        raise ValueError("smoothing may cover at most half a period")
-    pos = F.col("t_idx") % per_period
-    blended = (F.col("t_idx") >= per_period) & (pos < k)
-    mirror = samples.filter(F.col("t_idx") % per_period >= per_period - k).select(
-        F.col("t_idx").alias("_m"), "node_id", *[F.col(c).alias(f"_{c}") for c in UVW]
-    )
-    alpha = (pos + 1) / F.lit(k)
-    df = samples.withColumn("_m", F.when(blended, F.col("t_idx") - 2 * pos - 1)).join(mirror, ["_m", "node_id"], "left")
-    new = {c: F.when(F.col(f"_{c}").isNotNull(), alpha * F.col(c) + (F.lit(1.0) - alpha) * F.col(f"_{c}")).otherwise(F.col(c)) for c in UVW}
-    return df.withColumns(new).select(*samples.columns)
+    k = min(k, per_period - 1)
+    weights: dict[int, dict[int, float]] = {}  # snapshot -> shares of original snapshots, for blended ones
+    for joint in range(per_period, n_periods * per_period, per_period):
+        for i in range(k):
+            at, mirror, own = joint + i, joint - 1 - i, (i + 1) / k
+            mixed = {at: own}
+            for source, w in weights.get(mirror, {mirror: 1.0}).items():
+                mixed[source] = mixed.get(source, 0.0) + (1 - own) * w
+            weights[at] = {s: w for s, w in mixed.items() if w}
+    spark = samples.sparkSession
+    listed = spark.createDataFrame([(a, s, w) for a, shares in weights.items() for s, w in shares.items()], "_to bigint, t_idx bigint, _share double")
+    # a snapshot whose mirror image is missing keeps its value
+    parts = samples.select(F.col("t_idx"), "node_id", *[F.col(c).alias(f"_{c}") for c in UVW]).join(listed, "t_idx")
+    sums = parts.groupBy(F.col("_to").alias("t_idx"), "node_id").agg(F.sum("_share").alias("_total"), *[F.sum(F.col("_share") * F.col(f"_{c}")).alias(f"_{c}") for c in UVW])
+    new = {c: F.when(F.col("_total") > 1 - 1e-9, F.col(f"_{c}")).otherwise(F.col(c)) for c in UVW}
+    return samples.join(sums, ["t_idx", "node_id"], "left").withColumns(new).select(*samples.columns)

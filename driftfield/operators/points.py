@@ -19,6 +19,7 @@ from driftfield.model import AXES, Box, GridMeta
 from driftfield.operators.cells import knn
 from driftfield.operators.ranks import first_rows, prefix_sum
 from driftfield.operators.sample import small_table
+from driftfield.session import cut_lineage
 
 
 
@@ -122,24 +123,34 @@ def stratified_points(spark: SparkSession, n: int, box: Box, strata=(4, 4, 4), s
 
 
 def density_sampled_points(
-    spark: SparkSession, n: int, box: Box, with_pdf, seed=0, rounds: int = 4, probes: int = 1000
+    spark: SparkSession, n: int, box: Box, with_pdf, seed=0, probes: int = 1000, max_rounds: int = 1000
 ) -> DataFrame:
     """Rejection sampling: exactly n points whose density follows a pdf.
 
-    ``with_pdf`` maps a table of points to the same table with a ``pdf`` column, so the pdf may be a
-    Column expression or the result of a join. The bound is 1.1 x the largest value at ``probes`` points.
-    Candidates come in rounds of 2 n; what is still missing after the last round is filled up uniformly.
+    ``with_pdf`` maps a table of points to the same table with a ``pdf`` column, so the pdf may be a Column expression or the result of a
+    join. The points are the first n accepted of an endless list of candidates, whatever the size of the rounds in which these are tried.
+    The bound is 1.1 x the largest value at ``probes`` points; a candidate above it starts the list again with 1.1 x its value. A pdf of
+    0 wherever it was looked at gives uniform points. Raises if n points are not accepted in ``max_rounds`` rounds.
     """
     if n <= 0:
         return _in_box(spark.range(0), box, seed)
-    top = with_pdf(random_points(spark, probes, box, seed)).agg(F.max("pdf")).first()[0] or 0.0
-    bound = 1.1 * top
-    candidates = _in_box(spark.range(2 * n * rounds), box, f"{seed}c")
-    accepted = with_pdf(candidates).filter(keyed_uniform(f"{seed}c", F.col("id"), "accept") * F.lit(bound) <= F.col("pdf"))
-    chosen = first_rows(accepted.select("id", *AXES), "id", n)
-    # fill rows have ids beyond all candidates, so one more top-n over the union keeps n rows in all
-    fill = _in_box(spark.range(2 * n * rounds, 2 * n * rounds + n), box, f"{seed}f")
-    return first_rows(chosen.unionByName(fill), "id", n)
+    bound = 1.1 * (with_pdf(random_points(spark, probes, box, seed)).agg(F.max("pdf")).first()[0] or 0.0)
+    parts, have, tried = [], 0, 0
+    size = 2 * n
+    for _ in range(max_rounds):
+        candidates = cut_lineage(with_pdf(_in_box(spark.range(tried, tried + size), box, f"{seed}c")).select("id", *AXES, "pdf"))
+        top = candidates.agg(F.max("pdf")).first()[0] or 0.0
+        if top > bound:
+            bound, parts, have, tried, size = 1.1 * top, [], 0, 0, 2 * n
+            continue
+        good = candidates.filter(keyed_uniform(f"{seed}c", F.col("id"), "accept") * F.lit(bound) <= F.col("pdf")).select("id", *AXES)
+        parts.append(good)
+        have, tried = have + good.count(), tried + size
+        if have >= n:
+            return first_rows(reduce(DataFrame.unionByName, parts), "id", n)
+        # as many more as the rate so far asks for, at most eight times what was tried
+        size = min(8 * tried, max(n, math.ceil(1.2 * (n - have) * tried / max(have, 1))))
+    raise ValueError(f"{have} of {n} points accepted among {tried} candidates")
 
 
 def field_weighted_points(
@@ -173,34 +184,36 @@ def field_weighted_points(
 
 
 def grid_metric(grid: DataFrame, spacing, metric: str = "magnitude") -> DataFrame:
-    """Node weight: speed, |divergence| or |vorticity|. Derivatives are central differences (one-sided at the rim)."""
+    """Node weight: speed, |divergence| or |vorticity|. Derivatives are central differences (one-sided at the rim).
+
+    Every node sends its value to its six neighbours and itself, so all derivatives need one grouping.
+    """
     if metric == "magnitude":
         return grid.withColumn("weight", magnitude(F.col("u"), F.col("v"), F.col("w")))
-    out = grid
-    for axis, h in zip("ijk", spacing):
-        for side, shift in (("p", 1), ("m", -1)):
-            nb = grid.select(
-                *[(F.col(c) - (shift if c == axis else 0)).alias(c) for c in "ijk"],
-                *[F.col(c).alias(f"{c}_{axis}{side}") for c in "uvw"],
-            )
-            out = out.join(nb, ["i", "j", "k"], "left")
+    if metric not in ("divergence", "vorticity"):
+        raise ValueError("metric must be magnitude, divergence or vorticity")
+    own = F.struct(*[F.col(c) for c in grid.columns if c not in "ijk"])
+    moves = [(None, 0, "own")] + [(axis, shift, f"{axis}{side}") for axis in "ijk" for side, shift in (("p", -1), ("m", 1))]
+    sent = F.inline(F.array(*[F.struct(*[(F.col(c) + (shift if c == axis else 0)).cast("bigint").alias(c) for c in "ijk"], F.lit(tag).alias("from")) for axis, shift, tag in moves]))
+    wide = grid.select(own.alias("value"), sent).groupBy("i", "j", "k").agg(*[F.max(F.when(F.col("from") == tag, F.col("value"))).alias(tag) for _, _, tag in moves])
+
     def slope(c: str, axis: str, h: float) -> Column:
-        hi, lo = F.col(f"{c}_{axis}p"), F.col(f"{c}_{axis}m")
+        hi, lo, here = (F.col(f"{name}.{c}") for name in (f"{axis}p", f"{axis}m", "own"))
         gap = F.when(hi.isNotNull() & lo.isNotNull(), 2.0 * h).when(hi.isNotNull() | lo.isNotNull(), float(h))
-        return F.coalesce((F.coalesce(hi, F.col(c)) - F.coalesce(lo, F.col(c))) / gap, F.lit(0.0))
+        return F.coalesce((F.coalesce(hi, here) - F.coalesce(lo, here)) / gap, F.lit(0.0))
 
     hx, hy, hz = spacing
     if metric == "divergence":
         weight = F.abs(slope("u", "i", hx) + slope("v", "j", hy) + slope("w", "k", hz))
-    elif metric == "vorticity":
+    else:
         weight = magnitude(
             slope("w", "j", hy) - slope("v", "k", hz),
             slope("u", "k", hz) - slope("w", "i", hx),
             slope("v", "i", hx) - slope("u", "j", hy),
         )
-    else:
-        raise ValueError("metric must be magnitude, divergence or vorticity")
-    return out.select(*grid.columns, weight.alias("weight"))
+    kinds = dict(grid.dtypes)
+    columns = [F.col(c).cast(kinds[c]).alias(c) if c in "ijk" else F.col(f"own.{c}").alias(c) for c in grid.columns]
+    return wide.where("own is not null").select(*columns, weight.alias("weight"))
 
 
 def combine_points(parts: list[tuple[DataFrame, int]]) -> DataFrame:
@@ -296,30 +309,27 @@ def shuffle_rows(df: DataFrame, id_col: str, seed=0, name: str = "shuffle_key")
 
 
 def choose_without(df: DataFrame, id_col: str, weight: Column, k: int, seed=0) -> DataFrame:
-    """k rows without replacement, chance by weight: the k smallest keys -ln(u) / weight."""
+    """k rows without replacement, chance by weight: the k smallest keys -ln(u) / weight, ties by id."""
     key = -F.ln(keyed_open_uniform(seed, F.col(id_col), "choice")) / weight
-    keyed = df.filter(weight > 0).withColumn("choice_key", key)
-    return keyed.orderBy("choice_key", id_col).limit(k) if k <= 10_000 else first_rows(keyed, "choice_key", k)
+    return first_rows(df.filter(weight > 0).withColumn("choice_key", key), "choice_key", k, id_col)
 
 
 def choose_with(df: DataFrame, id_col: str, weight: Column, k: int, seed=0, cells: int | None = None) -> DataFrame:
     """k draws with replacement, chance by weight: (draw, id).
 
-    Rows own intervals of the running weight total. Draws and intervals meet in equal cells of that
-    total, so the range join is an equi-join; an interval is written into each cell it touches.
+    Rows own intervals of the running weight total, each from where the one before ends. Draws and intervals meet in equal cells of that
+    total, as many as rows, so the range join is an equi-join; an interval is written into each cell it touches.
     """
     spark = df.sparkSession
     weighted = df.filter(weight > 0).select(F.col(id_col), weight.cast("double").alias("_w"))
-    running, total = prefix_sum(weighted, id_col, "_w", "_hi")
-    width = total / (cells or min(max(weighted.count(), 1), 1_000_000))
-    owned = running.withColumn("_lo", F.col("_hi") - F.col("_w")).withColumn(
-        "cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width)))
-    )
-    draws = spark.range(k).select(F.col("id").alias("draw"), (keyed_uniform(seed, F.col("id"), "draw") * F.lit(total)).alias("_u"))
+    running, total = prefix_sum(weighted, id_col, "_w", "_hi", before="_lo")
+    width = total / (cells or max(weighted.count(), 1))
+    owned = running.withColumn("cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    below = F.lit(math.nextafter(total, 0.0))
+    draws = spark.range(k).select(F.col("id").alias("draw"), F.least(keyed_uniform(seed, F.col("id"), "draw") * F.lit(total), below).alias("_u"))
     draws = draws.withColumn("cell", F.floor(F.col("_u") / width))
     met = draws.join(owned, "cell").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    # two neighbouring intervals can both claim a draw that sits on rounding noise: the lower id gets it
-    return met.groupBy("draw").agg(F.min(id_col).alias(id_col))
+    return met.select("draw", id_col)
 
 
 def random_integers(spark: SparkSession, n: int, lo: int, hi: int, seed=0) -> DataFrame:

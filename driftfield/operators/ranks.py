@@ -13,14 +13,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from driftfield.session import cut_lineage
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
-TOP_K_LIMIT = 10_000  # a heap of this many rows per task and on the driver is harmless
 
 
 def _split_points(df: DataFrame, col: str, rows_per_range: int) -> list[float]:
-    """At most MAX_RANGES - 1 cut values that split ``col`` into ranges of similar size."""
+    """Cut values that split ``col`` into ranges of about ``rows_per_range`` rows."""
     n = df.count()
-    ranges = min(MAX_RANGES, -(-n // rows_per_range))
+    ranges = -(-n // rows_per_range)
     if ranges <= 1:
         return []
     at = [i / ranges for i in range(1, ranges)]
@@ -77,22 +75,51 @@ def number_sorted(df: DataFrame, order: list[Column], name: str = "rank") -> Dat
 
 
 def prefix_sum(
-    df: DataFrame, order: str, amount: str, name: str = "running", rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: str, amount: str, name: str = "running", rows_per_range: int = ROWS_PER_RANGE, before: str | None = None
 ) -> tuple[DataFrame, float]:
-    """Running total of ``amount`` in the order of a unique numeric column, and the grand total."""
+    """Running total of ``amount`` in the order of a unique numeric column, and the grand total.
+
+    With ``before`` the total up to the row before is added: exactly what that row has as ``name``, so intervals leave no gaps.
+    """
     cuts = _split_points(df, order, rows_per_range)
-    ranged = _with_range(df, order, cuts)
-    offsets, total = _offsets(ranged, F.col(amount), len(cuts) + 1)
-    base = F.element_at(F.lit([float(o) for o in offsets]), F.col("_range") + 1)
-    win = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranged.withColumn(name, base + F.sum(amount).over(win)).drop("_range"), float(total)
-
-
-def first_rows(df: DataFrame, col: str, n: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """The n rows with the smallest values of a unique numeric column."""
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(col).limit(n)
-    return number_rows(df, col, "_pos", rows_per_range).filter(F.col("_pos") <= n).drop("_pos")
+    win = W.partitionBy("_range").orderBy(order)
+    upto = F.sum(amount).over(win.rowsBetween(W.unboundedPreceding, W.currentRow))
+    earlier = F.coalesce(F.sum(amount).over(win.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    ranged = _with_range(df, order, cuts).withColumns({"_in": upto.cast("double"), "_earlier": earlier.cast("double")})
+    # a range's total is its last running total, not a sum in another order
+    lasts = {r["_range"]: r["s"] or 0.0 for r in ranged.groupBy("_range").agg(F.max_by("_in", order).alias("s")).collect()}
+    starts, run = [], 0.0
+    for i in range(len(cuts) + 1):
+        starts.append(run)
+        run += lasts.get(i, 0.0)
+    base = F.element_at(F.lit(starts), F.col("_range") + 1)
+    out = ranged.withColumn(name, base + F.col("_in"))
+    if before:
+        out = out.withColumn(before, base + F.col("_earlier"))
+    return out.drop("_range", "_in", "_earlier"), run
+
+
+def first_rows(df: DataFrame, col: str, n: int, ties: str | None = None) -> DataFrame:
+    """The n rows with the smallest values of ``col``, then of ``ties``. NULL and NaN are never among them.
+
+    An approximate percentile drops what is surely beyond, and only the rest is sorted and numbered, by ranges.
+    """
+    value = F.col(col).cast("double")
+    known = df.filter(value.isNotNull() & ~F.isnan(value))
+    if n <= 0:
+        return known.limit(0)
+    total = known.count()
+    if n >= total:
+        return known
+    share = n / total
+    while share < 1.0:
+        share = min(1.0, share * 1.05 + 0.001)
+        cut = known.agg(F.percentile_approx(value, share, 10_000)).first()[0]
+        few = known.filter(value <= F.lit(cut)) if share < 1.0 else known
+        if share == 1.0 or few.count() >= n:
+            break
+    order = [F.col(col), *([F.col(ties)] if ties else [])]
+    return number_sorted(few, order, "_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
 def exact_percentiles(

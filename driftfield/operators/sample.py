@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -146,43 +147,62 @@ def interp_time_cubic(samples: DataFrame, times: DataFrame, at: list[float]) ->
     import numpy as np
 
     spark = samples.sparkSession
-    grid = [(r["t_idx"], float(r["t"])) for r in times.orderBy("t", "t_idx").limit(10_001).collect()]
-    if len(grid) > 10_000:
-        raise ValueError("cubic interpolation solves one system over all snapshots: pick at most 10,000 of them first")
+    grid = [(r["t_idx"], float(r["t"])) for r in times.orderBy("t", "t_idx").collect()]  # one row per snapshot
     wanted = spark.createDataFrame([(float(t),) for t in at], "t double")
     if len(grid) < 4:
         return interp_time(samples, times, wanted)
     weights = _spline_weights(np.array([t for _, t in grid]), np.array(at, dtype=float))
-    rows = [
-        (float(t), int(grid[i][0]), float(weights[n, i])) for n, t in enumerate(at) for i in range(len(grid))
-    ]
+    rows = [(float(t), int(grid[i][0]), float(weights[n, i])) for n, t in enumerate(at) for i in np.flatnonzero(weights[n])]
     table = spark.createDataFrame(rows, "t double, t_idx bigint, weight double")
     joined = table.join(samples.drop("t"), "t_idx")
     return joined.groupBy("t", "node_id").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in UVW])
 
 
 def _spline_weights(x, at):
-    """Matrix S with S @ values = not-a-knot spline at ``at`` (clamped to the range of x)."""
+    """Matrix S with S @ values = not-a-knot spline at ``at`` (clamped to the range of x).
+
+    The inner second derivatives solve a tridiagonal system once the two end conditions are put in. Its transpose is solved for the
+    wanted times only, so work and memory are times x snapshots.
+    """
     import numpy as np
 
     n = len(x)
     h = np.diff(x)
-    a, r = np.zeros((n, n)), np.zeros((n, n))
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i, i - 1 : i + 2] = 6 / h[i - 1], -6 / h[i - 1] - 6 / h[i], 6 / h[i]
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    second = np.linalg.solve(a, r)  # second derivatives as a function of the values
+    low, main, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    # at each end the third derivative goes on over the first inner snapshot
+    main[0] += h[0] * (h[0] + h[1]) / h[1]
+    up[0] -= h[0] ** 2 / h[1]
+    main[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
     at = np.clip(at, x[0], x[-1])
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     p, q = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
-    eye = np.eye(n)
-    hk = (h[k] ** 2 / 6)[:, None]
-    return (
-        p[:, None] * eye[k] + q[:, None] * eye[k + 1]
-        + hk * ((p**3 - p)[:, None] * second[k] + (q**3 - q)[:, None] * second[k + 1])
-    )
+    rows = np.arange(len(at))
+    ends = np.zeros((len(at), n))  # weights of the second derivatives at all snapshots
+    ends[rows, k] += h[k] ** 2 / 6 * (p**3 - p)
+    ends[rows, k + 1] += h[k] ** 2 / 6 * (q**3 - q)
+    inner = ends[:, 1:-1].copy()
+    inner[:, 0] += ends[:, 0] * (h[0] + h[1]) / h[1]
+    inner[:, 1] -= ends[:, 0] * h[0] / h[1]
+    inner[:, -1] += ends[:, -1] * (h[-1] + h[-2]) / h[-2]
+    inner[:, -2] -= ends[:, -1] * h[-1] / h[-2]
+    # transposed system: below the diagonal stands the upper band, above it the lower one
+    m = n - 2
+    d, z = main.copy(), inner
+    for i in range(1, m):
+        f = up[i - 1] / d[i - 1]
+        d[i] -= f * low[i]
+        z[:, i] -= f * z[:, i - 1]
+    z[:, m - 1] /= d[m - 1]
+    for i in range(m - 2, -1, -1):
+        z[:, i] = (z[:, i] - low[i + 1] * z[:, i + 1]) / d[i]
+    out = np.zeros((len(at), n))
+    out[rows, k] += p
+    out[rows, k + 1] += q
+    out[:, :-2] += 6 * z / h[:-1]
+    out[:, 1:-1] -= 6 * z * (1 / h[:-1] + 1 / h[1:])
+    out[:, 2:] += 6 * z / h[1:]
+    return out
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -341,19 +361,38 @@ def _weights(kind: str) -> list[Column]:
     return sh.affine_weights(F.col("rows"), [F.col(a) for a in AXES], sh.CORNERS[kind])
 
 
+@dataclass(frozen=True)
+class MeshIndex:
+    """Tables that searches in a mesh read, written once: element cells with their affine rows, and centroids."""
+
+    elements: DataFrame
+    nodes: DataFrame
+    kind: str
+    frame: Frame
+    cells: DataFrame
+    levels: list[int]
+
+
+def mesh_index(elements: DataFrame, nodes: DataFrame, kind: str = "tet4", tol: float = sh.TOL) -> MeshIndex:
+    boxes = element_boxes(element_corners(elements, nodes, kind))
+    frame = Frame.of(Box.around(nodes))
+    cells = cut_lineage(element_cells(sh.affine_rows(boxes, "corners", sh.CORNERS[kind]), frame, tol).drop("corners", "m_x", "m_y", "m_z"))
+    return MeshIndex(elements, nodes, kind, frame, cells, used_levels(cells))
+
+
 def point_in_element(points: DataFrame, elements: DataFrame, nodes: DataFrame, kind: str = "tet4", tol: float = sh.TOL, hot: int | None = HOT_ROWS) -> DataFrame:
     """(id, elem_id, lam, nodes) of the containing element with the lowest id; points outside all elements have no row.
 
     For triangles the point also has to lie in the plane (within tol of the element size).
     """
-    n = sh.CORNERS[kind]
-    boxes = element_boxes(element_corners(elements, nodes, kind))
-    frame = Frame.of(Box.around(nodes))
-    # read by the level scan, the crowd check and the join: written once
-    cells = cut_lineage(element_cells(sh.affine_rows(boxes, "corners", n), frame, tol).drop("corners", "m_x", "m_y", "m_z"))
-    levels = used_levels(cells)
-    placed = locate(points.select("id", *AXES), frame, levels or [0])
-    joined = spread_join(placed, cells, CELL, hot)
+    return find_elements(points, mesh_index(elements, nodes, kind, tol), tol, hot)
+
+
+def find_elements(points: DataFrame, index: MeshIndex, tol: float = sh.TOL, hot: int | None = HOT_ROWS) -> DataFrame:
+    """``point_in_element`` with the index at hand."""
+    kind = index.kind
+    placed = locate(points.select("id", *AXES), index.frame, index.levels or [0])
+    joined = spread_join(placed, index.cells, CELL, hot)
     size = F.greatest(*[F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in AXES])
     ok = ~F.col("flat")
     for a in AXES:
@@ -361,7 +400,7 @@ def point_in_element(points: DataFrame, elements: DataFrame, nodes: DataFrame, k
     lam = _weights(kind)
     for v in lam:
         ok = ok & (v >= F.lit(-tol))
-    if n == 3:
+    if sh.CORNERS[kind] == 3:
         ok = ok & (F.abs(sh.affine_value(F.col("rows"), 2, [F.col(a) for a in AXES])) <= size * F.lit(tol) + F.lit(1e-12))
     return (
         joined.filter(ok)
@@ -414,26 +453,45 @@ def fem_sample(
     node of the element with the nearest centroid, or 0."""
     if fallback not in ("nearest_node", "nearest_element_node", "zero"):
         raise ValueError("fallback must be nearest_node, nearest_element_node or zero")
+    index = mesh_index(elements, nodes, kind)
     # both the inside part and the remainder read the containing elements: written once
-    found = cut_lineage(point_in_element(points, elements, nodes, kind, hot=hot))
+    found = cut_lineage(find_elements(points, index, hot=hot))
     inside = weighted_values(element_weights(found, kind), values, ("id", "elem_id"))
     rest = points.join(found.select("id"), "id", "left_anti")
     none = F.lit(None).cast("bigint").alias("elem_id")
     if fallback == "zero":
         outside = rest.select("id", none, *[F.lit(0.0).alias(c) for c in UVW])
-    elif fallback == "nearest_node":
-        outside = nearest_node_sample(rest.select("id", *AXES), nodes, values, hot).select("id", none, *UVW)
     else:
-        near = nearest_centroid_element(rest, elements, nodes, kind, hot=hot)
-        long = near.select("id", F.explode("nodes").alias("node_id")).join(
-            nodes.select("node_id", *[F.col(a).alias(f"n{a}") for a in AXES]), "node_id"
-        ).join(rest.select("id", *AXES), "id")
-        d = distance(F.col("nx"), F.col("ny"), F.col("nz"), F.col("x"), F.col("y"), F.col("z"))
-        pick = long.groupBy("id").agg(F.min_by("node_id", F.struct(d, F.col("node_id"))).alias("node_id"))
-        outside = pick.join(values.select("node_id", *UVW), "node_id").select("id", none, *UVW)
+        pick = _fallback_node(rest, index, fallback, hot)
+        outside = rest.select("id").join(pick, "id", "left").join(values.select("node_id", *UVW), "node_id", "left").select("id", none, *UVW)
     return inside.unionByName(outside)
 
 
+def _fallback_node(rest: DataFrame, index: MeshIndex, fallback: str, hot: int | None) -> DataFrame:
+    """(id, node_id): the nearest node, or the nearest node of the element with the nearest centroid; lowest id on ties."""
+    if fallback == "nearest_node":
+        near = knn(rest.select("id", *AXES), index.nodes.select(F.col("node_id").alias("id"), *AXES), 1, hot)
+        return near.select(F.col("q_id").alias("id"), F.col("p_id").alias("node_id"))
+    near = nearest_centroid_element(rest, index.elements, index.nodes, index.kind, hot=hot)
+    long = near.select("id", F.explode("nodes").alias("node_id")).join(
+        index.nodes.select("node_id", *[F.col(a).alias(f"n{a}") for a in AXES]), "node_id"
+    ).join(rest.select("id", *AXES), "id")
+    d = distance(F.col("nx"), F.col("ny"), F.col("nz"), F.col("x"), F.col("y"), F.col("z"))
+    return long.groupBy("id").agg(F.min_by("node_id", F.struct(d, F.col("node_id"))).alias("node_id"))
+
+
+def mesh_weights(points: DataFrame, index: MeshIndex, fallback: str = "nearest_node", hot: int | None = HOT_ROWS) -> DataFrame:
+    """(id, node_id, weight): which nodes make up the field at every point; none outside the mesh with fallback zero."""
+    if fallback not in ("nearest_node", "nearest_element_node", "zero"):
+        raise ValueError("fallback must be nearest_node, nearest_element_node or zero")
+    found = cut_lineage(find_elements(points, index, hot=hot))
+    inside = element_weights(found, index.kind).select("id", "node_id", "weight")
+    if fallback == "zero":
+        return inside
+    rest = points.join(found.select("id"), "id", "left_anti")
+    return inside.unionByName(_fallback_node(rest, index, fallback, hot).select("id", "node_id", F.lit(1.0).alias("weight")))
+
+
 def centroid_sample(points: DataFrame, elements: DataFrame, nodes: DataFrame, values: DataFrame, kind: str, strict_inside: bool = False, hot: int | None = HOT_ROWS) -> DataFrame:
     """(id, u, v, w) with the element of the nearest centroid; strict: 0 where it does not contain the point."""
     found = nearest_centroid_element(points, elements, nodes, kind, strict_inside, hot)

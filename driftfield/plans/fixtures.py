@@ -65,11 +65,11 @@ class Tables:
         return years.select("t_idx", F.col("t_idx").cast("double").alias("t"))
 
     def nodes(self) -> DataFrame:
-        """Every node of the F1 grid: (node_id, i, j, k, x, y, z)."""
+        """Every node of the F1 grid: (node_id, i, j, k, x, y, z), all combinations of the indices that line items have per axis."""
+        seen = self._node_rows().agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in "ijk"])  # a row with 10, 11 and 9 values
+        df = seen.select(F.explode("i").alias("i"), "j", "k").select("i", F.explode("j").alias("j"), "k").select("i", "j", F.explode("k").alias("k"))
         _, ny, nz = META.shape
-        n = F.col("node_id")
-        df = self.spark.range(10 * 11 * 9).withColumnRenamed("id", "node_id")
-        df = df.withColumns({"i": F.floor(n / (ny * nz)), "j": F.floor(n / nz) % ny, "k": n % nz})
+        df = df.select(((F.col("i") * ny + F.col("j")) * nz + F.col("k")).alias("node_id"), "i", "j", "k")
         return df.withColumns({a: F.col(c).cast("double") for a, c in zip("xyz", "ijk")})
 
     def node_values(self) -> DataFrame:
@@ -110,9 +110,8 @@ class Tables:
     def tets(self) -> DataFrame:
         """Every cell in six tetrahedra along its main diagonal: (elem_id, nodes)."""
         nx, ny, nz = META.shape
-        cell = F.col("cell")
-        df = self.spark.range((nx - 1) * (ny - 1) * (nz - 1)).withColumnRenamed("id", "cell")
-        df = df.withColumns({"i": F.floor(cell / ((ny - 1) * (nz - 1))), "j": F.floor(cell / (nz - 1)) % (ny - 1), "k": cell % (nz - 1)})
+        low = self.nodes().filter((F.col("i") < nx - 1) & (F.col("j") < ny - 1) & (F.col("k") < nz - 1))
+        df = low.select((((F.col("i") * (ny - 1)) + F.col("j")) * (nz - 1) + F.col("k")).alias("cell"), "i", "j", "k")
         df = df.select("cell", "i", "j", "k", F.posexplode(F.lit([list(t) for t in CUBE_TETS])).alias("ord", "inner"))
 
         def corner(c):
@@ -151,7 +150,7 @@ class Tables:
     def file_names(self) -> DataFrame:
         """One .pvtu name per order and a .vtu twin for even keys: (name)."""
         key = F.col("o_orderkey")
-        base = F.concat(F.lit("002_case_"), key.cast("string"))
+        base = F.concat(F.lit("run7_"), key.cast("string"))
         both = F.when(key % 2 == 0, F.array(F.lit(".pvtu"), F.lit(".vtu"))).otherwise(F.array(F.lit(".pvtu")))
         return self.raw("orders").select(F.explode(F.transform(both, lambda e: F.concat(base, e))).alias("name"))
 
@@ -163,7 +162,8 @@ SELECT CAST(floor((l_quantity-1)/5) AS BIGINT) i, CAST(round(l_discount*100) AS
 FROM lineitem GROUP BY 1,2,3"""),
     "nodes": ((), """
 SELECT (i*11+j)*9+k node_id, i, j, k, i::DOUBLE x, j::DOUBLE y, k::DOUBLE z
-FROM range(10) a(i), range(11) b(j), range(9) c(k)"""),
+FROM (SELECT DISTINCT CAST(floor((l_quantity-1)/5) AS BIGINT) i FROM lineitem), (SELECT DISTINCT CAST(round(l_discount*100) AS BIGINT) j FROM lineitem),
+ (SELECT DISTINCT CAST(round(l_tax*100) AS BIGINT) k FROM lineitem)"""),
     "node_values": (("grid", "nodes"), """
 SELECT n.node_id, n.i, n.j, n.k, n.x, n.y, n.z, coalesce(g.u,0) u, coalesce(g.v,0) v, coalesce(g.w,0) w
 FROM nodes n LEFT JOIN grid g USING (i,j,k)"""),
@@ -179,9 +179,9 @@ SELECT p_partkey id, (p_size-1)/49.0::DOUBLE*9 x, (p_partkey%1000)/1000.0::DOUBL
     "item_points": ((), """
 SELECT l_orderkey*10+l_linenumber id, (l_quantity-1)/49.0::DOUBLE*9 x, l_discount*100 y, l_tax*100 z FROM lineitem"""),
     "wide_points": (("points",), "SELECT id, 4.5::DOUBLE+(x-4.5::DOUBLE)*1.75::DOUBLE x, 5.0::DOUBLE+(y-5.0::DOUBLE)*1.75::DOUBLE y, 4.0::DOUBLE+(z-4.0::DOUBLE)*1.75::DOUBLE z, mass FROM points"),
-    "tets": ((), """
+    "tets": (("nodes",), """
 SELECT cell*6+ord elem_id, c0 n0, ((i+((a>>2)&1))*11+j+((a>>1)&1))*9+k+(a&1) n1, ((i+((b>>2)&1))*11+j+((b>>1)&1))*9+k+(b&1) n2, ((i+1)*11+j+1)*9+k+1 n3
-FROM (SELECT (i*10+j)*8+k cell, i, j, k, (i*11+j)*9+k c0 FROM range(9) r1(i), range(10) r2(j), range(8) r3(k)) c,
+FROM (SELECT (i*10+j)*8+k cell, i, j, k, node_id c0 FROM nodes WHERE i < 9 AND j < 10 AND k < 8) c,
      (VALUES (0,4,6),(1,4,5),(2,2,6),(3,2,3),(4,1,5),(5,1,3)) o(ord,a,b)"""),
     "cloud": ((), "SELECT vec_id id, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z, 1.0::DOUBLE+label mass FROM embeddings"),
     "event_rows": ((), """
@@ -193,5 +193,5 @@ SELECT particle_id, row_number() OVER (PARTITION BY particle_id ORDER BY ts, eve
     "ids": ((), "SELECT unnest(range((SELECT count(*) FROM part))) id"),
     "box": (("points",), "SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM points"),
     "file_names": ((), """
-SELECT '002_case_'||o_orderkey||'.pvtu' AS name FROM orders UNION ALL SELECT '002_case_'||o_orderkey||'.vtu' FROM orders WHERE o_orderkey%2=0"""),
+SELECT 'run7_'||o_orderkey||'.pvtu' AS name FROM orders UNION ALL SELECT 'run7_'||o_orderkey||'.vtu' FROM orders WHERE o_orderkey%2=0"""),
 }

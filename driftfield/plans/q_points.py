@@ -31,7 +31,7 @@ q("in_box", "SELECT id, x, y, z FROM wide_points WHERE x BETWEEN 0 AND 9 AND y B
 q("clamp_points", "SELECT id, least(greatest(x,-0.5),9.5) x, least(greatest(y,-0.5),10.5) y, least(greatest(z,-0.5),8.5) z FROM wide_points",
   lambda t: vec.clamp_points(t.wide_points().drop("mass"), vec.expand_box(BOX, 0.5)), "wide_points")
 q("box_size", "SELECT x1-x0 x, y1-y0 y, z1-z0 z FROM box",
-  lambda t: t.points().agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]), "box", "x y z", "")
+  lambda t: t.spark.createDataFrame([tuple(map(float, vec.box_size(t.box())))], "x double, y double, z double"), "box", "x y z", "")
 q("translate", "SELECT id, x+1.5 x, y-2 y, z+0.25 z FROM points", lambda t: vec.translate(_pts(t), (1.5, -2.0, 0.25)))
 q("scale", "SELECT id, x*2 x, y*3 y, z*0.5 z FROM points", lambda t: vec.scale(_pts(t), (2.0, 3.0, 0.5)))
 q("rotate2d", "SELECT id, x*cos(0.7)-y*sin(0.7) x, x*sin(0.7)+y*cos(0.7) y, z FROM points", lambda t: vec.rotate2d(_pts(t), 0.7))
@@ -66,15 +66,15 @@ q("percentile_clip", "SELECT event_id id, greatest(least(x,(SELECT quantile_cont
 
 
 def bits(seed, tag: str, key: str = "id") -> str:
-    return f"('0x'||substr(md5('{seed}:'||({key})||':{tag}'),1,8))::BIGINT::DOUBLE"
+    return f"('0x'||substr(md5('{seed}:'||({key})||':{tag}'),1,13))::BIGINT::DOUBLE"
 
 
 def U(seed, tag: str, key: str = "id") -> str:
-    return f"({bits(seed, tag, key)}/4294967296.0::DOUBLE)"
+    return f"({bits(seed, tag, key)}/4503599627370496.0::DOUBLE)"
 
 
 def N(seed, tag: str, key: str = "id") -> str:
-    return f"(sqrt(-2*ln(({bits(seed, tag + 'r', key)}+0.5::DOUBLE)/4294967296.0::DOUBLE))*cos(2*pi()*{U(seed, tag + 'a', key)}))"
+    return f"(sqrt(-2*ln(({bits(seed, tag + 'r', key)}+0.5::DOUBLE)/4503599627370496.0::DOUBLE))*cos(2*pi()*{U(seed, tag + 'a', key)}))"
 
 
 def box_sql(seed, key: str = "id") -> str:
@@ -116,10 +116,11 @@ q("stratified_points", "SELECT id, " + ", ".join(f"{a}0+({i}+{U(6, a)})*(({a}1-{
   lambda t: gen.stratified_points(t.spark, t.n_points(), t.box(), (2, 3, 4), 6).select("id", "x", "y", "z"), "box")
 
 _PDF = "exp(-((x-4)*(x-4)+(y-5)*(y-5))/8)"
-_DENS = f"""WITH probe AS (SELECT {box_sql(8)} FROM range(1000) r(id), box), bound AS (SELECT 1.1::DOUBLE*max({_PDF}) b FROM probe),
- cand AS (SELECT id, {box_sql('8c')}, {U('8c', 'accept')} a FROM (SELECT unnest(range(8*(SELECT count(*) FROM part))) id), box),
- fill AS (SELECT id, {box_sql('8f')} FROM (SELECT unnest(range(8*(SELECT count(*) FROM part), 9*(SELECT count(*) FROM part))) id), box)
-SELECT id, x, y, z FROM (SELECT * FROM (SELECT id, x, y, z FROM cand, bound WHERE a*b <= {_PDF} UNION ALL SELECT id, x, y, z FROM fill) ORDER BY id LIMIT (SELECT count(*) FROM part))"""
+def _dens(pdf: str, per_point: int) -> str:
+    """The first accepted of per_point candidates a point, which are more than enough."""
+    return f"""WITH probe AS (SELECT {box_sql(8)} FROM range(1000) r(id), box), bound AS (SELECT 1.1::DOUBLE*max({pdf}) b FROM probe),
+ cand AS (SELECT id, {box_sql('8c')}, {U('8c', 'accept')} a FROM (SELECT unnest(range({per_point}*(SELECT count(*) FROM part))) id), box)
+SELECT id, x, y, z FROM (SELECT id, x, y, z FROM cand, bound WHERE a*b <= {pdf} ORDER BY id LIMIT (SELECT count(*) FROM part))"""
 
 
 def _gauss_pdf(df):
@@ -127,13 +128,14 @@ def _gauss_pdf(df):
     return df.withColumn("pdf", F.exp(-(dx * dx + dy * dy) / 8.0))
 
 
-q("density_sampled_points", _DENS, lambda t: gen.density_sampled_points(t.spark, t.n_points(), t.box(), _gauss_pdf, 8), "box")
+q("density_sampled_points", _dens(_PDF, 40), lambda t: gen.density_sampled_points(t.spark, t.n_points(), t.box(), _gauss_pdf, 8), "box")
+_CORNER = "CASE WHEN x < 1.8 AND y < 2.0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"  # about 4 % of the box
+q("density_sampled_corner", _dens(_CORNER, 60), lambda t: gen.density_sampled_points(t.spark, t.n_points(), t.box(), lambda df: df.withColumn("pdf", F.expr(_CORNER)), 8), "box")
 _NEAR = "JOIN (SELECT c.id cid, arg_min(sqrt(n.u*n.u+n.v*n.v+n.w*n.w)+1e-10, (sqrt((c.x-n.x)*(c.x-n.x)+(c.y-n.y)*(c.y-n.y)+(c.z-n.z)*(c.z-n.z)), n.node_id)) pdf FROM {c} c, node_values n GROUP BY 1) ON cid=id"
 _SPAN = lambda seed: ", ".join(f"{U(seed, a)}*{hi} {a}" for a, _, hi in BOX.axes())
 _FIELD = f"""WITH probe AS (SELECT id, {_SPAN(3)} FROM range(1000) r(id)), bound AS (SELECT 1.1::DOUBLE*max(pdf) b FROM probe {_NEAR.format(c='probe')}),
- cand AS (SELECT id, {_SPAN('3c')}, {U('3c', 'accept')} a FROM (SELECT unnest(range(8*(SELECT count(*) FROM part))) id)),
- fill AS (SELECT id, {_SPAN('3f')} FROM (SELECT unnest(range(8*(SELECT count(*) FROM part), 9*(SELECT count(*) FROM part))) id))
-SELECT id, x, y, z FROM (SELECT * FROM (SELECT id, x, y, z FROM cand {_NEAR.format(c='cand')}, bound WHERE a*b <= pdf UNION ALL SELECT id, x, y, z FROM fill) ORDER BY id LIMIT (SELECT count(*) FROM part))"""
+ cand AS (SELECT id, {_SPAN('3c')}, {U('3c', 'accept')} a FROM (SELECT unnest(range(12*(SELECT count(*) FROM part))) id))
+SELECT id, x, y, z FROM (SELECT id, x, y, z FROM cand {_NEAR.format(c='cand')}, bound WHERE a*b <= pdf ORDER BY id LIMIT (SELECT count(*) FROM part))"""
 query("field_weighted_points", _FIELD, "node_values", "x y z", "id")(
     lambda t: gen.field_weighted_points(t.spark, t.n_points(), BOX, gen.grid_metric(t.node_values(), META.spacing, "magnitude"), 3, META)
 )
@@ -165,7 +167,7 @@ q("axis_histograms", _HIST, lambda t: gen.axis_histograms(_pts(t), 20), "points
 q("neighbour_distance_stats", "SELECT avg(d) mean, stddev_pop(d) std, min(d) min, max(d) max FROM (SELECT a.id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) d FROM cloud a JOIN cloud b ON a.id<>b.id GROUP BY 1)",
   lambda t: gen.neighbour_distance_stats(t.cloud()), "cloud", "mean std min max", "")
 q("shuffle_rows", f"SELECT id, {U(12, 'shuffle')} shuffle_key FROM points", lambda t: gen.shuffle_rows(t.points(), "id", 12).select("id", "shuffle_key"), dbl="shuffle_key")
-q("choose_without", f"SELECT id, key choice_key FROM (SELECT event_id id, -ln(({bits(13, 'choice', 'event_id')}+0.5::DOUBLE)/4294967296.0::DOUBLE)/x AS key FROM event_rows) ORDER BY key, id LIMIT 500",
+q("choose_without", f"SELECT id, key choice_key FROM (SELECT event_id id, -ln(({bits(13, 'choice', 'event_id')}+0.5::DOUBLE)/4503599627370496.0::DOUBLE)/x AS key FROM event_rows) ORDER BY key, id LIMIT 500",
   lambda t: gen.choose_without(t.event_points(), "id", F.col("x"), 500, 13).select("id", "choice_key"), "event_rows", "choice_key")
 q("choose_with", f"SELECT d.draw, min(r.id) id FROM (SELECT draw, {U(14, 'draw', 'draw')}*(SELECT sum(x) FROM event_points) u FROM (SELECT unnest(range((SELECT count(*) FROM part))) draw)) d ASOF JOIN (SELECT id, sum(x) OVER (ORDER BY id)-x lo FROM event_points) r ON d.u >= r.lo GROUP BY 1",
   lambda t: gen.choose_with(t.event_points(), "id", F.col("x"), t.n_points(), 14), "event_points", "", "draw id")

@@ -94,7 +94,21 @@ query(
     "series", "u v w", "node_id",
 )(lambda t: smp.time_derivative(t.samples(), t.times(), 2.5, 0.25))
 
-query("interp_time_cubic")(lambda t: smp.interp_time_cubic(t.samples(), t.times(), [0.0, 0.5, 2.25, 6.0, 7.5]))
+def _spline_basis_weights(at: list[float]) -> str:
+    """VALUES (t, t_idx, weight) of the not-a-knot spline over 0..6, by its truncated powers: the first and last inner times are no knots."""
+    import numpy as np
+
+    basis = lambda x: np.array([1.0, x, x * x, x**3, *[max(x - k, 0.0) ** 3 for k in (2, 3, 4)]])
+    solve = np.linalg.inv(np.array([basis(float(x)) for x in range(7)]))
+    return ", ".join(f"({t}::DOUBLE, {i}, {w!r}::DOUBLE)" for t in at for i, w in enumerate((basis(min(max(t, 0.0), 6.0)) @ solve).tolist()))
+
+
+_AT = [0.13, 0.57, 2.29, 5.93, 7.5]
+query(
+    "interp_time_cubic",
+    f"SELECT q.t, s.node_id, sum(wt*u) u, sum(wt*v) v, sum(wt*s.w) w FROM series s JOIN (VALUES {_spline_basis_weights(_AT)}) q(t, t_idx, wt) ON q.t_idx=s.t_idx GROUP BY 1, 2",
+    "series", "t u v w", "node_id", digits=7,
+)(lambda t: smp.interp_time_cubic(t.samples(), t.times(), _AT))
 
 
 
@@ -140,13 +154,11 @@ def tri(src: str, values: str = "node_values", mode: str = "clamp", keep: str =
         gone = "0" if mode == "zero" else "NULL"
         val0 = val
         val = lambda c: f"CASE WHEN {inside} THEN {val0(c)} ELSE {gone} END"
-    ren = lambda e: e
-    src_cols = f"(SELECT *, x AS px, y AS py, z AS pz FROM {src})"
-    return ren(f"""
+    return f"""
 SELECT {keep}, {val('u')} u, {val('v')} v, {val('w')} w
 FROM (SELECT * FROM {src}, (SELECT unnest([0,1]) dx), (SELECT unnest([0,1]) dy), (SELECT unnest([0,1]) dz)) p
 LEFT JOIN (SELECT {'' if values != 'series' else 't_idx, '}i, j, k, u, v, w FROM {values}) n ON {on} {extra_on}
-GROUP BY {keep}""")
+GROUP BY {keep}"""
 
 
 for _mode in ("clamp", "zero", "nan", "periodic"):
@@ -425,16 +437,51 @@ query(
 
 
 def _pseudo(t):
-    """Points whose four nearest nodes span a tetrahedron: weights sum to 1."""
+    """The nodes each point took, by their distances (which ids share a distance is decided by rounding)."""
     found = smp.pseudo_elements(t.points(), t.nodes(), "tet4")
-    total = F.aggregate("lam", F.lit(0.0), lambda s, v: s + v)
-    return found.select("id", F.size("nodes").alias("n"), F.when(F.abs(total) < 0.5, F.lit(1.0)).otherwise(total).alias("total"))
+    at = t.nodes().select("node_id", *[F.col(a).alias(f"n{a}") for a in "xyz"])
+    long = found.select("id", F.posexplode("nodes").alias("rank", "node_id")).join(at, "node_id").join(t.points().drop("mass"), "id")
+    return long.select("id", "rank", magnitude(*[F.col(a) - F.col(f"n{a}") for a in "xyz"]).alias("d"))
 
 
-query("pseudo_elements", "SELECT id, 4 n, 1.0::DOUBLE total FROM points", "points", "total", "id n")(_pseudo)
-query("mesh_check", "SELECT count(*) n_elements, 0 n_wrong_width, 0 n_dangling FROM tets", "tets", "", "n_elements n_wrong_width n_dangling")(
-    lambda t: smp.mesh_check(t.tets(), t.nodes(), "tet4")
-)
+query(
+    "pseudo_elements",
+    """SELECT id, rank, d FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d)-1 AS rank FROM
+ (SELECT p.id, sqrt((p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y)+(p.z-n.z)*(p.z-n.z)) d FROM points p, nodes n)) WHERE rank < 4""",
+    "points nodes", "d", "id rank",
+)(_pseudo)
+
+
+def _broken_mesh(t):
+    """Elements of line items' cells, some of them a node short, over the nodes with few line items left out."""
+    few = t.node_values().filter("u > 0.05").select("node_id")
+    short = F.when(F.col("elem_id") % 7 == 0, F.slice("nodes", 1, 3)).otherwise(F.col("nodes"))
+    return t.tets().select("elem_id", short.alias("nodes")), t.nodes().join(few, "node_id", "left_anti")
+
+
+query(
+    "mesh_check",
+    """SELECT (SELECT count(*) FROM tets) n_elements, (SELECT count(*) FROM tets WHERE elem_id%7=0) n_wrong_width,
+ (SELECT count(*) FROM (SELECT unnest(CASE WHEN elem_id%7=0 THEN [n0,n1,n2] ELSE [n0,n1,n2,n3] END) n FROM tets) JOIN node_values ON node_id=n WHERE u > 0.05) n_dangling""",
+    "tets node_values", "", "n_elements n_wrong_width n_dangling",
+)(lambda t: smp.mesh_check(*_broken_mesh(t), "tet4"))
+
+
+def _element_cells(t):
+    """Cells of side 2 per element: an element of side 1 touches one or two of them per axis."""
+    boxes = smp.element_boxes(smp.element_corners(t.tets(), t.nodes(), "tet4"))
+    frame = cells.Frame((0.0, 0.0, 0.0), 2.0)
+    return smp.element_cells(boxes, frame).select("elem_id", "level", "cx", "cy", "cz")
+
+
+query(
+    "element_cells",
+    """SELECT elem_id, 0 AS level, cx, cy, cz FROM (SELECT t.elem_id, n.i, n.j, n.k FROM tets t JOIN nodes n ON n.node_id=t.n0),
+ LATERAL (SELECT DISTINCT floor((i+e)/2)::BIGINT cx FROM (VALUES (-1e-4::DOUBLE), (1+1e-4::DOUBLE)) v(e)),
+ LATERAL (SELECT DISTINCT floor((j+e)/2)::BIGINT cy FROM (VALUES (-1e-4::DOUBLE), (1+1e-4::DOUBLE)) v(e)),
+ LATERAL (SELECT DISTINCT floor((k+e)/2)::BIGINT cz FROM (VALUES (-1e-4::DOUBLE), (1+1e-4::DOUBLE)) v(e))""",
+    "tets nodes", "", "elem_id level cx cy cz",
+)(_element_cells)
 query(
     "sampling_profile",
     f"""SELECT count(*) n, avg(s) speed_mean, stddev_pop(s) speed_std, min(s) speed_min, max(s) speed_max, avg(u) u_mean, stddev_pop(u) u_std, avg(v) v_mean, stddev_pop(v) v_std, avg(w) w_mean, stddev_pop(w) w_std,
@@ -452,6 +499,21 @@ def _box_sql(shift: str, size: str) -> str:
     return f"(SELECT id, {cols} FROM points)"
 
 
+def _mixed_boxes(t, shift: float, size: float):
+    """The same, but every hundredth box is as large as the domain."""
+    big = F.col("id") % 100 == 0
+    return _boxes(t, shift, size).withColumns({f"hi_{a}": F.when(big, F.col(f"lo_{a}") + 12.0).otherwise(F.col(f"hi_{a}")) for a in "xyz"})
+
+
+_MIXED = "(SELECT * REPLACE ({cols}) FROM {src})"
+_mixed_sql = lambda src: _MIXED.format(src=src, cols=", ".join(f"CASE WHEN id%100=0 THEN lo_{a}+12 ELSE hi_{a} END AS hi_{a}" for a in "xyz"))
+query(
+    "box_intersects_mixed",
+    f"SELECT a.id a_id, b.id b_id FROM {_mixed_sql(_box_sql('0.0::DOUBLE', '0.3::DOUBLE'))} a, {_mixed_sql(_box_sql('0.1::DOUBLE', '0.2::DOUBLE'))} b WHERE "
+    + " AND ".join(f"a.lo_{x}<=b.hi_{x} AND b.lo_{x}<=a.hi_{x}" for x in "xyz"),
+    "points", "", "a_id b_id",
+)(lambda t: cells.box_intersections(_mixed_boxes(t, 0.0, 0.3), _mixed_boxes(t, 0.1, 0.2), cells.Frame.of(BOX)))
+
 query(
     "box_intersects",
     f"SELECT a.id a_id, b.id b_id FROM {_box_sql('0.0::DOUBLE', '0.3::DOUBLE')} a, {_box_sql('0.1::DOUBLE', '0.2::DOUBLE')} b WHERE "
@@ -535,8 +597,47 @@ SELECT particle_id, t_idx, t_idx*(1/23.0::DOUBLE) t, x, y, z FROM w"""
 query("advect_analytic", EULER_ROTATION, "points", "t x y z", "particle_id t_idx")(
     lambda t: move.advect(t.points(), move.AnalyticField(analytic.rotation()), 1 / 23.0, 30, "euler")
 )
-query("advect_rk4_steps")(lambda t: move.advect(t.points(), _field(t), 0.5, 20, "rk4", rules.reflect(BOX), record_every=5))
-query("advect_series")(
+def _chain(step, first: int, last: int) -> str:
+    """CTEs s1 .. sN, each the table after one more step of the table before."""
+    return ", ".join(f"s{n} AS MATERIALIZED ({step(n, 'points' if n == 1 else f's{n - 1}')})" for n in range(first, last + 1))
+
+
+def _recorded(steps, dt: float) -> str:
+    return " UNION ALL ".join(f"SELECT id particle_id, {n} t_idx, {n * dt}::DOUBLE t, x, y, z FROM {f's{n}' if n else 'points'}" for n in steps)
+
+
+def _rk4_on(src: str, dt: float) -> str:
+    return displace_sql("rk4", f"{dt}::DOUBLE").replace("points", src)
+
+
+query(
+    "advect_rk4_steps",
+    f"WITH {_chain(lambda n, src: _mirrored(_rk4_on(src, 0.5)), 1, 20)} {_recorded(range(0, 21, 5), 0.5)}",
+    "points node_values", "t x y z", "particle_id t_idx", digits=5,
+)(lambda t: move.advect(t.points(), _field(t), 0.5, 20, "rk4", rules.reflect(BOX), record_every=5))
+def _values_at(t: float) -> str:
+    """Node values at a time between two snapshots."""
+    left = min(int(t), 5)
+    cols = ", ".join(f"a.{c}+{t - left!r}::DOUBLE*(b.{c}-a.{c}) {c}" for c in "uvw")
+    return f"(SELECT a.node_id, a.i, a.j, a.k, a.i::DOUBLE x, a.j::DOUBLE y, a.k::DOUBLE z, {cols} FROM series a JOIN series b ON b.node_id=a.node_id AND b.t_idx={left + 1} WHERE a.t_idx={left})"
+
+
+def _series_rk4(n: int, src: str, dt: float) -> str:
+    t = (n - 1) * dt
+    stage = lambda a, at: f"({tri(a, _values_at(at))})"
+    ctes = [f"k1 AS {stage(src, t)}"]
+    for m, (share, at) in enumerate(((0.5, t + dt / 2), (0.5, t + dt / 2), (1.0, t + dt)), 2):
+        cols = ", ".join(f"s.{a}+{share * dt}::DOUBLE*k{m - 1}.{q} {a}" for a, q in zip("xyz", "uvw"))
+        ctes += [f"p{m} AS (SELECT s.id, {cols} FROM {src} s JOIN k{m - 1} USING (id))", f"k{m} AS {stage(f'p{m}', at)}"]
+    cols = ", ".join(f"least(greatest(s.{a}+{dt}::DOUBLE*(k1.{q}+2*k2.{q}+2*k3.{q}+k4.{q})/6,0),{hi}) {a}" for (a, _, hi), q in zip(BOX.axes(), "uvw"))
+    return f"WITH {', '.join(ctes)} SELECT s.id, {cols} FROM {src} s JOIN k1 USING (id) JOIN k2 USING (id) JOIN k3 USING (id) JOIN k4 USING (id)"
+
+
+query(
+    "advect_series",
+    f"WITH {_chain(lambda n, src: _series_rk4(n, src, 0.25), 1, 12)} {_recorded(range(13), 0.25)}",
+    "points series", "t x y z", "particle_id t_idx", digits=5,
+)(
     lambda t: move.advect(t.points(), move.GridSeriesField(t.series().drop("t", "node_id"), t.times(), META), 0.25, 12, "rk4", rules.clamp(BOX))
 )
 
@@ -580,6 +681,25 @@ def _smooth(t):
     return move.smooth_joints(rows, per, n, 0.4)
 
 
+def _smooth_most(t):
+    """Four of five snapshots blended: mirror images are themselves blended at the joint before."""
+    rows, per, n = move.repeat_period(t.samples(), t.times(), 3, (1.0, 5.0))
+    return move.smooth_joints(rows, per, n, 0.8)
+
+
+def _joint_by_joint() -> str:
+    """Snapshot after snapshot in the order of time: own weight (i + 1) / 4, the rest from the mirror image as it then is."""
+    ctes, now = [f"r0 AS ({REPEAT})"], 0
+    for joint in (5, 10):
+        for i in range(4):
+            a = (i + 1) / 4
+            mixed = ", ".join(f"CASE WHEN a.t_idx={joint + i} THEN {a}::DOUBLE*a.{c}+{1 - a}::DOUBLE*b.{c} ELSE a.{c} END {c}" for c in "uvw")
+            ctes.append(f"r{now + 1} AS MATERIALIZED (SELECT a.t_idx, a.t, a.node_id, {mixed} FROM r{now} a LEFT JOIN r{now} b ON b.node_id=a.node_id AND a.t_idx={joint + i} AND b.t_idx={joint - 1 - i})")
+            now += 1
+    return f"WITH {', '.join(ctes)} SELECT * FROM r{now}"
+
+
+query("smooth_joints_most", _joint_by_joint(), "series", "t u v w", "t_idx node_id")(_smooth_most)
 query(
     "smooth_joints",
     f"""WITH r AS ({REPEAT}) SELECT a.t_idx, a.t, a.node_id, {", ".join(f"CASE WHEN a.t_idx IN (5,10) THEN 0.5*a.{c}+0.5*b.{c} ELSE a.{c} END {c}" for c in "uvw")}
@@ -600,9 +720,82 @@ query(
     )
 )
 
-query("fem_sample_tet4_element_node")(
-    lambda t: smp.fem_sample(t.wide_points(), t.tets(), t.nodes(), t.node_values(), "tet4", "nearest_element_node")
+_NEAR_ELEMENT = """SELECT p.id, arg_min(e.elem_id, ((p.x-mx)*(p.x-mx)+(p.y-my)*(p.y-my)+(p.z-mz)*(p.z-mz), e.elem_id)) elem_id FROM {src} p, ({cent}) e GROUP BY p.id"""
+query(
+    "fem_sample_tet4_element_node",
+    f"""WITH hit AS ({FEM_INSIDE}), near AS ({_NEAR_ELEMENT.format(src='(SELECT * FROM wide_points WHERE id NOT IN (SELECT id FROM hit))', cent=CENTROIDS)}),
+ pick AS (SELECT p.id, arg_min(n.node_id, ((p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y)+(p.z-n.z)*(p.z-n.z), n.node_id)) node_id
+  FROM near JOIN wide_points p USING (id) JOIN tets t USING (elem_id) JOIN nodes n ON n.node_id IN (n0, n1, n2, n3) GROUP BY p.id)
+SELECT id, elem_id, u, v, w FROM hit UNION ALL SELECT pick.id, NULL::BIGINT, v.u, v.v, v.w FROM pick JOIN node_values v USING (node_id)""",
+    "wide_points tets nodes node_values", "u v w", "id elem_id",
+)(lambda t: smp.fem_sample(t.wide_points(), t.tets(), t.nodes(), t.node_values(), "tet4", "nearest_element_node"))
+query(
+    "centroid_sample_strict",
+    f"""WITH near AS ({_NEAR_ELEMENT.format(src='wide_points', cent=CENTROIDS)}), h AS (
+ SELECT p.id, w.l1, w.l2, w.l3, w.l4, a.u au, a.v av, a.w aw, b.u bu, b.v bv, b.w bw, c.u cu, c.v cv, c.w cw, d.u du, d.v dv, d.w dw
+ FROM wide_points p JOIN near USING (id) JOIN tets t USING (elem_id)
+ JOIN node_values a ON a.node_id=n0 JOIN node_values b ON b.node_id=n1 JOIN node_values c ON c.node_id=n2 JOIN node_values d ON d.node_id=n3,
+ LATERAL (SELECT (p.x-a.x)*(b.x-a.x)+(p.y-a.y)*(b.y-a.y)+(p.z-a.z)*(b.z-a.z) fa, (p.x-a.x)*(c.x-b.x)+(p.y-a.y)*(c.y-b.y)+(p.z-a.z)*(c.z-b.z) fb,
+  (p.x-a.x)*(d.x-c.x)+(p.y-a.y)*(d.y-c.y)+(p.z-a.z)*(d.z-c.z) fc) f, LATERAL (SELECT 1-fa l1, fa-fb l2, fb-fc l3, fc l4) w)
+SELECT id, {", ".join(f"CASE WHEN least(l1,l2,l3,l4) >= -1e-6 THEN l1*a{c}+l2*b{c}+l3*c{c}+l4*d{c} ELSE 0 END {c}" for c in "uvw")} FROM h""",
+    "wide_points tets nodes node_values", "u v w", "id",
+)(lambda t: smp.centroid_sample(t.wide_points(), t.tets(), t.nodes(), t.node_values(), "tet4", strict_inside=True))
+
+# ---------------------------------------------------------------------------------------------------
+# fields on nodes and meshes that change with time
+
+
+def _node_of(p: str) -> str:
+    """The nearest grid node of a point, lower index on ties."""
+    i, j, k = (f"least(greatest(ceil({p}.{a}-0.5::DOUBLE),0),{hi})" for a, _, hi in BOX.axes())
+    return f"CAST(({i}*11+{j})*9+{k} AS BIGINT)"
+
+
+def _node_step(src: str, t: float, dt: float) -> str:
+    cols = ", ".join(f"p.{a}+{dt}::DOUBLE*n.{q} {a}" for a, q in zip("xyz", "uvw"))
+    return f"SELECT p.id, {cols} FROM {src} p JOIN {_values_at(t)} n ON n.node_id={_node_of('p')}"
+
+
+def _mesh_step(src: str, values: str, dt: float) -> str:
+    """Euler step in the mesh; outside it the nearest node counts."""
+    inside = FEM_INSIDE.replace("wide_points", src).replace("JOIN node_values", f"JOIN {values}")
+    cols = ", ".join(f"p.{a}+{dt}::DOUBLE*h.{q} {a}" for a, q in zip("xyz", "uvw"))
+    return f"""WITH hit AS ({inside}), everyone AS (SELECT id, u, v, w FROM hit UNION ALL
+ SELECT p.id, n.u, n.v, n.w FROM {src} p JOIN {values} n ON n.node_id={_node_of('p')} WHERE p.id NOT IN (SELECT id FROM hit))
+SELECT p.id, {cols} FROM {src} p JOIN everyone h USING (id)"""
+
+
+def _node_series(t):
+    return move.NodeSeriesField(t.nodes(), t.samples().drop("t"), t.times())
+
+
+def _mesh_series(t):
+    return move.MeshSeriesField(t.tets(), t.nodes(), t.samples().drop("t"), t.times())
+
+
+query("displace_nodes_euler", _node_step("points", 1.3, 2.0), "points series", "x y z", "id")(
+    lambda t: move.displace(t.points().drop("mass"), _node_series(t), 2.0, "euler", 1.3)
 )
-query("centroid_sample_strict")(
-    lambda t: smp.centroid_sample(t.wide_points(), t.tets(), t.nodes(), t.node_values(), "tet4", strict_inside=True)
+query("displace_steady_nodes", "SELECT p.id, p.x+2*n.u x, p.y+2*n.v y, p.z+2*n.w z FROM points p JOIN node_values n ON n.node_id=" + _node_of("p"), "points node_values", "x y z", "id")(
+    lambda t: move.displace(t.points().drop("mass"), move.NodeField(t.nodes(), t.node_values().select("node_id", *"uvw")), 2.0, "euler")
 )
+query(
+    "advect_nodes_two_steps",
+    f"WITH {_chain(lambda n, src: _node_step(src, 1.25 + (n - 1) * 0.5, 0.5), 1, 2)} " + _recorded(range(3), 0.5).replace("::DOUBLE t,", "::DOUBLE+1.25 t,"),
+    "points series", "t x y z", "particle_id t_idx",
+)(lambda t: move.advect(t.points(), _node_series(t), 0.5, 2, "euler", t0=1.25))
+query(
+    "with_velocity_nodes",
+    f"""WITH q AS (SELECT id, x, y, z, least(greatest(t,0),6) t FROM {TIMED}), b AS (SELECT *, least(floor(t),5) l FROM q)
+SELECT p.id, {", ".join(f"a.{c}+(p.t-p.l)*(b.{c}-a.{c}) {c}" for c in "uvw")} FROM b p
+JOIN series a ON a.t_idx=p.l AND a.node_id={_node_of('p')} JOIN series b ON b.t_idx=p.l+1 AND b.node_id=a.node_id""",
+    "points series", "u v w", "id",
+)(lambda t: move.with_velocity(_timed_points(t), _node_series(t)).select("id", "u", "v", "w"))
+query("displace_mesh_euler", _mesh_step("wide_points", "node_values", 0.5), "wide_points tets nodes node_values", "x y z", "id")(
+    lambda t: move.displace(t.wide_points().drop("mass"), move.MeshField(t.tets(), t.nodes(), t.node_values().select("node_id", *"uvw")), 0.5, "euler")
+)
+query(
+    "advect_mesh_series",
+    f"WITH {_chain(lambda n, src: _mesh_step(src, _values_at(1.25 + (n - 1) * 0.5), 0.5), 1, 2)} " + _recorded(range(3), 0.5).replace("::DOUBLE t,", "::DOUBLE+1.25 t,"),
+    "points series tets nodes", "t x y z", "particle_id t_idx",
+)(lambda t: move.advect(t.points(), _mesh_series(t), 0.5, 2, "euler", t0=1.25))

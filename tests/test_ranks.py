@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftfield.operators import ranks
+from driftfield.model import Box
+from driftfield.operators import points, ranks
 
 
 def test_number_rows_over_many_ranges(spark):
@@ -34,9 +35,46 @@ def test_prefix_sum_over_many_ranges(spark):
     assert [r["running"] for r in got.orderBy("id").collect()] == list(want) and total == want[-1]
 
 
-def test_first_rows_beyond_the_top_k_limit(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "TOP_K_LIMIT", 3)
-    assert sorted(r["id"] for r in ranks.first_rows(spark.range(90), "id", 31, rows_per_range=7).collect()) == list(range(31))
+def test_prefix_sums_leave_no_gaps(spark):
+    df = spark.range(300).withColumn("w", 1.0 / (F.col("id") % 7 + 3))
+    got, total = ranks.prefix_sum(df, "id", "w", "hi", rows_per_range=11, before="lo")
+    rows = got.orderBy("id").collect()
+    assert rows[0]["lo"] == 0.0 and rows[-1]["hi"] == total
+    assert all(a["hi"] == b["lo"] for a, b in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 89, 90, 95, 500])
+def test_first_rows_order_ties_and_nulls(spark, n):
+    rows = [(i, float(i % 9)) for i in range(90)] + [(90, None), (91, float("nan")), (92, None)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    want = sorted((v, i) for i, v in rows if v is not None and v == v)[:n]
+    assert sorted((r["v"], r["id"]) for r in ranks.first_rows(df, "v", n, "id").collect()) == want
+
+
+def test_first_rows_of_many(spark):
+    df = spark.range(60_000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    values = sorted(r["v"] for r in df.collect())
+    for n in (9_999, 10_001, 30_000):
+        assert sorted(r["v"] for r in ranks.first_rows(df, "v", n).collect()) == values[:n]
+
+
+def test_sampler_accepts_only_its_support(spark):
+    box = Box((0, 0, 0), (1, 1, 1))
+    narrow = lambda df: df.withColumn("pdf", (F.col("x") < 0.01).cast("double"))
+    got = points.density_sampled_points(spark, 300, box, narrow, seed=3)
+    row = got.agg(F.count("*"), F.max("x"), F.countDistinct("id")).first()
+    assert row[0] == row[2] == 300 and row[1] < 0.01
+    spike = lambda df: df.withColumn("pdf", F.when(F.col("x") < 0.001, 50.0).otherwise(1.0))  # above every probe
+    share = points.density_sampled_points(spark, 4000, box, spike, seed=5, probes=5).filter("x < 0.001").count() / 4000
+    assert 0.02 < share < 0.08
+    with pytest.raises(ValueError):
+        points.density_sampled_points(spark, 10, box, lambda df: df.withColumn("pdf", F.when(F.col("id") < 0, 1.0).otherwise(-1.0)), max_rounds=2)
+
+
+def test_every_draw_meets_one_interval(spark):
+    df = spark.range(500).withColumn("w", 1.0 / (F.col("id") + 3))
+    got = points.choose_with(df, "id", F.col("w"), 3000, seed=2).collect()
+    assert sorted(r["draw"] for r in got) == list(range(3000))
 
 
 @pytest.mark.parametrize("span", [1, 4, 1000])
