@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftfield.functions.kernels import sph_kernel
 from driftfield.functions.vector import PLANES, percentile_clip, slab_filter
 from driftfield.model import AXES, Box
-from driftfield.operators.cells import HOT_ROWS, Frame, ball_pairs, knn, sites, spread_join
+from driftfield.operators.cells import BLOCKS_BROADCAST, HOT_ROWS, Frame, ball_pairs, knn, sites, spread_join
 from driftfield.session import cut_lineage
 
-GRID_NODES_LIMIT = 1_000_000
+SLAB_NODES = 1_000_000  # grid nodes that one task holds
+#: Beyond this many bandwidths a Gaussian is 0 in double precision.
+WHOLE_REACH = 38.7
 
 
 def bandwidths(points: DataFrame, axes=AXES) -> DataFrame:
@@ -51,8 +53,10 @@ BLOCKS_PER_TASK = 8  # a cell with more blocks than this is shared by several ta
 def _blocks(df: DataFrame, side: float, prefix: str, extra: str) -> DataFrame:
     """Rows packed into arrays of about BLOCK rows per cell: a crowded cell becomes many blocks, none grows with the data."""
     cells = df.selectExpr("*", *[f"CAST(floor({a} / {side!r}D) AS bigint) AS c{a}" for a in AXES])
-    sizes = cells.groupBy("cx", "cy", "cz").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_b"))
-    dealt = cells.join(sizes, ["cx", "cy", "cz"]).withColumn("_blk", F.pmod(F.xxhash64(*AXES), F.col("_b")))
+    sizes = cut_lineage(cells.groupBy("cx", "cy", "cz").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_b")).filter("_b > 1"))
+    if sizes.count() <= BLOCKS_BROADCAST:  # crowded cells only: their rows are tagged where they lie
+        sizes = F.broadcast(sizes)
+    dealt = cells.join(sizes, ["cx", "cy", "cz"], "left").withColumn("_blk", F.pmod(F.xxhash64(*AXES), F.coalesce("_b", F.lit(1))))
     return dealt.groupBy("cx", "cy", "cz", "_blk").agg(
         *[F.collect_list(c).alias(f"{prefix}{c}") for c in (*AXES, extra)]
     ).drop("_blk")
@@ -80,10 +84,14 @@ def _gaussian_sums(points: DataFrame, queries: DataFrame, h: float, reach: float
         norm = (2.0 * np.pi) ** (-dim / 2.0)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                d2 = 0.0
-                for q, p in ((row.qx, row.px), (row.qy, row.py), (row.qz, row.pz)):
-                    d2 = d2 + (np.asarray(q)[:, None] - np.asarray(p)[None, :]) ** 2
-                k = np.where(d2 <= side * side, np.exp(-0.5 * d2 / (h * h)), 0.0)
+                q, p = (np.stack(c, 1) for c in ((row.qx, row.qy, row.qz), (row.px, row.py, row.pz)))
+                mid = q.mean(0)
+                q, p = (q - mid) / h, (p - mid) / h
+                # squared distances as one matrix product about the middle of the block
+                d2 = (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2.0 * (q @ p.T)
+                k = np.exp(-0.5 * np.maximum(d2, 0.0))
+                if reach < WHOLE_REACH:
+                    k[d2 > reach * reach] = 0.0
                 yield pd.DataFrame({"x": row.qx, "y": row.qy, "z": row.qz, "s": norm * (k @ np.asarray(row.pn))})
 
     out = pairs.select("qx", "qy", "qz", "px", "py", "pz", "pn").mapInPandas(sums, "x double, y double, z double, s double")
@@ -91,12 +99,12 @@ def _gaussian_sums(points: DataFrame, queries: DataFrame, h: float, reach: float
 
 
 def kde_at(
-    points: DataFrame, queries: DataFrame, h: float, dim: int = 3, scale: str = "kernel_mean", reach: float = 8.5
+    points: DataFrame, queries: DataFrame, h: float, dim: int = 3, scale: str = "kernel_mean", reach: float = WHOLE_REACH
 ) -> DataFrame:
     """(id, rho): mean Gaussian kernel of all points at every query.
 
-    Pairs beyond reach * h are left out: at 8.5 each is below 2.1e-16 of the kernel's peak, so the sum
-    is whole to double precision. Copies of a position are merged first. ``scale='density'`` divides by h^d.
+    Every pair whose kernel is not 0 in double precision counts. A smaller ``reach`` (in bandwidths) leaves pairs out: at 8.5 each of them
+    is below 2.1e-16 of the kernel's peak. Copies of a position are merged first. ``scale='density'`` divides by h^d.
     """
     src = sites(points.withColumn("mass", F.lit(1.0))).select(*AXES, "n")
     n = points.count()
@@ -125,35 +133,48 @@ def grid_nodes(points: DataFrame, box: Box, shape) -> DataFrame:
     return df.withColumns(at)
 
 
-def _kde_grid_sums(points: DataFrame, axes: list[list[float]], h: float) -> DataFrame:
+def _kde_grid_sums(points: DataFrame, axes: list[list[float]], h: float, slab_nodes: int = SLAB_NODES) -> DataFrame:
     """(gx, gy, gz, s): kernel sums on a grid without forming pairs.
 
-    A Gaussian is a product over the axes, so a batch of points contributes one matrix product; every
-    task keeps one array of grid size and hands it on once, and Spark adds the arrays up.
+    A Gaussian is a product over the axes, so a batch of points contributes one matrix product; every task keeps one array of a slab's
+    size and hands it on once, and Spark adds the arrays up. A larger grid is cut into slabs along x and y, each with tasks of its own;
+    there are no more tasks per slab than cores, so what is handed on does not grow with the points.
     """
+    nx, ny, nz = (len(a) for a in axes)
+    wide_y = max(1, min(ny, slab_nodes // nz))
+    wide_x = max(1, min(nx, slab_nodes // (nz * wide_y)))
+    slabs = [(x, y) for x in range(0, nx, wide_x) for y in range(0, ny, wide_y)]
 
     def partial(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
         gx, gy, gz = (np.array(a) for a in axes)
-        total = np.zeros((len(gx), len(gy), len(gz)))
-        seen = False
+        totals = {}
         for batch in batches:
-            for lo in range(0, len(batch), 4096):
-                part = batch.iloc[lo : lo + 4096]
-                seen = True
-                ex, ey, ez = (
-                    np.exp(-0.5 * ((part[a].to_numpy()[:, None] - g[None, :]) / h) ** 2) for a, g in zip(AXES, (gx, gy, gz))
-                )
-                for k in range(len(gz)):
-                    total[:, :, k] += (ex * ez[:, k : k + 1]).T @ ey
-        if seen:
-            i, j, k = np.meshgrid(*(np.arange(len(g)) for g in (gx, gy, gz)), indexing="ij")
-            yield pd.DataFrame({"gx": i.ravel(), "gy": j.ravel(), "gz": k.ravel(), "s": total.ravel()})
-
-    rows = points.select(*AXES).na.drop().mapInPandas(partial, "gx bigint, gy bigint, gz bigint, s double")
-    return rows.groupBy("gx", "gy", "gz").agg(F.sum("s").alias("s"))
+            for slab, rows in batch.groupby("slab") if len(slabs) > 1 else [(0, batch)]:
+                x0, y0 = slabs[slab]
+                sides = gx[x0 : x0 + wide_x], gy[y0 : y0 + wide_y], gz
+                total = totals.setdefault(slab, np.zeros(tuple(len(g) for g in sides)))
+                for lo in range(0, len(rows), 4096):
+                    part = rows.iloc[lo : lo + 4096]
+                    ex, ey, ez = (np.exp(-0.5 * ((part[a].to_numpy()[:, None] - g[None, :]) / h) ** 2) for a, g in zip(AXES, sides))
+                    for k in range(len(gz)):
+                        total[:, :, k] += (ex * ez[:, k : k + 1]).T @ ey
+        for slab, total in totals.items():
+            x0, y0 = slabs[slab]
+            i, j, k = np.meshgrid(*(np.arange(n) for n in total.shape), indexing="ij")
+            yield pd.DataFrame({"gx": x0 + i.ravel(), "gy": y0 + j.ravel(), "gz": k.ravel(), "s": total.ravel()})
+
+    rows, cores = points.select(*AXES).na.drop(), points.sparkSession.sparkContext.defaultParallelism
+    if len(slabs) > 1:
+        share = F.pmod(F.xxhash64(*AXES), F.lit(cores))
+        rows = rows.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(len(slabs) - 1)))).withColumn("_share", share)
+        rows = rows.repartition(len(slabs) * cores, "slab", "_share").drop("_share")
+    else:
+        rows = rows.coalesce(cores).withColumn("slab", F.lit(0))
+    out = rows.mapInPandas(partial, "gx bigint, gy bigint, gz bigint, s double")
+    return out.groupBy("gx", "gy", "gz").agg(F.sum("s").alias("s"))
 
 
 def kde_grid(points: DataFrame, h: float, shape, dim: int = 3, box: Box | None = None, normalize: bool = True) -> DataFrame:
@@ -165,12 +186,8 @@ def kde_grid(points: DataFrame, h: float, shape, dim: int = 3, box: Box | None =
     nodes = grid_nodes(points, box, shape)
     norm = (2.0 * 3.141592653589793) ** (-dim / 2.0)
     n = points.count()
-    nx, ny, nz = shape
-    if nx * ny * nz <= GRID_NODES_LIMIT:
-        sums = _kde_grid_sums(points, grid_axes(box, shape), h)
-        rho = nodes.join(sums, ["gx", "gy", "gz"]).withColumn("rho", F.col("s") * F.lit(norm / max(n, 1))).drop("s")
-    else:
-        rho = nodes.join(kde_at(points, nodes, h, dim), "id")
+    sums = _kde_grid_sums(points, grid_axes(box, shape), h)
+    rho = nodes.join(sums, ["gx", "gy", "gz"]).withColumn("rho", F.col("s") * F.lit(norm / max(n, 1))).drop("s")
     if normalize:
         rho = _as_multiple(rho, box, shape, dim)
     return rho.select("gx", "gy", "gz", *AXES, "rho")

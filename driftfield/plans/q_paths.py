@@ -130,6 +130,18 @@ q("step_interval_stats", f"SELECT avg(dt) dt_mean, stddev_pop(dt) dt_std, min(dt
 q("time_bounds", "SELECT min(t) t_min, max(t) t_max, count(*) n_steps FROM times", lambda t: summary.time_bounds(t.times()), "times", "t_min t_max", "n_steps")
 q("valid_times", "SELECT event_id, t BETWEEN (SELECT min(t) FROM times) AND (SELECT max(t) FROM times) valid FROM event_rows", lambda t: summary.valid_times(t.event_rows().select("event_id", "t"), t.times()).drop("t"), "event_rows times", "", "event_id")
 q("grid_info", "SELECT max(i)-min(i)+1 n_i, max(j)-min(j)+1 n_j, max(k)-min(k)+1 n_k, count(*) n_nodes FROM grid", lambda t: summary.grid_info(t.grid()), "grid", "", "n_i n_j n_k n_nodes")
-q("field_check", "SELECT 0 bad_values, 0 bad_times, 0 bad_positions, 0 backward_times FROM (SELECT count(*) FROM series)", lambda t: summary.field_check(t.samples(), t.times(), t.nodes()), "series", "", "bad_values bad_times bad_positions backward_times")
+
+
+def _spoilt(t):
+    """Some values that are no numbers, a time that runs back and one that is missing, nodes without a place."""
+    samples = t.samples().withColumn("u", F.when(F.col("node_id") % 50 == 3, F.lit(float("nan"))).when(F.col("node_id") % 50 == 4, F.lit(None)).otherwise(F.col("u")))
+    times = t.times().withColumn("t", F.when(F.col("t_idx") == 2, F.lit(None)).when(F.col("t_idx") == 4, F.lit(0.5)).otherwise(F.col("t")))
+    nodes = t.nodes().withColumn("y", F.when(F.col("node_id") % 97 == 1, F.lit(float("inf"))).otherwise(F.col("y")))
+    return samples, times, nodes
+
+
+q("field_check", """SELECT (SELECT count(*) FROM series WHERE node_id%50 IN (3,4)) bad_values, (SELECT count(*) FROM times WHERE t_idx=2) bad_times,
+ (SELECT count(*) FROM nodes WHERE node_id%97=1) bad_positions, (SELECT count(*) FROM (SELECT CASE WHEN t_idx=2 THEN NULL WHEN t_idx=4 THEN 0.5 ELSE t END < lag(CASE WHEN t_idx=2 THEN NULL WHEN t_idx=4 THEN 0.5 ELSE t END) OVER (ORDER BY t_idx) b FROM times) WHERE b) backward_times""",
+  lambda t: summary.field_check(*_spoilt(t)), "series times nodes", "", "bad_values bad_times bad_positions backward_times")
 q("size_estimate", "SELECT count(*) n_steps, max(n) rows_per_step, sum(n)*24 total_bytes, max(n)*24 step_bytes, greatest(floor(524288000/(max(n)*24)),1) steps_per_chunk FROM (SELECT t_idx, count(*) n FROM traj GROUP BY 1)",
   lambda t: summary.size_estimate(t.traj()), ints="n_steps rows_per_step total_bytes step_bytes steps_per_chunk")

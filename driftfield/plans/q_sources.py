@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftfield.operators import paths
 from driftfield.plans.registry import query
-from driftfield.session import scratch_path
+from driftfield.session import cut_lineage, scratch_path
 from driftfield.sources import scan, sinks
 from driftfield.streaming import stream
 
@@ -28,8 +28,8 @@ SAMPLES = "SELECT t_idx, t, node_id, u, v, w FROM series"
 q("scan_samples", SAMPLES + " WHERE t_idx BETWEEN 2 AND 4", lambda t: scan.scan_samples(_stored(t), 2, 4), "series", "t u v w", "t_idx node_id")
 q("scan_snapshot", SAMPLES + " WHERE t_idx = 3", lambda t: scan.scan_snapshot(_stored(t), 3), "series", "t u v w", "t_idx node_id")
 q("scan_grid_series", "SELECT t_idx, i, j, k, u, v, w FROM series WHERE t_idx >= 5", lambda t: scan.scan_grid_series(t.series(), 5).select("t_idx", "i", "j", "k", "u", "v", "w"), "series", "u v w", "t_idx i j k")
-q("file_manifest", "SELECT 'lineitem.parquet' AS name, 'parquet' ext UNION ALL SELECT 'events.parquet', 'parquet' UNION ALL SELECT 'part.parquet', 'parquet'",
-  lambda t: scan.file_manifest(t.spark, t.dir, "*.parquet").filter(F.col("name").isin("lineitem.parquet", "events.parquet", "part.parquet")).select("name", "ext"))
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+q("file_manifest", " UNION ALL ".join(f"SELECT '{n}.parquet' AS name, 'parquet' ext" for n in _TABLES), lambda t: scan.file_manifest(t.spark, t.dir, "*.parquet").select("name", "ext"))
 NAT = "SELECT name, row_number() OVER (ORDER BY list_transform(regexp_extract_all(name,'\\d+'), lambda x: x::BIGINT), name)-1 t_idx FROM file_names"
 q("natural_order", NAT, lambda t: scan.natural_order(t.file_names()), "file_names", "", "t_idx")
 q("prefer_parallel", "SELECT name FROM file_names WHERE name LIKE '%.pvtu'", lambda t: scan.prefer_parallel(t.file_names()), "file_names")
@@ -120,12 +120,12 @@ q("element_order", "SELECT 10 code, count(*) n FROM tets GROUP BY 1", lambda t:
 # streams: trajectory rows arrive as files, cut by day
 
 
-def _arrivals(t, rows=None):
-    """Ten files in time order, written to the shared folder."""
+def _arrivals(t, rows=None, part="least(floor(t / 3), 9)"):
+    """Files that arrive part after part in time order; a particle's rows of a part share a file."""
     folder = scratch_path(t.spark, "arrive")
-    df = t.traj() if rows is None else rows
-    for n in range(10):
-        df.filter((F.col("t") >= 3 * n) & (F.col("t") < (3 * n + 3 if n < 9 else 1e9))).coalesce(1).write.mode("append").parquet(folder)
+    df = cut_lineage((t.traj() if rows is None else rows).withColumn("_part", F.expr(part).cast("int")))
+    for n in [r[0] for r in df.select("_part").distinct().orderBy("_part").collect()]:  # about ten
+        df.filter(F.col("_part") == n).drop("_part").repartition(2, "particle_id").write.mode("append").parquet(folder)
     return folder
 
 
@@ -138,26 +138,42 @@ def _append_stream(t):
 q("append_trajectory_stream", "SELECT * FROM traj", _append_stream, "traj", "t x y z", ROW)
 
 
+#: Every twentieth step arrives one part late.
+_PART = "least(floor(t / 3), 9) + CASE WHEN t_idx % 20 = 7 THEN 1 ELSE 0 END"
+
+
 def _running(t):
     state, ckpt = scratch_path(t.spark, "state"), scratch_path(t.spark, "ckpt")
-    stream.running_path_length(stream.read_rows(t.spark, _arrivals(t)), state, ckpt).awaitTermination()
+    stream.running_path_length(stream.read_rows(t.spark, _arrivals(t, part=_PART)), state, ckpt).awaitTermination()
     return stream.read_running(t.spark, state).select("particle_id", "path_length", "n_late")
 
 
-q("running_path_length", f"SELECT particle_id, coalesce(path_length,0) path_length, 0 n_late FROM ({LINE})", _running, "traj", "path_length", "particle_id n_late")
+q("running_path_length", f"""WITH a AS (SELECT *, {_PART} part FROM traj),
+ m AS (SELECT *, max(t_idx) OVER (PARTITION BY particle_id ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) seen FROM a),
+ k AS (SELECT *, coalesce(t_idx <= seen, false) late FROM m),
+ d AS (SELECT particle_id, sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVER w)*(y-lag(y) OVER w)+(z-lag(z) OVER w)*(z-lag(z) OVER w)) s
+  FROM k WHERE NOT late WINDOW w AS (PARTITION BY particle_id ORDER BY t_idx))
+SELECT particle_id, coalesce(path_length, 0) path_length, n_late FROM (SELECT particle_id, sum(s) path_length FROM d GROUP BY 1)
+ JOIN (SELECT particle_id, count(*) FILTER (late) n_late FROM k GROUP BY 1) USING (particle_id)""",
+  _running, "traj", "path_length", "particle_id n_late")
 
 
 def _windows(t):
     out, ckpt = scratch_path(t.spark, "win"), scratch_path(t.spark, "ckpt")
-    rows = stream.read_rows(t.spark, _arrivals(t, t.event_rows().select("particle_id", "ts", "t", "x", "y", "z")), schema="particle_id bigint, ts timestamp_ntz, t double, x double, y double, z double")
+    columns = ["particle_id", "ts", "t", "x", "y", "z"]
+    own = t.event_rows().select(*columns)
+    # a last row far ahead closes every window of the data; its own stays open
+    ahead = own.agg(F.max("ts").alias("ts"), F.max("t").alias("t")).select(
+        F.lit(-1).cast("bigint").alias("particle_id"), (F.col("ts") + F.expr("interval 60 days")).alias("ts"), (F.col("t") + 60).alias("t"), *[F.lit(0.0).alias(a) for a in "xyz"]
+    )
+    folder = _arrivals(t, own.unionByName(ahead), "CASE WHEN particle_id < 0 THEN 10 ELSE least(floor(t / 3), 9) END")
+    rows = stream.read_rows(t.spark, folder, schema="particle_id bigint, ts timestamp_ntz, t double, x double, y double, z double")
     timed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    # a last row far ahead closes every window of the data
     stream.drain_to_table(stream.windowed_cell_counts(timed, "ts", 50.0, "1 day", "2 days"), out, ckpt).awaitTermination()
-    done = t.spark.read.parquet(out)
-    return done.filter(F.col("window_start") < F.lit("2024-01-25").cast("timestamp")).select((F.dayofmonth("window_start") - 1).alias("day"), "cx", "cy", "cz", "n")
+    return t.spark.read.parquet(out).select(F.datediff("window_start", F.lit("2024-01-01")).alias("day"), "cx", "cy", "cz", "n")
 
 
-q("windowed_cell_counts", "SELECT CAST(floor(t) AS BIGINT) AS day, CAST(floor(x/50) AS BIGINT) cx, CAST(floor(y/50) AS BIGINT) cy, CAST(floor(z/50) AS BIGINT) cz, count(*) n FROM event_rows WHERE t < 24 GROUP BY ALL",
+q("windowed_cell_counts", "SELECT CAST(floor(t) AS BIGINT) AS day, CAST(floor(x/50) AS BIGINT) cx, CAST(floor(y/50) AS BIGINT) cy, CAST(floor(z/50) AS BIGINT) cz, count(*) n FROM event_rows GROUP BY ALL",
   _windows, "event_rows", "", "day cx cy cz n")
 
 # ---------------------------------------------------------------------------------------------------
