@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a forest of random-projection trees, searched through one priority queue.
 
-Trees are fitted on a bounded sample (``SAMPLE`` distinct vectors by a hash of the id): every inner node is a hyperplane between two
+Trees are fitted on a bounded sample (about ``SAMPLE`` distinct vectors by a hash of the id; a larger table wants a larger one): every inner node is a hyperplane between two
 random points, cut at the sample's median, so trees are complete. Every vector is then routed to one leaf per tree. A query goes down all
 trees through one queue ordered by the margin to the nearest hyperplane crossed, and takes leaves until they hold a share of all vectors;
 candidates of a leaf are ranked by exact cosine. The share is calibrated on the sample: the least that finds ``recall`` of the true
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from driftfield.session import cut_lineage
 
 SAMPLE = 16_384
+#: The sample goes through the driver: at most so many numbers, i.e. fewer vectors where these are long.
+SAMPLE_NUMBERS = 2_000_000
 TREES = 12
 LEAF = 32
 RECALL = 0.97
@@ -181,11 +183,12 @@ def nearest(
     order = F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
     lowest = pick(vectors).groupBy("h1", "h2", "vec_id").agg(F.first("v").alias("v")).withColumn("_n", order).where(F.col("_n") <= k + 1)
     classes = cut_lineage(lowest.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v")))
-    n = classes.count()
+    n, dims = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if n == 0:
         return empty
     share = F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = min(sample, SAMPLE_NUMBERS // dims)
     taken = classes.where(share < sample / n).select("id", "v").orderBy("id").collect()  # about ``sample`` rows at most
     taken = taken or classes.select("id", "v").orderBy("id").limit(1).collect()
     points = np.array([r["v"] for r in taken])

@@ -113,7 +113,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         "few_words": words < 20,
         "repeated_windows": 100 * F.col("n_repeat_words") > 30 * words,
         "many_symbols": 100 * F.col("n_symbols") > 10 * words,
-        "repeated_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+        "repeated_lines": (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
         "word_length": (words > 0) & ((F.col("word_chars") < 2 * words) | (F.col("word_chars") > 15 * words)),
         "shouting": 2 * F.col("n_upper") > F.col("n_letters"),
         "few_letters": (words > 0) & (2 * F.col("n_letters") < F.col("word_chars")),
@@ -176,7 +176,7 @@ repeats AS (
   FROM worded LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
 ), bits AS (
   SELECT *, ((n_words < 20)::BIGINT + (100 * n_repeat_words > 30 * n_words)::BIGINT * 2 + (100 * n_symbols > 10 * n_words)::BIGINT * 4
-         + (100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))::BIGINT * 16
+         + (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))::BIGINT * 16
          + (2 * n_upper > n_letters)::BIGINT * 32 + (n_words > 0 AND 2 * n_letters < word_chars)::BIGINT * 64)::BIGINT AS failed
   FROM measured
 )
