@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -209,13 +210,79 @@ def _lowest_ids(points: DataFrame, k: int) -> DataFrame:
     return few.groupBy(*AXES).agg(F.sort_array(F.collect_list("p_id")).alias("ids"))
 
 
+LIGHT = 64  # sites per wanted neighbour that an own cell may hold
+SMALL_CELLS = 200_000  # tables of cells up to this size are broadcast
+
+
+def _meet(rows: DataFrame, cells: DataFrame, n_cells: int, on: list[str], hot: int | None) -> DataFrame:
+    """Rows with their cell's columns: no shuffle while the cells are few, else a join that splits crowded keys."""
+    return rows.join(F.broadcast(cells), on) if n_cells <= SMALL_CELLS else spread_join(rows, cells, on, hot)
+
+
+def _walk_down(orphans: DataFrame, usable: DataFrame, n_cells: int, frame: Frame, most: int, hot: int | None) -> list[DataFrame]:
+    """Own cells for positions whose own cell is crowded although the child they lie in holds too few sites.
+
+    Each goes on to the usable child nearest to it, level by level, until a cell is light or has no usable child.
+    """
+    settled = []
+    children = usable.select(
+        (F.col("level") - 1).alias("level"), *[F.shiftright(F.col(c), 1).alias(c) for c in CELL[1:]], F.struct(*CELL, "m").alias("child")
+    )
+    children = cut_lineage(children)
+    side = F.lit(float(frame.side)) / F.pow(F.lit(2.0), F.col("child.level"))
+    gap = F.lit(0.0)
+    for n, a in enumerate(AXES):
+        low = F.lit(float(frame.origin[n])) + F.col(f"child.c{a}") * side
+        away = F.greatest(low - F.col(f"b{a}"), F.col(f"b{a}") - low - side, F.lit(0.0))
+        gap = gap + away * away
+    while not orphans.isEmpty():
+        at = ["bx", "by", "bz"]
+        met = _meet(orphans, children, n_cells, CELL, hot).groupBy(*at).agg(F.min_by("child", F.struct(gap, "child")).alias("child"))
+        moved = cut_lineage(orphans.join(met, at, "left"))
+        settled.append(moved.filter("child IS NULL").select(*at, *CELL))
+        down = moved.filter("child IS NOT NULL").select(*at, "child.*")
+        settled.append(down.filter(F.col("m") <= most).select(*at, *CELL))
+        orphans = down.filter(F.col("m") > most).select(*at, *CELL)
+    return settled
+
+
+def _own_cells(asked: DataFrame, where: DataFrame, frame: Frame, depth: int, need: int, hot: int | None) -> DataFrame:
+    """(bx, by, bz, level, cx, cy, cz): a cell near each position that holds ``need`` sites or more, but not many more."""
+    finest = cut_lineage(locate(where.select(*AXES), frame, [depth]).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("m")))
+
+    def ancestors(cells: DataFrame, *keep) -> DataFrame:
+        up = cells.withColumn("level", F.explode(F.lit(list(range(depth + 1)))))
+        shift = F.lit(depth) - F.col("level")
+        return up.select("level", *[F.floor(F.col(f"c{a}") / F.pow(F.lit(2.0), shift)).cast("bigint").alias(f"c{a}") for a in AXES], *keep)
+
+    # counts of every level from the counts of the finest one
+    usable = cut_lineage(ancestors(finest, "m").groupBy(*CELL).agg(F.sum("m").alias("m")).filter(F.col("m") >= need))
+    n_usable = usable.count()
+    # each position's finest cell; what its own cell is depends on that cell alone
+    here = locate(asked.select(*[F.col(a).alias(f"b{a}") for a in AXES], *AXES), frame, [depth]).drop(*AXES, "level")
+    names = {f"c{a}": f"f{a}" for a in AXES}
+    here = here.withColumnsRenamed(names)
+    f_cell = list(names.values())
+    distinct = here.select(*f_cell).distinct()
+    above = ancestors(distinct.select(*f_cell, *[F.col(f).alias(c) for c, f in names.items()]), *f_cell)
+    level_of = _meet(above, usable, n_usable, CELL, hot).groupBy(*f_cell).agg(F.max_by(F.struct(*CELL, "m"), "level").alias("own"))
+    level_of = cut_lineage(level_of)
+    own = _meet(here, level_of, level_of.count(), f_cell, hot).select("bx", "by", "bz", "own.*")
+    most = LIGHT * need
+    own = cut_lineage(own)
+    parts = [own.filter(F.col("m") <= most).select("bx", "by", "bz", *CELL)]
+    parts += _walk_down(own.filter(F.col("m") > most).select("bx", "by", "bz", *CELL), usable, n_usable, frame, most, hot)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, hot: int | None = HOT_ROWS) -> DataFrame:
     """(q_id, p_id, d, rank) of the k nearest points of every query, exact; ties go to the lowest id.
 
     1. Copies: points that share a position become one site that keeps its k lowest ids; queries that
        share a position are answered once.
-    2. Bound: at the finest level where a query's own cell holds k sites or more, the k-th smallest
-       distance inside that cell bounds the true one. Such a cell holds few sites by construction.
+    2. Bound: the k-th smallest distance inside a cell near the query bounds the true one. It is the finest cell around the query
+       that holds k sites or more; if that is crowded (the query lies in an empty part of it), the nearest of its parts that is not.
+       Sites are written only for cells that some query uses.
     3. Search: the ball of that bound is joined with the sites, and the k smallest (d, id) are kept.
 
     Sites, query positions and bounds are written to the shared folder, because each is read several times.
@@ -231,32 +298,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, hot: int | None = HOT_ROW
     need = min(k, n)
     frame = Frame.of(Box.around(where.select(*AXES) if same else where.select(*AXES).unionByName(asked)))
     depth = _levels_needed(where, frame, n, need)
-    levels = list(range(0, depth + 1))
-
-    # counts of every level from the counts of the finest one
-    finest = locate(where, frame, [depth]).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("m"))
-    shift = F.lit(depth) - F.col("level")
-    usable = (
-        finest.withColumn("level", F.explode(F.lit(levels)))
-        .select("level", *[F.floor(F.col(f"c{a}") / F.pow(F.lit(2.0), shift)).cast("bigint").alias(f"c{a}") for a in AXES], "m")
-        .groupBy(*CELL)
-        .agg(F.sum("m").alias("m"))
-        .filter(F.col("m") >= need)
-        .select(*CELL)
-    )
-
-    # step 2: own cell; a cell's sites are few, so a crowd of queries in one cell stays a small product
-    here = asked.select(*[F.col(a).alias(f"b{a}") for a in AXES], *AXES)
-    own = (
-        locate(here, frame, levels)
-        .drop(*AXES)
-        .join(usable, CELL)
-        .groupBy("bx", "by", "bz")
-        .agg(F.max("level").alias("level"))
-        .withColumns({f"c{a}": frame.index(F.col(f"b{a}"), i, F.col("level")) for i, a in enumerate(AXES)})
-    )
+    own = cut_lineage(_own_cells(asked, where, frame, depth, need, hot))
+    used = cut_lineage(own.select(*CELL).distinct())
+    inside = _meet(locate(where.select(*AXES), frame, used_levels(used) or [0]), used, used.count(), CELL, hot)
     inside = (
-        own.join(locate(where.select(*AXES), frame, levels), CELL)
+        spread_join(own, inside, CELL, hot)
         .select("bx", "by", "bz", F.expr(_GAP).alias("d"))
         .withColumn("_n", F.row_number().over(W.partitionBy("bx", "by", "bz").orderBy("d")))
         .filter(F.col("_n") == need)

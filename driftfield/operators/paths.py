@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftfield.functions.vector import distance, flatten_axis, is_finite, magnitude, plane_project
 from driftfield.model import AXES, check
 from driftfield.operators.cells import Frame, ball_pairs
-from driftfield.operators.ranks import first_rows, with_previous
+from driftfield.operators.ranks import first_rows, join_per_key, with_previous
 from driftfield.session import cut_lineage
 
 PID = "particle_id"
@@ -82,7 +82,7 @@ def speeds(traj: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
     if set("uvw") <= set(traj.columns):
         last = traj.groupBy(PID).agg(F.max("t_idx").alias("_last"))
         speed = magnitude(F.col("u"), F.col("v"), F.col("w"))
-        return traj.join(last, PID).filter(F.col("t_idx") < F.col("_last")).select(PID, "t_idx", speed.alias("speed"))
+        return join_per_key(traj, last, PID).filter(F.col("t_idx") < F.col("_last")).select(PID, "t_idx", speed.alias("speed"))
     moved = steps(traj, span_rows).filter(F.col("step_len").isNotNull())
     return moved.select(PID, "t_idx", (F.col("step_len") / F.greatest(F.col("step_dt"), F.lit(1e-12))).alias("speed"))
 
@@ -103,8 +103,7 @@ def accelerations(traj: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
     df = with_previous(traj, PID, "t_idx", list("uvw"), span_rows)
     change = magnitude(*[F.col(c) - F.col(f"prev.{c}") for c in "uvw"])
     return (
-        df.filter(F.col("prev").isNotNull())
-        .join(mean_dt, PID)
+        join_per_key(df.filter(F.col("prev").isNotNull()), mean_dt, PID)
         .select(PID, "t_idx", (change / F.greatest(F.col("_dt"), F.lit(1e-12))).alias("acceleration"))
     )
 
@@ -113,7 +112,7 @@ def from_start(traj: DataFrame) -> DataFrame:
     """Every row with its distance ``moved`` from the particle's first position."""
     first = ends(traj).select(PID, *[f"a{a}" for a in AXES])
     d = distance(*[F.col(a) for a in AXES], *[F.col(f"a{a}") for a in AXES])
-    return traj.join(first, PID).withColumn("moved", d).drop(*[f"a{a}" for a in AXES])
+    return join_per_key(traj, first, PID).withColumn("moved", d).drop(*[f"a{a}" for a in AXES])
 
 
 def convergence(traj: DataFrame, at_least: int = 10) -> DataFrame:
@@ -136,24 +135,28 @@ def _four(c: str, name: str) -> list[Column]:
 def trajectory_stats(traj: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
     """One row: displacement, path length and speed {mean, std, min, max}, and the bounds.
 
-    Step sums are taken per particle first, so the moments of the speed come from the same pass over the steps.
+    Steps are summed per particle first. The spread of all speeds is the mean of the particles' own variances plus that of their means
+    about the common one, so nothing is lost to cancellation.
     """
     pack = F.struct("t", *AXES)
     stepped = steps(traj, span_rows).withColumn("_v", F.col("step_len") / F.greatest(F.col("step_dt"), F.lit(1e-12)))
     per = stepped.groupBy(PID).agg(
         F.min_by(pack, "t_idx").alias("a"), F.max_by(pack, "t_idx").alias("b"),
         F.coalesce(F.sum("step_len"), F.lit(0.0)).alias("path"),
-        F.count("_v").alias("vn"), F.sum("_v").alias("vs"), F.sum(F.col("_v") * F.col("_v")).alias("vq"),
+        F.count("_v").alias("vn"), F.avg("_v").alias("vm"), F.var_pop("_v").alias("vv"),
         F.min("_v").alias("vlo"), F.max("_v").alias("vhi"), F.count(F.lit(1)).alias("n"),
         *[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))],
     )
     moved = distance(*[F.col(f"b.{a}") for a in AXES], *[F.col(f"a.{a}") for a in AXES])
-    mean = F.sum("vs") / F.sum("vn")
+    per = cut_lineage(per)  # one row per particle, read for the common mean and again
+    total = per.agg(F.sum("vn").alias("n"), F.sum(F.col("vn") * F.col("vm")).alias("s")).first()
+    mean = F.lit(total["s"] / total["n"] if total["n"] else None).cast("double")
+    spread = F.sum(F.col("vn") * (F.col("vv") + (F.col("vm") - mean) * (F.col("vm") - mean))) / F.sum("vn")
     return per.withColumn("moved", moved).agg(
         F.count(F.lit(1)).alias("n_particles"), F.sum("n").alias("n_rows"),
         *_four("moved", "displacement"), *_four("path", "path_length"),
-        mean.alias("speed_mean"),
-        F.sqrt(F.greatest(F.sum("vq") / F.sum("vn") - mean * mean, F.lit(0.0))).alias("speed_std"),
+        F.max(mean).alias("speed_mean"),
+        F.sqrt(spread).alias("speed_std"),
         F.min("vlo").alias("speed_min"), F.max("vhi").alias("speed_max"),
         *[f(f"{n}{a}").alias(f"{a}_{m}") for a in AXES for n, m, f in (("lo", "min", F.min), ("hi", "max", F.max))],
     )
@@ -279,7 +282,7 @@ def clusters(traj: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     of the first fit greedily by distance, so ``kept_share`` compares like with like.
     """
     per = traj.groupBy(PID).agg(F.max("t_idx").alias("_top"))
-    tagged = traj.join(per, PID)
+    tagged = join_per_key(traj, per, PID)
     picks = {"initial": F.col("t_idx") == 0, "middle": F.col("t_idx") == F.floor((F.col("_top") + 1) / 2), "final": F.col("t_idx") == F.col("_top")}
     assembler = VectorAssembler(inputCols=list(AXES), outputCol="features")
     labelled, first_centers = {}, None

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from driftfield.session import cut_lineage
 
 ROWS_PER_RANGE = 1_000_000
+HOT_KEY_ROWS = 1_000_000
+HOT_KEYS_BROADCAST = 200_000
 
 
 def _split_points(df: DataFrame, col: str, rows_per_range: int) -> list[float]:
@@ -122,6 +124,24 @@ def first_rows(df: DataFrame, col: str, n: int, ties: str | None = None) -> Data
     return number_sorted(few, order, "_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, on: list[str] | str, how: str = "inner", hot: int = HOT_KEY_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``per_key``, which has one row per key.
+
+    The rows of a key that has more than ``hot`` of them are dealt out by a hash, and the key's row is repeated as often. Which keys these
+    are is counted first; up to HOT_KEYS_BROADCAST of them are broadcast, so their rows are dealt where they lie.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    crowded = cut_lineage(rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / hot).alias("_of")).filter("_of > 1"))
+    n = crowded.count()
+    if n == 0:
+        return rows.join(per_key, on, how)
+    crowded = F.broadcast(crowded) if n <= HOT_KEYS_BROADCAST else crowded
+    simple = [c for c, t in rows.dtypes if "map<" not in t]
+    dealt = rows.join(crowded, on, "left").withColumn("_slot", F.pmod(F.xxhash64(*simple), F.coalesce("_of", F.lit(1)))).drop("_of")
+    repeated = per_key.join(crowded, on, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_of", F.lit(1)) - 1))).drop("_of")
+    return dealt.join(repeated, [*on, "_slot"], how).drop("_slot")
+
+
 def exact_percentiles(
     df: DataFrame, col: str, at: list[float], rows_per_range: int = ROWS_PER_RANGE
 ) -> list[float | None]:

@@ -11,6 +11,7 @@ from driftfield.functions import shape as sh
 from driftfield.functions.vector import distance, magnitude
 from driftfield.model import AXES, Box, GridMeta, check
 from driftfield.operators.cells import CELL, HOT_ROWS, Frame, cover, knn, locate, spread_join, used_levels
+from driftfield.operators.ranks import join_per_key
 from driftfield.session import cut_lineage
 
 UVW = ("u", "v", "w")
@@ -267,10 +268,13 @@ def sample_corners(
     at, cell, part = _grid_position(meta, outside == "periodic")
     own = [f"`{c}`" for c in points.columns]
     placed = points.selectExpr(*own, *at).selectExpr("*", *cell)
-    if snapshots is not None:
-        nx, ny, nz = meta.shape
-        corners = small_table(corners, nx * ny * nz * max(snapshots, 1), CORNER_ROW_BYTES)
-    joined = placed.join(corners, [*key, "ci", "cj", "ck"], "left").selectExpr("*", *part)
+    nx, ny, nz = meta.shape
+    cell_key = [*key, "ci", "cj", "ck"]
+    if snapshots is not None and nx * ny * nz * max(snapshots, 1) * CORNER_ROW_BYTES <= BROADCAST_BYTES:
+        joined = placed.join(F.broadcast(corners), cell_key, "left")
+    else:
+        joined = join_per_key(placed, corners, cell_key, "left")  # points may crowd at an inlet or a wall
+    joined = joined.selectExpr("*", *part)
     weighted = joined.selectExpr("*", *[f"{_corner_weight(n)} AS w_{n}" for n in range(8)])
     lost = "x IS NULL OR y IS NULL OR z IS NULL"
     within = " AND ".join(f"{a} BETWEEN {lo!r}D AND {hi!r}D" for a, lo, hi in meta.box.axes())

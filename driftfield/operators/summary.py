@@ -12,12 +12,12 @@ UVW = ("u", "v", "w")
 
 
 def segment_sum(df: DataFrame, key: str, value: str, n_segments: int | None = None) -> DataFrame:
-    """(segment, total, n). With ``n_segments`` the result is dense: segments without rows have 0."""
+    """(segment, total, n). With ``n_segments`` the result is dense: segments 0 to n - 1 without rows have 0, others stay as they are."""
     agg = df.groupBy(F.col(key).cast("bigint").alias("segment")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
     if n_segments is None:
         return agg
     every = df.sparkSession.range(n_segments).withColumnRenamed("id", "segment")
-    return every.join(agg, "segment", "left").select("segment", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    return every.join(agg, "segment", "full").select("segment", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "dense_id", rows_per_range: int = 1_000_000) -> DataFrame:

@@ -60,7 +60,7 @@ STATS = f"""SELECT * FROM (SELECT count(*) n_particles, {_four('moved', 'displac
  (SELECT {_four('step_len/greatest(step_dt,1e-12)', 'speed')} FROM ({STEP})),
  (SELECT count(*) n_rows, {', '.join(f'min({a}) {a}_min, max({a}) {a}_max' for a in 'xyz')} FROM traj)"""
 STAT_COLS = " ".join(f"{n}_{m}" for n in ("displacement", "path_length") for m in ("mean", "std", "min", "max")) + " " + " ".join(f"{a}_{m}" for a in "xyz" for m in ("min", "max"))
-q("trajectory_stats", STATS, lambda t: paths.trajectory_stats(t.traj()), dbl=STAT_COLS + " speed_mean speed_std speed_min speed_max", ints="n_particles n_rows", digits=3)
+q("trajectory_stats", STATS, lambda t: paths.trajectory_stats(t.traj()), dbl=STAT_COLS + " speed_mean speed_std speed_min speed_max", ints="n_particles n_rows")
 q("trajectory_check", f"""SELECT *, n_not_finite=0 AND n_backward=0 AND n_uneven_steps=0 AND n_tiny_dt=0 AS valid FROM
  (SELECT 0 n_not_finite, count(*) FILTER (step_dt<0) n_backward, count(*) FILTER (step_dt<1e-10) n_tiny_dt, min(step_dt) min_dt FROM ({STEP})),
  (SELECT count(*) FILTER (n <> n0) n_uneven_steps FROM (SELECT t_idx, count(*) n, (SELECT count(*) FROM traj WHERE t_idx=0) n0 FROM traj GROUP BY 1))""",
@@ -109,7 +109,7 @@ def _report_sql() -> str:
     return f"WITH r1 AS ({one}), r2 AS ({STATS}), r3 AS ({spread}) " + " UNION ALL ".join(parts)
 
 
-q("summary_report", _report_sql(), lambda t: paths.summary_report(t.traj()), dbl="value", digits=3)
+q("summary_report", _report_sql(), lambda t: paths.summary_report(t.traj()), dbl="value")
 
 # ---------------------------------------------------------------------------------------------------
 # aggregates

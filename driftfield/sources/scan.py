@@ -78,17 +78,17 @@ def prefer_parallel(manifest: DataFrame) -> DataFrame:
 
 def last_steps(times: DataFrame, k: int) -> DataFrame:
     """The k last steps."""
-    return times.withColumn("_n", F.row_number().over(W.orderBy(F.desc("t_idx")))).filter(F.col("_n") <= k).drop("_n")
+    return times.orderBy(F.desc("t_idx")).limit(k)
 
 
 def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
-    """k of n rows at the truncated positions i * (n - 1) / (k - 1). For dimension tables (times, manifests)."""
+    """k of n rows at the truncated positions i * (n - 1) / (k - 1); rows are numbered by ranges of ``order``."""
     n = df.count()
     if k >= n:
         return df
     at = [int(i * (n - 1) / (k - 1)) for i in range(k)] if k > 1 else [0]
     wanted = df.sparkSession.createDataFrame([(i,) for i in sorted(set(at))], "_n bigint")
-    numbered = df.withColumn("_n", (F.row_number().over(W.orderBy(order)) - 1).cast("bigint"))
+    numbered = number_sorted(df, [F.col(order)], "_n")
     return numbered.join(wanted, "_n", "left_semi").drop("_n")
 
 

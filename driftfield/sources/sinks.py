@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftfield.functions.vector import magnitude
 from driftfield.model import AXES, check
 from driftfield.operators.paths import PID, SPAN_ROWS, ends, steps
-from driftfield.operators.ranks import number_rows
+from driftfield.operators.ranks import join_per_key, number_rows
 from driftfield.sources.scan import evenly_spaced
 
 STEPS_PER_FILE = 64
 POINTS_PER_CHUNK = 65_536
+ROWS_PER_FILE = 1_000_000
 
 
 def _bucketed(traj: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def points_layout(traj: DataFrame, per_particle: DataFrame | None = None, per_ro
     """One row per (step, particle) with extra columns per particle or per (step, particle)."""
     df = traj.select(F.col("t").alias("time"), F.col("t_idx").alias("time_step"), F.col(PID), *AXES)
     if per_particle is not None:
-        df = df.join(per_particle, PID, "left")
+        df = join_per_key(df, per_particle, PID, "left")
     if per_row is not None:
         df = df.join(per_row.withColumnRenamed("t_idx", "time_step"), ["time_step", PID], "left")
     return df
@@ -76,12 +77,14 @@ def lines_layout(traj: DataFrame, max_particles: int | None = None, points_per_l
 def series_layout(traj: DataFrame) -> DataFrame:
     """Rows of per-step files: position, step time and the particle's initial position."""
     first = ends(traj).select(PID, *[F.col(f"a{a}").alias(f"initial_{a}") for a in AXES])
-    return traj.join(first, PID).select("t_idx", "t", PID, *AXES, *[f"initial_{a}" for a in AXES])
+    return join_per_key(traj, first, PID).select("t_idx", "t", PID, *AXES, *[f"initial_{a}" for a in AXES])
 
 
 def write_series(traj: DataFrame, path: str) -> None:
-    """One folder per step."""
-    series_layout(traj).repartition("t_idx").write.partitionBy("t_idx").parquet(path)
+    """One folder per step, in files of about ``ROWS_PER_FILE`` rows."""
+    largest = traj.groupBy("t_idx").count().agg(F.max("count")).first()[0] or 0
+    share = F.pmod(F.xxhash64(PID), F.lit(max(1, -(-largest // ROWS_PER_FILE))))
+    series_layout(traj).withColumn("_share", share).repartition("t_idx", "_share").drop("_share").write.partitionBy("t_idx").parquet(path)
 
 
 def field_snapshot(samples: DataFrame) -> DataFrame:
