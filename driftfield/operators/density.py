@@ -118,6 +118,16 @@ def kde_at(
     return queries.join(rho, cond, "left").select(queries["id"], value.alias("rho"))
 
 
+def kde_slab(points: DataFrame, queries: DataFrame, plane: str, position: float, thickness: float, h: float | None = None) -> DataFrame:
+    """(id, rho): two-dimensional density of the points of a slab at queries(id, p, q) in its plane.
+
+    As in ``slab_filter`` all points count where the slab is empty. Without ``h`` it is Scott's for the slab's points.
+    """
+    flat = cut_lineage(slab_plane(points, plane, position, thickness))
+    h = scott_bandwidth(flat, ("x", "y")) if h is None else h
+    return kde_at(flat, queries.select("id", F.col("p").alias("x"), F.col("q").alias("y"), F.lit(0.0).alias("z")), h, 2)
+
+
 def grid_axes(box: Box, shape) -> list[list[float]]:
     return [[lo + i * (hi - lo) / (n - 1) if n > 1 else lo for i in range(n)] for (_, lo, hi), n in zip(box.axes(), shape)]
 

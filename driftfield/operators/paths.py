@@ -6,6 +6,8 @@ which also splits a particle that owns a large share of the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -335,8 +337,11 @@ def slice_plane(traj: DataFrame, plane: str = "xy") -> DataFrame:
     return flatten_axis(traj, plane)
 
 
-def summary_report(traj: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
-    """(section, metric, value): tracking, statistics, spread and per-step numbers as one long table."""
+def summary_report(traj: DataFrame, span_rows: int = SPAN_ROWS, **sections: DataFrame) -> DataFrame:
+    """(section, metric, value): tracking, statistics and spread as one long table.
+
+    ``sections`` are further tables of one row, e.g. ``field=sample.sampling_profile(samples)`` or ``density=density.bandwidths(points)``.
+    """
 
     def long(df: DataFrame, section: str) -> DataFrame:
         cols = df.columns
@@ -346,7 +351,8 @@ def summary_report(traj: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
     one = long(time_step_mean(traj), "tracking")
     two = long(trajectory_stats(traj, span_rows).drop("n_particles", "n_rows"), "statistics")
     three = long(spread(traj), "spread")
-    return one.unionByName(two).unionByName(three)
+    parts = [one, two, three, *[long(df, name) for name, df in sections.items()]]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def step_report(traj: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:

@@ -303,6 +303,26 @@ def neighbour_distance_stats(points: DataFrame) -> DataFrame:
     return pairs.agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"))
 
 
+def point_density_profile(points: DataFrame, bins: int = 50) -> DataFrame:
+    """(metric, value): number of points, box volume, mean density, per axis mean, std and max of the histogram, nearest-neighbour distances.
+
+    Flat axes do not count in the volume and have no histogram.
+    """
+    box = Box.around(points)
+    if box is None:
+        return points.sparkSession.createDataFrame([], "metric string, value double")
+    volume = math.prod(w for w in box.width if w > 0)
+    n = points.agg(F.count(F.lit(1)).alias("n_points")).withColumns({"volume": F.lit(volume), "mean_density": F.col("n_points") / F.lit(volume)})
+    histograms = axis_histograms(points, bins).groupBy("axis").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.max("n").cast("double").alias("max"))
+
+    def long(df: DataFrame, prefix) -> DataFrame:
+        names = [c for c in df.columns if c != "axis"]
+        return df.select(F.inline(F.array(*[F.struct(F.concat(prefix, F.lit(c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])))
+
+    parts = [long(n, F.lit("")), long(histograms, F.concat(F.lit("histogram_"), F.col("axis"), F.lit("_"))), long(neighbour_distance_stats(points), F.lit("neighbour_"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def shuffle_rows(df: DataFrame, id_col: str, seed=0, name: str = "shuffle_key") -> DataFrame:
     """Rows in a random order that is a function of the seed (a sort, so it runs by ranges)."""
     return df.withColumn(name, keyed_uniform(seed, F.col(id_col), "shuffle")).orderBy(name, id_col)

@@ -68,6 +68,13 @@ query("kde_at_density", f"SELECT id, rho/(0.05::DOUBLE*0.05::DOUBLE*0.05::DOUBLE
     lambda t: den.kde_at(t.cloud(), t.cloud(), 0.05, scale="density")
 )
 
+query(
+    "kde_slab",
+    """SELECT q.id, sum(exp(-0.5::DOUBLE*((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y))/(0.3::DOUBLE*0.3::DOUBLE)))/(2*pi())/count(*) rho
+FROM points q, (SELECT x, y FROM cloud WHERE abs(z-0.1::DOUBLE) <= 0.1) p GROUP BY q.id""",
+    "points cloud", "rho", "id",
+)(lambda t: den.kde_slab(t.cloud(), t.points().select("id", F.col("x").alias("p"), F.col("y").alias("q")), "xy", 0.1, 0.2, 0.3))
+
 EB = "(SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM {src})"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftfield.operators import cells, paths, ranks, summary
+from driftfield.operators import cells, density, paths, ranks, sample, summary
 from driftfield.plans.registry import query
 
 
@@ -111,6 +111,14 @@ def _report_sql() -> str:
 
 q("summary_report", _report_sql(), lambda t: paths.summary_report(t.traj()), dbl="value")
 
+q("summary_report_sections", _report_sql() + """ UNION ALL SELECT 'field', 'n', count(*)::DOUBLE FROM series UNION ALL SELECT 'field', 'speed_max', max(sqrt(u*u+v*v+w*w)) FROM series
+UNION ALL SELECT 'density', 'n', count(*)::DOUBLE FROM traj WHERE t_idx=0""",
+  lambda t: paths.summary_report(
+      t.traj(), field=sample.sampling_profile(t.samples()).select("n", "speed_max"), density=density.bandwidths(t.traj().filter("t_idx = 0")).select("n")
+  ), "traj series", "value")
+q("empty_trajectory", "SELECT id-1 particle_id, t_idx, t, 0.0::DOUBLE x, 0.0::DOUBLE y, 0.0::DOUBLE z FROM (SELECT row_number() OVER () id FROM part), (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 2.0::DOUBLE)) v(t_idx, t)",
+  lambda t: paths.empty_trajectory(t.spark, t.n_points(), [0.0, 0.5, 2.0]), "", "t x y z", ROW)
+
 # ---------------------------------------------------------------------------------------------------
 # aggregates
 

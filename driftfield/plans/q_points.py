@@ -167,6 +167,18 @@ q("axis_histograms", _HIST, lambda t: gen.axis_histograms(_pts(t), 20), "points
 q("neighbour_distance_stats", "SELECT avg(d) mean, stddev_pop(d) std, min(d) min, max(d) max FROM (SELECT a.id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) d FROM cloud a JOIN cloud b ON a.id<>b.id GROUP BY 1)",
   lambda t: gen.neighbour_distance_stats(t.cloud()), "cloud", "mean std min max", "")
 q("shuffle_rows", f"SELECT id, {U(12, 'shuffle')} shuffle_key FROM points", lambda t: gen.shuffle_rows(t.points(), "id", 12).select("id", "shuffle_key"), dbl="shuffle_key")
+_CLOUD_HIST = " UNION ALL ".join(
+    f"""SELECT '{a}' axis, b.i bin, count(c.{a}) n FROM (SELECT unnest(range(20)) i) b, (SELECT min({a}) lo, max({a}) hi FROM cloud) r
+ LEFT JOIN cloud c ON least(floor((c.{a}-r.lo)/((r.hi-r.lo)/20)),19)=b.i GROUP BY 1,2"""
+    for a in "xyz"
+)
+q("point_density_profile", f"""WITH h AS ({_CLOUD_HIST}), b AS (SELECT count(*) n, (max(x)-min(x))*(max(y)-min(y))*(max(z)-min(z)) vol FROM cloud),
+ d AS (SELECT a.id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) d FROM cloud a JOIN cloud b ON a.id<>b.id GROUP BY 1)
+SELECT 'n_points' metric, n::DOUBLE AS value FROM b UNION ALL SELECT 'volume', vol FROM b UNION ALL SELECT 'mean_density', n/vol FROM b
+UNION ALL SELECT 'histogram_'||axis||'_mean', avg(n) FROM h GROUP BY axis UNION ALL SELECT 'histogram_'||axis||'_std', stddev_pop(n) FROM h GROUP BY axis
+UNION ALL SELECT 'histogram_'||axis||'_max', max(n)::DOUBLE FROM h GROUP BY axis
+UNION ALL SELECT 'neighbour_mean', avg(d) FROM d UNION ALL SELECT 'neighbour_std', stddev_pop(d) FROM d UNION ALL SELECT 'neighbour_min', min(d) FROM d UNION ALL SELECT 'neighbour_max', max(d) FROM d""",
+  lambda t: gen.point_density_profile(t.cloud(), 20), "cloud", "value", "", digits=5)
 q("choose_without", f"SELECT id, key choice_key FROM (SELECT event_id id, -ln(({bits(13, 'choice', 'event_id')}+0.5::DOUBLE)/4503599627370496.0::DOUBLE)/x AS key FROM event_rows) ORDER BY key, id LIMIT 500",
   lambda t: gen.choose_without(t.event_points(), "id", F.col("x"), 500, 13).select("id", "choice_key"), "event_rows", "choice_key")
 q("choose_with", f"SELECT d.draw, min(r.id) id FROM (SELECT draw, {U(14, 'draw', 'draw')}*(SELECT sum(x) FROM event_points) u FROM (SELECT unnest(range((SELECT count(*) FROM part))) draw)) d ASOF JOIN (SELECT id, sum(x) OVER (ORDER BY id)-x lo FROM event_points) r ON d.u >= r.lo GROUP BY 1",

@@ -681,6 +681,13 @@ def _smooth(t):
     return move.smooth_joints(rows, per, n, 0.4)
 
 
+query(
+    "repeat_period_target",
+    REPEAT.replace("range(3)", "range(4)"),
+    "series", "t u v w", "t_idx node_id",
+)(lambda t: move.repeat_period(t.samples(), t.times(), time_slice=(1.0, 5.0), target=13.0)[0])
+
+
 def _smooth_most(t):
     """Four of five snapshots blended: mirror images are themselves blended at the joint before."""
     rows, per, n = move.repeat_period(t.samples(), t.times(), 3, (1.0, 5.0))

@@ -161,21 +161,20 @@ def test_generators_do_not_depend_on_partitions(spark):
     assert a == b and all(0 <= r[1] < 1 and 0 <= r[2] < 2 and 0 <= r[3] < 3 for r in a)
 
 
-def test_smoothing_equals_joint_by_joint_blending(spark):
-    per, n, share = 6, 3, 0.5
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.7, 0.9, 1.0])
+def test_smoothing_equals_joint_by_joint_blending(spark, share):
+    per, n = 6, 3
     rng = np.random.default_rng(1)
     data = rng.normal(size=per * n)
     rows = [(t, float(t), 1, float(data[t]), 0.0, 0.0) for t in range(per * n)]
     df = spark.createDataFrame(rows, "t_idx bigint, t double, node_id bigint, u double, v double, w double")
     got = {r["t_idx"]: r["u"] for r in move.smooth_joints(df, per, n, share).collect()}
-    want, k = data.copy(), round(share * per)
+    want, k = data.copy(), min(max(1, round(share * per)), per - 1)
     for p in range(1, n):
         for i in range(k):
             a = (i + 1) / k
             want[p * per + i] = a * want[p * per + i] + (1 - a) * want[p * per - 1 - i]
     assert got == pytest.approx(dict(enumerate(want)))
-    with pytest.raises(ValueError):
-        move.smooth_joints(df, per, n, 0.9)
 
 
 def test_contracts(spark):
