@@ -42,9 +42,27 @@ def _shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+_WRITTEN: dict[str, list[str]] = {}  # application id -> scratch paths handed out
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables of this application so far, and say how many there were.
+
+    Results are lazy and may read them: call it once results are written or collected.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        target = hadoop.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

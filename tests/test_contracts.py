@@ -216,3 +216,14 @@ def test_grid_density_by_slabs_and_far_points(spark):
     far = spark.createDataFrame([(0, 9.0, 0.0, 0.0), (1, 20.0, 0.0, 0.0)], XYZ)
     got = {r["id"]: r["rho"] for r in density.kde_at(one, far, 1.0).collect()}
     assert all(got[i] == pytest.approx((2 * math.pi) ** -1.5 * math.exp(-d * d / 2), rel=1e-9) for i, d in ((0, 9.0), (1, 20.0)))
+
+
+def test_scratch_tables_go_when_asked(spark):
+    import os
+
+    from driftfield.session import cut_lineage, drop_scratch
+
+    df = cut_lineage(spark.range(5))
+    path = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 5 and os.path.isdir(path)
+    assert drop_scratch(spark) >= 1 and not os.path.exists(path) and drop_scratch(spark) == 0
