@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftfield.functions import shape as sh
@@ -46,8 +47,8 @@ def time_intervals(times: DataFrame) -> DataFrame:
 def time_bracket(at: DataFrame, times: DataFrame, outside: str = "constant") -> DataFrame:
     """Add left, right (t_idx) and w_left, w_right to every row of ``at`` by its column t.
 
-    The range join runs as an equi-join: each gap is written into the equal time slots it touches
-    (slots = number of gaps, so gaps + slots rows in all), each row has one slot.
+    A row's gap is found by binary search among the snapshot times (one number per snapshot, kept in the plan), and the gap's row by an
+    equi-join on its number; how the times are spaced does not matter.
     Outside the first and last snapshot: constant holds the end value, linear extends the last gap,
     zero has weights 0, nan has NULL weights.
     """
@@ -64,17 +65,16 @@ def time_bracket(at: DataFrame, times: DataFrame, outside: str = "constant") ->
         return at.withColumns(
             {"left": F.lit(last), "right": F.lit(last), "w_left": F.when(off, gone).otherwise(F.lit(1.0)), "w_right": F.lit(0.0)}
         )
-    width = (t_max - t_min) / n
-    slot = lambda c: F.floor((c - F.lit(t_min)) / F.lit(width)).cast("bigint")
-    slots = gaps.withColumn("_slot", F.explode(F.sequence(slot(F.col("t0")), slot(F.col("t1")))))
-    last_gap_start = F.lit(t_max - width * 1e-9)
-    inner = F.least(F.greatest(t, F.lit(t_min)), last_gap_start)
-    joined = (
-        at.withColumn("_t", inner)
-        .withColumn("_slot", slot(F.col("_t")))
-        .join(small_table(slots, 2 * n, 48).withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"}), "_slot", "left")
-        .filter(F.col("_t").isNull() | ((F.col("_t") >= F.col("_t0")) & (F.col("_t") < F.col("_t1"))))
-    )
+    numbered = gaps.withColumn("_gap", (F.row_number().over(W.orderBy("t0")) - 1).cast("int"))
+    starts = [r["t0"] for r in gaps.select("t0").orderBy("t0").collect()]
+    held = at.withColumn("_t", F.least(F.greatest(t, F.lit(t_min)), F.lit(t_max)))
+    if len(starts) > 1:
+        search = Bucketizer(splits=[*starts, t_max], inputCol="_t", outputCol="_gap", handleInvalid="keep")
+        held = search.transform(held).withColumn("_gap", F.col("_gap").cast("int"))
+    else:
+        held = held.withColumn("_gap", F.when(F.col("_t").isNotNull(), 0))
+    table = numbered.withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"})
+    joined = held.join(small_table(table, n, 48), "_gap", "left")
     alpha = (t - F.col("_t0")) / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1e-12))
     low, high = t < F.lit(t_min), t > F.lit(t_max)
     if outside == "linear":
