@@ -339,13 +339,19 @@ def _advect_analytic(start, field, dt, n_steps, method, rule, t0, record_every)
             name = f"_s{len(kept)}"
             df = df.withColumn(name, F.slice(F.aggregate(F.sequence(F.lit(first), F.lit(first + count - 1)), F.array("_last"), grow), 2, count))
             df = df.withColumn("_last", F.element_at(name, -1))
-            stepped = F.transform(F.col(name), lambda p, i: F.struct((i + (first + 1)).cast("bigint").alias("t_idx"), p.alias("p")))
-            kept.append(F.filter(stepped, lambda s: (s["t_idx"] % record_every == 0) | (s["t_idx"] == n_steps)))
+            stepped = F.col(name)
+            if record_every > 1:
+                stepped = F.transform(stepped, lambda p, i: F.struct((i + (first + 1)).cast("bigint").alias("t_idx"), p.alias("p")))
+                stepped = F.filter(stepped, lambda s: (s["t_idx"] % record_every == 0) | (s["t_idx"] == n_steps))
+            kept.append(stepped)
         df = df.select("particle_id", F.concat(*kept).alias("_states"), "_last")
         if n_steps > STAGE:
             df = cut_lineage(df)
-        states = df.select("particle_id", F.explode("_states").alias("s"))
-        rows.append(states.select("particle_id", "s.t_idx", *[F.col(f"s.p.{a}").alias(a) for a in AXES]))
+        if record_every > 1:
+            states = df.select("particle_id", F.explode("_states").alias("s")).select("particle_id", "s.t_idx", "s.p")
+        else:
+            states = df.select("particle_id", F.posexplode("_states").alias("n", "p")).select("particle_id", (F.col("n") + (begin + 1)).cast("bigint").alias("t_idx"), "p")
+        rows.append(states.select("particle_id", "t_idx", *[F.col(f"p.{a}").alias(a) for a in AXES]))
         df = df.select("particle_id", "_last")
     return _finish(reduce(DataFrame.union, rows), dt, t0, record_every, n_steps)
 
