@@ -48,3 +48,41 @@ def test_edges(spark, edge_docs, no_docs, small_docs):
     none = L.fit(no_docs)
     assert {r["lang_pred"] for r in L.predict(edge_docs, none).collect()} == {"und"} and L.accepted(edge_docs, none).collect() == []
     L.predict(edge_docs, L.fit(edge_docs)).collect()
+
+
+SHORT = ["Здравствуйте", "Как у вас дела сегодня?", "いろはにほへと", "Καλημέρα σας", "مرحبا كيف حالك اليوم", "안녕하세요 반갑습니다"]
+
+
+def test_short_texts_in_other_scripts_are_rejected(spark, small_docs):
+    model = L.fit(small_docs)
+    docs = spark.createDataFrame(list(enumerate(SHORT)), "doc_id bigint, text string")
+    assert all(r["rejected"] for r in L.predict(docs, model).collect()) and L.accepted(docs, model).collect() == []
+
+
+def test_a_held_back_language_is_rejected(spark, small_docs):
+    """Whole documents and runs of their words, of a language in Latin script that was not learnt."""
+    model = L.fit(small_docs.where("lang <> 'fr'"))
+    words = F.split("text", r"\s+")
+    short = small_docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat_ws(" ", F.slice(words, 1, 8)).alias("text"), "lang")
+    for docs, misses in ((small_docs, 0.02), (short, 0.2)):
+        got = L.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+        missed, n = got.where("lang = 'fr'").agg(F.sum((~F.col("rejected")).cast("int")), F.count("*")).first()
+        gone, m = got.where("lang <> 'fr' and held_out").agg(F.sum(F.col("rejected").cast("int")), F.count("*")).first()
+        assert missed <= misses * n and gone <= 0.015 * m
+
+
+def test_limits_are_learnt_for_each_length(small_docs):
+    model = L.fit(small_docs)
+    assert model.limits.shape == (len(model.languages), L.BANDS)
+    assert (model.limits[:, :-1] >= model.limits[:, 1:]).all() and (model.limits[:, 0] > model.limits[:, -1]).all()
+    assert len(set(model.limits[:, -1])) > 1
+
+
+def test_short_texts_score_the_same_either_way(small_docs):
+    model = L.fit(small_docs)
+    for block in L.B.blocks(L.pa.array([r["text"] for r in small_docs.limit(200).collect()] + ["", "é"])):
+        pieces, rows = L._pieces(block)
+        assert len(pieces) == len(rows) > len(block)
+        for b in (block, pieces):
+            (x, n), (y, m) = L._cosines(model, b), L._cosines_of_short(model, b)
+            assert (n == m).all() and abs(x - y).max() < 1e-5
