@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftfield.llm import blocks as B, secrets as S
 
@@ -99,3 +100,22 @@ def test_redact_and_edges(spark, edge_docs, no_docs, field):
     docs = spark.createDataFrame([(1, 'é token = "' + "0f" * 20 + '" end', 0), (2, None, None)], "doc_id bigint, text string, n_chars int")
     got = {r["doc_id"]: r for r in S.redact(docs, field).collect()}
     assert got[1]["text"] == 'é [SECRET]" end' and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] is None
+
+
+def test_field_is_fitted_on_rare_matches(spark):
+    """Of 40,000 texts with a keyword 40 have a base match; all 40 are learnt from."""
+    prose = F.concat(F.lit("The secret of the old garden was a token of the river, and number "), F.col("id").cast("string"), F.lit(" of the walk went on.\nNobody knew the password there."))
+    value = F.concat(F.lit("They wrote token = "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40), F.lit(" on the wall of the house."))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, value).otherwise(prose).alias("text"))
+    assert docs.where(F.col("text").rlike(S._HINT)).count() == 40_000 and docs.where(F.col("text").rlike(S._MATCH)).count() == 40
+    field = S.fit(docs)
+    secret = "16c7e42f292c-6912e7710c83-8347ae178b4a"
+    ((_, found, added),) = S._spans_of(field, pa.array([f"They wrote {secret} on the wall of the house."]))
+    assert not found and len(added) == 1
+    assert not list(S._spans_of(field, pa.array(["The secret of the old garden was a token of the river."])))
+
+
+@pytest.mark.parametrize("text", ["token = abcdef", "token = abcde", "API_KEY: 'zzzzzz'", "the secret token", "AKIA" + "A" * 15, "AKIA" + "A" * 16, "0af" * 8, "0af" * 7, "Password:hunter2x"])
+def test_spark_pattern_agrees_with_base_spans(spark, text):
+    docs = spark.createDataFrame([(text,)], "text string")
+    assert docs.select(F.col("text").rlike(S._MATCH)).first()[0] == bool(S.base_spans(text))
