@@ -74,8 +74,11 @@ def _digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, licence, kind, size), one row per canonical text; of texts that become equal the first by name counts. Empty ones are left out."""
-    rows = spark.createDataFrame([tuple(k) for k in known], "licence string, kind string, text string")
+    """(digest, licence, kind, size), one row per canonical text; of texts that become equal the first by name counts. Empty ones are left out.
+
+    ``known`` is a list like ``KNOWN`` or a table of the same columns (licence, kind, text).
+    """
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame([tuple(k) for k in known], "licence string, kind string, text string")
     rows = rows.select("licence", "kind", _one_line(canonical_lines(F.col("text"))).alias("t")).where("t <> ''")
     return rows.groupBy(_digest(F.col("t")).alias("digest"), F.length("t").alias("size")).agg(F.min(F.struct("licence", "kind")).alias("m")).select("digest", "size", "m.*")
 
@@ -85,7 +88,7 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
 
     ``licence`` is the known licence that the entire text is, else null; ``notices`` the sorted distinct licences that whole lines of it are,
     comma-joined (empty without any), ``n_notices`` the number of such lines. Null text counts as empty, whose digest matches nothing.
-    Repeated rows get equal results; an empty table or list is fine.
+    Repeated rows get equal results; an empty table or list is fine. ``known`` may be a table of texts, see ``known_licences``.
     """
     listed = known_licences(docs.sparkSession, known)
     sizes = [r["size"] for r in listed.select("size").distinct().collect()] or [-1]  # at most one per known text
@@ -94,7 +97,8 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     fitting = F.filter(F.transform(F.split("lines", "\n"), lambda p: F.trim(p)), lambda p: F.length(p).isin(sizes))
     prepared = cut_lineage(split.select("doc_id", _digest(_one_line(F.col("lines"))).alias("text_digest"), fitting.alias("lines")))
     prepared = prepared.withColumn("row", F.md5(F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("text_digest"), F.col("lines"))))
-    listed = F.broadcast(listed) if len(known) <= KNOWN_BROADCAST else listed  # one row per known text
+    few = (known.count() if isinstance(known, DataFrame) else len(known)) <= KNOWN_BROADCAST
+    listed = F.broadcast(listed) if few else listed  # one row per known text
     found = prepared.select("row", F.posexplode("lines").alias("at", "line")).withColumn("digest", _digest(F.col("line"))).join(listed, "digest")
     found = found.select("row", "at", "licence").distinct().groupBy("row").agg(F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("notices"), F.count(F.lit(1)).alias("n_notices"))
     whole = listed.select(F.col("digest").alias("text_digest"), "licence")

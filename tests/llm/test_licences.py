@@ -28,3 +28,14 @@ def test_edges(edge_docs, no_docs):
     assert len(rows) == edge_docs.count() and not any(r["licence"] or r["n_notices"] for r in rows)
     assert L.scan(no_docs).collect() == []
     assert len(L.scan(edge_docs, known=()).collect()) == edge_docs.count()
+
+
+def test_known_texts_come_from_a_table(spark):
+    """Entire texts with and without their title line, and identifier lines, are found once a table holds them."""
+    mit = next(t for n, k, t in L.KNOWN if (n, k) == ("MIT", "text"))
+    unlicense = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it."
+    known = spark.createDataFrame([*L.KNOWN, ("MIT", "text", "MIT License\n\n" + mit), ("Unlicense", "text", unlicense), ("MIT", "notice", "SPDX-License-Identifier: MIT")], "licence string, kind string, text string")
+    docs = spark.createDataFrame([(1, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit), (2, mit), (3, unlicense.upper()), (4, "// SPDX-License-Identifier: MIT\nint main;")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["licence"], r["notices"]) for r in L.scan(docs, known).collect()}
+    assert (got[1][0], got[2][0], got[3][0], got[4]) == ("MIT", "MIT", "Unlicense", (None, "MIT"))
+    assert len(L.scan(docs, known.where("false")).collect()) == 4
