@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftfield.llm import forest, language, licences, mixing, neardup, pieces, quality, secrets, urls, warc
+from driftfield.llm import divergence, forest, language, licences, mixing, neardup, pieces, quality, secrets, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op9_url_filter(spark, sf_dir):
 def op10_nearest_vectors(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     return forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@_register("op13_source_divergence", divergence.SQL)
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
