@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftfield.llm import divergence, forest, language, licences, mixing, neardup, pieces, quality, secrets, urls, warc
+from driftfield.llm import divergence, forest, language, licences, mixing, neardup, pieces, quality, secrets, spelling, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,11 @@ def op10_nearest_vectors(spark, sf_dir):
     return forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+@_register("op11_spelling_variants", spelling.SQL)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 @_register("op13_source_divergence", divergence.SQL)
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(_table(spark, sf_dir, "documents"))
