@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftfield.llm import divergence, forest, language, licences, mixing, neardup, pieces, quality, secrets, spelling, urls, warc
+from driftfield.llm import divergence, forest, language, licences, metric, mixing, neardup, pieces, quality, secrets, spelling, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+@_register("op12_jaccard_join")
+def op12_jaccard_join(spark, sf_dir):
+    return metric.similar_documents(_table(spark, sf_dir, "documents"), k=5)
+
+
 @_register("op13_source_divergence", divergence.SQL)
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(_table(spark, sf_dir, "documents"))
