@@ -2,19 +2,21 @@
 
 Plans of ``advect``, same result:
   analytic  closed-form field: steps run inside one projection, no join and no shuffle
+  arrays    NumPy field: each task walks its own points, no shuffle
   broadcast table field below a checked size: each task walks its own points over a broadcast copy
   joins     any field: every step samples by joins and is written to the shared folder before the next
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftfield.functions.analytic import Field
+from driftfield.functions.arrays import array_function, evaluate
 from driftfield.functions.vector import distance
 from driftfield.model import AXES, GridMeta
 from driftfield.operators import sample as smp
@@ -43,6 +45,27 @@ class AnalyticField:
         return df.withColumns({"u": u, "v": v, "w": w})
 
 
+@dataclass(frozen=True)
+class ArrayField:
+    """Velocity by a NumPy function of declared columns: ``fn(*arrays)`` gives the arrays u, v, w of an Arrow batch.
+
+    Inputs may be x, y, z, t and further columns of the points, which ``displace`` and ``advect`` hand on. Points without coordinates (or with
+    another input that is NULL) have no velocity.
+    """
+
+    fn: Callable
+    inputs: tuple[str, ...] = (*AXES, "t")
+
+    @property
+    def extra(self) -> list[str]:
+        return [c for c in self.inputs if c not in (*AXES, "t")]
+
+    def sample(self, df: DataFrame) -> DataFrame:
+        own = [c for c in df.columns if c not in UVW]
+        got = df.withColumn("_velocity", array_function(self.fn, len(self.inputs), UVW)(*self.inputs))
+        return got.select(*own, *[F.col(f"_velocity.{c}").alias(c) for c in UVW])
+
+
 @dataclass(frozen=True)
 class GridField:
     """Steady field on a regular grid."""
@@ -262,20 +285,25 @@ def advect(
     if plan is None:
         if isinstance(field, AnalyticField) and simple_rule:
             plan = "analytic"
+        elif isinstance(field, ArrayField) and simple_rule:
+            plan = "arrays"
         elif simple_rule and isinstance(field, (GridField, GridSeriesField)) and _field_bytes(field) <= broadcast_bytes:
             plan = "broadcast"
         else:
             plan = "joins"
-    start = points.select(F.col("id").cast("bigint").alias("particle_id"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    extra = field.extra if isinstance(field, ArrayField) else []
+    start = points.select(F.col("id").cast("bigint").alias("particle_id"), *[F.col(a).cast("double").alias(a) for a in AXES], *[F.col(c).cast("double").alias(c) for c in extra])
     if plan == "analytic":
         return _advect_analytic(start, field, dt, n_steps, method, rule, t0, record_every)
+    if plan == "arrays":
+        return _advect_arrays(start, field, dt, n_steps, method, rule, t0, record_every)
     if plan == "broadcast":
         if _field_bytes(field) > broadcast_bytes:
             raise ValueError("field is larger than broadcast_bytes: use the joins plan")
         return _advect_broadcast(start, field, dt, n_steps, method, rule, t0, record_every)
     if plan == "joins":
         return _advect_joins(start, field, dt, n_steps, method, rule, t0, record_every)
-    raise ValueError("plan must be analytic, broadcast or joins")
+    raise ValueError("plan must be analytic, arrays, broadcast or joins")
 
 
 def _let(value: Column, body) -> Column:
@@ -454,18 +482,15 @@ def _fold_array(p, rule: PerAxis | None):
     return p
 
 
-def _advect_broadcast(start, field, dt, n_steps, method, rule, t0, record_every) -> DataFrame:
-    spark = start.sparkSession
-    shared = spark.sparkContext.broadcast(_field_arrays(field))
-    meta, outside = field.meta, field.outside
-    outside_time = getattr(field, "outside_time", "constant")
+def _walk(start: DataFrame, velocity: Callable, extra: list[str], dt, n_steps, method, rule, t0, record_every) -> DataFrame:
+    """Every task walks its own points: ``velocity()`` makes, once per task, a function of (points[n, 3], time, extra columns) to [n, 3]."""
     offsets, weights = STAGES[method]
 
     def walk(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        stamps, values = shared.value
+        at = velocity()
 
         def frame(ids, p, n):
             return pd.DataFrame({"particle_id": ids, "t_idx": np.int64(n), **{a: p[:, i] for i, a in enumerate(AXES)}})
@@ -473,11 +498,12 @@ def _advect_broadcast(start, field, dt, n_steps, method, rule, t0, record_every)
         for batch in batches:
             ids = batch["particle_id"].to_numpy()
             p = batch[list(AXES)].to_numpy(dtype=float).copy()
+            more = [batch[c].to_numpy(dtype=float) for c in extra]
             yield frame(ids, p, 0)
             for n in range(n_steps):
                 t, move, k = t0 + n * dt, 0.0, 0.0
                 for c, w in zip(offsets, weights):
-                    k = _grid_velocity(p + c * dt * k, t + c * dt, stamps, values, meta, outside, outside_time)
+                    k = at(p + c * dt * k, t + c * dt, more)
                     move = move + w * k
                 p = _fold_array(p + dt * move, rule)
                 if (n + 1) % record_every == 0 or n + 1 == n_steps:
@@ -488,16 +514,50 @@ def _advect_broadcast(start, field, dt, n_steps, method, rule, t0, record_every)
     return _finish(rows, dt, t0, record_every, n_steps)
 
 
+def _advect_broadcast(start, field, dt, n_steps, method, rule, t0, record_every) -> DataFrame:
+    shared = start.sparkSession.sparkContext.broadcast(_field_arrays(field))
+    meta, outside = field.meta, field.outside
+    outside_time = getattr(field, "outside_time", "constant")
+
+    def velocity() -> Callable:
+        stamps, values = shared.value
+        return lambda p, t, _: _grid_velocity(p, t, stamps, values, meta, outside, outside_time)
+
+    return _walk(start, velocity, [], dt, n_steps, method, rule, t0, record_every)
+
+
+def _advect_arrays(start, field: ArrayField, dt, n_steps, method, rule, t0, record_every) -> DataFrame:
+    fn, inputs, extra = field.fn, field.inputs, field.extra
+
+    def velocity() -> Callable:
+        import numpy as np
+
+        def at(p, t, more):
+            known = {**{a: p[:, i] for i, a in enumerate(AXES)}, "t": np.full(len(p), float(t)), **dict(zip(extra, more))}
+            arrays = [known[c] for c in inputs]
+            got = np.stack(evaluate(fn, arrays, 3, "field"), axis=1)
+            # what has no coordinates, or lacks another input, does not move
+            got[np.isnan(np.stack(arrays, axis=1)).any(axis=1) | np.isnan(p).any(axis=1)] = np.nan
+            return got
+
+        return at
+
+    return _walk(start, velocity, extra, dt, n_steps, method, rule, t0, record_every)
+
+
 def _advect_joins(start, field, dt, n_steps, method, rule, t0, record_every) -> DataFrame:
     """Every step is written before the next one reads it: a lost executor costs one step, and plans stay short."""
     spark = start.sparkSession
     folder = scratch_path(spark, "advect")
     field = _prepared(field)
 
+    extra = [c for c in start.columns if c not in ("particle_id", *AXES)]
+    kept = "particle_id bigint, x double, y double, z double" + "".join(f", `{c}` double" for c in extra)
+
     def stored(df: DataFrame, n: int) -> DataFrame:
         path = f"{folder}/steps/t_idx={n}"
-        df.select("particle_id", *AXES).write.parquet(path)
-        return spark.read.schema("particle_id bigint, x double, y double, z double").parquet(path)
+        df.select("particle_id", *AXES, *extra).write.parquet(path)
+        return spark.read.schema(kept).parquet(path)
 
     now = stored(start, 0)
     for n in range(n_steps):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_points", "q_rules", "q_sample", "q_paths", "q_density", "q_sources")
+MODULES = ("q_points", "q_rules", "q_sample", "q_paths", "q_density", "q_sources", "q_arrays")
 
 
 def load() -> None:
