@@ -1,10 +1,11 @@
 """Near-duplicate groups by MinHash bands and odd sketches, every link confirmed on full shingle sets.
 
 1. One pass over the texts: size and 128-bit digest of each shingle set, MinHash band keys, an odd sketch. Equal sets become one class.
-2. Classes that share a band key are candidates. A key's members are compared with its smallest member, so a group of n gives n - 1 pairs;
-   odd sketches (parities of MinHash samples; the population count of their XOR estimates the similarity) drop pairs far from the
-   threshold. What is left joins classes into families. Then members of one key in different families are compared by sketch in blocks,
-   each naming its best partner, until no two families have a near pair: every pair that may be a link now lies in one family.
+2. Classes that share a band key are candidates. Keys with the same smallest member become one cell, so a group that shares fifty keys is
+   looked at once. A cell's members are compared with its smallest member, so a group of n gives n - 1 pairs; odd sketches (parities of
+   MinHash samples; the population count of their XOR estimates the similarity) drop pairs far from the threshold. What is left joins
+   classes into families. Then the members of a cell outside its largest family are compared by sketch with all its members, in blocks,
+   and families with a near pair are joined: every pair that may be a link now lies in one family.
 3. The pairs found are confirmed on the full sets. Where a family still falls apart, members outside its largest part are compared with
    all its members in blocks that hold the texts, and only links between parts leave a block. So no link is lost, and the rows written
    follow the number of documents, not of pairs.
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from driftfield.llm import blocks as B
+from driftfield.operators.ranks import join_per_key
 from driftfield.session import cut_lineage
 
 BANDS, ROWS = 50, 6
@@ -28,6 +30,8 @@ SAMPLES, BITS = 1024, 2048
 MARGIN = 0.08
 BLOCK = 1024
 TEXT_BLOCK = 256
+#: Narrow rows that a task of a small table is given.
+ROWS_PER_TASK = 100_000
 #: Up to so many ids are broadcast to pick texts by; beyond, texts and ids are shuffled.
 IDS_BROADCAST = 1_000_000
 _SKETCH = BITS // 8 + SAMPLES // 8
@@ -154,77 +158,123 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def _tasks(rows: int) -> int:
+    """How many tasks a table of so many narrow rows is worth: a shuffle of few rows need not make as many files as one of many."""
+    return max(4, -(-rows // ROWS_PER_TASK))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node that these links reach), without a node's link to itself."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, label[left], least)
+        np.minimum.at(new, label[right], least)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links of each Arrow batch as stars around the smallest node that they reach in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _forest(batch.column("a").to_numpy(), batch.column("b").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``links(a, b)``.
 
-    Every round gives each node's larger neighbours its smallest neighbour (large star), then does so for the smaller ones (small star);
-    it ends when all links are a node and its component. Rounds grow with the logarithm of the longest chain.
+    Links are first contracted where they lie. Then every round gives each node's larger neighbours its smallest neighbour (large star), and
+    does so for the smaller ones (small star); it ends when all links are a node and its component. Rounds grow with the logarithm of the
+    longest chain, tasks with the number of links.
     """
     check = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    links = links.where("a <> b")
+    n = _tasks(links.count())
+    edges = cut_lineage(_contracted(links.coalesce(n)).distinct().coalesce(n))
     state = check(edges)
     while state[0]:
+        n = _tasks(2 * state[0])
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut_lineage(small)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(n)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(n)
+        large = cut_lineage(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(n)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        edges = cut_lineage(small.coalesce(n).distinct().coalesce(n))
         before, state = state, check(edges)
         if before == state:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+    nodes = edges.select(F.col("b").alias("node")).distinct().coalesce(n)
+    return cut_lineage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(nodes.select("node", F.col("node").alias("component"))))
 
 
-def _nearest_elsewhere(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b): for ``members(key, doc_id, component)`` the best partner in the same key and another component, if near enough.
+def _near_elsewhere(cells: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) near enough that join the components of ``cells(cell, doc_id, component)``, wherever two of a cell have such a pair.
 
-    A key's members are dealt to blocks by hash; a task compares two blocks, and both sides name their best partner.
+    Members outside a cell's largest component are compared with all its members: both are dealt to blocks by hash, and a task compares
+    two blocks and names one pair for each two components that it joins.
     """
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    dealt = members.join(counts.where("x < y").drop("x", "y"), "key").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    # a block meets itself and every other one
-    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
-    placed = dealt.join(sketches, "doc_id").withColumn("cell", F.explode(meets))
-    placed = placed.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "at", "doc_id", "component", "sketch")
+    sizes = cells.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("cell").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("main")).where("members > main.n")
+    plan = whole.select("cell", F.col("main.component").alias("main"), F.ceil((F.col("members") - F.col("main.n")) / BLOCK).cast("int").alias("ns"), F.ceil(F.col("members") / BLOCK).cast("int").alias("na"))
+    each = cut_lineage(join_per_key(cells, cut_lineage(plan), "cell"))
+    columns = ["cell", "i", "j", "straggler", "doc_id", "component"]
+    placed = _in_blocks(each.withColumn("straggler", F.col("component") != F.col("main")), columns).join(sketches, "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, at = (table.column(c).to_numpy() for c in ("doc_id", "component", "at"))
+        ids, part = (table.column(c).to_numpy() for c in ("doc_id", "component"))
+        part = np.unique(part, return_inverse=True)[1]
         words = _words_of(table.column("sketch").combine_chunks())
-        left, right = (np.flatnonzero(at == table.column(c)[0].as_py()) for c in ("i", "j"))
+        role = table.column("straggler").to_numpy()
+        right = np.flatnonzero(~role)
         found = []
-        left = left if len(right) else right  # a block may have no members
-        best, partner = np.full(len(right), -1.0), np.zeros(len(right), np.int64)
-        for x in left:
-            s = similarity(words[x], words[right])
-            s[comp[right] == comp[x]] = -1
-            y = int(np.argmax(s))
-            if s[y] >= least:
-                found.append((ids[x], ids[right[y]]))
-            better = s > best
-            best[better], partner[better] = s[better], ids[x]
-        found += [(ids[right[y]], partner[y]) for y in np.flatnonzero(best >= least)]
+        for x in np.flatnonzero(role):
+            near = right[part[right] != part[x]]
+            near = near[similarity(words[x], words[near]) >= least]
+            parts, first = np.unique(part[near], return_index=True)
+            if len(parts):
+                found += [(ids[x], ids[y]) for y in near[first]]
+                part[np.isin(part, parts)] = part[x]
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
 
-    return placed.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return placed.groupBy("cell", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _in_blocks(each: DataFrame, columns: list[str]) -> DataFrame:
+    """``each(..., doc_id, straggler, ns, na)`` in cells (i, j): one of ``ns`` blocks of stragglers beside one of ``na`` blocks of all rows."""
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stragglers = each.where("straggler").withColumn("i", place("ns")).withColumn("j", spread("na"))
+    others = each.withColumns({"j": place("na"), "straggler": F.lit(False)}).withColumn("i", spread("ns"))
+    return stragglers.select(*columns).union(others.select(*columns))
 
 
-def _families(likely: DataFrame, members: DataFrame, sketches: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs, families): components of near pairs such that no near pair with a common key lies across two of them.
+def _families(likely: DataFrame, cells: DataFrame, sketches: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, families): components of near pairs such that no near pair of one cell lies across two of them.
 
-    Only members that named a partner can do so again, as families only grow.
+    Each member outside its cell's main component meets all others, and every two components with a near pair are joined, so once is enough.
     """
-    pairs = likely
-    families = components(pairs)
-    while True:
-        held = members.join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        more = cut_lineage(_nearest_elsewhere(held, sketches, least))
-        if more.isEmpty():
-            return pairs, families
-        members = cut_lineage(members.join(more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct(), "doc_id", "left_semi"))
-        pairs = cut_lineage(pairs.union(more).distinct())
-        families = components(families.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    families = components(likely)
+    n = _tasks(cells.count())
+    held = cells.join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    more = cut_lineage(_near_elsewhere(cut_lineage(held.coalesce(n)), sketches, least).coalesce(n))
+    if more.isEmpty():
+        return likely, families
+    return cut_lineage(likely.union(more).coalesce(n)), components(families.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def _sets_and_sketches(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,18 +336,15 @@ def _rest_of_families(families: DataFrame, found: DataFrame, tested: DataFrame,
     whole = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "part"))["part"].alias("main"), F.max("n").alias("most"))
     split = whole.join(done, "family").where("parts > 1 and pairs < members * (members - 1) / 2")
     blocks = split.select("family", "main", F.ceil((F.col("members") - F.col("most")) / TEXT_BLOCK).cast("int").alias("ns"), F.ceil(F.col("members") / TEXT_BLOCK).cast("int").alias("na"))
-    each = held.join(blocks, "family").join(texts, "doc_id")
-    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stragglers = each.where("part <> main").withColumns({"i": place("ns"), "straggler": F.lit(True)}).withColumn("j", spread("na"))
-    others = each.withColumns({"j": place("na"), "straggler": F.lit(False)}).withColumn("i", spread("ns"))
-    columns = ["family", "i", "j", "straggler", "doc_id", "part", "text"]
+    each = cut_lineage(join_per_key(held, cut_lineage(blocks), "family"))
+    columns = ["family", "i", "j", "straggler", "doc_id", "part"]
+    placed = _in_blocks(each.withColumn("straggler", F.col("part") != F.col("main")), columns).join(texts, "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
         pairs = np.array(_links_between(table, k, threshold, least), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
 
-    return stragglers.select(*columns).union(others.select(*columns)).groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return placed.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -313,7 +360,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (1
     Documents are linked if ``100 * |intersection| >= 80 * |union|`` of their sets of distinct ``k``-word shingles (A-Z lower-cased; a
     text with fewer words has one shingle). ``component_id`` is the smallest id reachable, ``kept`` marks the document that has it. Null,
     empty and wordless texts have no shingle and are linked with nothing. Rows that repeat an id count as one document with all links of
-    its texts. ``doc_id`` must not be null; such rows are returned unlinked with ``kept`` true.
+    its texts. Rows with a null ``doc_id`` stay: unlinked, with a null component, ``kept`` true.
     """
     least = threshold[1] / threshold[0] - MARGIN
     signed = cut_lineage(signatures(docs, k))
@@ -321,22 +368,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (1
     smallest = linkable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
     classes = cut_lineage(smallest.select("d1", "d2", F.col("m.doc_id").alias("first"), "m.bands", "m.sketch"))
     keys = classes.select(F.col("first").alias("doc_id"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    members = cut_lineage(keys.join(shared, "key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last")).where("cell < last").drop("last")
+    cells = cut_lineage(join_per_key(keys, cut_lineage(shared), "key").select("cell", "doc_id").distinct())
     sketches = classes.select(F.col("first").alias("doc_id"), "sketch")
-    pairs = members.where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = cells.where("doc_id > cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b"))
     likely = cut_lineage(_likely(pairs, sketches, least))
-    near, families = _families(likely, members.select("key", "doc_id"), sketches, least)
+    near, families = _families(likely, cells, sketches, least)
     texts = _texts_of(docs, families.select(F.col("node").alias("doc_id")))
     tested = cut_lineage(_confirmed(near, texts, k, threshold))
     found = components(tested.where("linked"))
     rest = cut_lineage(_rest_of_families(families, found, tested, texts, k, threshold, least))
     if not rest.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
-    of_class = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "first").alias("_component"))
-    rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2")
-    joined = rows.join(of_class, (rows["d1"] == of_class["_d1"]) & (rows["d2"] == of_class["_d2"]), "left")
-    component = F.coalesce("_component", "doc_id")
+    of_class = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
+    rows = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("d1")).alias("d1"), "d2")
+    joined = join_per_key(rows.where("d1 is not null"), cut_lineage(of_class), ["d1", "d2"], "left").select("doc_id", "n_shingles", "component")
+    joined = joined.union(rows.where("d1 is null").select("doc_id", "n_shingles", F.lit(None).cast("bigint")))
+    component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
