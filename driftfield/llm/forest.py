@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,22 @@ class Forest:
         return (1 << self.depth) - 1
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: squares neither overflow nor vanish, and no digit changes."""
+    x = np.ascontiguousarray(x, np.float64)
+    if not x.size:
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def grow(sample: np.ndarray, trees: int, leaf: int, seed: int = 1) -> Forest:
     """Fit the trees. Where all points of a node are equal, they go by a random plane."""
-    x = _unit(sample.astype(np.float64))
+    x = _unit(sample)
     depth = max(0, int(np.ceil(np.log2(max(len(x), 1) / leaf))))
     nodes = (1 << depth) - 1
     normals, cuts = np.zeros((trees, nodes, x.shape[1])), np.zeros((trees, nodes))
@@ -79,7 +89,7 @@ def grow(sample: np.ndarray, trees: int, leaf: int, seed: int = 1) -> Forest:
 
 def route(forest: Forest, x: np.ndarray) -> np.ndarray:
     """(vectors, trees) leaf of each vector in each tree."""
-    x = _unit(x.astype(np.float64))
+    x = _unit(x)
     out = np.zeros((len(x), len(forest.normals)), np.int64)
     for t in range(out.shape[1]):
         node = np.zeros(len(x), np.int64)
@@ -93,7 +103,7 @@ def route(forest: Forest, x: np.ndarray) -> np.ndarray:
 def visits(forest: Forest, sizes: np.ndarray, x: np.ndarray, search_k: int) -> Iterator[list[tuple[int, int]]]:
     """For every query the (tree, leaf) pairs in the order of one queue over all trees, until the leaves hold ``search_k`` vectors."""
     trees, inner = len(forest.normals), forest.nodes
-    margins = np.einsum("qd,tnd->qtn", _unit(x.astype(np.float64)), forest.normals) - forest.cuts
+    margins = np.einsum("qd,tnd->qtn", _unit(x), forest.normals) - forest.cuts
     for margin in margins:
         queue = [(-np.inf, t, 0) for t in range(trees)]
         got, found = 0, []
@@ -113,7 +123,7 @@ def visits(forest: Forest, sizes: np.ndarray, x: np.ndarray, search_k: int) -> I
 
 def calibrate(forest: Forest, sample: np.ndarray, k: int, recall: float) -> float:
     """Share of the vectors that leaves must hold, counting every tree's, to find ``recall`` of the k nearest in the sample."""
-    x = _unit(sample.astype(np.float64))
+    x = _unit(sample)
     if len(x) < 2:
         return 1.0
     leaves = route(forest, x)
@@ -135,7 +145,7 @@ def calibrate(forest: Forest, sample: np.ndarray, k: int, recall: float) -> floa
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosine of each row of ``q`` with the same row of ``v`` in double precision; equal rows give equal results."""
-    q, v = (np.ascontiguousarray(x, np.float64) for x in (q, v))  # rows laid out alike are summed alike
+    q, v = _scaled(q), _scaled(v)  # rows laid out alike are summed alike
     return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 
@@ -148,10 +158,10 @@ def _best(a: pa.Table, b: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.
     """(query, id, score) of each query's k nearest rows in the leaves that it visits, ties to the smaller id."""
     q_ids, q, mask = a.column("q").to_numpy(), _matrix(a.column("qv")), a.column("leaves").to_numpy()
     ids, v, leaf = b.column("id").to_numpy(), _matrix(b.column("v")), b.column("leaf").to_numpy() % TOGETHER
-    unit = _unit(v.astype(np.float64))
+    unit = _unit(v)
     out = []
     for lo in range(0, len(q), 256):
-        rough = _unit(q[lo : lo + 256].astype(np.float64)) @ unit.T
+        rough = _unit(q[lo : lo + 256]) @ unit.T
         rough[(mask[lo : lo + 256, None] >> leaf & 1) == 0] = -2
         kth = np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
         for i, row in enumerate(rough):
@@ -169,8 +179,8 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, itself left out; nearest first, ties to smaller ids.
 
     ``vectors`` and ``queries`` have (vec_id, embedding); queries must be rows of ``vectors``. Vectors that are null, zero, or hold null or
-    non-finite components take no part, as query or candidate; nor do rows without an id. All vectors have one length. With fewer than k
-    others, all that are found are returned. Rows that repeat an id and vector count once.
+    non-finite components take no part, as query or candidate; nor do rows without an id. Vectors of different lengths have no cosine: each
+    length is searched on its own. With fewer than k others, all that are found are returned. Rows that repeat an id and vector count once.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -183,10 +193,14 @@ def nearest(
     order = F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
     lowest = pick(vectors).groupBy("h1", "h2", "vec_id").agg(F.first("v").alias("v")).withColumn("_n", order).where(F.col("_n") <= k + 1)
     classes = cut_lineage(lowest.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v")))
-    n, dims = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n, dims, least = classes.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v"))).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if n == 0:
         return empty
+    if least < dims:
+        lengths = sorted(r[0] for r in classes.select(F.size("v")).distinct().collect())  # one number per length
+        of = lambda df, d: df.where(F.size("embedding") == d)
+        return reduce(DataFrame.union, [nearest(of(vectors, d), of(queries, d), k, trees, leaf, sample, recall) for d in lengths])
     share = F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 30)) / float(1 << 30)
     sample = min(sample, SAMPLE_NUMBERS // dims)
     taken = classes.where(share < sample / n).select("id", "v").orderBy("id").collect()  # about ``sample`` rows at most

@@ -71,3 +71,25 @@ def test_queue_takes_leaves_by_margin():
     assert (sizes.sum(1) == 400).all() and sizes.min() >= 10
     for own, order in zip(leaves[:5], A.visits(forest, sizes, x[:5], 10**9)):
         assert {(t, int(leaf)) for t, leaf in enumerate(own)} == set(order[:3]) and len(order) == sizes.size
+
+
+def test_very_large_and_very_small_vectors(spark):
+    """Components whose squares overflow or vanish; the same cosines as those of the vectors in ordinary size."""
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.5], [-1.0, 0.5, 0.25], [3.0, -1.0, 0.0]]
+    sizes = [2.0**660, 2.0**-660, 1.0, 2.0**-1000]
+    rows = [(50 * i + j, [c * size for c in v]) for i, v in enumerate(base) for j, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = found(A.nearest(df, df.where("vec_id % 50 = 0")))
+    plain = exact([(i, base[i // 50]) for i, _ in rows])
+    assert got == plain and all(math.isfinite(s) for v in got.values() for _, s in v)
+
+
+def test_each_length_on_its_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=2 + i % 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = found(A.nearest(df, df.where("vec_id % 10 = 0")))
+    assert len(got) == 9
+    for q, answers in got.items():
+        mates = [(i, v) for i, v in rows if i % 3 == q % 3]
+        assert answers == exact(mates, every=1)[q]
