@@ -20,14 +20,17 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from driftfield.operators.ranks import join_per_key
 from driftfield.session import cut_lineage, scratch_path
 
 MAX_FILE_BYTES = 1 << 30
 GAP_BYTES = 1 << 16
 READ_BYTES = 8 << 20
 TASK_BYTES = 16 << 20
+#: A record's head is no longer than this.
+HEAD_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -36,13 +39,16 @@ _INDEX = "file string, offset bigint, length bigint, url string, digest string,
 _SAFE = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%")
 
 
+_OWN = re.compile(r"<urn:page:(-?\d*)>")
+
+
 def _record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
 def _id_of(record_id: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
-    return int(m[1]) if m else None
+    m = _OWN.fullmatch(record_id or "")
+    return int(m[1]) if m and m[1] else None
 
 
 def build_record(page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -59,24 +65,58 @@ def build_record(page_id: int | None, url: str | None, digest: str, payload: byt
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
+def _headers(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; a line that begins with a space goes on with the one before. Of repeated names the first counts."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").splitlines():
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            fields.setdefault(name, value.strip())
+    return fields
+
+
 def parse_record(raw: bytes) -> dict:
-    """Fields of one uncompressed record; raises ValueError for a truncated one or a payload that has another digest."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines)
-    block = rest[: int(fields["Content-Length"])]
-    if first != VERSION or rest[len(block) :] != b"\r\n\r\n":
+    """Fields of one uncompressed record of any type and of WARC 0.17 to 1.1.
+
+    Raises ValueError for what is not a whole record, and for a whole payload that has another SHA-1 than it says. ``payload`` is what follows
+    the HTTP head in HTTP records and the block in others; null for revisits, whose ``payload_bytes`` are what their HTTP head says (0 if
+    it says nothing). Records without a digest get that of their payload.
+    """
+    first, _, rest = raw.partition(b"\r\n")
+    head, _, rest = rest.partition(b"\r\n\r\n")
+    fields = _headers(head)
+    if not first.startswith(b"WARC/") or not fields.get("content-length", "").isdigit():
+        raise ValueError("not a record")
+    block = rest[: int(fields["content-length"])]
+    if len(block) < int(fields["content-length"]) or rest[len(block) :].strip(b"\r\n"):
         raise ValueError("not a whole record")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?m)^Content-Length: (\d+)\r?$", http)[1])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-        raise ValueError("payload and digest differ")
-    url = fields.get("WARC-Target-URI")
+    kind = fields.get("warc-type", "").lower()
+    http: dict[str, str] = {}
+    payload = block
+    if fields.get("content-type", "").lower().startswith("application/http") or (kind == "revisit" and block.startswith(b"HTTP/")):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(top.partition(b"\r\n")[2])
+    said = fields.get("warc-payload-digest", "")
+    digest = said[5:].upper() if said.lower().startswith("sha1:") else None
+    whole = kind != "revisit" and "warc-truncated" not in fields
+    if kind != "revisit":
+        size, own = len(payload), base32_sha1(payload)
+        # a digest of transfer-encoded content is not that of the bytes stored
+        if digest and whole and len(digest) == 32 and digest != own and "transfer-encoding" not in http:
+            raise ValueError("payload and digest differ")
+        digest = digest or own
+    else:
+        size = int(http.get("content-length", "0")) if http.get("content-length", "0").isdigit() else 0
+    url = fields.get("warc-target-uri")
+    ours = _OWN.fullmatch(fields.get("warc-record-id", ""))
     return {
-        "page_id": _id_of(fields["WARC-Record-ID"]), "url": None if url is None else unquote(url), "record_type": kind, "refers_to": _id_of(fields.get("WARC-Refers-To")),
-        "payload_digest": digest, "payload_bytes": size, "payload": payload if kind == "response" else None,
+        "page_id": _id_of(fields.get("warc-record-id")), "url": unquote(url) if url and ours else url and url.strip("<>"), "record_type": kind, "refers_to": _id_of(fields.get("warc-refers-to")),
+        "payload_digest": digest, "payload_bytes": size, "payload": None if kind == "revisit" else payload,
+        "record_id": fields.get("warc-record-id"), "refers_to_id": fields.get("warc-refers-to"), "date": fields.get("warc-date"),
     }
 
 
@@ -98,7 +138,7 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     keyed = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("_sha1"))
     narrow = pages.select("page_id", F.sha1(html).alias("_sha1"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
     firsts = narrow.groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1 and _first is not null").drop("n")
-    revisits = narrow.drop("n").join(firsts, "_sha1").where("not (page_id <=> _first)").distinct()
+    revisits = join_per_key(narrow.drop("n"), firsts, "_sha1").where("not (page_id <=> _first)").distinct()
     revisits = revisits.select(F.coalesce("page_id", F.lit(-1)).alias("_id"), F.col("_sha1").alias("_digest"), "_first", F.col("page_id").isNull().alias("_none"))
     same = (F.coalesce(keyed["page_id"], F.lit(-1)) == revisits["_id"]) & (keyed["_sha1"] == revisits["_digest"]) & (keyed["page_id"].isNull() == revisits["_none"])
     return keyed.join(revisits, same, "left").select("page_id", "url", "payload", "_sha1", "_first")
@@ -153,15 +193,22 @@ def _ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, l
         yield file, start, end, held
 
 
-def read_records(selected: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def _unpacked(member: bytes) -> bytes:
+    """A record's bytes, whether it is a gzip member or stored as it is."""
+    return zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
+
+
+def read_records(selected: DataFrame, folder: str, with_payload: bool = True, with_names: bool = False) -> DataFrame:
     """The records that rows of the index name: (page_id, url, record_type, refers_to, payload_digest, payload_bytes[, payload]).
 
-    ``payload`` is null for revisits. Every response's digest is computed again; a record that does not match fails the job.
+    ``payload`` is null for revisits. Every whole payload's digest is computed again; a record that does not match fails the job.
+    ``with_names`` adds record_id, refers_to_id and date as the archive has them, for archives of other writers.
     """
     total = selected.agg(F.sum("length")).first()[0] or 0
-    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint" + (", payload binary" if with_payload else "")
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint"
+    schema += (", payload binary" if with_payload else "") + (", record_id string, refers_to_id string, date string" if with_names else "")
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*((c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pafs.FileSystem.from_uri(folder)
@@ -173,14 +220,76 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
                     opened, source = file, fs.open_input_file(f"{top}/{file}")
                 source.seek(start)
                 data = source.read(end - start)
-                found = [parse_record(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in records]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(names, types)], names)
+                found = [parse_record(_unpacked(data[o - start : o - start + n])) for o, n in records]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(names, types)], list(names))
 
     parts = max(1, -(-int(total) // TASK_BYTES))
     ordered = selected.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, schema)
 
 
+def _plain_members(source, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of an uncompressed archive, by the lengths that heads name."""
+    at = 0
+    while at < size:
+        source.seek(at)
+        head = source.read(min(HEAD_BYTES, size - at))
+        blank = head.find(b"\r\n\r\n")
+        if blank < 0:
+            raise ValueError(f"no record head at {at}")
+        length = blank + 4 + int(_headers(head[:blank]).get("content-length", "0"))
+        source.seek(at)
+        record = source.read(length)
+        tail = source.read(min(4, size - at - length))
+        length += len(tail) - len(tail.lstrip(b"\r\n"))
+        yield at, length, record
+        at += length
+
+
+def _gzip_members(source, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of an archive of gzip members, read on from one to the next."""
+    at, data = 0, b""  # ``data`` has been read and is not used up
+    source.seek(0)
+    while at < size:
+        packer, out, begin = zlib.decompressobj(31), [], at
+        while not packer.eof:
+            if not data:
+                data = source.read(READ_BYTES)
+                if not data:
+                    raise ValueError(f"the member at {begin} ends early")
+            out.append(packer.decompress(data))
+            used = len(data) - len(packer.unused_data)
+            at, data = at + used, packer.unused_data
+        yield begin, at - begin, b"".join(out)
+
+
+def index_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The index (see ``write_archives``) of all records in the ``.warc`` and ``.warc.gz`` files of a folder, whoever wrote them.
+
+    A file is a task's work, because where a member begins is known only once the one before is unpacked. ``page_id`` and ``refers_to`` are null
+    where record ids are not of this module; warcinfo records and others have their own ``record_type``. An empty folder gives an empty index.
+    """
+    system, root = pafs.FileSystem.from_uri(folder)
+    listed = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    names = sorted(f.base_name for f in listed if f.is_file and f.base_name.endswith((".warc", ".warc.gz")))
+    files = spark.createDataFrame([(n,) for n in names], "file string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                source = fs.open_input_file(f"{top}/{name}")
+                size = source.size()
+                packed = source.read(2) == b"\x1f\x8b"
+                for offset, length, record in (_gzip_members if packed else _plain_members)(source, size):
+                    r = parse_record(record)
+                    row = (name, offset, length, r["url"], r["payload_digest"], r["page_id"], r["record_type"], r["refers_to"])
+                    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in _INDEX.split(", ")])
+
+    return cut_lineage(files.repartition(max(1, len(names))).mapInArrow(run, _INDEX))
+
+
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write all pages below the shared folder, read all records back."""
     folder = scratch_path(pages.sparkSession, "warc")

@@ -68,3 +68,54 @@ def test_neighbouring_ranges_are_one_read():
 
 def test_empty(pages):
     assert A.round_trip(pages.where("page_id < -5")).collect() == []
+
+
+def foreign(version, kind, block, *, http=True, digest=None, more=()):
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "warc-date: 2020-01-01T00:00:00Z", "WARC-Target-URI: http://x.org/a%20b", *more]
+    lines += [f"Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}", f"Content-Length: {len(block)}"]
+    lines += [f"WARC-Payload-Digest: {digest}"] if digest else []
+    return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+FOREIGN = {
+    "plain 1.0": (foreign("1.0", "response", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"), "response", b"body"),
+    "no head at all": (foreign("1.1", "response", b"HTTP/1.0 200\r\n\r\n"), "response", b""),
+    "warcinfo": (foreign("1.0", "warcinfo", b"software: y\r\n", http=False), "warcinfo", b"software: y\r\n"),
+    "folded header": (foreign("1.0", "resource", b"data", http=False, more=["X-Long: a", "  b"]), "resource", b"data"),
+    "chunked": (foreign("1.1", "response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n", digest="sha1:" + A.base32_sha1(b"body")), "response", None),
+    "other digest": (foreign("1.1", "response", b"HTTP/1.1 200 OK\r\n\r\nbody", digest="sha256:00"), "response", b"body"),
+    "revisit": (foreign("1.1", "revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n", digest="sha1:" + "A" * 32), "revisit", None),
+}
+
+
+@pytest.mark.parametrize("case", FOREIGN)
+def test_records_of_other_writers(case):
+    raw, kind, payload = FOREIGN[case]
+    got = A.parse_record(raw)
+    assert got["record_type"] == kind and got["record_id"] == "<urn:uuid:1>" and got["page_id"] is None and got["url"] == "http://x.org/a%20b"
+    if payload is not None:
+        assert got["payload"] == payload and got["payload_bytes"] == len(payload)
+    if kind == "revisit":
+        assert got["payload_bytes"] == 12 and got["payload_digest"] == "A" * 32
+    with pytest.raises(ValueError):
+        A.parse_record(raw.replace(b"WARC/", b"WRC/"))
+
+
+def test_index_of_existing_archives(spark, pages, tmp_path, monkeypatch):
+    """Own archives, and foreign ones packed and plain: the index found by reading names the same records as the writer's."""
+    monkeypatch.setattr(A, "READ_BYTES", 1 << 10)
+    folder = tmp_path / "w"
+    written = A.write_archives(pages, str(folder))
+    columns = ["file", "offset", "length", "page_id", "record_type", "refers_to", "digest"]
+    assert sorted(map(tuple, A.index_archives(spark, str(folder)).select(*columns).collect()), key=repr) == sorted(map(tuple, written.select(*columns).collect()), key=repr)
+    other = tmp_path / "o"
+    other.mkdir()
+    raws = [raw for raw, _, _ in FOREIGN.values()]
+    (other / "a.warc").write_bytes(b"".join(raws))
+    (other / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in raws))
+    (other / "c.txt").write_bytes(b"no archive")
+    index = A.index_archives(spark, str(other))
+    assert index.groupBy("file").count().count() == 2 and index.count() == 2 * len(raws)
+    got = A.read_records(index, str(other), with_names=True).collect()
+    assert sorted(r["record_type"] for r in got) == sorted(2 * [k for _, k, _ in FOREIGN.values()]) and {r["record_id"] for r in got} == {"<urn:uuid:1>"}
+    assert A.index_archives(spark, str(tmp_path / "none")).collect() == []
