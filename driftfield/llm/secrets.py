@@ -342,19 +342,19 @@ def _value_start(text: str, start: int, kind: int) -> int:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field from at most about ``sample`` documents with base matches and at most as many without, picked by a hash of the id.
+    """A field from at most about ``sample`` documents with base matches and at most as many without, picked by a hash of id and text.
 
-    Where matches are few, the others are four times as many; texts that only have a keyword are among these. None without matches.
+    Rows that repeat both count once, so whatever ids are missing or repeated, no more than four times that many come to the driver. Where matches are few, the others are four times as many; texts that only have a keyword are among these. None without matches.
     """
     text = F.col("text")
     marked = docs.where(text.isNotNull()).select("doc_id", "text", text.rlike(_MATCH).alias("hit"))
     counts = {r["hit"]: r["n"] for r in marked.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(True):
         return None
-    share = F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.pmod(F.xxhash64(F.lit("secrets"), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     wanted = F.when(F.col("hit"), sample / counts[True]).otherwise(min(sample, 4 * counts[True]) / max(counts.get(False, 1), 1))
     # a window around the matches is enough to learn from; other texts give one window each
-    rows = marked.where(share < wanted).select("doc_id", "text")
+    rows = marked.where(share < wanted).select("doc_id", "text").dropDuplicates(["doc_id", "text"]).limit(4 * sample)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
