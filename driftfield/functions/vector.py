@@ -150,9 +150,11 @@ def flatten_axis(df: DataFrame, plane: str = "xy") -> DataFrame:
     return df.withColumn(PLANES[plane][2], F.lit(0.0))
 
 
-def slab_filter(df: DataFrame, plane: str, position: float, thickness: float) -> DataFrame:
-    """Rows within half a thickness of the plane; every row if none is, projected by p, q."""
+def slab_filter(df: DataFrame, plane: str, position: float, thickness: float, all_if_empty: bool = False) -> DataFrame:
+    """Rows within half a thickness of the plane, projected by p, q; with ``all_if_empty`` every row if none is."""
     near = F.abs(F.col(PLANES[plane][2]) - F.lit(float(position))) <= F.lit(thickness / 2.0)
+    if not all_if_empty:
+        return plane_project(df.filter(near), plane)
     any_near = df.agg(F.coalesce(F.max(near), F.lit(False)).alias("hit"))
     kept = df.withColumn("_hit", any_near.scalar()).filter(near | ~F.col("_hit")).drop("_hit")
     return plane_project(kept, plane)

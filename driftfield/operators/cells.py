@@ -9,12 +9,13 @@ candidate pairs, each once, and an exact test decides. No pair of rows meets out
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftfield.model import AXES, Box
+from driftfield.operators.ranks import join_per_key
 from driftfield.session import cut_lineage
 
 HOT_ROWS = 250_000
@@ -32,7 +33,9 @@ class Frame:
 
     @classmethod
     def of(cls, box: Box) -> "Frame":
-        return cls(box.lo, max(max(box.width), 1e-9) * (1 + 1e-9))
+        """A frame whose cube of level 0 holds the box, with room for rounding."""
+        far = max(abs(c) for c in (*box.lo, *box.hi))
+        return cls(box.lo, max(max(box.width), 1e-9) * (1 + 1e-9) + far * 1e-12)
 
     def index(self, c: Column, axis: int, level: Column) -> Column:
         return F.floor((c - F.lit(self.origin[axis])) * F.pow(F.lit(2.0), level) / F.lit(self.side)).cast("bigint")
@@ -50,12 +53,16 @@ def locate(df: DataFrame, frame: Frame, levels: list[int]) -> DataFrame:
     return tagged.selectExpr("*", *[cell.format(a=a, o=float(o), side=float(frame.side)) for a, o in zip(AXES, frame.origin)])
 
 
-def cover(df: DataFrame, frame: Frame, lo: list[Column], hi: list[Column], level: Column) -> DataFrame:
-    """Each box once per cell it touches at its level."""
+def cover(df: DataFrame, frame: Frame, lo: list[Column], hi: list[Column], level: Column, clip: bool = False) -> DataFrame:
+    """Each box once per cell it touches at its level; with ``clip`` only cells of the frame's own cube."""
     out = df.withColumn("level", level)
+    top = F.pow(F.lit(2.0), F.col("level")).cast("bigint") - 1
     for n, a in enumerate(AXES):
         first, last = frame.index(lo[n], n, F.col("level")), frame.index(hi[n], n, F.col("level"))
-        out = out.withColumn(f"c{a}", F.explode(F.sequence(first, last)))
+        if clip:
+            first, last = F.greatest(first, F.lit(0)), F.least(last, top)
+        span = F.sequence(first, last)
+        out = out.withColumn(f"c{a}", F.explode(F.when(first <= last, span) if clip else span))
     return out
 
 
@@ -120,9 +127,15 @@ def _touched(frame: Frame) -> str:
     return f"{' + '.join(parts)} <= pow(_radius * 1.000001D + 1e-9D * {side} + 1e-12D, 2)"
 
 
+def _fullest(cells: DataFrame) -> dict[int, int]:
+    """Rows of the fullest cell per level: at most 2 * MAX_LEVEL + 1 rows come to the driver."""
+    counts = cells.filter("level IS NOT NULL").groupBy(*CELL).count()
+    return {r["level"]: r["m"] for r in counts.groupBy("level").agg(F.max("count").alias("m")).collect()}
+
+
 def ball_pairs(
     balls: DataFrame,
-    points: DataFrame,
+    points: "DataFrame | SiteIndex",
     radius: Column,
     frame: Frame,
     hot: int | None = HOT_ROWS,
@@ -130,22 +143,31 @@ def ball_pairs(
 ) -> DataFrame:
     """All (ball, point) pairs with the point inside the ball; adds the distance ``d``.
 
-    ``balls`` has bx, by, bz and the columns of ``radius``; ``points`` has x, y, z. A ball touches at
+    ``balls`` has bx, by, bz and the columns of ``radius``; ``points`` has x, y, z, or is an index of such points. A ball touches at
     most 27 cells at its level, whatever its radius. ``max_level`` stops at a coarser level when finer
     cells would hold no fewer points.
+
+    Balls are counted where their centres lie, one row each: a cell is touched by balls of 27 cells at most, so only where some cell holds
+    a 27th of ``hot`` are the cells that balls touch counted one by one. Points of an index that are few are broadcast and need neither.
     """
     r = _padded(F.col("_radius"))
-    covered = cover(
-        balls.withColumn("_radius", radius),
-        frame,
-        [F.col(f"b{a}") - r for a in AXES],
-        [F.col(f"b{a}") + r for a in AXES],
-        F.least(frame.level_with_side(r), F.lit(max_level)),
-    )
-    covered = covered.filter(_touched(frame))
-    levels = used_levels(covered)
-    located = locate(points, frame, levels or [0])
-    joined = spread_join(covered, located, CELL, hot)
+    indexed = isinstance(points, SiteIndex)
+    level = F.least(frame.level_with_side(r), F.lit(max_level))
+    if indexed:
+        level = F.greatest(level, F.lit(0))
+    sized = balls.withColumn("_radius", radius)
+    centred = sized.select(level.alias("level"), *[F.col(f"b{a}") for a in AXES])
+    centred = centred.withColumns({f"c{a}": frame.index(F.col(f"b{a}"), n, F.col("level")) for n, a in enumerate(AXES)})
+    covered = cover(sized, frame, [F.col(f"b{a}") - r for a in AXES], [F.col(f"b{a}") + r for a in AXES], level, clip=indexed).filter(_touched(frame))
+    if indexed and points.few:
+        joined = covered.join(F.broadcast(points.located(range(points.depth + 1))), CELL)
+    else:
+        fullest = _fullest(centred)
+        located = points.located(sorted(fullest)) if indexed else locate(points, frame, sorted(fullest) or [0])
+        if hot is not None and 27 * max(fullest.values(), default=0) <= hot:
+            most = max((points.fullest[v] for v in fullest), default=0) if indexed and points.fullest else max(_fullest(located).values(), default=0)
+            hot = hot if most > hot else None
+        joined = spread_join(covered, located, CELL, hot)
     return joined.withColumn("d", F.expr(_GAP)).filter(F.col("d") <= F.col("_radius")).drop("_radius", *CELL)
 
 
@@ -187,17 +209,15 @@ def neighbour_counts(queries: DataFrame, points: DataFrame, radius: float, hot:
 # nearest neighbours
 
 
-def _levels_needed(distinct_sites: DataFrame, frame: Frame, n: int, k: int) -> int:
-    """Depth at which no cell holds more than 32 k sites. Each round is one small aggregate."""
+def _levels_needed(distinct_sites: DataFrame, frame: Frame, n: int, k: int) -> tuple[int, DataFrame]:
+    """Depth at which no cell holds more than 32 k sites, and the counts of its cells. Each round is one small aggregate."""
     depth = max(1, math.ceil(math.log2(max(n / k, 2)) / 2))
-    while depth < MAX_LEVEL:
-        fullest = (
-            locate(distinct_sites, frame, [depth]).groupBy("cx", "cy", "cz").count().agg(F.max("count")).first()[0]
-        )
-        if fullest <= 32 * k:
-            return depth
+    while True:
+        counts = cut_lineage(locate(distinct_sites.select(*AXES), frame, [depth]).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("m")))
+        fullest = counts.agg(F.max("m")).first()[0]
+        if fullest <= 32 * k or depth >= MAX_LEVEL:
+            return depth, counts
         depth = min(MAX_LEVEL, depth + max(2, math.ceil(math.log2(fullest / (32 * k)) / 2)))
-    return depth
 
 
 def _lowest_ids(points: DataFrame, k: int) -> DataFrame:
@@ -246,25 +266,80 @@ def _walk_down(orphans: DataFrame, usable: DataFrame, n_cells: int, frame: Frame
     return settled
 
 
-def _own_cells(asked: DataFrame, where: DataFrame, frame: Frame, depth: int, need: int, hot: int | None) -> DataFrame:
-    """(bx, by, bz, level, cx, cy, cz): a cell near each position that holds ``need`` sites or more, but not many more."""
-    finest = cut_lineage(locate(where.select(*AXES), frame, [depth]).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("m")))
+def _ancestors(cells: DataFrame, depth: int, *keep) -> DataFrame:
+    """Cells of the finest level as cells of every level."""
+    up = cells.withColumn("level", F.explode(F.lit(list(range(depth + 1)))))
+    shift = F.lit(depth) - F.col("level")
+    return up.select("level", *[F.floor(F.col(f"c{a}") / F.pow(F.lit(2.0), shift)).cast("bigint").alias(f"c{a}") for a in AXES], *keep)
 
-    def ancestors(cells: DataFrame, *keep) -> DataFrame:
-        up = cells.withColumn("level", F.explode(F.lit(list(range(depth + 1)))))
-        shift = F.lit(depth) - F.col("level")
-        return up.select("level", *[F.floor(F.col(f"c{a}") / F.pow(F.lit(2.0), shift)).cast("bigint").alias(f"c{a}") for a in AXES], *keep)
 
+@dataclass(frozen=True)
+class SiteIndex:
+    """Points prepared for nearest-neighbour searches, all tables written: distinct positions with their k lowest ids (``where``), counts of
+    the cells of every level that hold as many sites as are wanted (``usable``), and, if stored, sites by the cells of every level."""
+
+    k: int
+    n: int
+    need: int
+    frame: Frame
+    depth: int
+    where: DataFrame
+    usable: DataFrame
+    n_usable: int
+    stored: DataFrame | None = None
+    fullest: dict | None = None
+
+    @property
+    def few(self) -> bool:
+        """Whether the sites of all levels may be broadcast."""
+        return self.stored is not None and self.n * (self.depth + 1) <= SMALL_CELLS
+
+    def located(self, levels) -> DataFrame:
+        levels = [int(v) for v in levels]
+        if self.stored is None:
+            return locate(self.where, self.frame, levels or [0])
+        return self.stored.filter(F.col("level").isin(levels))
+
+
+def site_index(points: DataFrame, k: int = 1, stored: bool = True, values: DataFrame | None = None) -> SiteIndex | None:
+    """Index of ``points(id, x, y, z)`` for searches of k neighbours; None if there is no point. ``stored`` pays if it is searched often.
+
+    With ``values(id, ...)`` a site also has the other columns of the lowest id at its position.
+    """
+    where = _lowest_ids(_finite(points), k)
+    if values is not None:
+        where = where.withColumn("id", F.col("ids")[0]).join(values, "id", "left").drop("id")
+    where = cut_lineage(where)
+    n = where.count()
+    if n == 0:
+        return None
+    need = min(k, n)
+    frame = Frame.of(Box.around(where.select(*AXES)))
+    depth, finest = _levels_needed(where, frame, n, need)
     # counts of every level from the counts of the finest one
-    usable = cut_lineage(ancestors(finest, "m").groupBy(*CELL).agg(F.sum("m").alias("m")).filter(F.col("m") >= need))
-    n_usable = usable.count()
+    usable = cut_lineage(_ancestors(finest, depth, "m").groupBy(*CELL).agg(F.sum("m").alias("m")).filter(F.col("m") >= need))
+    index = SiteIndex(k, n, need, frame, depth, where, usable, usable.count())
+    if not stored:
+        return index
+    located = cut_lineage(locate(where, frame, list(range(depth + 1))))
+    return replace(index, stored=located, fullest=_fullest(located))
+
+
+def _own_cells(asked: DataFrame, index: SiteIndex, hot: int | None) -> DataFrame:
+    """(bx, by, bz, level, cx, cy, cz): a cell near each position that holds as many sites as wanted, but not many more.
+
+    Positions outside the frame are taken where its cube is nearest to them.
+    """
+    frame, need, usable, n_usable = index.frame, index.need, index.usable, index.n_usable
+    held = [F.least(F.greatest(F.col(a), F.lit(float(o))), F.lit(float(o) + frame.side)).alias(a) for a, o in zip(AXES, frame.origin)]
     # each position's finest cell; what its own cell is depends on that cell alone
-    here = locate(asked.select(*[F.col(a).alias(f"b{a}") for a in AXES], *AXES), frame, [depth]).drop(*AXES, "level")
+    here = locate(asked.select(*[F.col(a).alias(f"b{a}") for a in AXES], *held), frame, [index.depth])
     names = {f"c{a}": f"f{a}" for a in AXES}
-    here = here.withColumnsRenamed(names)
+    last = F.lit(2**index.depth - 1)
+    here = here.select("bx", "by", "bz", *[F.least(F.greatest(c, F.lit(0)), last).alias(f) for c, f in names.items()])
     f_cell = list(names.values())
     distinct = here.select(*f_cell).distinct()
-    above = ancestors(distinct.select(*f_cell, *[F.col(f).alias(c) for c, f in names.items()]), *f_cell)
+    above = _ancestors(distinct.select(*f_cell, *[F.col(f).alias(c) for c, f in names.items()]), index.depth, *f_cell)
     level_of = _meet(above, usable, n_usable, CELL, hot).groupBy(*f_cell).agg(F.max_by(F.struct(*CELL, "m"), "level").alias("own"))
     level_of = cut_lineage(level_of)
     own = _meet(here, level_of, level_of.count(), f_cell, hot).select("bx", "by", "bz", "own.*")
@@ -275,7 +350,21 @@ def _own_cells(asked: DataFrame, where: DataFrame, frame: Frame, depth: int, nee
     return reduce(DataFrame.unionByName, parts)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, hot: int | None = HOT_ROWS) -> DataFrame:
+def _bounds(asked: DataFrame, index: SiteIndex, hot: int | None) -> DataFrame:
+    """(bx, by, bz, bound): the wanted smallest distance inside each position's own cell, whose sites are one row of few positions."""
+    own = cut_lineage(_own_cells(asked, index, hot))
+    used = cut_lineage(own.select(*CELL).distinct())
+    n_used = used.count()
+    sites_of = _meet(index.located(used_levels(used)).select(*CELL, *AXES), used, n_used, CELL, hot)
+    sites_of = cut_lineage(sites_of.groupBy(*CELL).agg(F.collect_list(F.struct(*AXES)).alias("near")))
+    met = own.join(F.broadcast(sites_of), CELL) if n_used * LIGHT * index.need <= SMALL_CELLS else join_per_key(own, sites_of, CELL)
+    gap = lambda p: F.sqrt((F.col("bx") - p["x"]) * (F.col("bx") - p["x"]) + (F.col("by") - p["y"]) * (F.col("by") - p["y"]) + (F.col("bz") - p["z"]) * (F.col("bz") - p["z"]))
+    distances = F.transform("near", gap)
+    bound = F.array_min(distances) if index.need == 1 else F.element_at(F.array_sort(distances), index.need)
+    return met.select("bx", "by", "bz", bound.alias("bound"))
+
+
+def knn(queries: DataFrame, points: "DataFrame | SiteIndex", k: int, hot: int | None = HOT_ROWS) -> DataFrame:
     """(q_id, p_id, d, rank) of the k nearest points of every query, exact; ties go to the lowest id.
 
     1. Copies: points that share a position become one site that keeps its k lowest ids; queries that
@@ -285,40 +374,62 @@ def knn(queries: DataFrame, points: DataFrame, k: int, hot: int | None = HOT_ROW
        Sites are written only for cells that some query uses.
     3. Search: the ball of that bound is joined with the sites, and the k smallest (d, id) are kept.
 
-    Sites, query positions and bounds are written to the shared folder, because each is read several times.
+    Sites, query positions and bounds are written to the shared folder, because each is read several times. ``points`` may be an index
+    made for the same k, whose tables many searches share.
     """
     same = queries is points
-    queries, points = _finite(queries), _finite(points)
-    where = cut_lineage(_lowest_ids(points, k))
-    asked = where.select(*AXES) if same else cut_lineage(queries.select(*AXES).distinct())
-    n = where.count()
-    if n == 0:
+    queries = _finite(queries)
+    index = points if isinstance(points, SiteIndex) else site_index(points, k, stored=False)
+    if index is None:
         none = queries.select(F.col("id").alias("q_id"), F.lit(0).cast("bigint").alias("p_id"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
         return none.limit(0)
-    need = min(k, n)
-    frame = Frame.of(Box.around(where.select(*AXES) if same else where.select(*AXES).unionByName(asked)))
-    depth = _levels_needed(where, frame, n, need)
-    own = cut_lineage(_own_cells(asked, where, frame, depth, need, hot))
-    used = cut_lineage(own.select(*CELL).distinct())
-    inside = _meet(locate(where.select(*AXES), frame, used_levels(used) or [0]), used, used.count(), CELL, hot)
-    inside = (
-        spread_join(own, inside, CELL, hot)
-        .select("bx", "by", "bz", F.expr(_GAP).alias("d"))
-        .withColumn("_n", F.row_number().over(W.partitionBy("bx", "by", "bz").orderBy("d")))
-        .filter(F.col("_n") == need)
-        .select("bx", "by", "bz", F.col("d").alias("bound"))
-    )
-    inside = cut_lineage(inside)
-
-    # step 3: the ball, on cells no finer than the depth at which cells are already nearly empty
-    near = ball_pairs(inside, where, F.col("bound"), frame, hot, max_level=depth)
-    best = near.withColumn("_n", F.rank().over(W.partitionBy("bx", "by", "bz").orderBy("d"))).filter(F.col("_n") <= need)
-    listed = best.select("bx", "by", "bz", "d", F.explode("ids").alias("p_id"))
-    ranked = listed.withColumn(
-        "rank", F.row_number().over(W.partitionBy("bx", "by", "bz").orderBy("d", "p_id"))
-    ).filter(F.col("rank") <= k)
+    if index.k != k:
+        raise ValueError(f"the index is made for {index.k} neighbours, not {k}")
+    place = ["bx", "by", "bz"]
+    near = _in_balls(index.where if same else queries, index, hot, same)
+    if k == 1:
+        ranked = _nearest_of(near, place).select(*place, "s.d", "s.p_id", F.lit(1).alias("rank"))
+    else:
+        best = near.withColumn("_n", F.rank().over(W.partitionBy(*place).orderBy("d"))).filter(F.col("_n") <= index.need)
+        listed = best.select(*place, "d", F.explode("ids").alias("p_id"))
+        ranked = listed.withColumn("rank", F.row_number().over(W.partitionBy(*place).orderBy("d", "p_id"))).filter(F.col("rank") <= k)
     q = queries.select(F.col("id").alias("q_id"), *[F.col(a).alias(f"b{a}") for a in AXES])
-    return q.join(ranked, ["bx", "by", "bz"]).select("q_id", "p_id", "d", "rank")
+    return q.join(ranked, place).select("q_id", "p_id", "d", "rank")
+
+
+def _in_balls(queries: DataFrame, index: SiteIndex, hot: int | None, distinct: bool = False) -> DataFrame:
+    """(bx, by, bz, d, site columns): for every position of queries the sites within its bound."""
+    asked = queries.select(*AXES) if distinct else cut_lineage(queries.select(*AXES).distinct())
+    bounds = cut_lineage(_bounds(asked, index, hot))
+    # the ball, on cells no finer than the depth at which cells are already nearly empty
+    return ball_pairs(bounds, index if index.stored is not None else index.where, F.col("bound"), index.frame, hot, max_level=index.depth)
+
+
+def _nearest_of(near: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, s): the nearest site per key, lowest id on ties, as struct(d, p_id, near, carried columns)."""
+    site = F.struct("d", F.col("ids")[0].alias("p_id"), F.struct(*AXES).alias("near"), *carry)
+    return near.groupBy(*by).agg(F.min_by(site, F.struct("d", F.col("ids")[0])).alias("s"))
+
+
+def nearest_sites(queries: DataFrame, index: SiteIndex, hot: int | None = HOT_ROWS) -> DataFrame:
+    """(q_id, near): the position of the nearest site of every row of ``queries(id, x, y, z)``, searched from scratch."""
+    queries = _finite(queries)
+    place = ["bx", "by", "bz"]
+    found = _nearest_of(_in_balls(queries, index, hot), place).select(*place, "s.near")
+    return queries.select(F.col("id").alias("q_id"), *[F.col(a).alias(f"b{a}") for a in AXES]).join(found, place).select("q_id", "near")
+
+
+def nearest_again(queries: DataFrame, index: SiteIndex, carry: tuple[str, ...] = (), hot: int | None = HOT_ROWS) -> DataFrame:
+    """(q_id, p_id, near, carried columns): the nearest site of every row of ``queries(id, x, y, z, near)``, lowest id on ties.
+
+    ``near(x, y, z)`` is the position of any site, e.g. of the one found before the query moved a little: its distance bounds the true one,
+    so the search needs no own cell. Rows without it have no row in the result.
+    """
+    q = _finite(queries).select(F.col("id").alias("q_id"), *[F.col(a).alias(f"b{a}") for a in AXES], F.col("near").alias("_from"))
+    away = [F.col(f"_from.{a}") - F.col(f"b{a}") for a in AXES]
+    gap = F.sqrt(reduce(lambda s, v: s + v, [v * v for v in away]))
+    pairs = ball_pairs(q.filter("_from IS NOT NULL"), index, gap, index.frame, hot, max_level=index.depth)
+    return _nearest_of(pairs, ["q_id"], carry).select("q_id", "s.p_id", "s.near", *[f"s.{c}" for c in carry])
 
 
 def nearest(queries: DataFrame, points: DataFrame, hot: int | None = HOT_ROWS) -> DataFrame:

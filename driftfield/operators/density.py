@@ -40,9 +40,9 @@ def as_plane(df: DataFrame, plane: str = "xy") -> DataFrame:
     return df.withColumns({"x": F.col(a), "y": F.col(b), "z": F.lit(0.0)})
 
 
-def slab_plane(df: DataFrame, plane: str, position: float, thickness: float) -> DataFrame:
-    """Points of a slab (all if it is empty) as two-dimensional points."""
-    near = slab_filter(df, plane, position, thickness)
+def slab_plane(df: DataFrame, plane: str, position: float, thickness: float, all_if_empty: bool = False) -> DataFrame:
+    """Points of a slab as two-dimensional points; with ``all_if_empty`` all points if it has none."""
+    near = slab_filter(df, plane, position, thickness, all_if_empty)
     return near.withColumns({"x": F.col("p"), "y": F.col("q"), "z": F.lit(0.0)}).drop("p", "q")
 
 
@@ -118,12 +118,12 @@ def kde_at(
     return queries.join(rho, cond, "left").select(queries["id"], value.alias("rho"))
 
 
-def kde_slab(points: DataFrame, queries: DataFrame, plane: str, position: float, thickness: float, h: float | None = None) -> DataFrame:
+def kde_slab(points: DataFrame, queries: DataFrame, plane: str, position: float, thickness: float, h: float | None = None, all_if_empty: bool = False) -> DataFrame:
     """(id, rho): two-dimensional density of the points of a slab at queries(id, p, q) in its plane.
 
-    As in ``slab_filter`` all points count where the slab is empty. Without ``h`` it is Scott's for the slab's points.
+    ``all_if_empty`` as in ``slab_filter``. Without ``h`` it is Scott's for the slab's points.
     """
-    flat = cut_lineage(slab_plane(points, plane, position, thickness))
+    flat = cut_lineage(slab_plane(points, plane, position, thickness, all_if_empty))
     h = scott_bandwidth(flat, ("x", "y")) if h is None else h
     return kde_at(flat, queries.select("id", F.col("p").alias("x"), F.col("q").alias("y"), F.lit(0.0).alias("z")), h, 2)
 
@@ -143,12 +143,26 @@ def grid_nodes(points: DataFrame, box: Box, shape) -> DataFrame:
     return df.withColumns(at)
 
 
+def _slabs_near(rows: DataFrame, axis: str, nodes: list[float], wide: int, h: float) -> DataFrame:
+    """Each row once per slab of ``wide`` grid nodes along the axis with a node for which its kernel is not 0 in double precision."""
+    last = (len(nodes) - 1) // wide
+    step = (nodes[-1] - nodes[0]) / (len(nodes) - 1) if len(nodes) > 1 else 0.0
+    if last == 0 or step <= 0:
+        return rows.withColumn(f"_slab_{axis}", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    at = (F.col(axis) - F.lit(nodes[0])) / F.lit(step)
+    reach = F.lit(WHOLE_REACH * h / step + 1e-6)
+    first, end = F.greatest(F.ceil(at - reach), F.lit(0)), F.least(F.floor(at + reach), F.lit(len(nodes) - 1))
+    slab = lambda c: F.floor(c / wide).cast("int")
+    return rows.withColumn(f"_slab_{axis}", F.explode(F.when(first <= end, F.sequence(slab(first), slab(end)))))
+
+
 def _kde_grid_sums(points: DataFrame, axes: list[list[float]], h: float, slab_nodes: int = SLAB_NODES) -> DataFrame:
     """(gx, gy, gz, s): kernel sums on a grid without forming pairs.
 
     A Gaussian is a product over the axes, so a batch of points contributes one matrix product; every task keeps one array of a slab's
-    size and hands it on once, and Spark adds the arrays up. A larger grid is cut into slabs along x and y, each with tasks of its own;
-    there are no more tasks per slab than cores, so what is handed on does not grow with the points.
+    size and hands it on once, and Spark adds the arrays up. A larger grid is cut into slabs along x and y, each with tasks of its own, and a
+    point goes to the slabs that its kernel reaches; there are no more tasks per slab than cores, so what is handed on does not grow with
+    the points.
     """
     nx, ny, nz = (len(a) for a in axes)
     wide_y = max(1, min(ny, slab_nodes // nz))
@@ -178,9 +192,10 @@ def _kde_grid_sums(points: DataFrame, axes: list[list[float]], h: float, slab_no
 
     rows, cores = points.select(*AXES).na.drop(), points.sparkSession.sparkContext.defaultParallelism
     if len(slabs) > 1:
-        share = F.pmod(F.xxhash64(*AXES), F.lit(cores))
-        rows = rows.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(len(slabs) - 1)))).withColumn("_share", share)
-        rows = rows.repartition(len(slabs) * cores, "slab", "_share").drop("_share")
+        n_y = -(-ny // wide_y)
+        rows = _slabs_near(_slabs_near(rows, "x", axes[0], wide_x, h), "y", axes[1], wide_y, h)
+        rows = rows.select(*AXES, (F.col("_slab_x") * n_y + F.col("_slab_y")).alias("slab"))
+        rows = rows.withColumn("_share", F.pmod(F.xxhash64(*AXES), F.lit(cores))).repartition(len(slabs) * cores, "slab", "_share").drop("_share")
     else:
         rows = rows.coalesce(cores).withColumn("slab", F.lit(0))
     out = rows.mapInPandas(partial, "gx bigint, gy bigint, gz bigint, s double")
@@ -197,7 +212,7 @@ def kde_grid(points: DataFrame, h: float, shape, dim: int = 3, box: Box | None =
     norm = (2.0 * 3.141592653589793) ** (-dim / 2.0)
     n = points.count()
     sums = _kde_grid_sums(points, grid_axes(box, shape), h)
-    rho = nodes.join(sums, ["gx", "gy", "gz"]).withColumn("rho", F.col("s") * F.lit(norm / max(n, 1))).drop("s")
+    rho = nodes.join(sums, ["gx", "gy", "gz"], "left").withColumn("rho", F.coalesce("s", F.lit(0.0)) * F.lit(norm / max(n, 1))).drop("s")
     if normalize:
         rho = _as_multiple(rho, box, shape, dim)
     return rho.select("gx", "gy", "gz", *AXES, "rho")
@@ -246,9 +261,9 @@ def sph_at(
     Each source is a ball of its own h. Sources with equal position and h are merged, queries with equal
     position are answered once, so the pair sum sees distinct places only.
     """
-    src = sites(points, F.col("h"))
+    src = cut_lineage(sites(points, F.col("h")))
     balls = src.withColumnsRenamed({a: f"b{a}" for a in AXES})
-    asked = queries.select(*AXES).distinct()
+    asked = cut_lineage(queries.select(*AXES).distinct())
     reach = gaussian_reach if kernel == "gaussian" else REACH[kernel]
     top = src.agg(F.max("h")).first()[0]
     frame = Frame((0.0, 0.0, 0.0), max((top or 1.0) * reach, 1e-9) * (1 + 2e-9) + 2e-12)
@@ -269,11 +284,11 @@ def sph_normalised(rho: DataFrame, n_points: int, queries: DataFrame, dim: int =
 
 
 def yz_slice_density(
-    points: DataFrame, x0: float | None = None, resolution: int = 50, low: float = 0.0, high: float = 95.0, at_least: int = 10
+    points: DataFrame, x0: float | None = None, resolution: int = 50, low: float = 0.0, high: float = 95.0, at_least: int = 0
 ) -> DataFrame:
     """(gx, gy, x, y, rho): density of the points near x0 on a grid over the y-z range of all points.
 
-    x0 defaults to 0.7 of the largest x, near means within 5 % of the width; fewer than ten points give no rows.
+    x0 defaults to 0.7 of the largest x, near means within 5 % of the width; fewer than ``at_least`` near points give no rows.
     Here x, y of the output are the points' y and z.
     """
     box = Box.around(points)

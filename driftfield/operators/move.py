@@ -20,8 +20,9 @@ from driftfield.functions.arrays import array_function, evaluate
 from driftfield.functions.vector import distance
 from driftfield.model import AXES, GridMeta
 from driftfield.operators import sample as smp
+from driftfield.operators.cells import SiteIndex, nearest_again, nearest_sites, site_index
 from driftfield.operators.rules import PerAxis, _fold
-from driftfield.session import cut_lineage, scratch_path
+from driftfield.session import cut_lineage, drop_path, scratch_path
 
 UVW = smp.UVW
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -87,7 +88,7 @@ class GridSeriesField:
     """Time-dependent field on a regular grid: series(t_idx, i, j, k, u, v, w) and times(t_idx, t)."""
 
     series: DataFrame
-    times: DataFrame
+    times: DataFrame | smp.TimeIndex
     meta: GridMeta
     outside: str = "clamp"
     outside_time: str = "constant"
@@ -97,15 +98,30 @@ class GridSeriesField:
         return smp.sample_grid_series(df, self.series, self.times, self.meta, self.outside, self.outside_time, self.corners)
 
 
+NEAR = "_near"  # position of a node near the point, carried from one search to the next
+NEAR_TYPE = "struct<x: double, y: double, z: double>"
+
+
 @dataclass(frozen=True)
 class NodeField:
-    """Steady field on scattered nodes, nearest-node lookup."""
+    """Steady field on scattered nodes, nearest-node lookup (lowest id on ties).
+
+    With an index (see ``_prepared``) the nodes' values lie beside their positions, and points that carry a node near them are looked up
+    with that node's distance as the bound.
+    """
 
     nodes: DataFrame
     values: DataFrame
+    index: SiteIndex | None = None
 
     def sample(self, df: DataFrame) -> DataFrame:
-        return smp.nearest_node_sample(df, self.nodes, self.values).drop("node_id")
+        if self.index is None or NEAR not in df.columns:
+            return smp.nearest_node_sample(df, self.nodes, self.values).drop("node_id")
+        own = [c for c in df.columns if c not in (*UVW, NEAR)]
+        if not self.index.few:
+            df = cut_lineage(df)  # the search counts before it joins
+        found = nearest_again(df.select("id", *AXES, F.col(NEAR).alias("near")), self.index, UVW).withColumnRenamed("q_id", "id")
+        return df.select(*own).join(found, "id", "left").select(*own, *UVW, F.col("near").alias(NEAR))
 
 
 @dataclass(frozen=True)
@@ -117,13 +133,21 @@ class NodeSeriesField:
 
     nodes: DataFrame
     series: DataFrame
-    times: DataFrame
+    times: DataFrame | smp.TimeIndex
     outside_time: str = "constant"
+    index: SiteIndex | None = None
 
     def sample(self, df: DataFrame) -> DataFrame:
-        near = smp.knn(df.select("id", *AXES), self.nodes.select(F.col("node_id").alias("id"), *AXES), 1)
-        weights = near.select(F.col("q_id").alias("id"), F.col("p_id").alias("node_id"), F.lit(1.0).alias("weight"))
-        return _sampled_in_time(df, weights, self.series, self.times, self.outside_time)
+        if self.index is None or NEAR not in df.columns:
+            near = smp.knn(df.select("id", *AXES), self.nodes.select(F.col("node_id").alias("id"), *AXES), 1)
+            weights = near.select(F.col("q_id").alias("id"), F.col("p_id").alias("node_id"), F.lit(1.0).alias("weight"))
+            return _sampled_in_time(df, weights, self.series, self.times, self.outside_time)
+        own = [c for c in df.columns if c not in (*UVW, NEAR)]
+        df = cut_lineage(df)  # read by the search and by the join with its result
+        found = cut_lineage(nearest_again(df.select("id", *AXES, F.col(NEAR).alias("near")), self.index))
+        weights = found.select(F.col("q_id").alias("id"), F.col("p_id").alias("node_id"), F.lit(1.0).alias("weight"))
+        got = _sampled_in_time(df.select(*own), weights, self.series, self.times, self.outside_time)
+        return got.join(found.select(F.col("q_id").alias("id"), F.col("near").alias(NEAR)), "id", "left")
 
 
 @dataclass(frozen=True)
@@ -136,7 +160,7 @@ class MeshSeriesField:
     elements: DataFrame
     nodes: DataFrame
     series: DataFrame
-    times: DataFrame
+    times: DataFrame | smp.TimeIndex
     kind: str = "tet4"
     fallback: str = "nearest_node"
     outside_time: str = "constant"
@@ -148,7 +172,7 @@ class MeshSeriesField:
         return _sampled_in_time(df, weights, self.series, self.times, self.outside_time)
 
 
-def _sampled_in_time(df: DataFrame, weights: DataFrame, series: DataFrame, times: DataFrame, outside_time: str) -> DataFrame:
+def _sampled_in_time(df: DataFrame, weights: DataFrame, series: DataFrame, times: DataFrame | smp.TimeIndex, outside_time: str) -> DataFrame:
     """``df(id, x, y, z, t, ...)`` with u, v, w: for every weights(id, node_id, weight) row two snapshots of the node, summed per point.
 
     Points without coordinates have no value. A point without weights has velocity 0.
@@ -240,21 +264,28 @@ def _checked(field):
     inside = reduce(lambda a, b: a & b, [F.col(c).between(0, n - 1) for c, n in zip("ijk", field.meta.shape)])
     rows = rows.filter(inside).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in UVW})
     if series:
-        rows = rows.join(field.times.select("t_idx"), "t_idx", "left_semi")
+        rows = rows.join(smp.time_index(field.times).times.select("t_idx"), "t_idx", "left_semi")
     if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError("a node occurs twice in the field")
     return replace(field, series=rows) if series else replace(field, grid=rows)
 
 
-def _prepared(field):
-    """A field with what it looks up written once, so the stages of a step do not each derive it again: corner tables, element cells."""
+def _prepared(field, many: bool = False):
+    """A field with what it looks up written once, so the stages of a step do not each derive it again.
+
+    Corner tables, element cells and the times of snapshots; for ``many`` steps also the cells of nodes, for searches from one node to the next.
+    """
     if isinstance(field, GridField) and field.corners is None:
         return replace(field, corners=cut_lineage(smp.cell_corners(field.grid, field.meta, field.outside == "periodic")))
+    if getattr(field, "times", None) is not None and not isinstance(field.times, smp.TimeIndex):
+        field = replace(field, times=smp.time_index(field.times))
     if isinstance(field, GridSeriesField) and field.corners is None:
-        corners = smp.cell_corners(field.series, field.meta, field.outside == "periodic", ("t_idx",))
-        return replace(field, corners=cut_lineage(corners), times=cut_lineage(field.times))
+        return replace(field, corners=cut_lineage(smp.cell_corners(field.series, field.meta, field.outside == "periodic", ("t_idx",))))
     if isinstance(field, (MeshField, MeshSeriesField)) and field.index is None:
-        return replace(field, index=smp.mesh_index(field.elements, field.nodes, field.kind))
+        return replace(field, index=smp.mesh_index(field.elements, field.nodes, field.kind, with_sites=field.fallback == "nearest_node"))
+    if many and isinstance(field, (NodeField, NodeSeriesField)) and field.index is None:
+        values = field.values.select(F.col("node_id").alias("id"), *[F.col(c).cast("double").alias(c) for c in UVW]) if isinstance(field, NodeField) else None
+        return replace(field, index=site_index(field.nodes.select(F.col("node_id").alias("id"), *AXES), values=values))
     return field
 
 
@@ -394,7 +425,7 @@ def _finish(df: DataFrame, dt: float, t0: float, record_every: int, n_steps: int
 def _field_bytes(field) -> int:
     """Size of the dense array the field becomes: known from its shape and the number of snapshots."""
     nx, ny, nz = field.meta.shape
-    snapshots = field.times.count() if isinstance(field, GridSeriesField) else 1
+    snapshots = smp.time_index(field.times).n if isinstance(field, GridSeriesField) else 1
     return nx * ny * nz * 3 * 8 * max(snapshots, 1)
 
 
@@ -406,7 +437,7 @@ def _field_arrays(field):
         rows, stamps = field.grid.select(F.lit(0).alias("t_idx"), *"ijk", *UVW).toPandas(), None
         index = {0: 0}
     else:
-        times = field.times.orderBy("t", "t_idx").toPandas()
+        times = smp.time_index(field.times).times.orderBy("t", "t_idx").toPandas()
         stamps = times["t"].to_numpy(dtype=float)
         index = {v: n for n, v in enumerate(times["t_idx"])}
         rows = field.series.select("t_idx", *"ijk", *UVW).toPandas()
@@ -546,29 +577,62 @@ def _advect_arrays(start, field: ArrayField, dt, n_steps, method, rule, t0, reco
 
 
 def _advect_joins(start, field, dt, n_steps, method, rule, t0, record_every) -> DataFrame:
-    """Every step is written before the next one reads it: a lost executor costs one step, and plans stay short."""
+    """Every step is written before the next one reads it: a lost executor costs one step, and plans stay short.
+
+    Steps that are not recorded are deleted once the next one is written.
+    """
     spark = start.sparkSession
     folder = scratch_path(spark, "advect")
-    field = _prepared(field)
-
+    field = _prepared(field, many=True)
+    index = field.index if isinstance(field, (NodeField, NodeSeriesField)) else None
     extra = [c for c in start.columns if c not in ("particle_id", *AXES)]
     kept = "particle_id bigint, x double, y double, z double" + "".join(f", `{c}` double" for c in extra)
+    if index is not None:
+        extra, kept = [*extra, NEAR], f"{kept}, {NEAR} {NEAR_TYPE}"
+        start = start.withColumn(NEAR, F.lit(None).cast(NEAR_TYPE))
 
-    def stored(df: DataFrame, n: int) -> DataFrame:
-        path = f"{folder}/steps/t_idx={n}"
+    def stored(df: DataFrame, path: str) -> DataFrame:
         df.select("particle_id", *AXES, *extra).write.parquet(path)
         return spark.read.schema(kept).parquet(path)
 
-    now = stored(start, 0)
-    for n in range(n_steps):
-        moved = displace(now.withColumnRenamed("particle_id", "id"), field, dt, method, t0 + n * dt)
-        if rule is not None:
-            moved = rule(moved)
-        now = stored(moved.withColumnRenamed("id", "particle_id"), n + 1)
+    now, behind = None, None
+    for n in range(n_steps + 1):
+        if n == 0:
+            moved = start
+        else:
+            df = now if index is None else _with_near_nodes(now, index)
+            moved = displace(df.withColumnRenamed("particle_id", "id"), field, dt, method, t0 + (n - 1) * dt)
+            if rule is not None:
+                moved = rule(moved) if index is None else _ruled_near_nodes(moved, rule, index)
+            moved = moved.withColumnRenamed("id", "particle_id")
+        recorded = n % record_every == 0 or n == n_steps
+        path = f"{folder}/steps/t_idx={n}" if recorded else f"{folder}/between/{n}"
+        now = stored(moved, path)
+        if behind is not None:
+            drop_path(spark, behind)
+        behind = None if recorded else path
     schema = "particle_id bigint, x double, y double, z double, t_idx bigint"
     return _finish(spark.read.schema(schema).parquet(f"{folder}/steps"), dt, t0, record_every, n_steps)
 
 
+def _with_near_nodes(now: DataFrame, index: SiteIndex) -> DataFrame:
+    """Points that have no node near them (at the start, or after a rule has moved them far) are given one."""
+    lost = now.filter(f"{NEAR} IS NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    if lost.isEmpty():
+        return now
+    found = cut_lineage(nearest_sites(lost.select(F.col("particle_id").alias("id"), *AXES), index)).withColumnRenamed("q_id", "particle_id")
+    return cut_lineage(now.join(found, "particle_id", "left").withColumn(NEAR, F.coalesce(NEAR, "near")).drop("near"))
+
+
+def _ruled_near_nodes(moved: DataFrame, rule, index: SiteIndex) -> DataFrame:
+    """Points after the rule. Where it has taken one far away from its node, the search from that node would be wide: it is dropped."""
+    gap = distance(*[F.col(a) for a in AXES], *[F.col(f"{NEAR}.{a}") for a in AXES])
+    cell = F.lit(index.frame.side / 2.0**index.depth)
+    after = rule(moved.withColumn("_gap", gap))
+    close = gap <= 4.0 * F.col("_gap") + 8.0 * cell
+    return after.withColumn(NEAR, F.when(close, F.col(NEAR))).drop("_gap")
+
+
 def compare_methods(finals: dict[str, DataFrame], base: str) -> DataFrame:
     """(method, mean, max, std) of the distance of final positions to those of the base method."""
     ref = finals[base].select("particle_id", *[F.col(a).alias(f"b{a}") for a in AXES])

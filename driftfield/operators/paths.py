@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftfield.functions.vector import distance, flatten_axis, is_finite, magnitude, plane_project
@@ -117,8 +115,8 @@ def from_start(traj: DataFrame) -> DataFrame:
     return join_per_key(traj, first, PID).withColumn("moved", d).drop(*[f"a{a}" for a in AXES])
 
 
-def convergence(traj: DataFrame, at_least: int = 10) -> DataFrame:
-    """One row: mean and max final displacement and the mean of each particle's largest one. Fewer than ten steps: status only."""
+def convergence(traj: DataFrame, at_least: int = 0) -> DataFrame:
+    """One row: mean and max final displacement and the mean of each particle's largest one. Fewer than ``at_least`` steps: status only."""
     per = from_start(traj).groupBy(PID).agg(F.max_by("moved", "t_idx").alias("final"), F.max("moved").alias("top"))
     out = per.agg(
         F.count(F.lit(1)).alias("n_particles"), F.avg("final").alias("mean_final"), F.max("final").alias("max_final"), F.avg("top").alias("mean_max"),
@@ -205,9 +203,14 @@ def merge_particles(a: DataFrame, b: DataFrame, tol: float = 1e-6) -> DataFrame:
     return a.select(*cols).unionByName(b.withColumn(PID, F.col(PID) + shift).select(*cols))
 
 
-def empty_trajectory(spark, n_particles: int, stamps: list[float]) -> DataFrame:
-    """Zero positions for every particle at every time."""
-    df = spark.range(n_particles).select(F.col("id").alias(PID), F.posexplode(F.lit([float(t) for t in stamps])).alias("t_idx", "t"))
+def empty_trajectory(spark, particles: "int | DataFrame", stamps: "list[float] | DataFrame") -> DataFrame:
+    """Zero positions for every particle at every time: particles 0 to n - 1 or a table's distinct ``particle_id``; times listed or a table's
+    distinct ``t`` in order (one number per step, kept in one array)."""
+    if isinstance(particles, int):
+        particles = spark.range(particles).select(F.col("id").alias(PID))
+    listed = F.lit([float(t) for t in stamps]) if isinstance(stamps, list) else stamps.agg(F.array_sort(F.collect_set(F.col("t").cast("double"))).alias("s")).scalar()
+    df = particles.select(F.col(PID).cast("bigint").alias(PID)).distinct().withColumn("_t", listed)
+    df = df.select(PID, F.posexplode("_t").alias("t_idx", "t"))
     return df.select(PID, F.col("t_idx").cast("bigint"), "t", *[F.lit(0.0).alias(a) for a in AXES])
 
 
@@ -277,30 +280,72 @@ def mixing(traj: DataFrame, close: float = 0.1, return_share: float = 0.1) -> Da
     )
 
 
-def clusters(traj: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+def kmeans_centers(points: DataFrame, k: int, id_col: str, rounds: int = 50) -> list[list[float]]:
+    """Centres of at most k clusters of ``points(id, x, y, z)``, deterministic: only the centres come to the driver.
+
+    The first centre is the point with the lowest id, each further one the point farthest from those before (ties: lowest id). Then points go to
+    their nearest centre (ties: the earlier one) and centres to their mean, until no centre moves or ``rounds`` are over. A centre that loses
+    all points stays. Points without coordinates take no part.
+    """
+    points = points.filter(_has_place())
+    at = F.struct(*AXES)
+    first = points.agg(F.min_by(at, id_col)).first()[0]
+    if first is None:
+        return []
+    centers = [[first[a] for a in AXES]]
+    while len(centers) < k:
+        far = points.withColumn("_d", F.array_min(_gaps(centers))).filter("_d > 0").agg(F.max_by(at, F.struct("_d", -F.col(id_col)))).first()[0]
+        if far is None:
+            break
+        centers.append([far[a] for a in AXES])
+    for _ in range(rounds):
+        sums = points.groupBy(_nearest_center(centers).alias("c")).agg(*[F.avg(a).alias(a) for a in AXES]).collect()  # k rows
+        moved = {r["c"]: [r[a] for a in AXES] for r in sums}
+        new = [moved.get(i, c) for i, c in enumerate(centers)]
+        if new == centers:
+            break
+        centers = new
+    return centers
+
+
+def _has_place() -> Column:
+    return reduce(lambda a, b: a & b, [is_finite(F.col(a)) for a in AXES])
+
+
+def _gaps(centers: list[list[float]]) -> Column:
+    """Squared distances to the centres."""
+    return F.array(*[sum(((F.col(a) - F.lit(float(v))) * (F.col(a) - F.lit(float(v))) for a, v in zip(AXES, c)), F.lit(0.0)) for c in centers])
+
+
+def _nearest_center(centers: list[list[float]]) -> Column:
+    """Number of the nearest centre, the earlier one on ties."""
+    gaps = _gaps(centers)
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
+def clusters(traj: DataFrame, k: int = 5, rounds: int = 50) -> DataFrame:
     """(step, cluster, n, mean_distance, size_variance, kept_share): k-means at the first, middle and last step.
 
     Steps are each particle's own first, middle and last row. Centres of later fits are matched to those
-    of the first fit greedily by distance, so ``kept_share`` compares like with like.
+    of the first fit greedily by distance, so ``kept_share`` compares like with like. For the fit see ``kmeans_centers``.
     """
     per = traj.groupBy(PID).agg(F.max("t_idx").alias("_top"))
     tagged = join_per_key(traj, per, PID)
     picks = {"initial": F.col("t_idx") == 0, "middle": F.col("t_idx") == F.floor((F.col("_top") + 1) / 2), "final": F.col("t_idx") == F.col("_top")}
-    assembler = VectorAssembler(inputCols=list(AXES), outputCol="features")
     labelled, first_centers = {}, None
     for step, cond in picks.items():
         # every round of the fit reads the points again: they are written once
-        pts = assembler.transform(cut_lineage(tagged.filter(cond).select(PID, *AXES)))
-        model = KMeans(k=k, seed=seed, maxIter=50).fit(pts)
-        centers = [[float(v) for v in c] for c in model.clusterCenters()]
+        pts = cut_lineage(tagged.filter(cond & _has_place()).select(PID, *[F.col(a).cast("double").alias(a) for a in AXES]))
+        centers = kmeans_centers(pts, k, PID, rounds)
+        if not centers:
+            labelled[step] = pts.select(PID, F.lit(0).alias("cluster"), F.lit(0.0).alias("d")).limit(0)
+            continue
         if first_centers is None:
             first_centers, match = centers, list(range(len(centers)))
         else:
             match = _match(centers, first_centers)
-        where = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(c, AXES)]) for c in centers])
-        got = model.transform(pts).withColumn("_c", F.element_at(where, F.col("prediction") + 1))
-        d = distance(*[F.col(a) for a in AXES], *[F.col(f"_c.{a}") for a in AXES])
-        labelled[step] = got.select(PID, F.element_at(F.lit(match), F.col("prediction") + 1).alias("cluster"), d.alias("d"))
+        d = F.sqrt(F.array_min(_gaps(centers)))
+        labelled[step] = pts.select(PID, F.element_at(F.lit(match), _nearest_center(centers) + 1).alias("cluster"), d.alias("d"))
     kept = labelled["initial"].join(labelled["final"].select(PID, F.col("cluster").alias("_end")), PID)
     share = kept.agg(F.avg((F.col("cluster") == F.col("_end")).cast("double"))).scalar()
     out = None

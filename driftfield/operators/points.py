@@ -16,7 +16,7 @@ from driftfield.functions.rand import (
 )
 from driftfield.functions.vector import is_finite, magnitude
 from driftfield.model import AXES, Box, GridMeta
-from driftfield.operators.cells import knn
+from driftfield.operators.cells import HOT_ROWS, knn, spread_join
 from driftfield.operators.ranks import first_rows, prefix_sum
 from driftfield.operators.sample import small_table
 from driftfield.session import cut_lineage
@@ -65,6 +65,24 @@ def circle_points(spark: SparkSession, n: int, center, radius: float, plane: str
     return spark.range(n).withColumns({a: F.lit(float(c)) + off.get(a, F.lit(0.0)) for a, c in zip(AXES, center)})
 
 
+def circles(centers: DataFrame, n: int, plane: str = "xy", start: float = 0.0) -> DataFrame:
+    """n points on the circle of every row of ``centers(id, x, y, z, radius)``, the ends open; ids run circle by circle."""
+    df = centers.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else centers.limit(0).withColumn("_m", F.lit(0))
+    angle = F.lit(float(start)) + F.col("_m") * F.lit(2.0 * math.pi / max(n, 1))
+    first, second = plane
+    off = {first: F.col("radius") * F.cos(angle), second: F.col("radius") * F.sin(angle)}
+    return df.select((F.col("id").cast("bigint") * n + F.col("_m")).alias("id"), F.col("id").alias("center"), *[(F.col(a) + off.get(a, F.lit(0.0))).alias(a) for a in AXES])
+
+
+def spheres(centers: DataFrame, n: int, seed=0, surface: bool = False) -> DataFrame:
+    """n uniform points in the ball (or on its surface) of every row of ``centers(id, x, y, z, radius)``; ids run ball by ball."""
+    df = centers.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else centers.limit(0).withColumn("_m", F.lit(0))
+    df = df.withColumn("_id", F.col("id").cast("bigint") * n + F.col("_m")).withColumns({f"_n{a}": keyed_normal(seed, F.col("_id"), a) for a in AXES})
+    length = F.greatest(magnitude(*[F.col(f"_n{a}") for a in AXES]), F.lit(1e-12))
+    stretch = F.col("radius") if surface else F.col("radius") * F.cbrt(keyed_uniform(seed, F.col("_id"), "r"))
+    return df.withColumn("_f", stretch / length).select(F.col("_id").alias("id"), F.col("id").alias("center"), *[(F.col(a) + F.col(f"_n{a}") * F.col("_f")).alias(a) for a in AXES])
+
+
 def sphere_points(spark: SparkSession, n: int, center, radius: float, seed=0, surface: bool = False) -> DataFrame:
     """Uniform points in a ball (or on its surface): a normalised normal vector, stretched by the cube root of a uniform."""
     df = spark.range(n).withColumns({f"_n{a}": keyed_normal(seed, F.col("id"), a) for a in AXES})
@@ -334,23 +352,35 @@ def choose_without(df: DataFrame, id_col: str, weight: Column, k: int, seed=0) -
     return first_rows(df.filter(weight > 0).withColumn("choice_key", key), "choice_key", k, id_col)
 
 
-def choose_with(df: DataFrame, id_col: str, weight: Column, k: int, seed=0, cells: int | None = None) -> DataFrame:
+def choose_with(df: DataFrame, id_col: str, weight: Column, k: int, seed=0, cells: int | None = None, hot: int | None = HOT_ROWS) -> DataFrame:
     """k draws with replacement, chance by weight: (draw, id).
 
     Rows own intervals of the running weight total, each from where the one before ends. Draws and intervals meet in equal cells of that
-    total, as many as rows, so the range join is an equi-join; an interval is written into each cell it touches.
+    total, as many as rows, or in cells twice, four times ... as wide: an interval is written at the width that fits its own length, into
+    three cells at most, however heavy its row; a draw looks into its cell of every width in use. Crowded cells are cut into blocks.
     """
     spark = df.sparkSession
     weighted = df.filter(weight > 0).select(F.col(id_col), weight.cast("double").alias("_w"))
     running, total = prefix_sum(weighted, id_col, "_w", "_hi", before="_lo")
     width = total / (cells or max(weighted.count(), 1))
-    owned = running.withColumn("cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    wide = (F.col("_hi") - F.col("_lo")) / F.lit(width)
+    owned = running.withColumn("level", F.greatest(F.floor(F.log2(F.greatest(wide, F.lit(1.0)))), F.lit(0)).cast("int"))
+    at = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("level"))))
+    owned = cut_lineage(owned.select(id_col, "_lo", "_hi", "level", F.explode(F.sequence(at("_lo"), at("_hi"))).alias("cell")))
+    levels = sorted(r["level"] for r in owned.select("level").distinct().collect())  # as many as a double has powers of two, at most
     below = F.lit(math.nextafter(total, 0.0))
     draws = spark.range(k).select(F.col("id").alias("draw"), F.least(keyed_uniform(seed, F.col("id"), "draw") * F.lit(total), below).alias("_u"))
-    draws = draws.withColumn("cell", F.floor(F.col("_u") / width))
-    met = draws.join(owned, "cell").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    draws = draws.withColumn("level", F.explode(F.lit(levels or [0]))).withColumn("cell", at("_u"))
+    met = spread_join(draws, owned, ["level", "cell"], hot).filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
     return met.select("draw", id_col)
 
 
+def with_random_integer(df: DataFrame, id_col: str, lo: str, hi: str, seed=0, name: str = "value") -> DataFrame:
+    """Every row with a uniform integer between its own columns ``lo`` and ``hi`` (``hi`` excluded); NULL where that is empty."""
+    width = F.col(hi) - F.col(lo)
+    drawn = (F.col(lo) + F.floor(keyed_uniform(seed, F.col(id_col), "int") * width.cast("double"))).cast("bigint")
+    return df.withColumn(name, F.when(width > 0, drawn))
+
+
 def random_integers(spark: SparkSession, n: int, lo: int, hi: int, seed=0) -> DataFrame:
     return spark.range(n).withColumn("value", keyed_integer(seed, F.col("id"), "int", lo, hi))

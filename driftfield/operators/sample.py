@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from driftfield.functions import shape as sh
 from driftfield.functions.vector import distance, magnitude
 from driftfield.model import AXES, Box, GridMeta, check
-from driftfield.operators.cells import CELL, HOT_ROWS, Frame, cover, knn, locate, spread_join, used_levels
+from driftfield.operators.cells import CELL, HOT_ROWS, Frame, SiteIndex, cover, knn, locate, site_index, spread_join, used_levels
 from driftfield.operators.ranks import join_per_key
 from driftfield.session import cut_lineage
 
@@ -29,53 +29,95 @@ def small_table(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def time_intervals(times: DataFrame) -> DataFrame:
-    """(left, right, t0, t1) per gap between snapshots. Two snapshots at one time: the later one starts the next gap.
+STAMPS_PER_RANGE = 64
+MOST_RANGES = 10_000
 
-    ``times`` is a dimension table with one row per snapshot, so it may be ordered as a whole.
+
+@dataclass(frozen=True)
+class TimeIndex:
+    """Snapshot times prepared for as-of lookups.
+
+    ``gaps`` has a row per range of times: the gaps (t0, t1, left, right) that begin in it, in order, and before them the last gap that began
+    earlier. Ranges begin at snapshot times. Only the cut points (MOST_RANGES at most) and the ends come to the driver.
     """
-    order = W.orderBy("t", "t_idx")
-    nxt = times.select(
-        F.col("t_idx").alias("left"),
-        F.col("t").cast("double").alias("t0"),
-        F.lead("t_idx").over(order).alias("right"),
-        F.lead("t").over(order).cast("double").alias("t1"),
-    )
-    return nxt.filter(F.col("t1") > F.col("t0"))
 
+    times: DataFrame
+    n: int
+    t_min: float | None
+    t_max: float | None
+    first: int | None
+    last: int | None
+    cuts: list[float]
+    gaps: DataFrame | None
+
+
+def time_index(times: "DataFrame | TimeIndex", stamps_per_range: int = STAMPS_PER_RANGE) -> TimeIndex:
+    """Two snapshots at one time: the later one starts the next gap.
 
-def time_bracket(at: DataFrame, times: DataFrame, outside: str = "constant") -> DataFrame:
+    Times are cut into ranges; a range's snapshots are sorted on their own, and the gap across its end comes from a summary with one row per
+    range, as does the last gap before it. So no task sees all snapshots.
+    """
+    if isinstance(times, TimeIndex):
+        return times
+    times = cut_lineage(times.select("t_idx", F.col("t").cast("double").alias("t")))
+    by_time = F.struct("t", "t_idx")
+    t_min, t_max, n, first, last = times.agg(F.min("t"), F.max("t"), F.count(F.lit(1)), F.min_by("t_idx", by_time), F.max_by("t_idx", by_time)).first()
+    if n < 2 or t_max <= t_min:
+        return TimeIndex(times, n, t_min, t_max, first, last, [], None)
+    ranges = min(-(-n // stamps_per_range), MOST_RANGES)
+    cuts: list[float] = []
+    if ranges > 1:
+        at = [i / ranges for i in range(1, ranges)]
+        cuts = sorted(set(times.agg(F.percentile_approx("t", at, max(10_000, 10 * ranges))).first()[0]) - {t_min})
+    placed = _in_range(times, "t", cuts, "_range").groupBy("_range").agg(F.sort_array(F.collect_list(by_time)).alias("s"))
+    order = W.orderBy("_range")  # one row per range
+    ahead = F.lead(F.element_at("s", 1)).over(order)
+    after = lambda i: F.coalesce(F.try_element_at(F.col("s"), i + 2), F.col("ahead"))
+    gap = lambda s, i: F.struct(s["t"].alias("t0"), after(i)["t"].alias("t1"), s["t_idx"].alias("left"), after(i)["t_idx"].alias("right"))
+    own = F.filter(F.transform("s", gap), lambda g: g["t1"] > g["t0"])
+    gaps = placed.withColumn("ahead", ahead).select("_range", own.alias("own"))
+    before = F.last(F.try_element_at("own", F.lit(-1)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    gaps = gaps.select("_range", F.concat(F.array_compact(F.array(before)), F.col("own")).alias("gaps"))
+    return TimeIndex(times, n, t_min, t_max, first, last, cuts, cut_lineage(gaps))
+
+
+def _in_range(df: DataFrame, col: str, cuts: list[float], name: str) -> DataFrame:
+    """Number of the range that ``col`` lies in; NULL where it is NULL or NaN."""
+    known = F.col(col).isNotNull() & ~F.isnan(col)
+    if not cuts:
+        return df.withColumn(name, F.when(known, 0))
+    search = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=col, outputCol="_range_d", handleInvalid="keep")
+    return search.transform(df).withColumn(name, F.when(known, F.col("_range_d").cast("int"))).drop("_range_d")
+
+
+def time_bracket(at: DataFrame, times: DataFrame | TimeIndex, outside: str = "constant") -> DataFrame:
     """Add left, right (t_idx) and w_left, w_right to every row of ``at`` by its column t.
 
-    A row's gap is found by binary search among the snapshot times (one number per snapshot, kept in the plan), and the gap's row by an
-    equi-join on its number; how the times are spaced does not matter.
+    An as-of join: a row finds its range of times by binary search among the ranges' beginnings, and its gap among the range's few. The table
+    of ranges is broadcast if the number of snapshots proves it small; else rows and ranges are shuffled, crowded ranges dealt out.
     Outside the first and last snapshot: constant holds the end value, linear extends the last gap,
     zero has weights 0, nan has NULL weights.
     """
     if outside not in EXTRAPOLATE:
         raise ValueError(f"outside must be one of {EXTRAPOLATE}")
-    gaps = time_intervals(times)
-    ends = times.agg(F.min("t").cast("double"), F.max("t").cast("double"), F.count(F.lit(1)),
-                     F.min_by("t_idx", F.struct("t", "t_idx")), F.max_by("t_idx", F.struct("t", "t_idx"))).first()
-    t_min, t_max, n, first, last = ends
+    index = time_index(times)
+    t_min, t_max, last = index.t_min, index.t_max, index.last
     t = F.col("t").cast("double")
-    if n < 2 or t_max <= t_min:
+    if index.gaps is None:
         off = (t != F.lit(t_min)) if outside in ("zero", "nan") else F.lit(False)
         gone = F.lit(0.0) if outside == "zero" else F.lit(None).cast("double")
         return at.withColumns(
             {"left": F.lit(last), "right": F.lit(last), "w_left": F.when(off, gone).otherwise(F.lit(1.0)), "w_right": F.lit(0.0)}
         )
-    numbered = gaps.withColumn("_gap", (F.row_number().over(W.orderBy("t0")) - 1).cast("int"))
-    starts = [r["t0"] for r in gaps.select("t0").orderBy("t0").collect()]
-    held = at.withColumn("_t", F.least(F.greatest(t, F.lit(t_min)), F.lit(t_max)))
-    if len(starts) > 1:
-        search = Bucketizer(splits=[*starts, t_max], inputCol="_t", outputCol="_gap", handleInvalid="keep")
-        held = search.transform(held).withColumn("_gap", F.col("_gap").cast("int"))
+    held = at.withColumn("_t", F.when(t.isNotNull(), F.least(F.greatest(t, F.lit(t_min)), F.lit(t_max))))
+    held = _in_range(held, "_t", index.cuts, "_range")
+    if index.n * 40 <= BROADCAST_BYTES:
+        joined = held.join(F.broadcast(index.gaps), "_range", "left")
     else:
-        held = held.withColumn("_gap", F.when(F.col("_t").isNotNull(), 0))
-    table = numbered.withColumnsRenamed({"left": "_left", "right": "_right", "t0": "_t0", "t1": "_t1"})
-    joined = held.join(small_table(table, n, 48), "_gap", "left")
-    alpha = (t - F.col("_t0")) / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1e-12))
+        joined = join_per_key(held, index.gaps, "_range", "left")
+    joined = joined.withColumn("_gap", F.try_element_at(F.filter("gaps", lambda g: g["t0"] <= F.col("_t")), F.lit(-1)))
+    t0, t1 = F.col("_gap.t0"), F.col("_gap.t1")
+    alpha = (t - t0) / F.greatest(t1 - t0, F.lit(1e-12))
     low, high = t < F.lit(t_min), t > F.lit(t_max)
     if outside == "linear":
         wl, wr = F.lit(1.0) - alpha, alpha
@@ -85,7 +127,8 @@ def time_bracket(at: DataFrame, times: DataFrame, outside: str = "constant") ->
         wr_low, wr_high = (F.lit(0.0), F.lit(1.0)) if gone is None else (gone, gone)
         wl = F.when(low, wl_low).when(high, wl_high).otherwise(F.lit(1.0) - alpha)
         wr = F.when(low, wr_low).when(high, wr_high).otherwise(alpha)
-    return joined.select(*[at[c] for c in at.columns], F.col("_left").alias("left"), F.col("_right").alias("right"), wl.alias("w_left"), wr.alias("w_right"))
+    own = [f"`{c}`" for c in at.columns]
+    return joined.select(*own, F.col("_gap.left").alias("left"), F.col("_gap.right").alias("right"), wl.alias("w_left"), wr.alias("w_right"))
 
 
 def _weight_rows(bracket: DataFrame) -> DataFrame:
@@ -118,8 +161,9 @@ def interp_time(samples: DataFrame, times: DataFrame, at: DataFrame, method: str
 
 def nearest_time(at: DataFrame, times: DataFrame) -> DataFrame:
     """(t, t_idx of the closest snapshot); the lower t_idx on ties."""
-    b = time_bracket(at.select("t").distinct(), times, "constant")
-    stamps = times.select("t_idx", F.col("t").cast("double").alias("_ts"))
+    index = time_index(times)
+    b = time_bracket(at.select("t").distinct(), index, "constant")
+    stamps = index.times.select("t_idx", F.col("t").alias("_ts"))
     pair = F.array(F.col("left"), F.col("right"))
     cand = b.select("t", F.explode(pair).alias("t_idx")).join(stamps, "t_idx")
     return cand.groupBy("t").agg(F.min_by("t_idx", F.struct(F.abs(F.col("_ts") - F.col("t")), F.col("t_idx"))).alias("t_idx"))
@@ -139,71 +183,108 @@ def time_derivative(samples: DataFrame, times: DataFrame, t: float, dt: float) -
     return both.groupBy("node_id").agg(*[F.sum(F.col("_s") * F.col(c)).alias(c) for c in UVW])
 
 
-def interp_time_cubic(samples: DataFrame, times: DataFrame, at: list[float]) -> DataFrame:
-    """Not-a-knot cubic spline per node and component: (t, node_id, u, v, w). Fewer than 4 snapshots: linear.
+SPLINE_ROWS = 1 << 20
 
-    A spline value is linear in the samples, so the spline is solved once for the (small) time grid and
-    becomes a weight table; the values themselves stay in a join and a sum, like every other interpolation.
-    """
-    import numpy as np
 
-    spark = samples.sparkSession
-    grid = [(r["t_idx"], float(r["t"])) for r in times.orderBy("t", "t_idx").collect()]  # one row per snapshot
-    wanted = spark.createDataFrame([(float(t),) for t in at], "t double")
-    if len(grid) < 4:
-        return interp_time(samples, times, wanted)
-    weights = _spline_weights(np.array([t for _, t in grid]), np.array(at, dtype=float))
-    rows = [(float(t), int(grid[i][0]), float(weights[n, i])) for n, t in enumerate(at) for i in np.flatnonzero(weights[n])]
-    table = spark.createDataFrame(rows, "t double, t_idx bigint, weight double")
-    joined = table.join(samples.drop("t"), "t_idx")
-    return joined.groupBy("t", "node_id").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in UVW])
-
-
-def _spline_weights(x, at):
-    """Matrix S with S @ values = not-a-knot spline at ``at`` (clamped to the range of x).
-
-    The inner second derivatives solve a tridiagonal system once the two end conditions are put in. Its transpose is solved for the
-    wanted times only, so work and memory are times x snapshots.
+def spline_table(samples: DataFrame, times: DataFrame) -> DataFrame:
+    """(t_idx, t, node_id, u, v, w, mu, mv, mw): every node's values and second derivatives of its not-a-knot cubic spline, at all snapshots.
+
+    Nodes are dealt to groups of about SPLINE_ROWS rows; a group is a matrix of snapshots by nodes, and one pass of the tridiagonal solver
+    over the snapshots serves all its nodes and components. A missing or NULL value counts as 0. Of snapshots at one time the one with the
+    highest t_idx counts. Needs four snapshots.
     """
+    stamps = cut_lineage(times.groupBy(F.col("t").cast("double").alias("t")).agg(F.max("t_idx").cast("bigint").alias("t_idx")))
+    groups = max(1, -(-samples.count() // SPLINE_ROWS))
+    group = F.pmod(F.xxhash64("node_id"), F.lit(groups)).cast("int")
+    rows = samples.select(group.alias("g"), F.col("t_idx").cast("bigint").alias("t_idx"), F.col("node_id").cast("bigint").alias("node_id"), *[F.col(c).cast("double").alias(c) for c in UVW])
+    grid = stamps.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h"), F.col("t_idx").alias("s_idx"), "t")
+
+    def run(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        t, step = right["t"].to_numpy(), right["s_idx"].to_numpy()
+        order = np.argsort(t)
+        t, step = t[order], step[order]
+        nodes, node = np.unique(left["node_id"].to_numpy(), return_inverse=True)
+        by_step = np.argsort(step)
+        at = by_step[np.minimum(np.searchsorted(step[by_step], left["t_idx"].to_numpy()), len(step) - 1)]
+        known = step[at] == left["t_idx"].to_numpy()
+        values = np.zeros((len(t), len(nodes), 3))
+        for n, c in enumerate(UVW):
+            values[at[known], node[known], n] = np.nan_to_num(left[c].to_numpy(zero_copy_only=False)[known], nan=0.0)
+        second = _second_derivatives(t, values)
+        wide = {"t_idx": np.repeat(step, len(nodes)), "t": np.repeat(t, len(nodes)), "node_id": np.tile(nodes, len(t))}
+        wide |= {c: values[:, :, n].ravel() for n, c in enumerate(UVW)} | {f"m{c}": second[:, :, n].ravel() for n, c in enumerate(UVW)}
+        return pa.table(wide)
+
+    schema = "t_idx bigint, t double, node_id bigint, " + ", ".join(f"{c} double" for c in (*UVW, *[f"m{c}" for c in UVW]))
+    return rows.groupBy("g").cogroup(grid.groupBy("h")).applyInArrow(run, schema)
+
+
+def _second_derivatives(x, y):
+    """Second derivatives at x of the not-a-knot splines through y[x, ...]: one elimination over x for all columns."""
     import numpy as np
 
     n = len(x)
     h = np.diff(x)
+    wide = h.reshape(-1, *[1] * (y.ndim - 1))
+    slope = np.diff(y, axis=0) / wide
     low, main, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
     # at each end the third derivative goes on over the first inner snapshot
     main[0] += h[0] * (h[0] + h[1]) / h[1]
     up[0] -= h[0] ** 2 / h[1]
     main[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
     low[-1] -= h[-1] ** 2 / h[-2]
-    at = np.clip(at, x[0], x[-1])
-    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    p, q = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
-    rows = np.arange(len(at))
-    ends = np.zeros((len(at), n))  # weights of the second derivatives at all snapshots
-    ends[rows, k] += h[k] ** 2 / 6 * (p**3 - p)
-    ends[rows, k + 1] += h[k] ** 2 / 6 * (q**3 - q)
-    inner = ends[:, 1:-1].copy()
-    inner[:, 0] += ends[:, 0] * (h[0] + h[1]) / h[1]
-    inner[:, 1] -= ends[:, 0] * h[0] / h[1]
-    inner[:, -1] += ends[:, -1] * (h[-1] + h[-2]) / h[-2]
-    inner[:, -2] -= ends[:, -1] * h[-1] / h[-2]
-    # transposed system: below the diagonal stands the upper band, above it the lower one
+    z = 6 * np.diff(slope, axis=0)
     m = n - 2
-    d, z = main.copy(), inner
     for i in range(1, m):
-        f = up[i - 1] / d[i - 1]
-        d[i] -= f * low[i]
-        z[:, i] -= f * z[:, i - 1]
-    z[:, m - 1] /= d[m - 1]
+        f = low[i] / main[i - 1]
+        main[i] -= f * up[i - 1]
+        z[i] -= f * z[i - 1]
+    z[m - 1] /= main[m - 1]
     for i in range(m - 2, -1, -1):
-        z[:, i] = (z[:, i] - low[i + 1] * z[:, i + 1]) / d[i]
-    out = np.zeros((len(at), n))
-    out[rows, k] += p
-    out[rows, k + 1] += q
-    out[:, :-2] += 6 * z / h[:-1]
-    out[:, 1:-1] -= 6 * z * (1 / h[:-1] + 1 / h[1:])
-    out[:, 2:] += 6 * z / h[1:]
-    return out
+        z[i] = (z[i] - up[i] * z[i + 1]) / main[i]
+    first = z[0] * (h[0] + h[1]) / h[1] - z[1] * h[0] / h[1]
+    last = z[-1] * (h[-1] + h[-2]) / h[-2] - z[-2] * h[-1] / h[-2]
+    return np.concatenate([first[None], z, last[None]])
+
+
+def interp_time_cubic(samples: DataFrame, times: DataFrame, at: "DataFrame | list[float]", table: DataFrame | None = None) -> DataFrame:
+    """Not-a-knot cubic spline per node and component at every time of ``at(t)``: (t, node_id, u, v, w). Fewer than 4 snapshots: linear.
+
+    Times beyond the ends are held there. ``table`` is a written ``spline_table`` of the same samples, if there is one.
+    """
+    spark = samples.sparkSession
+    wanted = spark.createDataFrame([(float(t),) for t in at], "t double") if isinstance(at, list) else at.select(F.col("t").cast("double").alias("t"))
+    index = time_index(times)
+    if index.times.select("t").distinct().count() < 4:
+        return interp_time(samples, index, wanted)
+    table = spline_table(samples, index.times) if table is None else table
+    joined = _spline_terms(wanted.distinct(), index).join(table.drop("t"), "t_idx")
+    return joined.groupBy("t", "node_id").agg(*[F.sum(F.col("_value") * F.col(c) + F.col("_second") * F.col(f"m{c}")).alias(c) for c in UVW])
+
+
+def sample_cubic(rows: DataFrame, table: DataFrame, times: DataFrame | TimeIndex) -> DataFrame:
+    """``rows(id, node_id, t, ...)`` with u, v, w of each row's node at each row's own time, from a ``spline_table`` (four snapshots or more).
+
+    Two snapshots per row are met by (t_idx, node_id) and summed per id; a NULL time gives NULL.
+    """
+    terms = _spline_terms(rows.select("id", "node_id", "t"), time_index(times)).join(table.drop("t"), ["t_idx", "node_id"])
+    sums = terms.groupBy("id").agg(*[F.sum(F.col("_value") * F.col(c) + F.col("_second") * F.col(f"m{c}")).alias(c) for c in UVW])
+    return rows.join(sums, "id", "left")
+
+
+def _spline_terms(at: DataFrame, index: TimeIndex) -> DataFrame:
+    """Two rows per row of ``at``: a snapshot and the factors of its value and of its second derivative."""
+    bracket = time_bracket(at, index, "constant")
+    h = F.col("_h")
+    q = F.least(F.greatest(F.col("w_right"), F.lit(0.0)), F.lit(1.0))
+    p = 1.0 - q
+    of = lambda step, w: F.struct(F.col(step).alias("t_idx"), w.alias("_value"), (h * h / 6.0 * (w * w * w - w)).alias("_second"))
+    stamps = index.times.select("t_idx", "t")
+    ends = bracket.join(stamps.select(F.col("t_idx").alias("left"), F.col("t").alias("_t0")), "left").join(stamps.select(F.col("t_idx").alias("right"), F.col("t").alias("_t1")), "right")
+    return ends.withColumn("_h", F.col("_t1") - F.col("_t0")).select(*at.columns, F.inline(F.array(of("left", p), of("right", q))))
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -287,8 +368,9 @@ def sample_grid_series(points: DataFrame, series: DataFrame, times: DataFrame, m
     """Points with their own time t in a grid series (t_idx, i, j, k, u, v, w): trilinear in space, linear in time."""
     if corners is None:
         corners = cell_corners(series, meta, outside == "periodic", ("t_idx",))
-    b = time_bracket(points, times, outside_time)
-    n = times.count()
+    index = time_index(times)
+    b = time_bracket(points, index, outside_time)
+    n = index.n
     left = sample_corners(b.withColumn("t_idx", F.col("left")), corners, meta, outside, ("t_idx",), n)
     left = left.withColumnsRenamed({c: f"{c}_l" for c in UVW})
     both = sample_corners(left.withColumn("t_idx", F.col("right")), corners, meta, outside, ("t_idx",), n)
@@ -375,13 +457,16 @@ class MeshIndex:
     frame: Frame
     cells: DataFrame
     levels: list[int]
+    sites: SiteIndex | None = None
 
 
-def mesh_index(elements: DataFrame, nodes: DataFrame, kind: str = "tet4", tol: float = sh.TOL) -> MeshIndex:
+def mesh_index(elements: DataFrame, nodes: DataFrame, kind: str = "tet4", tol: float = sh.TOL, with_sites: bool = False) -> MeshIndex:
+    """``with_sites`` also prepares the search for the nearest node, for meshes that are searched often."""
     boxes = element_boxes(element_corners(elements, nodes, kind))
     frame = Frame.of(Box.around(nodes))
     cells = cut_lineage(element_cells(sh.affine_rows(boxes, "corners", sh.CORNERS[kind]), frame, tol).drop("corners", "m_x", "m_y", "m_z"))
-    return MeshIndex(elements, nodes, kind, frame, cells, used_levels(cells))
+    sites = site_index(nodes.select(F.col("node_id").alias("id"), *AXES)) if with_sites else None
+    return MeshIndex(elements, nodes, kind, frame, cells, used_levels(cells), sites)
 
 
 def point_in_element(points: DataFrame, elements: DataFrame, nodes: DataFrame, kind: str = "tet4", tol: float = sh.TOL, hot: int | None = HOT_ROWS) -> DataFrame:
@@ -474,7 +559,7 @@ def fem_sample(
 def _fallback_node(rest: DataFrame, index: MeshIndex, fallback: str, hot: int | None) -> DataFrame:
     """(id, node_id): the nearest node, or the nearest node of the element with the nearest centroid; lowest id on ties."""
     if fallback == "nearest_node":
-        near = knn(rest.select("id", *AXES), index.nodes.select(F.col("node_id").alias("id"), *AXES), 1, hot)
+        near = knn(rest.select("id", *AXES), index.sites or index.nodes.select(F.col("node_id").alias("id"), *AXES), 1, hot)
         return near.select(F.col("q_id").alias("id"), F.col("p_id").alias("node_id"))
     near = nearest_centroid_element(rest, index.elements, index.nodes, index.kind, hot=hot)
     long = near.select("id", F.explode("nodes").alias("node_id")).join(

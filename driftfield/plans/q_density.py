@@ -147,7 +147,7 @@ YZ = f"""WITH b AS {EB.format(src='wide_points')}, s AS (SELECT w.y x, w.z y FRO
  g AS (SELECT yi gx, zi gy, y0+yi*(y1-y0)/29 x, z0+zi*(z1-z0)/29 y FROM b, range(30) r1(yi), range(30) r2(zi)),
  r AS (SELECT q.gx, q.gy, q.x, q.y, 1/(2*{PI})*sum(exp(-0.5*({D2}/h)*({D2}/h)))/count(*) rho FROM g q, s p, h GROUP BY ALL)
 SELECT gx, gy, x, y, least(rho, (SELECT quantile_cont(rho, 0.95) FROM r)) rho FROM r"""
-query("yz_slice_density", YZ, "wide_points", "x y rho", "gx gy")(lambda t: den.yz_slice_density(t.wide_points(), resolution=30))
+query("yz_slice_density", YZ, "wide_points", "x y rho", "gx gy")(lambda t: den.yz_slice_density(t.wide_points(), resolution=30, at_least=10))
 
 REPORT = f"""WITH k AS (SELECT q.gx, q.gy, pow(2*{PI},-1.5)*sum(exp(-0.5*(({D3})/h)*(({D3})/h)))/count(*) rho FROM (SELECT gx, gy, x, y, 0.0::DOUBLE z FROM {_grid_sql(20, 20, 1, 'cloud')}) q, cloud p, {SCOTT.format(src='cloud')} GROUP BY ALL),
  s AS (SELECT id, rho*e/n rho FROM ({_sph_sql(cubic(D3, 'p.h', 3), '2*p.h', '(SELECT id, x, y, z, 1.0::DOUBLE mass, 0.1::DOUBLE h FROM cloud)', 'cloud')}), {EXT})

@@ -48,7 +48,7 @@ MOVED = f"SELECT b.*, {D} moved FROM traj b JOIN {FIRST} a USING (particle_id)"
 q("from_start", f"SELECT b.particle_id, b.t_idx, {D} moved FROM traj b JOIN {FIRST} a USING (particle_id)", lambda t: paths.from_start(t.traj()).select("particle_id", "t_idx", "moved"), dbl="moved", ints=ROW)
 q("convergence", f"""SELECT 'success' status, (SELECT count(DISTINCT t_idx) FROM traj) n_steps, count(*) n_particles, avg(final) mean_final, max(final) max_final, avg(top) mean_max
 FROM (SELECT particle_id, arg_max(moved, t_idx) final, max(moved) top FROM ({MOVED}) GROUP BY 1)""",
-  lambda t: paths.convergence(t.traj()), dbl="mean_final max_final mean_max", ints="n_steps n_particles")
+  lambda t: paths.convergence(t.traj(), at_least=10), dbl="mean_final max_final mean_max", ints="n_steps n_particles")
 
 
 def _four(c: str, n: str) -> str:
@@ -88,7 +88,37 @@ MIX = f"""WITH e AS ({ENDS}), s AS (SELECT var_pop(ax)+var_pop(ay)+var_pop(az) v
 SELECT (v1-v0)/d variance_growth_rate, v1 final_variance, (SELECT count(*) FROM e, s WHERE moved < 0.1::DOUBLE*s0)/n return_ratio,
  coalesce((SELECT avg(ln(d1/d0)) FROM p WHERE d0 > 0 AND d0 < 8 AND d1 > 0)/d,0) separation_rate, (v1-v0)/d/(n*d) mixing_efficiency FROM s"""
 q("mixing", MIX, lambda t: paths.mixing(t.traj(), 8.0), dbl="variance_growth_rate final_variance return_ratio separation_rate mixing_efficiency")
-query("clusters")(lambda t: paths.clusters(t.traj()))
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Farthest-first start and Lloyd's rounds for the three steps at once; centres are matched pair by pair."""
+    gap = "((p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)+(p.z-c.z)*(p.z-c.z))"
+    ctes = [
+        """tops AS (SELECT particle_id, max(t_idx) top FROM traj GROUP BY 1)""",
+        """pts AS (SELECT s.step, t.particle_id, t.x, t.y, t.z FROM traj t JOIN tops USING (particle_id), (VALUES ('initial'), ('middle'), ('final')) s(step)
+ WHERE t.t_idx = CASE s.step WHEN 'initial' THEN 0 WHEN 'middle' THEN (top+1)//2 ELSE top END)""",
+        """f0 AS (SELECT step, 0 AS c, m.x x, m.y y, m.z z FROM (SELECT step, arg_min({'x': x, 'y': y, 'z': z}, particle_id) m FROM pts GROUP BY step))""",
+    ]
+    for i in range(1, k):
+        far = f"(SELECT p.step, p.particle_id, p.x, p.y, p.z, min({gap}) d FROM pts p JOIN f{i - 1} c ON c.step=p.step GROUP BY ALL)"
+        ctes.append(f"f{i} AS (SELECT * FROM f{i - 1} UNION ALL SELECT step, {i}, m.x, m.y, m.z FROM (SELECT step, arg_max({{'x': x, 'y': y, 'z': z}}, (d, -particle_id)) m FROM {far} GROUP BY step))")
+    ctes[-1] = ctes[-1].replace(f"f{k - 1} AS (", "l0 AS (")
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS (SELECT p.step, p.particle_id, p.x, p.y, p.z, arg_min(c.c, ({gap}, c.c)) c, sqrt(min({gap})) d FROM pts p JOIN l{i} c ON c.step=p.step GROUP BY ALL)")
+        ctes.append(f"l{i + 1} AS (SELECT l.step, l.c, coalesce(m.x, l.x) x, coalesce(m.y, l.y) y, coalesce(m.z, l.z) z FROM l{i} l LEFT JOIN (SELECT step, c, avg(x) x, avg(y) y, avg(z) z FROM a{i} GROUP BY ALL) m USING (step, c))")
+    # l{rounds} are the fitted centres, a{rounds} their points
+    ctes.append(f"gaps AS (SELECT p.step, p.c i, c.c j, {gap} g FROM l{rounds} p, (SELECT * FROM l{rounds} WHERE step='initial') c WHERE p.step <> 'initial')")
+    for n in range(k):
+        free = "".join(f" AND NOT EXISTS (SELECT 1 FROM m{q} WHERE m{q}.step=gaps.step AND (m{q}.i=gaps.i OR m{q}.j=gaps.j))" for q in range(n))
+        ctes.append(f"m{n} AS (SELECT step, b.i i, b.j j FROM (SELECT step, arg_min({{'i': i, 'j': j}}, (g, i, j)) b FROM gaps WHERE true{free} GROUP BY step))")
+    ctes.append("same AS (" + " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(k)) + f" UNION ALL SELECT step, c, c FROM l{rounds} WHERE step='initial')")
+    ctes.append(f"named AS (SELECT a.step, a.particle_id, s.j AS c, a.d FROM a{rounds} a JOIN same s ON s.step=a.step AND s.i=a.c)")
+    ctes.append("sizes AS (SELECT step, c, count(*) n, avg(d) mean_distance FROM named GROUP BY ALL)")
+    return f"""WITH {", ".join(ctes)} SELECT step, c AS "cluster", n, mean_distance, var_pop(n) OVER (PARTITION BY step) size_variance,
+ (SELECT avg((a.c=b.c)::INT) FROM named a JOIN named b ON a.particle_id=b.particle_id WHERE a.step='initial' AND b.step='final') kept_share FROM sizes"""
+
+
+q("clusters", _clusters_sql(4, 6), lambda t: paths.clusters(t.traj(), 4, 6), dbl="mean_distance size_variance kept_share", ints='"cluster" n')
 q("frames", "SELECT CAST(floor(t_idx/4) AS BIGINT) frame, particle_id, x p, y q FROM traj WHERE t_idx%4=0 AND particle_id%2=0 AND particle_id IN (SELECT particle_id FROM (SELECT DISTINCT particle_id FROM traj WHERE particle_id%2=0) ORDER BY 1 LIMIT 20)",
   lambda t: paths.frames(t.traj(), "xy", 4, 2, 20).select("frame", "particle_id", "p", "q"), dbl="p q", ints="frame particle_id")
 q("slice_plane", "SELECT particle_id, t_idx, t, x, 0.0::DOUBLE y, z FROM traj", lambda t: paths.slice_plane(t.traj(), "xz"), dbl="t x y z", ints=ROW)
@@ -116,8 +146,8 @@ UNION ALL SELECT 'density', 'n', count(*)::DOUBLE FROM traj WHERE t_idx=0""",
   lambda t: paths.summary_report(
       t.traj(), field=sample.sampling_profile(t.samples()).select("n", "speed_max"), density=density.bandwidths(t.traj().filter("t_idx = 0")).select("n")
   ), "traj series", "value")
-q("empty_trajectory", "SELECT id-1 particle_id, t_idx, t, 0.0::DOUBLE x, 0.0::DOUBLE y, 0.0::DOUBLE z FROM (SELECT row_number() OVER () id FROM part), (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 2.0::DOUBLE)) v(t_idx, t)",
-  lambda t: paths.empty_trajectory(t.spark, t.n_points(), [0.0, 0.5, 2.0]), "", "t x y z", ROW)
+q("empty_trajectory", "SELECT p.particle_id, CAST(d.n AS BIGINT) t_idx, d.t, 0.0::DOUBLE x, 0.0::DOUBLE y, 0.0::DOUBLE z FROM (SELECT DISTINCT particle_id FROM traj) p, (SELECT t, row_number() OVER (ORDER BY t)-1 n FROM (SELECT DISTINCT floor(t)::DOUBLE t FROM traj)) d",
+  lambda t: paths.empty_trajectory(t.spark, t.traj().select("particle_id"), t.traj().select(F.floor("t").alias("t"))), dbl="t x y z", ints=ROW)
 
 # ---------------------------------------------------------------------------------------------------
 # aggregates

@@ -49,7 +49,7 @@ q("cell_key", "SELECT id, xor(xor(CAST(floor(x/0.75) AS BIGINT)*73856093, CAST(f
 q("plane_project", "SELECT id, x p, z q FROM points", lambda t: vec.plane_project(_pts(t), "xz").select("id", "p", "q"), dbl="p q")
 q("extract_slice", "SELECT id, 0.0::DOUBLE x, y, z FROM points", lambda t: vec.flatten_axis(_pts(t), "yz"))
 q("slab_filter", "SELECT id, x p, y q FROM points WHERE abs(z-4) <= 0.5", lambda t: vec.slab_filter(_pts(t), "xy", 4.0, 1.0).select("id", "p", "q"), dbl="p q")
-q("slab_filter_empty", "SELECT id, x p, y q FROM points", lambda t: vec.slab_filter(_pts(t), "xy", 100.0, 1.0).select("id", "p", "q"), dbl="p q")
+q("slab_filter_empty", "SELECT id, x p, y q FROM points", lambda t: vec.slab_filter(_pts(t), "xy", 100.0, 1.0, all_if_empty=True).select("id", "p", "q"), dbl="p q")
 q("magnitude", "SELECT i, j, k, sqrt(u*u+v*v+w*w) speed FROM grid", lambda t: t.grid().select("i", "j", "k", vec.magnitude(F.col("u"), F.col("v"), F.col("w")).alias("speed")), "grid", "speed", "i j k")
 q("drop_still_nodes", "SELECT node_id, t_idx, u FROM series WHERE sqrt(u*u+v*v+w*w) > 0.2",
   lambda t: vec.drop_still_nodes(t.samples(), 0.2).select("node_id", "t_idx", "u"), "series", "u", "node_id t_idx")
@@ -97,11 +97,19 @@ q("grid_points_interior", f"SELECT i*n+j id, x0+(i+1)*(x1-x0)/(n+1) x, y0+(j+1)*
   lambda t: gen.grid_points(t.spark, (_side(t), _side(t), 1), t.box(), boundary=False).select("id", "x", "y", "z"), "box")
 q("line_points", "SELECT id, x0+id*(x1-x0)/((SELECT count(*) FROM part)-1) x, y0+id*(y1-y0)/((SELECT count(*) FROM part)-1) y, z0+id*(z1-z0)/((SELECT count(*) FROM part)-1) z FROM ids, box",
   lambda t: gen.line_points(t.spark, t.n_points(), t.box().lo, t.box().hi), "ids box")
-q("circle_points", "SELECT id, 1.0::DOUBLE x, 2+3*cos(0.4+2*pi()*id/(SELECT count(*) FROM part)) y, 3+3*sin(0.4+2*pi()*id/(SELECT count(*) FROM part)) z FROM ids",
-  lambda t: gen.circle_points(t.spark, t.n_points(), (1.0, 2.0, 3.0), 3.0, "yz", 0.4), "ids")
-_SPH = "SELECT id, " + ", ".join(f"{n}+{{f}}*n{a}/sqrt(nx*nx+ny*ny+nz*nz) {a}" for n, a in zip((1, 2, 3), "xyz")) + f" FROM (SELECT id, {N(9, 'x')} nx, {N(9, 'y')} ny, {N(9, 'z')} nz, {U(9, 'r')} r FROM ids)"
-q("sphere_points", _SPH.format(f="2*cbrt(r)"), lambda t: gen.sphere_points(t.spark, t.n_points(), (1.0, 2.0, 3.0), 2.0, 9), "ids")
-q("sphere_surface_points", _SPH.format(f="2"), lambda t: gen.sphere_points(t.spark, t.n_points(), (1.0, 2.0, 3.0), 2.0, 9, surface=True), "ids")
+_AROUND = "(SELECT vec_id id, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z, 0.5::DOUBLE+label::DOUBLE radius FROM embeddings)"
+
+
+def _around(t):
+    """Centres and radii from the vectors."""
+    return t.raw("embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")], (F.col("label") + 0.5).cast("double").alias("radius"))
+
+
+q("circle_points", f"SELECT id*7+m id, id center, x, y+radius*cos(0.4::DOUBLE+2*pi()*m/7) y, z+radius*sin(0.4::DOUBLE+2*pi()*m/7) z FROM {_AROUND}, range(7) r(m)",
+  lambda t: gen.circles(_around(t), 7, "yz", 0.4), "", ints="id center")
+_SPH = "SELECT id, center, " + ", ".join(f"{a}+{{f}}*n{a}/sqrt(nx*nx+ny*ny+nz*nz) {a}" for a in "xyz") + f" FROM (SELECT *, {N(9, 'x')} nx, {N(9, 'y')} ny, {N(9, 'z')} nz, {U(9, 'r')} r FROM (SELECT id*3+m id, id center, x, y, z, radius FROM {_AROUND}, range(3) q(m)))"
+q("sphere_points", _SPH.format(f="radius*cbrt(r)"), lambda t: gen.spheres(_around(t), 3, 9), "", ints="id center")
+q("sphere_surface_points", _SPH.format(f="radius"), lambda t: gen.spheres(_around(t), 3, 9, surface=True), "", ints="id center")
 _FACE = """SELECT id, CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x END x, CASE f WHEN 2 THEN y0 WHEN 3 THEN y1 ELSE y END y, CASE f WHEN 4 THEN z0 WHEN 5 THEN z1 ELSE z END z
 FROM (SELECT id, f, """ + box_sql(4) + """, x0, x1, y0, y1, z0, z1 FROM (SELECT face f, row_number() OVER (ORDER BY face, m)-1 id FROM
  (SELECT unnest(range(6)) face), (SELECT count(*) n FROM part), LATERAL (SELECT unnest(range(n//6 + CASE WHEN face < n%6 THEN 1 ELSE 0 END)) m)), box)"""
@@ -183,4 +191,5 @@ q("choose_without", f"SELECT id, key choice_key FROM (SELECT event_id id, -ln(({
   lambda t: gen.choose_without(t.event_points(), "id", F.col("x"), 500, 13).select("id", "choice_key"), "event_rows", "choice_key")
 q("choose_with", f"SELECT d.draw, min(r.id) id FROM (SELECT draw, {U(14, 'draw', 'draw')}*(SELECT sum(x) FROM event_points) u FROM (SELECT unnest(range((SELECT count(*) FROM part))) draw)) d ASOF JOIN (SELECT id, sum(x) OVER (ORDER BY id)-x lo FROM event_points) r ON d.u >= r.lo GROUP BY 1",
   lambda t: gen.choose_with(t.event_points(), "id", F.col("x"), t.n_points(), 14), "event_points", "", "draw id")
-q("random_integers", f"SELECT id, CAST(10+floor({U(15, 'int')}*90) AS BIGINT) AS value FROM ids", lambda t: gen.random_integers(t.spark, t.n_points(), 10, 100, 15), "ids", "", "id value")
+q("random_integers", f"SELECT id, CASE WHEN hi > lo THEN CAST(lo+floor({U(15, 'int')}*(hi-lo)::DOUBLE) AS BIGINT) END AS value FROM (SELECT p_partkey id, p_size lo, p_partkey % 100 hi FROM part)",
+  lambda t: gen.with_random_integer(t.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("lo"), (F.col("p_partkey") % 100).alias("hi")), "id", "lo", "hi", 15).select("id", "value"), "", "", "id value")

@@ -103,14 +103,41 @@ def _spline_basis_weights(at: list[float]) -> str:
     return ", ".join(f"({t}::DOUBLE, {i}, {w!r}::DOUBLE)" for t in at for i, w in enumerate((basis(min(max(t, 0.0), 6.0)) @ solve).tolist()))
 
 
-_AT = [0.1317, 0.5739, 2.2913, 5.9371]
+_AT = [0.0, 0.1317, 0.5739, 2.0, 2.2913, 5.9371, 6.0, 7.5]
 query(
     "interp_time_cubic",
     f"SELECT q.t, s.node_id, sum(wt*u) u, sum(wt*v) v, sum(wt*s.w) w FROM series s JOIN (VALUES {_spline_basis_weights(_AT)}) q(t, t_idx, wt) ON q.t_idx=s.t_idx GROUP BY 1, 2",
-    "series", "t u v w", "node_id",
+    "series", "t u v w", "node_id", digits=9,  # some values end at half of the sixth digit
 )(lambda t: smp.interp_time_cubic(t.samples(), t.times(), _AT))
 
 
+def _spline_values(at: str) -> str:
+    """The same spline at any table (id, node_id, t), its truncated powers and their solution as tables."""
+    import numpy as np
+
+    basis = lambda x: np.array([1.0, x, x * x, x**3, *[max(x - k, 0.0) ** 3 for k in (2, 3, 4)]])
+    solve = np.linalg.inv(np.array([basis(float(x)) for x in range(7)]))
+    held = "least(greatest(t, 0), 6)"
+    powers = ["1.0::DOUBLE", held, f"{held}*{held}", f"{held}*{held}*{held}", *[f"pow(greatest({held}-{k}, 0), 3)" for k in (2, 3, 4)]]
+    factors = ", ".join(f"({b}, {i}, {solve[b, i]!r}::DOUBLE)" for b in range(7) for i in range(7)).replace("np.float64(", "").replace(")::DOUBLE", "::DOUBLE")
+    return f"""SELECT q.id, q.node_id, sum(q.p*f.v*s.u) u, sum(q.p*f.v*s.v) v, sum(q.p*f.v*s.w) w
+FROM (SELECT id, node_id, unnest([{", ".join(powers)}]) p, unnest(range(7)) b FROM ({at})) q
+JOIN (VALUES {factors}) f(b, i, v) ON f.b=q.b JOIN series s ON s.t_idx=f.i AND s.node_id=q.node_id GROUP BY 1, 2"""
+
+
+def _node_visits(t):
+    """Every event visits a node at its own time, some of them at exact snapshots and beyond both ends."""
+    events = t.event_rows().select(F.col("event_id").alias("id"), (F.col("event_id") % 990).alias("node_id"), F.when(F.col("event_id") % 5 == 0, F.floor(F.col("t") * 10) % 9 - 1).otherwise(F.col("t") / 4).cast("double").alias("t"))
+    return smp.sample_cubic(events, smp.spline_table(t.samples(), t.times()), t.times()).select("id", "node_id", *"uvw")
+
+
+query(
+    "sample_cubic",
+    _spline_values("SELECT event_id id, event_id % 990 node_id, CASE WHEN event_id % 5 = 0 THEN floor(t*10)::BIGINT % 9 - 1 ELSE t/4 END::DOUBLE t FROM event_rows"),
+    "event_rows series", "u v w", "id node_id", digits=9,
+)(_node_visits)
+
+
 
 def _cubic_in_time(t):
     """Nodal values that are cubic polynomials of time: a cubic spline has to reproduce them between the snapshots."""

@@ -125,7 +125,62 @@ def test_banded_spline_equals_a_dense_one(n):
     knots = x[2:-2]
     basis = lambda t: np.concatenate([np.stack([t**p for p in range(4)], 1), np.maximum(t[:, None] - knots[None], 0) ** 3], 1)
     want = basis(np.clip(at, x[0], x[-1])) @ np.linalg.pinv(basis(x))
-    assert sample._spline_weights(x, at) == pytest.approx(want, abs=1e-6)
+    m = sample._second_derivatives(x, np.eye(n))
+    held = np.clip(at, x[0], x[-1])
+    k = np.clip(np.searchsorted(x, held, side="right") - 1, 0, n - 2)
+    h = (x[k + 1] - x[k])[:, None]
+    q = (held - x[k])[:, None] / h
+    p = 1 - q
+    got = p * np.eye(n)[k] + q * np.eye(n)[k + 1] + h * h / 6 * ((p**3 - p) * m[k] + (q**3 - q) * m[k + 1])
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_spline_of_groups_of_nodes(spark, monkeypatch):
+    """Nodes in several groups, missing and NULL values, two snapshots at one time; a table of times and each row's own time agree."""
+    monkeypatch.setattr(sample, "SPLINE_ROWS", 40)
+    rng = np.random.default_rng(5)
+    stamps = [0.0, 0.7, 1.0, 1.0, 2.5, 3.0, 4.2]
+    values = rng.normal(size=(len(stamps), 12, 3))
+    values[1, 3], values[5, 4, 0] = 0.0, 0.0
+    rows = [(i, n, *[None if (i, n, c) == (5, 4, 0) else float(values[i, n, c]) for c in range(3)]) for i in range(len(stamps)) for n in range(12) if (i, n) != (1, 3)]
+    samples = spark.createDataFrame(rows + [(99, 0, 1.0, 1.0, 1.0)], "t_idx int, node_id bigint, u double, v double, w double")
+    times = spark.createDataFrame(list(enumerate(stamps)), "t_idx int, t double")
+    kept = [0, 1, 3, 4, 5, 6]
+    x = np.array(stamps)[kept]
+    at = [-1.0, 0.0, 0.3, 1.0, 1.7, 4.2, 9.0]
+    knots = x[2:-2]
+    basis = lambda t: np.concatenate([np.stack([t**p for p in range(4)], 1), np.maximum(t[:, None] - knots[None], 0) ** 3], 1)
+    weights = basis(np.clip(np.array(at), x[0], x[-1])) @ np.linalg.pinv(basis(x))
+    want = np.einsum("ts,snc->tnc", weights, values[kept])
+    got = {(r["t"], r["node_id"]): (r["u"], r["v"], r["w"]) for r in sample.interp_time_cubic(samples, times, at).collect()}
+    assert len(got) == len(at) * 12
+    for i, t in enumerate(at):
+        for n in range(12):
+            assert got[t, n] == pytest.approx(want[i, n], abs=1e-9)
+    visits = [(i * 12 + n, n, t) for i, t in enumerate(at) for n in range(12)] + [(1000, 3, None)]
+    asked = spark.createDataFrame(visits, "id bigint, node_id bigint, t double")
+    own = {r["id"]: (r["u"], r["v"], r["w"]) for r in sample.sample_cubic(asked, sample.spline_table(samples, times), times).collect()}
+    assert own.pop(1000) == (None, None, None)
+    assert all(own[i] == pytest.approx(got[t, n]) for i, n, t in visits[:-1])
+
+
+@pytest.mark.parametrize("per_range", [1, 3, 1000])
+def test_as_of_by_ranges_equals_binary_search(spark, per_range):
+    """Snapshots bunched, repeated and spread; a few of them to a range, so gaps cross ranges and ranges hold none."""
+    rng = np.random.default_rng(8)
+    stamps = np.sort(np.concatenate([rng.uniform(0, 1, 30), np.repeat(0.5, 6), rng.uniform(0.5, 0.500001, 20), [7.0, 7.0]]))
+    times = spark.createDataFrame([(i, float(t)) for i, t in enumerate(stamps)], "t_idx int, t double").repartition(3)
+    at = np.concatenate([stamps, rng.uniform(-1, 8, 200), rng.uniform(0.5, 0.500001, 50)])
+    rows = spark.createDataFrame([(i, float(t)) for i, t in enumerate(at)] + [(9999, None), (9998, float("nan"))], "id bigint, t double")
+    got = {r["id"]: r for r in sample.time_bracket(rows, sample.time_index(times, per_range)).collect()}
+    assert len(got) == len(at) + 2 and got[9999]["left"] is None
+    starts = [i for i in range(len(stamps) - 1) if stamps[i + 1] > stamps[i]]
+    for i, t in enumerate(at):
+        held = min(max(t, stamps[0]), stamps[-1])
+        left = max((s for s in starts if stamps[s] <= held), key=lambda s: s)
+        r = got[i]
+        assert (r["left"], r["right"]) == (left, left + 1)
+        assert r["w_right"] == pytest.approx((held - stamps[left]) / (stamps[left + 1] - stamps[left])) and r["w_left"] == pytest.approx(1 - r["w_right"])
 
 
 def test_knn_of_points_far_from_a_clump(spark):
@@ -148,9 +203,9 @@ def test_own_cells_hold_few_sites(spark):
     p = np.vstack([rng.normal(0.5, 1e-4, (3000, 3)), rng.uniform(0, 1, (40, 3))])
     where = spark.createDataFrame([tuple(map(float, r)) for r in p], "x double, y double, z double").distinct()
     asked = spark.createDataFrame([tuple(map(float, r)) for r in rng.uniform(-1, 2, (60, 3))], "x double, y double, z double")
-    frame = cells.Frame.of(Box.around(where.unionByName(asked)))
-    depth = cells._levels_needed(where, frame, where.count(), 2)
-    own = cells._own_cells(asked, where, frame, depth, 2, None)
+    index = cells.site_index(where.withColumn("id", F.monotonically_increasing_id()), 2)
+    frame = index.frame
+    own = cells._own_cells(asked, index, None)
     assert own.select("bx", "by", "bz").distinct().count() == 60 == own.count()
     used = own.select(*cells.CELL).distinct()
     held = cells.locate(where, frame, cells.used_levels(used)).join(used, cells.CELL).groupBy(*cells.CELL).count().agg(F.min("count"), F.max("count")).first()

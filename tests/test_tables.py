@@ -56,7 +56,8 @@ def test_check_finds_what_is_wrong(spark, traj):
     row = paths.trajectory_check(bad).first()
     assert row["n_not_finite"] == 1 and not row["valid"] and row["n_uneven_steps"] == 78
     assert paths.trajectory_check(traj.filter("t_idx < 12")).first()["valid"]
-    assert paths.convergence(traj.filter("t_idx < 5")).first()["status"] == "insufficient_data"
+    assert paths.convergence(traj.filter("t_idx < 5"), at_least=10).first()["status"] == "insufficient_data"
+    assert paths.convergence(traj.filter("t_idx < 5")).first()["status"] == "success"
 
 
 def test_merge_refuses_other_particles_and_times(traj):
