@@ -184,3 +184,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
        failed & 3 <> 0 AS base_failed, failed = 0 AS kept
 FROM bits
 """
+
+#: For the ablations of the current policy, from the same ledger.
+ABLATIONS_SQL = f"""
+WITH entries AS ({SQL}), wanted AS (SELECT doc_id, failed & {mask({*BASE, *POLICIES[CURRENT]})} AS bits FROM entries),
+rules(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << i})" for i, r in enumerate(RULES) if r in {*BASE, *POLICIES[CURRENT]})})
+SELECT rule, count(*) FILTER (bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (bits = bit)::BIGINT AS n_alone, count(*) FILTER (bits = 0)::BIGINT AS n_kept,
+       count(*) FILTER (bits = 0 OR bits = bit)::BIGINT AS n_kept_without
+FROM rules, wanted GROUP BY rule
+"""

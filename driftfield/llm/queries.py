@@ -36,6 +36,11 @@ def op2_quality_ledger(spark, sf_dir):
     return quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents"))).drop("policy")
 
 
+@_register("quality_ablations", quality.ABLATIONS_SQL)
+def quality_ablations(spark, sf_dir):
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 @_register("op3_secret_scan")
 def op3_secret_scan(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
