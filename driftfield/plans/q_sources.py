@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftfield.operators import paths
 from driftfield.plans.registry import query
+from driftfield.sources import clustered
 from driftfield.session import cut_lineage, scratch_path
 from driftfield.sources import scan, sinks
 from driftfield.streaming import stream
@@ -138,6 +139,20 @@ def _append_stream(t):
 q("append_trajectory_stream", "SELECT * FROM traj", _append_stream, "traj", "t x y z", ROW)
 
 
+def _checked_stream(t):
+    """Late rows, rows sent twice and rows of particles that no early part has: what stays, and how many were refused."""
+    out, ckpt = scratch_path(t.spark, "checked"), scratch_path(t.spark, "ckpt")
+    own = t.traj().select("particle_id", "t_idx", "t", "x", "y", "z")
+    twice = own.filter("t_idx % 9 = 4")
+    strange = own.filter("particle_id % 7 = 3").withColumn("particle_id", -1 - F.col("particle_id"))
+    known = own.select("particle_id").distinct()
+    rows = stream.read_rows(t.spark, _arrivals(t, own.unionByName(twice).unionByName(strange), _PART))
+    stream.append_checked_stream(rows, out, ckpt, known).awaitTermination()
+    kept = stream.read_checked(t.spark, out).groupBy("particle_id").agg(F.count(F.lit(1)).alias("n"), F.sum("t_idx").alias("steps"))
+    refused = stream.read_refused(t.spark, out).select(F.lit(None).cast("bigint").alias("particle_id"), "n", F.lit(None).cast("bigint").alias("steps"), "reason")
+    return kept.withColumn("reason", F.lit("kept")).unionByName(refused)
+
+
 #: Every twentieth step arrives one part late.
 _PART = "least(floor(t / 3), 9) + CASE WHEN t_idx % 20 = 7 THEN 1 ELSE 0 END"
 
@@ -158,6 +173,16 @@ SELECT particle_id, coalesce(path_length, 0) path_length, n_late FROM (SELECT pa
   _running, "traj", "path_length", "particle_id n_late")
 
 
+q("append_checked_stream", f"""WITH known AS (SELECT *, {_PART} part FROM traj), a AS (SELECT * FROM known UNION ALL SELECT * FROM known WHERE t_idx % 9 = 4),
+ m AS (SELECT *, max(t_idx) OVER (PARTITION BY particle_id ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) seen,
+  row_number() OVER (PARTITION BY particle_id, part, t_idx) nth FROM a),
+ k AS (SELECT *, CASE WHEN t_idx <= seen THEN 'overlapping step' WHEN nth > 1 THEN 'repeated row' ELSE 'kept' END reason FROM m)
+SELECT particle_id, count(*) n, sum(t_idx) steps, 'kept' reason FROM k WHERE reason = 'kept' GROUP BY 1
+UNION ALL SELECT NULL, count(*), NULL, reason FROM k WHERE reason <> 'kept' GROUP BY reason
+UNION ALL SELECT NULL, count(*), NULL, 'unknown particle' FROM traj WHERE particle_id % 7 = 3""",
+  _checked_stream, "traj", "", "particle_id n steps")
+
+
 def _windows(t):
     out, ckpt = scratch_path(t.spark, "win"), scratch_path(t.spark, "ckpt")
     columns = ["particle_id", "ts", "t", "x", "y", "z"]
@@ -186,3 +211,18 @@ q("anti_rows", "SELECT name FROM file_names WHERE regexp_replace(name,'\\.[a-z]+
   lambda t: (lambda f: f.withColumn("b", F.regexp_replace("name", r"\.[a-z]+$", "")).join(f.filter(F.col("name").endswith(".vtu")).select(F.regexp_replace("name", r"\.[a-z]+$", "").alias("b")), "b", "left_anti").select("name"))(t.file_names()), "file_names")
 q("farthest_particles", "SELECT particle_id, d FROM (SELECT a.particle_id, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z)) d FROM (SELECT * FROM traj WHERE t_idx=0) a JOIN (SELECT * FROM traj QUALIFY row_number() OVER (PARTITION BY particle_id ORDER BY t_idx DESC)=1) b USING (particle_id)) ORDER BY d DESC, particle_id LIMIT 10",
   lambda t: paths.displacement(t.traj()).orderBy(F.desc("displacement"), "particle_id").limit(10).withColumnRenamed("displacement", "d"), "traj", "d", "particle_id")
+
+
+def _clustered(t, by, ranges):
+    """The trajectories written along the curve in 24 files, and read back by ranges."""
+    path = scratch_path(t.spark, "clustered")
+    clustered.write_clustered(t.traj().select("particle_id", "t_idx", "t", "x", "y", "z"), path, 24, by)
+    return clustered.read_ranges(t.spark, path, ranges)
+
+
+query("clustered_box_scan", "SELECT particle_id, t_idx, t, x, y, z FROM traj WHERE x BETWEEN 20 AND 60 AND y BETWEEN 10 AND 40", "traj", "t x y z", "particle_id t_idx")(
+    lambda t: _clustered(t, ("x", "y", "z"), {"x": (20.0, 60.0), "y": (10.0, 40.0)})
+)
+query("clustered_time_scan", "SELECT particle_id, t_idx, t, x, y, z FROM traj WHERE t >= 5 AND t <= 7.5 AND x <= 30", "traj", "t x y z", "particle_id t_idx")(
+    lambda t: _clustered(t, ("t", "x"), {"t": (5.0, 7.5), "x": (None, 30.0)})
+)

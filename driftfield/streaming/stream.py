@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from driftfield.functions.vector import distance
 from driftfield.model import AXES
 from driftfield.operators.paths import PID
 from driftfield.operators.ranks import with_previous
+from driftfield.session import cut_lineage
 
 ROW_SCHEMA = "particle_id bigint, t_idx bigint, t double, x double, y double, z double"
 
@@ -25,6 +26,72 @@ def append_trajectory_stream(rows: DataFrame, out: str, checkpoint: str):
     )
 
 
+LAST_SCHEMA = "particle_id bigint, t_idx bigint, batch_no bigint"
+REASONS = ("unknown particle", "overlapping step", "repeated row")
+
+
+def append_checked_stream(rows: DataFrame, out: str, checkpoint: str, particles: DataFrame | None = None, refuse: str = "count"):
+    """Append arriving rows under the contract of the batch form: known particles, and steps later than the ones the table has.
+
+    Known are the particles of ``particles``, else those of the first micro-batch. A row whose step its particle has reached already overlaps;
+    of rows of one particle and step in a micro-batch one stays. Refused rows are counted by reason, or, with ``refuse='raise'``, stop the
+    stream before anything of their micro-batch is written.
+
+    Each micro-batch writes its rows, its counts and the last steps that it changed under its own number, and reads those of earlier ones only:
+    one that is run again after a failure overwrites itself, so every key is stored once. See ``read_checked`` and ``read_refused``.
+    """
+    if refuse not in ("count", "raise"):
+        raise ValueError("refuse must be count or raise")
+    spark = rows.sparkSession
+
+    def append(batch: DataFrame, n: int) -> None:
+        batch = cut_lineage(batch)
+        last = _latest(spark, f"{out}/last", LAST_SCHEMA, n)
+        seen = last.select(F.col(PID), F.col("t_idx").alias("_last"))
+        if particles is not None:
+            known = particles.select(PID).distinct().join(seen, PID, "left")
+        elif n == 0 or not _written(spark, f"{out}/last", n):
+            known = batch.select(PID).distinct().withColumn("_last", F.lit(None).cast("bigint"))
+        else:
+            known = seen
+        same = W.partitionBy(PID, "t_idx").orderBy("t", *AXES)
+        tagged = batch.join(known.withColumn("_known", F.lit(True)), PID, "left").withColumn("_n", F.row_number().over(same))
+        reason = F.when(F.col("_known").isNull(), REASONS[0]).when(F.col("t_idx") <= F.col("_last"), REASONS[1]).when(F.col("_n") > 1, REASONS[2])
+        tagged = cut_lineage(tagged.withColumn("_reason", reason))
+        refused = tagged.filter("_reason IS NOT NULL").groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+        if refuse == "raise":
+            bad = {r["reason"]: r["n"] for r in refused.collect()}  # a row per reason
+            if bad:
+                raise ValueError(f"rows refused: {bad}")
+        fresh = tagged.filter("_reason IS NULL").select(*batch.columns)
+        stored = fresh.withColumn("t_bucket", F.floor(F.col("t_idx") / 64).cast("int"))
+        stored.write.mode("overwrite").partitionBy("t_bucket").parquet(f"{out}/rows/batch={n}")
+        refused.write.mode("overwrite").parquet(f"{out}/refused/batch={n}")
+        moved = fresh.groupBy(PID).agg(F.max("t_idx").alias("t_idx")).withColumn("batch_no", F.lit(n).cast("bigint"))
+        if n % FULL_EVERY == 0:
+            still = last.join(moved.select(PID), PID, "left_anti").withColumn("batch_no", F.lit(n).cast("bigint"))
+            moved = moved.unionByName(still.select(*moved.columns))
+        moved.write.mode("overwrite").parquet(f"{out}/last/batch={n}")
+
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _written(spark: SparkSession, path: str, n: int) -> bool:
+    """Whether a batch before n has stored any particle."""
+    return n > 0 and not _latest(spark, path, LAST_SCHEMA, n).isEmpty()
+
+
+def read_checked(spark: SparkSession, out: str, schema: str = ROW_SCHEMA) -> DataFrame:
+    """The rows that ``append_checked_stream`` has stored."""
+    rows = spark.read.schema(f"{schema}, batch bigint, t_bucket int").parquet(f"{out}/rows")
+    return rows.drop("batch", "t_bucket")
+
+
+def read_refused(spark: SparkSession, out: str) -> DataFrame:
+    """(reason, n) over all micro-batches."""
+    return spark.read.schema("reason string, n bigint, batch bigint").parquet(f"{out}/refused").groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 STATE_SCHEMA = "particle_id bigint, t_idx bigint, x double, y double, z double, path_length double, n_late bigint, batch_no bigint"
 
 
@@ -33,10 +100,14 @@ FULL_EVERY = 50  # micro-batches between complete state tables
 
 def _state_before(spark: SparkSession, state_path: str, n: int) -> DataFrame:
     """Latest state row per particle after batches 0 .. n-1: the last complete table and the changes since."""
+    return _latest(spark, state_path, STATE_SCHEMA, n)
+
+
+def _latest(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
     if n <= 0:
-        return spark.createDataFrame([], STATE_SCHEMA)
+        return spark.createDataFrame([], schema)
     first = (n - 1) // FULL_EVERY * FULL_EVERY
-    rows = spark.read.schema(STATE_SCHEMA).parquet(*[f"{state_path}/batch={b}" for b in range(first, n)])
+    rows = spark.read.schema(schema).parquet(*[f"{path}/batch={b}" for b in range(first, n)])
     latest = F.max_by(F.struct(*rows.columns), "batch_no").alias("s")
     return rows.groupBy(PID).agg(latest).select("s.*")
 
