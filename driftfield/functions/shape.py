@@ -90,14 +90,6 @@ def affine_weights(rows: Column, p, n: int) -> list[Column]:
     return [F.lit(1.0) - sum(rest[1:], rest[0]), *rest]
 
 
-def bary_ok(lam: list[Column], tol: float = TOL) -> Column:
-    """Inside test: no weight below -tol, and the weights are not the all-zero degenerate answer."""
-    cond = F.lit(True)
-    for v in lam:
-        cond = cond & (v >= F.lit(-tol))
-    return cond & (sum(lam[1:], lam[0]) > F.lit(0.5))
-
-
 def _corner_edge(lam, edges) -> list[Column]:
     corners = [v * (F.lit(2.0) * v - F.lit(1.0)) for v in lam]
     return corners + [F.lit(4.0) * lam[i] * lam[j] for i, j in edges]
