@@ -60,3 +60,34 @@ def sph_kernel(kind: str, r: Column, h, dim: int) -> Column:
     if kind == "gaussian":
         return sph_gaussian(r, h, dim)
     raise ValueError(f"unknown kernel {kind!r}")
+
+
+def kernel_factor(kind: str, h: Column, dim: int) -> Column:
+    """What ``kernel_shape`` lacks of the kernel: its constant, and 1/h^d except for the mean kernel."""
+    if kind == "mean":
+        return F.lit((2.0 * math.pi) ** (-dim / 2.0))
+    norm = {
+        "cubic_spline": 10.0 / (7.0 * math.pi) if dim == 2 else 1.0 / math.pi,
+        "wendland": 7.0 / math.pi if dim == 2 else 21.0 / (2.0 * math.pi),
+        "gaussian": math.pi ** (-dim / 2.0),
+    }[kind]
+    return F.lit(norm) / F.pow(_h(h), F.lit(float(dim)))
+
+
+def kernel_shape(kind: str, q):
+    """Kernel of a NumPy array of distances over h, without its factor; the array is used up."""
+    import numpy as np
+
+    if kind == "cubic_spline":  # (2 - q)^3 / 4 - (1 - q)^3, each while positive
+        near = np.maximum(1.0 - q, 0.0)
+        far = np.maximum(np.subtract(2.0, q, out=q), 0.0, out=q)
+        return np.multiply(far * far, far * 0.25, out=far) - near * near * near
+    if kind == "wendland":
+        rest = np.maximum(1.0 - q, 0.0)
+        rest *= rest
+        rest *= rest
+        return rest * (q * 4.0 + 1.0)
+    if kind == "gaussian":
+        q *= q
+        return np.exp(np.negative(q, out=q), out=q)
+    raise ValueError(f"unknown kernel {kind!r}")
