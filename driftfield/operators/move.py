@@ -513,9 +513,16 @@ def _fold_array(p, rule: PerAxis | None):
     return p
 
 
+def _dealt_out(start: DataFrame) -> DataFrame:
+    """Points of fewer files than cores, dealt out: a small file is one task, however many steps its points take."""
+    cores = start.sparkSession.sparkContext.defaultParallelism
+    return start.repartition(4 * cores, "particle_id") if 0 < len(start.inputFiles()) < cores else start
+
+
 def _walk(start: DataFrame, velocity: Callable, extra: list[str], dt, n_steps, method, rule, t0, record_every) -> DataFrame:
     """Every task walks its own points: ``velocity()`` makes, once per task, a function of (points[n, 3], time, extra columns) to [n, 3]."""
     offsets, weights = STAGES[method]
+    start = _dealt_out(start)
 
     def walk(batches: Iterator) -> Iterator:
         import numpy as np
