@@ -79,15 +79,34 @@ def kernel_shape(kind: str, q):
     import numpy as np
 
     if kind == "cubic_spline":  # (2 - q)^3 / 4 - (1 - q)^3, each while positive
-        near = np.maximum(1.0 - q, 0.0)
+        near = np.subtract(1.0, q)
+        np.maximum(near, 0.0, out=near)
+        cube = near * near
+        cube *= near
         far = np.maximum(np.subtract(2.0, q, out=q), 0.0, out=q)
-        return np.multiply(far * far, far * 0.25, out=far) - near * near * near
+        np.multiply(far, far, out=near)
+        near *= far
+        near *= 0.25
+        return np.subtract(near, cube, out=near)
     if kind == "wendland":
-        rest = np.maximum(1.0 - q, 0.0)
+        rest = np.subtract(1.0, q)
+        np.maximum(rest, 0.0, out=rest)
         rest *= rest
         rest *= rest
-        return rest * (q * 4.0 + 1.0)
+        q *= 4.0
+        q += 1.0
+        rest *= q
+        return rest
     if kind == "gaussian":
         q *= q
         return np.exp(np.negative(q, out=q), out=q)
     raise ValueError(f"unknown kernel {kind!r}")
+
+
+def kernel_of_square(kind: str, q2):
+    """``kernel_shape`` of squares; the array is used up."""
+    import numpy as np
+
+    if kind == "gaussian":
+        return np.exp(np.negative(q2, out=q2), out=q2)
+    return kernel_shape(kind, np.sqrt(q2, out=q2))

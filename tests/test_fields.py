@@ -211,3 +211,25 @@ def test_mean_kernel_as_arrays_and_by_pairs(spark, cloud):
     for at in a:
         want = (2 * np.pi) ** -1.5 * np.exp(-0.5 * ((p - np.array(at)) ** 2).sum(1) / 0.09).sum()
         assert a[at] == pytest.approx(want, rel=1e-11) and b[at] == pytest.approx(want, rel=1e-11)
+
+
+def test_kernel_sums_of_a_group_keep_the_rim_and_tiny_balls():
+    """Grid points lie exactly on the rim of balls; balls far smaller than the chunk, of size 0 and of several sizes meet their own place."""
+    import numpy as np
+    import pyarrow as pa
+
+    from driftfield.functions.kernels import kernel_of_square
+    from driftfield.operators.density import _sums_of_group
+
+    side = np.arange(7) * 0.1
+    grid = np.stack([g.ravel() for g in np.meshgrid(side, side, side)])
+    rng = np.random.default_rng(3)
+    for h in (np.full(343, 0.1), np.full(343, 0.15), np.full(343, 1e-7), np.zeros(343), 0.05 * 2.0 ** rng.integers(0, 2, 343)):
+        for kind, reach in (("cubic_spline", 2.0), ("wendland", 1.0), ("gaussian", 2.0)):
+            radius, w, floored = h * reach, rng.random(343), np.maximum(h, 1e-12)
+            left = pa.table(dict(zip("xyz", grid)))
+            right = pa.table({"bx": grid[0], "by": grid[1], "bz": grid[2], "h": floored, "w": w, "_radius": radius})
+            got = _sums_of_group(kind, reach, left, right).column("s").to_numpy()
+            d2 = (grid[0][:, None] - grid[0]) ** 2 + (grid[1][:, None] - grid[1]) ** 2 + (grid[2][:, None] - grid[2]) ** 2
+            want = (np.where(np.sqrt(d2) <= radius, kernel_of_square(kind, d2 / floored**2), 0.0) * w).sum(1)
+            np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-13)
