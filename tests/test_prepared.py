@@ -2,10 +2,12 @@
 
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from driftfield import session
 from driftfield.model import Box
 from driftfield.operators import cells, density, move, paths, points as gen, rules
@@ -106,6 +108,22 @@ def test_draws_with_a_row_that_owns_half(spark, hot):
     assert drawn == plain
 
 
+def test_draws_next_to_rows_without_weight(spark, tmp_path):
+    """A row of weight 0 starts where the next one does: never drawn, but by start it takes the draws of that interval, as in the query's SQL."""
+    duck = duckdb.connect()
+    given = "/root/testdata/sf0.001"
+    weights = "CASE WHEN event_id % 5 IN (1, 2) THEN 0.0 ELSE round(value) END"
+    duck.execute(f"COPY (SELECT * REPLACE ({weights} AS value) FROM '{given}/events.parquet') TO '{tmp_path}/events.parquet'")
+    duck.execute(f"COPY (SELECT * FROM '{given}/part.parquet') TO '{tmp_path}/part.parquet'")
+    for name in ("events", "part"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = duck.execute(entry.oracle_sql()["choose_with"]).fetchall()
+    assert sorted(tuple(r) for r in entry.queries()["choose_with"](spark, str(tmp_path)).collect()) == sorted(want)
+    rows = spark.read.parquet(f"{tmp_path}/events.parquet").select(F.col("event_id").alias("id"), F.col("value").alias("w"))
+    drawn = gen.choose_with(rows, "id", F.col("w"), 200, 14).join(rows, "id")
+    assert drawn.count() == 200 and drawn.filter("w <= 0").isEmpty()
+
+
 @pytest.mark.parametrize("h", [0.004, 0.2])
 def test_slabs_get_the_points_that_reach_them(spark, h):
     rng = np.random.default_rng(6)
