@@ -1,9 +1,12 @@
 """Clustered tables and the checked append of streams."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftfield.plans import q_sources
 from driftfield.session import scratch_path
 from driftfield.sources import clustered
 from driftfield.streaming import stream
@@ -76,3 +79,15 @@ def test_checked_append_can_stop(spark):
         stream.append_checked_stream(stream.read_rows(spark, folder), out, ckpt, particles, refuse="raise").awaitTermination()
     with pytest.raises(Exception):
         stream.read_checked(spark, out).collect()
+
+
+def test_parts_arrive_in_order_whatever_the_clocks_say(spark):
+    """A file source goes by modification times: those of a part are one, a second after the part before."""
+    rows = spark.range(400).select(
+        (F.col("id") % 20).alias("particle_id"), F.floor(F.col("id") / 20).alias("t_idx"), (F.col("id") / 40).alias("t"), *[F.lit(0.0).alias(a) for a in "xyz"]
+    )
+    folder = q_sources._arrivals(SimpleNamespace(spark=spark), rows, "floor(t / 3)")
+    files = spark.read.parquet(folder).select(F.floor(F.col("t") / 3).alias("part"), F.col("_metadata.file_modification_time").alias("at"))
+    at = [sorted(r["at"]) for r in files.groupBy("part").agg(F.collect_set("at").alias("at")).orderBy("part").collect()]
+    assert len(at) == 4 and all(len(a) == 1 for a in at)
+    assert {(b[0] - a[0]).total_seconds() for a, b in zip(at, at[1:])} == {1.0}
