@@ -233,3 +233,21 @@ def test_kernel_sums_of_a_group_keep_the_rim_and_tiny_balls():
             d2 = (grid[0][:, None] - grid[0]) ** 2 + (grid[1][:, None] - grid[1]) ** 2 + (grid[2][:, None] - grid[2]) ** 2
             want = (np.where(np.sqrt(d2) <= radius, kernel_of_square(kind, d2 / floored**2), 0.0) * w).sum(1)
             np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-13)
+
+
+@pytest.mark.parametrize("axis", [0, 1, 2])
+def test_queries_of_few_values_on_an_axis_form_no_pairs(spark, monkeypatch, axis):
+    """Sources of few places across the axis, with copies, queries far off and rows without coordinates: the sums are those over all pairs."""
+    rng = np.random.default_rng(21)
+    p, q = rng.integers(0, 6, (3000, 3)).astype(float), rng.uniform(-1, 7, (400, 3))
+    p[:, axis], q[:, axis] = rng.uniform(-30, 30, 3000), rng.integers(-2, 3, 400) * 1.5
+    p[-20:], q[0] = p[:20], [500.0, 500.0, 500.0]
+    q[0, axis] = 3.0
+    make = lambda rows, *odd: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)] + list(odd), "id bigint, x double, y double, z double")
+    monkeypatch.setattr(density, "BLOCK", 50)
+    monkeypatch.setattr(density, "_kernel_sums", lambda *a, **b: pytest.fail("pairs were formed"))
+    got = {r["id"]: r["rho"] for r in density.kde_at(make(p), make(q, (900, None, 1.0, 1.0)), 0.8).collect()}
+    gaps = ((q[:, None] - p[None]) ** 2).sum(2) / 0.64
+    want = np.exp(-0.5 * gaps).sum(1) * (2 * np.pi) ** -1.5 / 3000
+    assert got.pop(900) == 0.0 and len(got) == 400
+    assert np.allclose([got[i] for i in range(400)], want, rtol=1e-12, atol=1e-300)
