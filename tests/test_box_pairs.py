@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftfield.model import Box
@@ -50,3 +52,19 @@ def test_large_boxes_meet_many_as_lists(spark, capsys):
     pairs.explain()
     assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
     assert sorted(map(tuple, pairs.collect())) == overlaps(a, a)
+
+
+def test_lists_of_a_group_follow_the_places_of_boxes():
+    """Boxes that a box overlaps are listed in the same order of places for every box, whatever order they came in: a column store finds the runs again."""
+    rng = np.random.default_rng(31)
+    at = {"a": rng.uniform(0, 4, (150, 3)), "b": np.stack(np.meshgrid(*[np.arange(8) * 0.5] * 3), axis=-1).reshape(-1, 3)}
+
+    def side(p, order):
+        ends = {f"{p}_{e}_{x}": at[p][order, k] + (0.9 if e == "hi" else 0.0) for e in ("lo", "hi") for k, x in enumerate("xyz")}
+        return pa.table({f"{p}_id": order, f"{p}_at": np.full(len(order), 7), **ends})
+
+    listed = lambda order: {r["a_id"]: r["b_ids"] for r in cells._overlaps_of_group(side("a", np.arange(150)), side("b", order)).to_pylist()}
+    one, other = listed(np.arange(512)), listed(rng.permutation(512))
+    assert one == other
+    hit = ((at["a"][:, None] <= at["b"] + 0.9) & (at["b"] <= at["a"][:, None] + 0.9)).all(2)
+    assert {a: sorted(b) for a, b in one.items() if b} == {a: np.flatnonzero(h).tolist() for a, h in enumerate(hit) if h.any()}
